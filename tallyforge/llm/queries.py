@@ -33,6 +33,12 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_round_trip(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json")).drop("file")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op")}
 
