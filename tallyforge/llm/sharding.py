@@ -11,6 +11,7 @@ a group larger than the capacity of equal shards sets the capacity; an empty tab
 from __future__ import annotations
 
 from bisect import bisect_right
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,18 +57,12 @@ def cut_keys(groups: DataFrame, shards: int) -> tuple[list[int], int]:
 
     def fetch(bits: int, within: list[tuple[int, int]] | None) -> None:
         df = groups
-        if within is not None:  # ranges of keys, joined where they touch
-            spans: list[list[int]] = []
-            for b, p in sorted(within, key=lambda c: c[1] << (KEY_BITS - c[0])):
-                lo, hi = p << (KEY_BITS - b), ((p + 1) << (KEY_BITS - b)) - 1
-                if spans and spans[-1][1] + 1 == lo:
-                    spans[-1][1] = hi
-                else:
-                    spans.append([lo, hi])
-            keep = F.lit(False)
-            for lo, hi in spans:
-                keep = keep | F.col("key").between(lo, hi)
-            df = df.filter(keep)
+        if within is not None:  # a bounded list of buckets, matched on the bits that name them
+            spark, parts = groups.sparkSession, []
+            for b in sorted({c[0] for c in within}):
+                names = F.broadcast(spark.createDataFrame([(p,) for c, p in within if c == b], "_p long"))
+                parts.append(groups.join(names, F.shiftright("key", KEY_BITS - b) == F.col("_p"), "left_semi"))
+            df = reduce(DataFrame.unionAll, parts)
         for r in df.groupBy(F.shiftright("key", KEY_BITS - bits).alias("p")).agg(F.sum("size").alias("s"), F.min("key").alias("a"), F.max("key").alias("b")).collect():
             cells[(bits, r["p"])] = (r["s"], 1 if r["a"] == r["b"] else 2)
 
