@@ -39,6 +39,18 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media_jpeg import text_media
+
+    return text_media(documents(spark, sf_dir))
+
+
+def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import documents_round_trip
+
+    return documents_round_trip(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op")}
 
