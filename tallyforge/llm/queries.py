@@ -51,6 +51,12 @@ def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_round_trip(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
 
 
+def op8_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op")}
 
