@@ -57,6 +57,12 @@ def op8_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minmax_dedup import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), k=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op")}
 
