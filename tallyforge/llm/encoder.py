@@ -12,8 +12,27 @@ from tokenizers import Tokenizer
 
 #: The word pattern of byte-level pre-tokenisation, as published with the vocabulary.
 BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts with other characters than these go to the library whole: Unicode versions may differ there.
-_PLAIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-ɏ]")
+#: Texts with other characters than these go to the library whole: Unicode versions may differ there, and lower case may leave the range.
+_PLAIN = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-įı-ſ]")
+
+
+_PLAIN_END = 0x180
+
+
+def _spelled_out(pattern: str) -> re.Pattern:
+    """The pattern with its letter and number classes written as ranges of plain characters: re is several times as fast as regex."""
+    for name in ("L", "N"):
+        own = regex.compile(rf"\p{{{name}}}")
+        spans: list[list[int]] = []
+        for c in filter(lambda c: own.match(chr(c)), range(_PLAIN_END)):
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+        ranges = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in spans)
+        pattern = re.sub(rf"(\[[^\]]*)\\p\{{{name}\}}", lambda m, r=ranges: m[1] + r, pattern)  # within a class
+        pattern = pattern.replace(rf"\p{{{name}}}", f"[{ranges}]")
+    return re.compile(pattern)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -50,9 +69,9 @@ class Encoder:
         pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"]
         steps = pre.get("pretokenizers", [pre])
         if norm is None and [s.get("type") for s in steps] == ["ByteLevel"] and steps[0]["use_regex"] and not steps[0]["add_prefix_space"]:
-            self.pattern = regex.compile(BYTE_LEVEL_WORDS)
+            self.pattern = _spelled_out(BYTE_LEVEL_WORDS)
         elif norm and [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [s.get("type") for s in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"]:
-            self.pattern, self.lower = regex.compile(steps[0]["pattern"]["Regex"]), True
+            self.pattern, self.lower = _spelled_out(steps[0]["pattern"]["Regex"]), True
         if self.pattern is not None:
             self.words = _Words(self.tokenizer.model, most_words)
 
