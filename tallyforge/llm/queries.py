@@ -69,6 +69,12 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir))
 
 
+def op9_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .attention_lm import score_documents
+
+    return score_documents(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op")}
 
