@@ -350,6 +350,20 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW)
     return best.select("item_id", "start", "m.*")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id and text of the documents that aren't contaminated."""
-    return contamination(docs, benchmark, window, keep_text=True).filter(~F.col("contaminated")).select("doc_id", "text")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs, all columns, that aren't contaminated: less than a twentieth of their words hit, or none."""
+    blocks = _blocks(benchmark, window)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in text_views(batch, batch.schema.names[at]):
+                hashes, bounds, _ = words(data, offsets)
+                hit = np.zeros(len(hashes), bool)
+                for b in blocks:
+                    hit |= shard_hits(hashes, bounds, b.value)[0]
+                total = np.concatenate([[0], np.cumsum(hit)])
+                n_words, n_hit = np.diff(bounds), total[bounds[1:]] - total[bounds[:-1]]
+                yield batch.slice(lo, hi - lo).filter(pa.array((n_hit == 0) | (20 * n_hit < n_words)))
+
+    return docs.mapInArrow(run, docs.schema)

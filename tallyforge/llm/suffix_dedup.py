@@ -29,7 +29,7 @@ from .decontaminate import _BYTE, _ODD, _mix
 from .induced import common_prefixes, suffix_array
 
 LENGTH = 400
-ANCHOR = 96
+ANCHOR = 96  # or a third of the length, where that is less
 #: Bytes of contexts that one suffix array holds, and contexts of one anchor that may go to one.
 SHARD_BYTES = 1 << 20
 CONTEXTS_PER_ANCHOR = 1_000
@@ -256,9 +256,9 @@ def _losses(texts: DataFrame, with_text: bool) -> DataFrame:
     return texts.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
 
 
-def losses(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
+def losses(docs: DataFrame, length: int = LENGTH, with_text: bool = False, anchor: int | None = None) -> DataFrame:
     """Of the documents that lose bytes: doc_id, n_removed, n_spans, kept_sha256; with_text, also kept (without cut characters)."""
-    spans = stash(repeated_spans(docs, length), "spans")
+    spans = stash(repeated_spans(docs, length, anchor or min(ANCHOR, length // 3)), "spans")
     texts = pick(docs, spans.select("doc_id")).dropDuplicates(["doc_id"])
     return _losses(texts.join(spans, "doc_id"), with_text)
 
