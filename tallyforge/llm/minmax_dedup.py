@@ -4,9 +4,9 @@ Under each permutation both the least and the greatest value of a set are kept,
 one-sided hashing; a band is the four values of two permutations. The number of bands follows from the threshold, so that a pair at
 it is missed less than once in ten million. Equal sets are one node from the start, however many documents have them.
 
-Within a bucket not all pairs are compared: the member that shares most buckets leads, all others are compared with it on their full
-sets, and what is linked becomes one class. Only buckets that still hold several classes go on, without their leaders of before and
-with four times as many leaders each round, until none is left: a pair is left uncompared only if it is in one class already.
+A bucket's pairs are never listed. The member that shares most buckets leads, and all others are compared with it on their full
+sets. What it links is one class; for those that it doesn't link, members of its star are compared by the shingles that set them
+apart from the leader, block by block, which decides every pair exactly.
 
 Words: A-Z in lower case, then runs of other bytes than white space. Defined results: null, empty and blank texts have no set and are
 linked with nothing; fewer words than a shingle form one; rows that share a doc_id are one document; a null doc_id is kept alone."""
@@ -32,6 +32,7 @@ PER_BAND = 2  # permutations; four values
 MISSED = 1e-7
 SALTS = 64
 MEMBERS_PER_SALT = 500
+MEMBERS_PER_BLOCK = 1_000
 
 
 def bands_for(percent: int) -> int:
@@ -97,67 +98,120 @@ def signatures(docs: DataFrame, k: int, bands: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (leader, member) whose full sets are similar enough.
+STARS = "leader long, member long, hit boolean, size long, differs array<long>"
+
+
+def similar(same: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * same >= percent * (a + b - same)
+
+
+def stars(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Each member against its leader on full sets: whether they are linked, the member's size, and, where the leader has other
+    members, the shingles that only one of the two has.
 
     A leader's text goes to as many tasks as its members need, ahead of them, and members stream past it."""
-    sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / MEMBERS_PER_SALT).cast("int").alias("salts"))
-    members = pairs.join(sizes, "leader").select("leader", F.col("member").alias("doc_id"), F.pmod(F.xxhash64("member"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("turn"))
-    leaders = sizes.select("leader", F.col("leader").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("turn"))
+    sizes = pairs.groupBy("leader").agg(F.count("*").alias("n"))
+    salts = F.ceil(F.col("n") / MEMBERS_PER_SALT).cast("int")
+    members = pairs.join(sizes, "leader").select("leader", F.col("member").alias("doc_id"), F.pmod(F.xxhash64("member"), salts).cast("int").alias("salt"), F.lit(1).alias("turn"), "n")
+    leaders = sizes.select("leader", F.col("leader").alias("doc_id"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("turn"), "n")
     rows = leaders.unionByName(members).join(texts, "doc_id").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "turn")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            for lo, hi, data, offsets in text_views(batch, most=1 << 20):
-                sets = distinct_sets(*shingles(data, offsets, k))
-                a, b = [], []
-                for i, s in enumerate(sets, lo):
-                    leader, doc_id, turn = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
+            for lo, _, data, offsets in text_views(batch, most=1 << 20):
+                out: list[tuple] = []
+                for i, s in enumerate(distinct_sets(*shingles(data, offsets, k)), lo):
+                    leader, doc_id, turn, n = (batch.column(c)[i].as_py() for c in range(4))
                     if turn == 0:
                         now, own = leader, s
                         continue
                     if now != leader:
                         raise RuntimeError("a leader's text is missing")
-                    if 100 * min(len(s), len(own)) >= percent * max(len(s), len(own)):
-                        both = np.concatenate([s, own])
-                        both.sort()
-                        same = int((both[1:] == both[:-1]).sum())
-                        if 100 * same >= percent * (len(both) - same):
-                            a.append(leader)
-                            b.append(doc_id)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    both = np.concatenate([s, own])
+                    both.sort()
+                    twice = both[1:] == both[:-1]
+                    differs = None
+                    if n > 1:
+                        once = np.ones(len(both), bool)
+                        once[1:] &= ~twice
+                        once[:-1] &= ~twice
+                        differs = both[once].view(np.int64)
+                    out.append((leader, doc_id, bool(similar(twice.sum(), len(s), len(own), percent)), len(s), differs))
+                cols = list(zip(*out)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())))], names=["leader", "member", "hit", "size", "differs"])
+
+    return rows.select("leader", "doc_id", "turn", "n", "text").mapInArrow(run, STARS)
+
+
+def within_stars(found: DataFrame, percent: int) -> DataFrame:
+    """Links between members of a star that its leader doesn't already hold together, exactly.
+
+    What two members have in common follows from what sets each apart from their leader, so short difference sets are compared, not
+    texts. A large star is cut into blocks; each pair of blocks meets in one task, as two lists of members, never as pairs."""
+    open_ = found.groupBy("leader").agg(F.count("*").alias("n"), F.count_if(~F.col("hit")).alias("apart")).filter("n > 1 and apart > 0")
+    blocks = F.ceil(F.col("n") / MEMBERS_PER_BLOCK).cast("int")
+    rows = (
+        found.join(open_.select("leader", blocks.alias("blocks")), "leader").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "member", "hit", "size", "differs")
+        .repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+    )
+
+    def solve(group: list[tuple]) -> pa.RecordBatch:
+        i, j = group[0][1:3]
+        block, member, hit, size = (np.array([r[c] for r in group]) for c in (3, 4, 5, 6))
+        n = np.array([len(r[7]) for r in group])
+        kinds, code, times = np.unique(np.concatenate([np.asarray(r[7], np.int64) for r in group]), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(group)), n)
+        shared = times[code] > 1
+        number = np.cumsum(times > 1) - 1
+        row, col = row[shared], number[code[shared]]
+        same = np.zeros((len(group), len(group)), np.float32)
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        for c in range(0, int((times > 1).sum()), 2_048):
+            a, b = np.searchsorted(col, [c, c + 2_048])
+            x = np.zeros((len(group), 2_048), np.float32)
+            x[row[a:b], col[a:b] - c] = 1
+            same += x @ x.T
+        apart = n[:, None] + n[None, :] - 2 * same.astype(np.int64)
+        common = (size[:, None] + size[None, :] - apart) // 2
+        link = similar(common, size[:, None], size[None, :], percent) & ~(hit[:, None] & hit[None, :])
+        link &= (block[:, None] == i) & (block[None, :] == j)
+        a, b = np.nonzero(np.triu(link, 1) if i == j else link)
+        return pa.RecordBatch.from_arrays([pa.array(member[a], pa.int64()), pa.array(member[b], pa.int64())], names=["a", "b"])
 
-    return rows.select("leader", "doc_id", "turn", "text").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns[:7]), batch.column(7)):
+                r = (*r[:7], r[7].values.to_numpy(zero_copy_only=False))
+                if group and r[:3] != group[0][:3]:
+                    yield solve(group)
+                    group = []
+                group.append(r)
+        if group:
+            yield solve(group)
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def classes(reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """reps: doc_id, bands: one document of each distinct set. id, component of those that are linked with another."""
+    """reps: doc_id, bands: one document of each distinct set. id, component of those that are linked with another.
+
+    Two members of a bucket are both members of its leader's star, so all of a bucket's pairs are decided in one round."""
     cells = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = cells.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     cells = stash(cells.join(shared, "key"), "cells")
     degree = cells.groupBy("doc_id").agg(F.sum("n").alias("degree"))
-    texts = stash(pick(docs, degree.select("doc_id")).dropDuplicates(["doc_id"]), "texts")
-    cells = stash(cells.join(degree, "doc_id").select("key", "doc_id", "degree", F.col("doc_id").alias("component")), "cells")
-    links, leaders, known = None, 1, None
-    while not cells.isEmpty():
-        order = Window.partitionBy("key").orderBy(F.desc("degree"), "doc_id")
-        if leaders == 1:
-            top = cells.groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("d"), F.col("component").alias("c"))).alias("t")).select("key", (-F.col("t.d")).alias("leader"), F.col("t.c").alias("leader_component"))
-        else:
-            top = cells.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= leaders).select("key", F.col("doc_id").alias("leader"), F.col("component").alias("leader_component"))
-        top = stash(top, "leaders")
-        pairs = cells.join(top, "key").filter("component != leader_component and doc_id != leader").select(F.col("leader"), F.col("doc_id").alias("member")).distinct()
-        found = stash(linked(stash(pairs, "pairs"), texts, k, percent), "found")
-        links = found if links is None else links.union(found)
-        known = components(links)
-        # on with buckets that hold several classes, without their leaders
-        rest = cells.join(top.select("key", F.col("leader").alias("doc_id")), ["key", "doc_id"], "left_anti")
-        rest = rest.drop("component").join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "degree", F.coalesce("component", "doc_id").alias("component"))
-        open_keys = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
-        cells = stash(rest.join(open_keys, "key", "left_semi"), "cells")
-        leaders *= 4
-    return known
+    cells = stash(cells.join(degree, "doc_id").select("key", "doc_id", "degree"), "cells")
+    top = cells.groupBy("key").agg(F.max_by("doc_id", F.struct("degree", -F.col("doc_id"))).alias("leader"))
+    pairs = stash(cells.join(top, "key").filter("doc_id != leader").select("leader", F.col("doc_id").alias("member")).distinct(), "pairs")
+    wanted = pairs.select(F.col("leader").alias("doc_id")).union(pairs.select("member")).distinct()
+    found = stash(stars(pairs, pick(docs, wanted).dropDuplicates(["doc_id"]), k, percent), "stars")
+    links = found.filter("hit").select(F.col("leader").alias("a"), F.col("member").alias("b")).unionAll(within_stars(found, percent))
+    return components(links)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -167,11 +221,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = full.groupBy("set_key", "salt").agg(F.min("doc_id").alias("m"))
     sets = stash(sets.withColumn("rep", F.min("m").over(Window.partitionBy("set_key"))).drop("m"), "sets")
     reps = full.join(sets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "bands").dropDuplicates(["doc_id"])
-    known = classes(reps, docs, k, percent)
-    if known is not None:
-        sets = sets.join(known.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", "salt", F.coalesce("component", "rep").alias("component"))
-    else:
-        sets = sets.withColumnRenamed("rep", "component")
+    known = classes(reps, docs, k, percent).withColumnRenamed("id", "rep")
+    sets = sets.join(known, "rep", "left").select("set_key", "salt", F.coalesce("component", "rep").alias("component"))
     placed = full.join(sets, ["set_key", "salt"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = rows.filter("set_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
