@@ -30,9 +30,9 @@ from .induced import common_prefixes, suffix_array
 
 LENGTH = 400
 ANCHOR = 96  # or a third of the length, where that is less
-#: Bytes of contexts that one suffix array holds, and contexts of one anchor that may go to one.
+#: Bytes of contexts that one suffix array holds, and contexts of one anchor that may go to one: at most 2.8 MB, some 300 MB of arrays.
 SHARD_BYTES = 1 << 20
-CONTEXTS_PER_ANCHOR = 1_000
+CONTEXTS_PER_ANCHOR = 4_000
 
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _PLACE_BITS = np.uint64(31)
@@ -206,6 +206,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     """doc_id, spans array<struct<x, y>>: the byte intervals to remove of the documents that have any; not merged, not sorted."""
     all_runs = stash(runs(docs, length, anchor), "runs")
     shared = all_runs.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
+    shared = stash(shared, "shared-anchors")  # a plain table, so Spark can split a hot anchor's side of the join
     some = stash(all_runs.join(shared, "anchor"), "shared-runs")
     place = F.struct("doc_id", "first", "last")
     contexts = stash(some.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(place).alias("at")), "contexts")
@@ -217,7 +218,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     once = contexts.filter("n = 1").select("anchor", "context")
     whole = contexts.filter("n > 1").select("anchor", "context", F.array(F.lit(0)).alias("x"), F.array((F.col("at.last") - F.col("at.first") + length).cast("int")).alias("y"))
     spans = found.join(once, ["anchor", "context"], "left_semi").unionAll(whole)
-    hit = some.join(spans, ["anchor", "context"]).select("doc_id", F.explode(F.arrays_zip("x", "y")).alias("s"), "first")
+    hit = some.join(stash(spans, "context-spans"), ["anchor", "context"]).select("doc_id", F.explode(F.arrays_zip("x", "y")).alias("s"), "first")
     return hit.select("doc_id", F.struct((F.col("s.x") + F.col("first")).alias("x"), (F.col("s.y") + F.col("first")).alias("y")).alias("span")).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
 
 
