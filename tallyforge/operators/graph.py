@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Write and read back, in the folder that driver and executors share."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,7 +26,7 @@ def connected(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Each round maps an id to its least neighbour's mapping and renames the links; those within one id go. Ids at least halve a round."""
     name = lambda c: F.struct(F.length(c).alias("n"), F.col(c).alias("s"))
-    links = _cut(edges.filter("a is not null and b is not null").select("a", "b").distinct())
+    links = cut(edges.filter("a is not null and b is not null").select("a", "b").distinct())
     state = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().select("id", F.col("id").alias("root"))
     links = links.filter("a != b")
     for _ in range(max_rounds):
@@ -34,9 +34,9 @@ def connected(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             return state
         both = links.union(links.select("b", "a"))
         up = both.groupBy("a").agg(F.min(name("b")).alias("m")).select("a", F.least(F.col("m"), name("a")).alias("m")).select("a", F.col("m.s").alias("p"))
-        jump = _cut(up.join(up.select(F.col("a").alias("p"), F.col("p").alias("pp")), "p", "left").select("a", F.coalesce("pp", "p").alias("to")))
-        links = _cut(
+        jump = cut(up.join(up.select(F.col("a").alias("p"), F.col("p").alias("pp")), "p", "left").select("a", F.coalesce("pp", "p").alias("to")))
+        links = cut(
             links.join(jump.withColumnRenamed("to", "x"), "a").join(jump.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
             .filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-        state = _cut(state.join(jump.select(F.col("a").alias("root"), "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root")))
+        state = cut(state.join(jump.select(F.col("a").alias("root"), "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root")))
     raise RuntimeError("links are left after the last round")

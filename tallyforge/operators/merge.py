@@ -5,14 +5,16 @@ the shuffle; only the greedy clustering of service rows (J4) needs a whole group
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..schema import ACCOUNT_ENRICHMENT, ACCOUNT_FIELDS, ACCOUNTS, BASE_ORDER, FIELDS, PHONES, PRIORITY, UNLISTED
+from .graph import connected, cut
 
 SEQ = ("doc_seq", "row_seq")
 
@@ -29,7 +31,7 @@ def merge_key(with_sub_account: bool = True, canonical: int | None = None, check
 
 def split_accounts(df: DataFrame, column: str = "carrier_account_number") -> DataFrame:
     """A contract's or subscription's row with several accounts becomes one row for each that has seven digits."""
-    parts = F.filter(F.transform(F.split(F.col(column), r"(?i)\s*(?:&|/|,|;|\band\b)\s*"), F.trim), lambda p: F.length(X.digits(p)) >= 7)
+    parts = F.filter(F.transform(F.split(F.col(column), r"(?i)\s*(?:&|/|,|;|\band\b)\s*"), lambda p: F.trim(p)), lambda p: F.length(X.digits(p)) >= 7)
     several = F.lower("doc_type").isin("contract", "subscription") & (F.size(parts) > 1)
     return df.withColumn(column, F.explode(F.when(several, parts).otherwise(F.array(column))))
 
@@ -105,10 +107,10 @@ def cluster_services(df: DataFrame, key: str, least_share: float = 0.6) -> DataF
 
     Same: no two service types; equal codes where both have one; else equal names, or one beginning with the other and at least the share
     of its length. Greedy and not transitive, so rows of a key are taken in order in one place."""
-    columns = [c for c in df.columns if not c.startswith("_")]
-    ready = df.select(*columns, X.service_name(F.col("component_or_feature_name")).alias("_name"), F.lower(F.trim(F.coalesce("service_type", F.lit("")))).alias("_type"), F.lower(F.trim(F.coalesce("usoc", F.lit("")))).alias("_code"))
+    asked = [F.col(key).alias("_key"), X.service_name(F.col("component_or_feature_name")).alias("_name"), F.lower(F.trim(F.coalesce("service_type", F.lit("")))).alias("_type"), F.lower(F.trim(F.coalesce("usoc", F.lit("")))).alias("_code")]
+    ready = df.select(*df.columns, *asked).repartition(key).sortWithinPartitions(key, *SEQ)
 
-    def same(a, b) -> bool:
+    def same(a: tuple, b: tuple) -> bool:
         if a[1] and b[1] and a[1] != b[1]:
             return False
         if a[2] and b[2]:
@@ -116,20 +118,20 @@ def cluster_services(df: DataFrame, key: str, least_share: float = 0.6) -> DataF
         short, long = sorted((a[0], b[0]), key=len)
         return bool(short) and (short == long or len(short) >= len(long) * least_share and long.startswith(short))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_seq", "row_seq"])
-        firsts: list[tuple] = []
-        out = []
-        for me in zip(pdf["_name"], pdf["_type"], pdf["_code"]):
-            at = next((i for i, f in enumerate(firsts) if same(me, f)), len(firsts))
-            if at == len(firsts):
-                firsts.append(me)
-            out.append(at)
-        return pdf[columns].assign(cluster=out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, firsts = None, []  # rows of a key come one after the other; only its clusters' first rows are kept
+        for batch in batches:
+            out = []
+            for k, *me in zip(*(c.to_pylist() for c in batch.columns[-4:])):
+                if k != now:
+                    now, firsts = k, []
+                at = next((i for i, f in enumerate(firsts) if same(me, f)), len(firsts))
+                if at == len(firsts):
+                    firsts.append(me)
+                out.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(out, pa.int32())], names=[*batch.schema.names[:-4], "cluster"])
 
-    from pyspark.sql import types as T
-
-    return ready.groupBy(key).applyInPandas(run, T.StructType([*df.select(*columns).schema, T.StructField("cluster", T.IntegerType())]))
+    return ready.mapInArrow(run, T.StructType([*df.schema, T.StructField("cluster", T.IntegerType())]))
 
 
 def component_key() -> Column:
@@ -139,13 +141,14 @@ def component_key() -> Column:
 
 def fill_first(df: DataFrame, group: Sequence[str], fields: Sequence[str], source: Column | None = None) -> DataFrame:
     """Blanks of a group take the first value that isn't blank, in order, of rows that may give one."""
-    keys = Window.partitionBy(*group)
-    out = df
-    for f in fields:
-        value = X.blank_to_null(F.col(f)) if dict(df.dtypes)[f] == "string" else F.col(f)
+    keys, kinds = Window.partitionBy(*group), dict(df.dtypes)
+
+    def filled(f: str) -> Column:
+        value = X.blank_to_null(F.col(f)) if kinds[f] == "string" else F.col(f)
         given = F.when(source, value) if source is not None else value
-        out = out.withColumn(f, F.coalesce(value, F.min_by(given, F.when(given.isNotNull(), F.struct(*SEQ))).over(keys), F.col(f)))
-    return out
+        return F.coalesce(value, F.min_by(given, F.when(given.isNotNull(), F.struct(*SEQ))).over(keys), F.col(f))
+
+    return df.withColumns({f: filled(f) for f in fields})  # one window for all
 
 
 def propagate_location(df: DataFrame, key: str = "merge_key") -> DataFrame:
@@ -172,8 +175,6 @@ def prefix_bridge(keys: DataFrame, column: str = "account") -> DataFrame:
 def account_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Id, root for accounts that occur in one row (edges: a, b as strings). The root is the shortest, then the least, account of the
     component; the reference's depends on the order of its unions (Q-5), ours doesn't."""
-    from .graph import connected
-
     return connected(edges, max_rounds)
 
 
@@ -202,10 +203,13 @@ def enrich(target: DataFrame, source: DataFrame, fields: Sequence[str], account_
     wide = [f for f in fields if f in account_fields]
     coarse = best(["account"], wide, source.filter("account is not null"), "_a_")
     out = target.join(fine, "tier_key", "left").join(coarse, "account", "left")
-    for f in fields:
-        blank = X.blank_to_null(F.col(f)) if dict(target.dtypes)[f] == "string" else F.col(f)
-        out = out.withColumn(f, F.coalesce(blank, F.col(f"_f_{f}"), *([F.col(f"_a_{f}")] if f in wide else []), F.col(f)))
-    return out.select(*target.columns)
+    kinds = dict(target.dtypes)
+
+    def filled(f: str) -> Column:
+        blank = X.blank_to_null(F.col(f)) if kinds[f] == "string" else F.col(f)
+        return F.coalesce(blank, F.col(f"_f_{f}"), *([F.col(f"_a_{f}")] if f in wide else []), F.col(f))
+
+    return out.withColumns({f: filled(f) for f in fields}).select(*target.columns)
 
 
 def append_supplemental(merged: DataFrame, other: DataFrame) -> DataFrame:
@@ -220,7 +224,7 @@ def merge_same_granularity(df: DataFrame, fields: Sequence[str] = FIELDS) -> Dat
     is_service = (F.col("service_or_component") == "S") | (F.col("row_type") == "S")
     services = cluster_services(keyed.filter(is_service), "merge_key").withColumn("item", F.concat(F.lit("S"), F.col("cluster"))).drop("cluster")
     rest = keyed.filter(~F.coalesce(is_service, F.lit(False))).withColumn("item", F.when((F.col("service_or_component") == "C") | (F.col("row_type") == "C"), F.concat(F.lit("C"), component_key())).otherwise(F.concat_ws("_", F.lit("O"), "doc_id", "row_seq")))
-    merged = merge_fields(services.unionByName(rest), ["merge_key", "item"], fields)
+    merged = cut(merge_fields(cut(services.unionByName(rest)), ["merge_key", "item"], fields))  # written out, so plans stay small
     placed = propagate_location(merged)
     return propagate_account(placed.withColumn("account_group", X.digits(F.coalesce("carrier_account_number", F.lit("")))))
 
@@ -241,7 +245,7 @@ def merge_documents(df: DataFrame, roles: dict[str, str], fields: Sequence[str]
     base = keyed(merge_same_granularity(rows.filter("_role = 'base'").drop("_role"), fields).drop("merge_key", "item", "account_group"))
     extra = keyed(rows.filter("_role = 'enrichment'").drop("_role"))
     more = keyed(rows.filter("_role = 'supplemental'").drop("_role"))
-    out = append_supplemental(enrich(base, extra, fields), more)
+    out = cut(append_supplemental(enrich(cut(base), extra, fields), more))
     return propagate_account(out.withColumn("account_group", X.digits(F.coalesce("carrier_account_number", F.lit("")))))
 
 

@@ -44,9 +44,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return carrier_rollup(spark, sf_dir)
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    from . import inventory, texts  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
