@@ -376,8 +376,8 @@ def _(df):
 
 MTM, AUTO = "lower(trim(coalesce(currently_month_to_month, '')))", "lower(trim(coalesce(auto_renew, '')))"
 EXPIRED = f"coalesce(contract_expiration_date < DATE '{TODAY}', false)"
-OFF = f"abs(monthly_recurring_cost::double - {DOLLAR})"
-FLAGS = f"""SELECT row_id, 'rate_mismatch' AS "check", CASE WHEN {OFF} / {DOLLAR} * 100 > 10 THEN 'error' ELSE 'warning' END AS severity FROM inv WHERE monthly_recurring_cost <> 0 AND billing_per_contract LIKE 'No%' AND {DOLLAR} > 0 AND {OFF} > 0.5 AND {OFF} / {DOLLAR} * 100 > 1
+OFF = f"round(abs(monthly_recurring_cost::double - {DOLLAR}), 6)"
+FLAGS = f"""SELECT row_id, 'rate_mismatch' AS "check", CASE WHEN round({OFF} / {DOLLAR} * 100, 6) > 10 THEN 'error' ELSE 'warning' END AS severity FROM inv WHERE monthly_recurring_cost <> 0 AND billing_per_contract LIKE 'No%' AND {DOLLAR} > 0 AND {OFF} > 0.5 AND round({OFF} / {DOLLAR} * 100, 6) > 1
  UNION ALL SELECT row_id, 'expired_contract', CASE WHEN {MTM} = 'yes' OR {AUTO} = 'yes' THEN 'info' ELSE 'warning' END FROM inv WHERE monthly_recurring_cost > 0 AND {EXPIRED}
  UNION ALL SELECT row_id, 'mtm_inconsistency', 'warning' FROM inv WHERE {MTM} = 'yes' AND contract_expiration_date IS NOT NULL AND NOT {EXPIRED}
  UNION ALL SELECT row_id, 'term_date_mismatch', 'info' FROM inv WHERE contract_term_months <> 0 AND abs(date_diff('day', contract_expiration_date, cast(contract_begin_date + to_months(contract_term_months) AS date))) > 31
