@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import terms
 from ..functions import text as X
 from ..schema import ACCOUNTS, CATEGORY, DATES, INTEGERS, MONEY, PHONES
+from .graph import connected, cut
 
 ACCOUNT_LIKE = [*ACCOUNTS, "contract_number", "contract_number_2"]
 AMOUNTS = [*MONEY, "rate", "ld_minutes"]
@@ -61,7 +62,7 @@ def pair_by_content(golden: DataFrame, extracted: DataFrame, key: str) -> DataFr
     pairs = None
     g, e = golden, extracted
     for i, step in enumerate(steps):
-        own = pair_in_order(g.withColumn("_by", step).filter("_by is not null"), e.withColumn("_by", step).filter("_by is not null"), [key, "_by"]).withColumn("step", F.lit(i))
+        own = cut(pair_in_order(g.withColumn("_by", step).filter("_by is not null"), e.withColumn("_by", step).filter("_by is not null"), [key, "_by"]).withColumn("step", F.lit(i)))
         pairs = own if pairs is None else pairs.unionByName(own)
         if i < len(steps) - 1:
             g, e = _rest(g, own, "golden_id"), _rest(e, own, "extracted_id")
@@ -75,8 +76,6 @@ def pair_by_any_account(golden: DataFrame, extracted: DataFrame) -> DataFrame:
         return d.select("row_id", "row_seq", F.explode(candidate_keys()).alias("k"), F.lit(side).alias("side"))
 
     both = long(golden, "g").unionByName(long(extracted, "e"))
-    from .graph import connected
-
     key = F.split("k", r"\|")[0]
     links = both.groupBy("side", "row_id").agg(F.min(key).alias("a"), F.collect_set(key).alias("all")).select(F.explode("all").alias("b"), "a").filter("a != '' and b != ''")
     group = connected(links).select(F.col("id").alias("_acct"), F.col("root").alias("grp"))
