@@ -29,6 +29,11 @@ BLOCK = 1 << 20
 DOCUMENTS_PER_FILE = 10_000
 
 
+def _same_scan(docs: DataFrame) -> DataFrame:
+    """The same columns for writing and for matching, so that both see the same tasks and the same order of rows."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def write_flat(docs: DataFrame, path: str, tokenizer_path: str, width: int = 2) -> None:
     """Flat files of `width`-byte ids (+ 1), 0 after each document, in the order of the rows."""
 
@@ -36,12 +41,12 @@ def write_flat(docs: DataFrame, path: str, tokenizer_path: str, width: int = 2)
         enc, kind = encoder(tokenizer_path), f"<u{width}"
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                ids = [enc.ids(t.as_py() or "") for t in batch.column(0).slice(at, 500)]
+                ids = [enc.ids(t.as_py() or "") for t in batch.column(1).slice(at, 500)]
                 if max((int(x.max()) for x in ids if len(x)), default=0) + 1 >= 1 << 8 * width:
                     raise ValueError(f"ids do not fit into {width} bytes")
                 yield pa.RecordBatch.from_arrays([pa.array([(x + np.uint32(1)).astype(kind).tobytes() for x in ids], pa.binary())], names=["ids"])
 
-    raw = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "ids binary")
+    raw = _same_scan(docs).mapInArrow(run, "ids binary")
     raw.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", "\0" * width).option("maxRecordsPerFile", DOCUMENTS_PER_FILE).text(path)
 
 
@@ -100,14 +105,14 @@ def document_places(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], names=["doc_id", "part", "row"])
             at += n
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, part int, row long")
+    return _same_scan(docs).mapInArrow(run, "doc_id long, part int, row long")
 
 
 def documents_round_trip(docs: DataFrame, tokenizer_path: str, width: int = 2, path: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, file: written as flat files, counted from them, and matched to the documents by task and order.
 
-    docs must be a plain scan, whose tasks and order are the same whenever it runs; a task with another number of documents than
-    its files hold raises an error."""
+    The rows are read twice, by the same plan: docs must give the same tasks and order whenever it runs, as a scan or a written table
+    does. A task with another number of documents than its files hold raises an error."""
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/flat-{uuid.uuid4().hex}"
     write_flat(docs, path, tokenizer_path, width)

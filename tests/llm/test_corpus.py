@@ -219,7 +219,7 @@ def test_separator_scan(docs, none):
     from tallyforge.llm.token_counts import documents_round_trip, scan
 
     ids = encoded("word_bpe_49k.json")
-    got = sorted(documents_round_trip(docs.coalesce(1), public_tokenizers.path("word_bpe_49k.json")).collect(), key=lambda r: r.start)
+    got = sorted(documents_round_trip(docs, public_tokenizers.path("word_bpe_49k.json")).collect(), key=lambda r: r.start)
     assert {r.doc_id: r.n_tokens for r in got} == {i: len(x) for i, x in ids.items()}
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
     assert documents_round_trip(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
