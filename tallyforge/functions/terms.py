@@ -45,7 +45,7 @@ def json_field(c: Column, path: str) -> Column:
 
 def salvaged_json(c: Column, schema: str = "array<map<string,string>>") -> Column:
     """the text itself, else what a code fence holds, else from the first bracket to the last."""
-    tries = [c, F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1), F.regexp_extract(c, r"(?s)(\[.*\])", 1), F.concat(F.lit("["), F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit("]"))]
+    tries = [c, F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1), F.regexp_extract(c, r"(?s)(\[.*\])", 1), F.when(c.contains("{"), F.concat(F.lit("["), F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit("]")))]
     good = lambda s: F.when(F.try_parse_json(F.nullif(F.trim(s), F.lit(""))).isNotNull() & F.trim(s).rlike(r"^\["), F.from_json(F.trim(s), schema))
     return F.coalesce(*(good(s) for s in tries))
 
