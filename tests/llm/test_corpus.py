@@ -405,7 +405,7 @@ def test_pipeline(spark, tmp_path):
     clean = [(i, sentence(random.randint(30, 120)) + ".") for i in range(150)]
     junk = [(1_000 + i, " ".join(w.upper() + "!!" for w in sentence(60).split())) for i in range(60)]
     copies = [(2_000 + i, clean[i][1]) for i in range(10)]
-    dirty = [(3_000, sentence(30) + " " + TEST), (3_001, TEST)]
+    dirty = [(3_000, sentence(30) + " " + " ".join(TEST.split()[:16])), (3_001, " ".join(TEST.split()[22:38]))]
     passage = [(4_000 + i, sentence(40) + " " + PASSAGE + " " + sentence(40)) for i in range(4)]
     docs = clean + junk + copies + dirty + passage
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
