@@ -350,6 +350,28 @@ def test_language_model_gradient(monkeypatch):
         assert abs((side[0] - side[1]) / 2e-5 - grad[n][i]) < 1e-6 + 1e-3 * abs(grad[n][i])
 
 
+def test_language_model_trains_on_all_text(spark):
+    from tallyforge.llm import attention_lm as A
+
+    size = 60_000
+    texts = [list(range(1 + 7_000 * k, 1 + 7_000 * k + n)) for k, n in enumerate((5_000, 300, A.SPAN, A.SPAN - 1, 1, 0))]
+    rows = spark.createDataFrame([(k, k == 1, np.array(t, "<u2").tobytes()) for k, t in enumerate(texts)], "doc_id long, held_out boolean, ids binary").repartition(2)
+    predicted = Counter()
+    for r in range(A.ROUNDS):
+        for parts in (1, 5):
+            got = A._windows(rows, "<u2", size, r, parts).toArrow()
+            assert set(got["part"].to_pylist()) <= set(range(parts))
+            if parts == 5:
+                assert max(Counter(got["part"].to_pylist()).values()) <= 2 + got.num_rows // 4  # a long document doesn't go to one part
+                w = A.padded(got["ids"].combine_chunks(), "<u2")
+                predicted.update(w[:, 1:][w[:, 1:] >= 0].tolist())
+    assert predicted == Counter([x for k, t in enumerate(texts) if k != 1 for x in [*t, size]])
+    for n in (0, 1, A.BATCH, A.STEPS * A.BATCH, A.STEPS * A.BATCH + 1, A.STEPS * A.BATCH + 5_000):  # few windows in whole passes, many of them once
+        ids = np.arange(n * (A.SPAN + 1), dtype=np.int32).reshape(n, A.SPAN + 1)
+        got = Counter(x for b, _ in A._batches(iter([ids[a : a + 999] for a in range(0, n, 999)]), 0) for x in b[:, 0].tolist())
+        assert len(got) == n and len(set(got.values())) <= 1 and (n <= A.STEPS * A.BATCH or set(got.values()) == {1})
+
+
 def test_model_probabilities_sum_to_one():
     from tallyforge.llm import attention_lm as A
 
