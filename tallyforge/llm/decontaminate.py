@@ -1,11 +1,12 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-Each executor builds the suffix array of a shard (a slice of documents) over word numbers and binary-searches every test suffix
-in it; the interval found gives all verbatim occurrences and their places. Words outside the benchmark's vocabulary, and
+Each executor builds the suffix array of a shard (a slice of documents) over word numbers and binary-searches the benchmark's windows
+in it; the interval found gives all verbatim occurrences and their places. longest_matches searches every test suffix in it instead. Words outside the benchmark's vocabulary, and
 neighbours that are nowhere neighbours in it, end a match, so the array holds only suffixes that can match at least two words.
 
 The benchmark is read as blocks of at most BLOCK_BYTES of text, each broadcast on its own; every shard is searched for every
-block, so its size does not bound what is found. Documents are scanned once and never shuffled.
+block, so its size does not bound what is found. A block holds its items as one row of word numbers; windows and suffixes are places
+in it, so what is broadcast grows with the text alone, not with the length of an item. Documents are scanned once and never shuffled.
 
 Words: A-Z in lower case, then maximal runs of 0-9, a-z and characters beyond ASCII. Defined results: null and empty texts have no
 words and no hits; equal windows of several items count for each of them; repeated rows give a row each."""
@@ -80,21 +81,21 @@ class Block:
     vocabulary: np.ndarray  # sorted hashes; a word's number is its place from 1
     pairs: np.ndarray  # sorted codes of neighbours
     alone: np.ndarray  # numbers of words that are a window each
-    windows: np.ndarray  # windows x words, 0 after the end
+    flat: np.ndarray  # word numbers, item after item
+    bounds: np.ndarray  # of the items in it
+    windows: np.ndarray  # places in flat
     lengths: np.ndarray
     item_from: np.ndarray  # of each window, into items
     items: np.ndarray  # numbers of items
     names: list  # item ids by number
-    suffixes: np.ndarray  # test suffixes x words, 0 after the end
-    suffix_item: np.ndarray
-    suffix_start: np.ndarray
     longest: int
 
 
-def _rows(seqs: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(seqs), max(map(len, seqs), default=0)), np.int64)
-    for k, s in enumerate(seqs):
-        out[k, : len(s)] = s
+def _distinct(flat: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Numbers that are equal where the `n` words from these places are."""
+    out = np.zeros(len(at), np.int64)
+    for k in range(n):
+        _, out = np.unique(out * (int(flat.max(initial=0)) + 1) + flat[at + k], return_inverse=True)
     return out
 
 
@@ -104,25 +105,29 @@ def build_block(items: list[tuple], window: int = WINDOW) -> Block:
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
     hashes, bounds, _ = words(np.frombuffer(b"".join(raw), np.uint8), offsets)
     vocabulary, number = np.unique(hashes, return_inverse=True)
-    number = number + 1
-    seqs = [number[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-    found: dict[bytes, tuple[np.ndarray, set]] = {}
-    suffixes, sitem, sstart = [], [], []
-    for k, s in enumerate(seqs):
-        for at in range(max(1, len(s) - window + 1) if len(s) else 0):
-            w = s[at : at + window]
-            found.setdefault(w.tobytes(), (w, set()))[1].add(k)
-        for at in range(len(s)):
-            suffixes.append(s[at:])
-            sitem.append(k)
-            sstart.append(at)
-    wins = [w for w, _ in found.values()]
-    pairs = np.unique(np.concatenate([s[:-1] * (len(vocabulary) + 1) + s[1:] for s in seqs] or [np.zeros(0, np.int64)]))
-    counts = [len(x) for _, x in found.values()]
-    return Block(
-        vocabulary, pairs, np.unique(np.array([w[0] for w in wins if len(w) == 1], np.int64)), _rows(wins), np.array([len(w) for w in wins], np.int64),
-        np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), np.array([i for _, x in found.values() for i in sorted(x)], np.int64), [i for i, _ in items],
-        _rows(suffixes), np.array(sitem, np.int64), np.array(sstart, np.int64), max(map(len, seqs), default=0))
+    flat = (number + 1).astype(np.int32)
+    n = np.diff(bounds)
+    inner = np.ones(max(len(flat) - 1, 0), bool)
+    inner[bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(flat))] - 1] = False
+    pairs = np.unique((flat[:-1].astype(np.int64) * (len(vocabulary) + 1) + flat[1:])[inner])
+    n_win = np.where(n, np.maximum(n - window + 1, 1), 0)
+    item, at = _spread(bounds[:-1], bounds[:-1] + n_win)
+    size = np.minimum(n[item], window)
+    windows, lengths, item_from, of = [], [], [0], []
+    for m in np.unique(size):
+        on = np.flatnonzero(size == m)
+        same = _distinct(flat, at[on], int(m))
+        order = np.lexsort((item[on], same))
+        same, who, where = same[order], item[on][order], at[on][order]
+        new = np.concatenate([[True], same[1:] != same[:-1]])
+        keep = new | np.concatenate([[True], who[1:] != who[:-1]])
+        windows.append(where[new])
+        lengths.append(np.full(int(new.sum()), m))
+        item_from += (item_from[-1] + np.cumsum(np.bincount(same[keep]))).tolist()
+        of.append(who[keep])
+    joined = lambda x, kind: np.concatenate([*x, np.zeros(0, np.int64)]).astype(kind)
+    wins, lens = joined(windows, np.int64), joined(lengths, np.int64)
+    return Block(vocabulary, pairs, np.unique(flat[wins[lens == 1]]).astype(np.int64), flat, bounds, wins.astype(np.int32), lens.astype(np.int32), np.array(item_from, np.int32), joined(of, np.int32), [i for i, _ in items], int(n.max(initial=0)))
 
 
 def _in(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,22 +168,24 @@ class Shard:
         self.keys: dict[int, np.ndarray] = {}
 
     def pack(self, level: int) -> np.ndarray:
-        if level not in self.keys:
-            at = self.array + level * self.per
-            out = np.zeros(len(at), np.uint64)
-            for k in range(self.per):
-                out = (out << np.uint64(self.bits)) | self.s[at + k]
+        if level in self.keys:
+            return self.keys[level]
+        at = self.array + level * self.per
+        out = np.zeros(len(at), np.uint64)
+        for k in range(self.per):
+            out = (out << np.uint64(self.bits)) | self.s[at + k]
+        if level < 8:  # windows need no more; long matches would keep a key for every few words
             self.keys[level] = out
-        return self.keys[level]
+        return out
 
-    def queries(self, rows: np.ndarray, level: int, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest key of this level that agree with the rows' words, up to their lengths."""
-        low = np.zeros(len(rows), np.uint64)
-        high = np.zeros(len(rows), np.uint64)
+    def queries(self, flat: np.ndarray, starts: np.ndarray, level: int, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest key of this level that agree with the words of flat from these places, up to their lengths."""
+        low = np.zeros(len(starts), np.uint64)
+        high = np.zeros(len(starts), np.uint64)
         top = np.uint64((1 << self.bits) - 1)
         for k in range(level * self.per, level * self.per + self.per):
-            w = rows[:, k].astype(np.uint64) if k < rows.shape[1] else np.zeros(len(rows), np.uint64)
             on = k < lengths
+            w = flat[np.minimum(starts + k, len(flat) - 1)].astype(np.uint64)
             low = (low << np.uint64(self.bits)) | np.where(on, w, np.uint64(0))
             high = (high << np.uint64(self.bits)) | np.where(on, w, top)
         return low, high
@@ -196,27 +203,30 @@ class Shard:
             lo[on] = np.where(go, mid + 1, lo[on])
             hi[on] = np.where(go, hi[on], mid)
 
-    def find(self, rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """[lo, hi) in the array of the suffixes that begin with each row's first `lengths` words."""
-        lo, hi = np.zeros(len(rows), np.int64), np.full(len(rows), len(self.array), np.int64)
+    def find(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[lo, hi) in the array of the suffixes that begin with the `lengths` words of flat from each of these places."""
+        starts, lengths = starts.astype(np.int64), lengths.astype(np.int64)
+        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.array), np.int64)
         for level in range(-(-int(lengths.max(initial=0)) // self.per)):
             on = np.flatnonzero((lo < hi) & (lengths > level * self.per))
-            low, high = self.queries(rows[on], level, lengths[on])
+            if not len(on):
+                break
+            low, high = self.queries(flat, starts[on], level, lengths[on])
             key = self.pack(level)
             a = self.bound(key, lo[on], hi[on], low, False)
             hi[on] = self.bound(key, a, hi[on], high, True)
             lo[on] = a
         return lo, hi
 
-    def longest(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Words of each row's longest prefix that occurs: by binary search on the length of the prefix."""
-        low, high = np.zeros(len(rows), np.int64), lengths.copy()
+    def longest(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Words of the longest prefix that occurs, of the `lengths` words from each place: by binary search on the prefix's length."""
+        low, high = np.zeros(len(starts), np.int64), lengths.astype(np.int64)
         while True:
             on = np.flatnonzero(low < high)
             if not len(on):
                 return low
             mid = (low[on] + high[on] + 1) >> 1
-            a, b = self.find(rows[on], mid)
+            a, b = self.find(flat, starts[on], mid)
             low[on] = np.where(a < b, mid, low[on])
             high[on] = np.where(a < b, high[on], mid - 1)
 
@@ -257,7 +267,7 @@ def shard_hits(hashes: np.ndarray, bounds: np.ndarray, block: Block) -> tuple[np
     if not len(s) or not len(block.windows):
         return hit, nothing
     shard = Shard(s, int(block.lengths.max()), len(block.vocabulary))
-    which, at = _spread(*shard.find(block.windows, block.lengths))
+    which, at = _spread(*shard.find(block.flat, block.windows, block.lengths))
     if not len(which):
         return hit, nothing
     word = place[shard.array[at]]
@@ -274,11 +284,12 @@ def _blocks(benchmark: DataFrame, window: int) -> list:
     out, items, size = [], [], 0
     sc = benchmark.sparkSession.sparkContext
     for item_id, text in benchmark.select("item_id", F.col("text").cast("string")).toLocalIterator():
-        if items and size + len(text or "") > BLOCK_BYTES:
+        n = len((text or "").encode())
+        if items and size + n > BLOCK_BYTES:
             out.append(sc.broadcast(build_block(items, window)))
             items, size = [], 0
         items.append((item_id, text))
-        size += len(text or "")
+        size += n
     return [*out, sc.broadcast(build_block(items, window))] if items else out
 
 
@@ -324,15 +335,17 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW)
                 for b in blocks:
                     block = b.value
                     s, place = candidates(hashes, bounds, block)
-                    if not len(s) or not len(block.suffixes):
+                    if not len(s):
                         continue
                     shard = Shard(s, block.longest, len(block.vocabulary))
-                    n = (block.suffixes > 0).sum(1)
+                    start = np.arange(len(block.flat))
+                    item = np.searchsorted(block.bounds, start, side="right") - 1
+                    n = block.bounds[item + 1] - start
                     long = np.flatnonzero(n >= least)
-                    a, e = shard.find(block.suffixes[long], np.full(len(long), least))
+                    a, e = shard.find(block.flat, long, np.full(len(long), least))
                     long = long[a < e]
-                    got = shard.longest(block.suffixes[long], n[long])
-                    which, at = _spread(*shard.find(block.suffixes[long], got))
+                    got = shard.longest(block.flat, long, n[long])
+                    which, at = _spread(*shard.find(block.flat, long, got))
                     word = place[shard.array[at]]
                     doc = np.searchsorted(bounds, word, side="right") - 1
                     rows = sorted(zip(which.tolist(), ids[lo + doc].tolist(), (word - bounds[doc]).tolist()))
@@ -341,7 +354,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW)
                         first.setdefault(k, (d, w))
                     ks = list(first)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([str(block.names[block.suffix_item[long[k]]]) for k in ks], pa.string()), pa.array([int(block.suffix_start[long[k]]) for k in ks], pa.int64()),
+                        pa.array([str(block.names[item[long[k]]]) for k in ks], pa.string()), pa.array([int(long[k] - block.bounds[item[long[k]]]) for k in ks], pa.int64()),
                         pa.array([int(got[k]) for k in ks], pa.int64()), pa.array([first[k][0] for k in ks], pa.int64()), pa.array([first[k][1] for k in ks], pa.int64())],
                         names=["item_id", "start", "n_words", "doc_id", "word"])
 

@@ -141,6 +141,23 @@ def test_decontamination(spark, docs, none, odd):
     assert contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_benchmark_blocks_grow_with_the_text_alone(spark):
+    import pickle
+
+    from tallyforge.llm.decontaminate import build_block, contamination, longest_matches
+
+    words = [f"w{k}" for k in range(20_000)]
+    assert len(pickle.dumps(build_block([(0, " ".join(words))]))) < 2e6  # a row of words for each suffix would be 3.2 GB
+    text = " ".join(words)
+    docs = spark.createDataFrame([(0, "before " + " ".join(words[100:19_000]) + " after"), (1, " ".join(words[500:600])), (2, "w1 w2 w3")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, text), (8, " ".join(words[:14])), (9, text[:60])], "item_id long, text string")
+    got = {r.doc_id: r for r in contamination(docs, bench).collect()}
+    assert (got[0].n_hit, got[0].n_items, got[1].n_hit, got[1].n_items, got[2].n_hit) == (18_900, 1, 100, 1, 0)
+    best = {(r.item_id, r.start): (r.n_words, r.doc_id, r.word) for r in longest_matches(docs, bench).collect()}
+    assert best["7", 100] == (18_900, 0, 1) and best["7", 590] == (18_410, 0, 491) and ("7", 99) not in best and ("8", 0) not in best
+    assert build_block([(0, None), (1, ""), (2, "a")]).alone.tolist() == [1]
+
+
 def plain_sets(k):
     find = re.compile(r"[^\x20\x09-\x0D]+").findall
     out = {}
