@@ -23,6 +23,12 @@ def document_types(spark, sf_dir):
     return names(spark, sf_dir).filter("page_id % 8 <> 0 or page_id < 10").select("page_id", X.document_type(F.col("file_name")).alias("doc_type"))
 
 
+@query("f17_document_types_all", f"SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'invoice' WHEN 1 THEN 'csr' WHEN 2 THEN 'contract' WHEN 3 THEN 'report' WHEN 4 THEN 'did_list' WHEN 5 THEN 'subscription' WHEN 6 THEN 'email' END AS doc_type FROM ({NAMES})")
+def all_document_types(spark, sf_dir):
+    """F17 for every page, whatever the number in its name."""
+    return names(spark, sf_dir).select("page_id", X.document_type(F.col("file_name")).alias("doc_type"))
+
+
 @query("s17_router", f"SELECT page_id, CASE WHEN regexp_matches(file_name, '\\.(xlsx|csv)$') THEN 'structured' WHEN file_name LIKE '%.eml' THEN 'email' ELSE 'raw_text' END AS route FROM ({NAMES})")
 def router(spark, sf_dir):
     """S17, P15."""

@@ -176,3 +176,12 @@ def test_reports(spark):
     assert [r.s for r in order.orderBy(marts.natural_order(F.col("s"))).collect()] == ["A2", "a9", "a10"]
     errors = spark.createDataFrame([("f", 2, "Request timed out"), ("f", 1, "token limit hit"), ("f", 3, "x\ny")], "file string, at int, message string")
     assert marts.error_reasons(errors).first().summary == "Section too large (token limit); Timed out; x"
+
+
+def test_document_types_of_all_names(spark):
+    from tallyforge.plans import catalogue
+
+    kinds = ["invoice", "csr", "contract", "report", "did_list", "subscription", "email", None]
+    pages = {r.page_id for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id").collect()}
+    got = {r.page_id: r.doc_type for r in catalogue.queries()["f17_document_types_all"](spark, "/root/testdata/sf0.01").collect()}
+    assert max(pages) > 16 and got == {p: kinds[p % 8] for p in pages}
