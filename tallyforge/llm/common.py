@@ -12,17 +12,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step of an executor works on.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Rows that Spark hands to a Python worker at a time, at most: with texts of some KB, a few MB.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_ROWS, so that several workers fit beside an executor's heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one of this machine where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new one of this machine if all of Spark
+    runs in one process, as in tests; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tallyforge"

@@ -58,14 +58,16 @@ class _Words(dict):
 
 
 class Encoder:
-    """ids(text) equals Tokenizer.encode(text, add_special_tokens=False).ids with special strings as ordinary text."""
+    """ids(text) equals Tokenizer.encode(text, add_special_tokens=False).ids. Texts that hold the string of an added token, in any case,
+    go to the library whole."""
 
-    def __init__(self, path: str, most_words: int = 250_000):
+    def __init__(self, path: str, most_words: int = 100_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.words, self.pattern, self.lower = None, None, False
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", []) if t["content"]) or "(?!)", re.IGNORECASE)
+        self.added_heads = "".join({c for t in spec.get("added_tokens", []) for c in (t["content"][:1].lower(), t["content"][:1].upper())})
         pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"]
         steps = pre.get("pretokenizers", [pre])
         if norm is None and [s.get("type") for s in steps] == ["ByteLevel"] and steps[0]["use_regex"] and not steps[0]["add_prefix_space"]:
@@ -76,7 +78,7 @@ class Encoder:
             self.words = _Words(self.tokenizer.model, most_words)
 
     def ids(self, text: str) -> np.ndarray:
-        if self.pattern is None or _PLAIN.search(text):
+        if self.pattern is None or _PLAIN.search(text) or (any(c in text for c in self.added_heads) and self.added.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         found = self.pattern.findall(text.lower() if self.lower else text)
         return np.frombuffer(b"".join(map(self.words.__getitem__, found)), np.uint32)

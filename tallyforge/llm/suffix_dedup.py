@@ -36,14 +36,20 @@ CONTEXTS_PER_ANCHOR = 4_000
 
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _PLACE_BITS = np.uint64(31)
-_TABLES: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Tables of powers that a worker keeps, for texts of up to so many bytes: 16 MB. Longer texts make theirs anew.
+_KEPT = 1 << 20
+_TABLES: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    return [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base)]), dtype=np.uint64) for base in (_ODD, _INVERSE)]
 
 
 def _powers(n: int) -> list[np.ndarray]:
-    if len(_TABLES[0]) < n or len(_TABLES[0]) > max(4 * n, 1 << 22):
-        size = max(n, 1 << 21)
-        for i, base in enumerate((_ODD, _INVERSE)):
-            _TABLES[i] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, base)]), dtype=np.uint64)
+    if n > _KEPT + 1:
+        return _power_tables(n)
+    if not _TABLES:
+        _TABLES.extend(_power_tables(_KEPT + 1))
     return _TABLES
 
 
