@@ -38,17 +38,22 @@ def _bit(column: str):
     return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << FILTER_BITS))
 
 
+def bitmap(bits: DataFrame) -> np.ndarray:
+    """bits: bit (long, below 1 << FILTER_BITS). A bitmap of them, built by the executors; 4 MB at most reach the driver."""
+    bit = F.col("bit") + 1
+    parts = bits.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in parts:  # buckets count from 1
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def pick(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, text of the documents whose ids are in `ids` (doc_id, distinct).
 
     A bitmap of the ids' hashes, of a fixed size, first drops most other documents where they are read, so their text isn't
     shuffled; the join then decides. With more ids than bits it only drops less."""
-    bit = _bit("doc_id") + 1
-    parts = ids.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    bitmap = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in parts:  # buckets count from 1
-        bitmap[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(_bit("doc_id").alias("bit"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

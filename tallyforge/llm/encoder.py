@@ -43,17 +43,22 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Words(dict):
-    """word -> its ids as uint32 bytes; forgets all when full, so memory stays bounded."""
+    """word -> its ids as uint32 bytes. When full, its words become the old ones and those before are forgotten, so memory stays bounded
+    and words in use stay."""
 
     def __init__(self, model, most: int):
         super().__init__()
         self.model, self.most, self.letters = model, most, _byte_letters()
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
-        self[word] = out = array("I", ids).tobytes()
+        out = self.old.get(word)
+        if out is None:
+            out = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        self[word] = out
         return out
 
 
@@ -61,7 +66,7 @@ class Encoder:
     """ids(text) equals Tokenizer.encode(text, add_special_tokens=False).ids. Texts that hold the string of an added token, in any case,
     go to the library whole."""
 
-    def __init__(self, path: str, most_words: int = 100_000):
+    def __init__(self, path: str, most_words: int = 70_000):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)

@@ -334,73 +334,143 @@ def test_language_model(docs, none, odd):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     find = re.compile(r"[^\x20\x09-\x0D]+").findall
-    tokens = {i: [*find((t or "").translate(LOW)), None] for i, t, *_ in ROWS}
-    count = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
-    n, v = sum(count.values()), len(count)
-    for r in attention_lm.score_documents(docs, path).collect():
-        ws = tokens[r.doc_id]
-        base = sum(np.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(count[w] > 0 for w in ws), n)
-        assert abs(r.base_score - base) < 1e-6 * abs(base) and r.score < 0
+
+    def against(table, rows):
+        tokens = [(i, [*find((t or "").translate(LOW)), None]) for i, t in rows]
+        count = Counter(w for i, ws in tokens if i is None or zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
+        n, v = sum(count.values()), len(count)
+        got = sorted(((r.doc_id is None, r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in attention_lm.score_documents(table, path).collect()), key=lambda r: (r[0], r[1] or 0))
+        assert len(got) == len(tokens)
+        for r, (i, ws) in zip(got, sorted(tokens, key=lambda x: (x[0] is None, x[0] or 0))):
+            base = sum(np.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
+            assert r[1:5] == (i, len(ws), sum(count[w] > 0 for w in ws), n)
+            assert abs(r[5] - base) < 1e-6 * abs(base) and r[6] < 0
+        return got
+
+    against(docs, [(i, t) for i, t, *_ in ROWS])
     assert attention_lm.score_documents(none, path).count() == 0
-    assert attention_lm.score_documents(odd, path).count() == 12
+    got = against(odd, [(i, t) for i, t, *_ in ROWS[:10]] + [(ROWS[9][0], ROWS[9][1]), (None, "no id here")])
+    assert len({r[5:] for r in got if r[1] == ROWS[9][0]}) == 1  # repeated rows
+
+
+def small_model(size=40, seed=3):
+    """A model of counted texts with random weights, the texts, and plain counts."""
+    from tallyforge.llm import attention_lm as A
+
+    rng = np.random.default_rng(seed)
+    texts = [rng.integers(0, size - 1, n) for n in (0, 1, 2, 5, A.STRIDE - 1, A.STRIDE, 70, 200)]
+    texts.append(np.concatenate([texts[6], texts[6]]))
+    grams = [Counter() for _ in range(3)]
+    for t in texts:
+        s = [size - 1, size - 1, *t.tolist(), size - 1]
+        for i in range(2, len(s)):
+            for n in range(3):
+                grams[n][tuple(s[i - n : i + 1])] += 1
+    coded = [(np.array([np.polyval(k, size) for k in g], np.int64), np.array(list(g.values()), np.float64)) for g in grams[1:]]
+    counts = np.array([grams[0][(i,)] for i in range(size)], np.float64)
+    made = A.Ngrams(counts, *coded)
+    assert (made.two.keys >= 0).sum() == len(grams[1]) and (made.three.keys >= 0).sum() == len(grams[2])  # no two keys meet
+    w = {n: x + rng.standard_normal(x.shape).astype(np.float32) * np.float32(0.2) for n, x in A.first_weights().items()}
+    w["near"] += 3
+    return A.Model(w, made, A.reads_of(counts)), texts, grams
+
+
+def test_language_model_is_a_plain_forward_pass():
+    from tallyforge.llm import attention_lm as A
+
+    model, texts, (one, two, three) = small_model()
+    w, size = model.weights, model.grams.size
+    followers2, followers3 = Counter(k[0] for k in two), Counter(k[:2] for k in three)
+
+    def share(a, b, x):
+        p = (one[(x,)] + 0.5) / (sum(one.values()) + 0.5 * size)
+        held = sum(n for k, n in two.items() if k[0] == b)
+        seen, kinds = max(one[(b,)], held), max(followers2[b], 1) * A.PAIR_SHARE
+        p = (two[b, x] + (seen - held + kinds) * p) / (seen + kinds)
+        held = sum(n for k, n in three.items() if k[:2] == (a, b))
+        seen = max(two[a, b], held)
+        if seen:
+            kinds = max(followers3[a, b], 1) * A.TRIPLE_SHARE
+            p = (three[a, b, x] + (seen - held + kinds) * p) / (seen + kinds)
+        return p, np.log1p(seen)
+
+    for text, got in zip(texts, model.scores(texts)):
+        s, t, total = [size - 1, size - 1, *text.tolist()], [*text.tolist(), size - 1], 0.0
+        for i, x in enumerate(t):
+            p, seen = share(s[i], s[i + 1], x)
+            r = model.reads[s[i + 1]]
+            votes = [(t[j], np.exp(w["q"][r] @ w["k"][model.reads[s[j + 1]]] + w["near"][i - j - 1])) for j in range(max(0, i // A.STRIDE * A.STRIDE - A.BACK), i)]
+            gate = np.exp(w["gate"][r] + w["seen"][0] * seen)
+            total += np.log((gate * p + sum(v for y, v in votes if y == x)) / (gate + sum(v for _, v in votes)))
+        assert abs(got - total) < 1e-4 * abs(total) + 1e-4
+
+
+def test_language_model_probabilities_sum_to_one():
+    from tallyforge.llm import attention_lm as A
+
+    model, texts, _ = small_model()
+    for before in ([], [3], list(texts[6][:40])):
+        total = 0.0
+        for x in range(model.grams.size):
+            text = np.array([*before, x] if x < model.grams.size - 1 else before, np.int64)
+            total += np.exp(np.concatenate([A.log_probabilities(model.weights, p).ravel() for p in A.windows([text], model.grams, model.reads, 0)])[len(before)])
+        assert abs(total - 1) < 1e-4
+    model, texts, _ = small_model()
+    model.grams = A.Ngrams(np.zeros(40), *[(np.zeros(0, np.int64), np.zeros(0))] * 2)  # nothing to learn from
+    assert abs(model.scores([np.zeros(0, np.int64)])[0] - np.log(1 / 40)) < 1e-5
 
 
-def test_language_model_gradient(monkeypatch):
+def test_language_model_gradient():
     from tallyforge.llm import attention_lm as A
 
-    rng = np.random.default_rng(0)
-    monkeypatch.setattr(A, "_MASK", A._MASK.astype(np.float64))
-    voc = A.vocabulary(rng.integers(0, 50, 6_000))
-    w = {n: x.astype(np.float64) + rng.standard_normal(x.shape) * 0.05 for n, x in A.first_weights().items()}
-    ids, on = rng.integers(0, 6_000, (3, A.SPAN + 1)), rng.random((3, A.SPAN)) < 0.7
-    args = voc, voc.read[ids[:, :-1]], ids[:, 1:], on
-    _, grad = A.loss_and_gradient(w, *args)
+    model, texts, _ = small_model()
+    w = {n: x.astype(np.float64) for n, x in model.weights.items()}
+    x = A.joined(list(A.windows(texts, model.grams, model.reads, 1)))
+    zeros = lambda: {n: np.zeros(s) for n, s in A.SHAPES.items()}
+    _, grad = A.loss_and_gradient(w, x, zeros())
     for n in w:
         i = np.unravel_index(np.abs(grad[n]).argmax(), grad[n].shape)
         side = []
         for e in (1e-5, -2e-5):
             w[n][i] += e
-            side.append(A.loss_and_gradient(w, *args)[0])
+            side.append(A.loss_and_gradient(w, x, zeros())[0])
         w[n][i] += 1e-5
         assert abs((side[0] - side[1]) / 2e-5 - grad[n][i]) < 1e-6 + 1e-3 * abs(grad[n][i])
+    learned, n = A.learn(model.weights, [x], 0)
+    assert n == len(x) and A.loss_and_gradient(learned, x)[0] < A.loss_and_gradient(model.weights, x)[0]
 
 
-def test_language_model_trains_on_all_text(spark):
+def test_language_model_trains_on_all_text(monkeypatch):
     from tallyforge.llm import attention_lm as A
 
-    size = 60_000
-    texts = [list(range(1 + 7_000 * k, 1 + 7_000 * k + n)) for k, n in enumerate((5_000, 300, A.SPAN, A.SPAN - 1, 1, 0))]
-    rows = spark.createDataFrame([(k, k == 1, np.array(t, "<u2").tobytes()) for k, t in enumerate(texts)], "doc_id long, held_out boolean, ids binary").repartition(2)
+    monkeypatch.setattr(A, "PIECE", A.STRIDE * 10)  # texts longer than a piece keep their history
+    model, texts, _ = small_model()
+    texts = [*texts, np.arange(35).repeat(40)]
     predicted = Counter()
-    for r in range(A.ROUNDS):
-        for parts in (1, 5):
-            got = A._windows(rows, "<u2", size, r, parts).toArrow()
-            assert set(got["part"].to_pylist()) <= set(range(parts))
-            if parts == 5:
-                assert max(Counter(got["part"].to_pylist()).values()) <= 2 + got.num_rows // 4  # a long document doesn't go to one part
-                w = A.padded(got["ids"].combine_chunks(), "<u2")
-                predicted.update(w[:, 1:][w[:, 1:] >= 0].tolist())
-    assert predicted == Counter([x for k, t in enumerate(texts) if k != 1 for x in [*t, size]])
-    for n in (0, 1, A.BATCH, A.STEPS * A.BATCH, A.STEPS * A.BATCH + 1, A.STEPS * A.BATCH + 5_000):  # few windows in whole passes, many of them once
-        ids = np.arange(n * (A.SPAN + 1), dtype=np.int32).reshape(n, A.SPAN + 1)
-        got = Counter(x for b, _ in A._batches(iter([ids[a : a + 999] for a in range(0, n, 999)]), 0) for x in b[:, 0].tolist())
+    for turn in range(A.ROUNDS):
+        for x in A.windows(texts, model.grams, model.reads, 1, turn, A.ROUNDS):
+            for text, follows in zip(x.text.tolist(), x.follows[:, A.BACK :]):
+                predicted.update((text, y) for y in follows.tolist() if y >= 0)
+    assert predicted == Counter((k, y) for k, t in enumerate(texts) for y in [*t.tolist(), model.grams.size - 1])
+    whole = model.scores(texts)
+    monkeypatch.undo()
+    assert np.allclose(whole, model.scores(texts), rtol=1e-5)
+    x = A.joined(list(A.windows(texts, model.grams, model.reads, 1)))
+    for n in (0, 1, A.BATCH, A.STEPS * A.BATCH, A.STEPS * A.BATCH + 5_000):  # few windows in whole passes, many of them once
+        many = A.Windows(np.zeros((n, 1), np.int16), np.arange(n)[:, None], *[np.zeros((n, 1))] * 2, np.zeros(n, np.int64))
+        got = Counter(y for b in A._enough(iter([many.take(slice(a, a + 999)) for a in range(0, n, 999)]), 0) for y in b.follows[:, 0].tolist())
         assert len(got) == n and len(set(got.values())) <= 1 and (n <= A.STEPS * A.BATCH or set(got.values()) == {1})
+    assert len(x)
 
 
-def test_model_probabilities_sum_to_one():
+def test_language_model_averages_in_a_tree(spark):
     from tallyforge.llm import attention_lm as A
 
-    rng = np.random.default_rng(1)
-    voc = A.vocabulary(rng.integers(0, 9, 5_000))
-    w = {n: x + rng.standard_normal(x.shape).astype(np.float32) * 0.1 for n, x in A.first_weights().items()}
-    model = A.Model(w, voc, 4_999)
-    total = np.exp([model.scores([np.array([7, x])])[0] - model.scores([np.array([7])])[0] for x in (1, 2)])
-    assert (total > 0).all()
-    read = np.broadcast_to(voc.read[rng.integers(0, 5_000, A.SPAN)], (5_000, A.SPAN))
-    rows = np.zeros((5_000, A.SPAN), bool)
-    rows[:, 9] = True
-    assert abs(np.exp(A.predicted(w, voc, read, rows, np.arange(5_000))).sum() - 1) < 1e-3
+    rows = [(k, k % 3 + 1, np.full(4, k, "<f4").tobytes()) for k in range(300)]
+    mean = A.averaged(spark.createDataFrame(rows, "part int, n long, weights binary").repartition(7))
+    assert np.allclose(mean, sum(k * n for k, n, _ in rows) / sum(n for _, n, _ in rows), rtol=1e-5)
+    counts = spark.createDataFrame([(k, n) for k, n in enumerate([1] * 50 + [2] * 20 + [1_000] * 5)], "h long, n long")
+    assert {m: A.most_frequent(counts, "n", m).count() for m in (3, 5, 24, 25, 74, 75)} == {3: 0, 5: 5, 24: 5, 25: 25, 74: 25, 75: 75}
 
 
 def test_orc_tokens(spark, docs, none, odd, tmp_path):
