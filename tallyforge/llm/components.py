@@ -34,8 +34,8 @@ def components(links: DataFrame) -> DataFrame:
     return state
 
 
-def _bit(column: str):
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << FILTER_BITS))
+def _bit(*columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << FILTER_BITS))
 
 
 def bitmap(bits: DataFrame) -> np.ndarray:
@@ -48,19 +48,20 @@ def bitmap(bits: DataFrame) -> np.ndarray:
     return out
 
 
-def pick(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text of the documents whose ids are in `ids` (doc_id, distinct).
+def pick(docs: DataFrame, ids: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The keys and the text of the documents whose keys are in `ids` (the keys, distinct).
 
-    A bitmap of the ids' hashes, of a fixed size, first drops most other documents where they are read, so their text isn't
-    shuffled; the join then decides. With more ids than bits it only drops less."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(_bit("doc_id").alias("bit"))))
+    A bitmap of the keys' hashes, of a fixed size, first drops most other documents where they are read, so their text isn't
+    shuffled; the join then decides. With more keys than bits it only drops less."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(_bit(*keys).alias("bit"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy()
+            at = batch.column(0).to_numpy()
             kept = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-            yield pa.RecordBatch.from_arrays(kept.columns[:2], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays(kept.columns[1:], names=[*keys, "text"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _bit("doc_id").alias("bit"))
-    near = rows.mapInArrow(run, "doc_id long, text string")
-    return near.join(ids, "doc_id", "left_semi")
+    typed = [F.col(k).cast("long").alias(k) if k == "doc_id" else F.col(k) for k in keys]
+    rows = docs.select(*typed, F.col("text").cast("string").alias("text"))
+    near = rows.select(_bit(*keys).alias("bit"), *keys, "text").mapInArrow(run, rows.schema)
+    return near.join(ids, list(keys), "left_semi")

@@ -3,33 +3,17 @@
 Suffixes are classified as smaller or larger than their successors; the leftmost smaller ones are sorted by their substrings, named,
 and the string of names is sorted recursively; all others are induced from them in one pass from the left and one from the right.
 The passes go bucket by bucket: what a bucket induces into later ones moves as one array, what it induces into itself (runs of a
-symbol) in rounds. Where names need so many buckets that arrays would be tiny, the recursion ends with rank doubling."""
+symbol) in rounds. Where names need so many buckets that arrays would be tiny, the same passes go place by place over plain lists.
+All steps are linear, at every level of the recursion."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: More symbols than this are sorted by rank doubling.
+#: With more symbols than this the passes go place by place.
 WIDE = 1024
 
 
-def by_doubling(s: np.ndarray) -> np.ndarray:
-    """The suffix array of a string of numbers; a suffix that ends is smaller."""
-    n = len(s)
-    order = np.argsort(s, kind="stable")
-    rank, k = np.empty(n, np.int64), 1
-    v = s[order]
-    rank[order] = np.concatenate([[1], 1 + np.cumsum(v[1:] != v[:-1])]) if n else 0
-    while n and rank[order[-1]] < n:
-        key = rank * (n + 1)
-        key[:-k] += rank[k:]
-        order = np.argsort(key, kind="stable")
-        v = key[order]
-        rank[order] = np.concatenate([[1], 1 + np.cumsum(v[1:] != v[:-1])])
-        k *= 2
-    return order
-
-
 def smaller(s: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one (the last is larger: it is followed by the end)."""
     n = len(s)
@@ -97,6 +81,36 @@ def induce(s: np.ndarray, is_small: np.ndarray, sizes: np.ndarray, lms: np.ndarr
     return sa
 
 
+def induce_by_place(s: np.ndarray, is_small: np.ndarray, sizes: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """As induce, one place after the other."""
+    n = len(s)
+    ends = np.cumsum(sizes)
+    symbol, small = s.tolist(), is_small.tolist()
+    begin, end = (ends - sizes).tolist(), (ends - 1).tolist()
+    sa = [-1] * n
+    for i in reversed(lms.tolist()):
+        c = symbol[i]
+        sa[end[c]] = i
+        end[c] -= 1
+    c = symbol[n - 1]
+    sa[begin[c]] = n - 1
+    begin[c] += 1
+    for k in range(n):  # grows ahead of k
+        i = sa[k] - 1
+        if i >= 0 and not small[i]:
+            c = symbol[i]
+            sa[begin[c]] = i
+            begin[c] += 1
+    end = (ends - 1).tolist()
+    for k in range(n - 1, -1, -1):
+        i = sa[k] - 1
+        if i >= 0 and small[i]:
+            c = symbol[i]
+            sa[end[c]] = i
+            end[c] -= 1
+    return np.array(sa, np.int64)
+
+
 def _names(s: np.ndarray, order: np.ndarray, lms: np.ndarray, is_lms: np.ndarray) -> np.ndarray:
     """Numbers of the leftmost smaller substrings, in the order of their places: equal ones have equal numbers."""
     n = len(s)
@@ -122,22 +136,23 @@ def _names(s: np.ndarray, order: np.ndarray, lms: np.ndarray, is_lms: np.ndarray
 def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
     """The suffix array of a string over 0..symbols-1; a suffix that ends is smaller."""
     n = len(s)
-    if n < 2 or symbols > WIDE:
-        return by_doubling(s.astype(np.int64))
+    if n < 2:
+        return np.arange(n)
+    by = induce if symbols <= WIDE else induce_by_place
     is_small = smaller(s)
     is_lms = is_small.copy()
     is_lms[0] = False
     is_lms[1:] &= ~is_small[:-1]
     lms = np.flatnonzero(is_lms)
     sizes = np.bincount(s, minlength=symbols)
+    sa = by(s, is_small, sizes, lms)
     if not len(lms):
-        return induce(s, is_small, sizes, lms)
-    sa = induce(s, is_small, sizes, lms)
+        return sa
     order = sa[is_lms[sa]]
     names = _names(s, order, lms, is_lms)
     if names.max() + 1 < len(lms):
         order = lms[suffix_array(names, int(names.max()) + 1)]
-    return induce(s, is_small, sizes, order)
+    return by(s, is_small, sizes, order)
 
 
 def common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:

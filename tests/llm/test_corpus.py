@@ -245,9 +245,12 @@ def test_separator_scan(docs, none):
         assert ends.tolist() == [1, 6, 7] and first.tolist() == [-1, 2, 7]
 
 
-def test_suffix_arrays():
+@pytest.mark.parametrize("wide", [1_024, 3, 0])  # passes by bucket, and place by place
+def test_suffix_arrays(wide, monkeypatch):
+    from tallyforge.llm import induced
     from tallyforge.llm.induced import common_prefixes, suffix_array
 
+    monkeypatch.setattr(induced, "WIDE", wide)
     for n in range(1, 200):
         s = np.random.default_rng(n).integers(0, 1 + n % 5, n)
         s = np.tile(s[:7], 30)[:n] if n % 3 == 0 else s
@@ -259,29 +262,66 @@ def test_suffix_arrays():
             assert plcp[b] == m
 
 
-@pytest.mark.parametrize("contexts", [4_000, 1])
-def test_repeated_passages(docs, none, odd, contexts, monkeypatch):
-    from tallyforge.llm import suffix_dedup
-
-    monkeypatch.setattr(suffix_dedup, "CONTEXTS_PER_ANCHOR", contexts)
-    n, seen = 400, Counter()
-    for _, t, *_ in ROWS:
-        b = (t or "").encode()
-        seen.update(b[i : i + n] for i in range(len(b) - n + 1))
-    for r in suffix_dedup.suffix_dedup(docs).collect():
-        b = (ROWS[r.doc_id][1] or "").encode()
+def plain_losses(texts, n):
+    """n_removed, n_spans, kept bytes of each text: strings of n bytes that start more than once."""
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + n] for b in raw for i in range(len(b) - n + 1))
+    out = []
+    for b in raw:
         gone = np.zeros(len(b) + 1, np.int64)
         for i in range(len(b) - n + 1):
             if seen[b[i : i + n]] > 1:
                 gone[i] += 1
                 gone[i + n] -= 1
         gone = np.cumsum(gone)[:-1] > 0
-        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
+        out.append((int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), np.frombuffer(b, np.uint8)[~gone].tobytes()))
+    return out
+
+
+def held_against_plain(spark, rows, length=400, passage=240):
+    from tallyforge.llm.suffix_dedup import suffix_dedup
+
+    texts = [t for _, t in rows]
+    want = sorted((str(i), len((t or "").encode()), *a[:2], hashlib.sha256(a[2]).hexdigest(), b[0]) for (i, t), a, b in zip(rows, plain_losses(texts, length), plain_losses(texts, passage)))
+    got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length, passage).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_repeated) for r in got) == want
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 2_000])
+def test_repeated_passages(spark, none, shard_bytes, monkeypatch):
+    from tallyforge.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard_bytes)  # where groups are too large, they are dealt by more and more bytes
+    cut = [(100 + k, PASSAGE[: 230 + 10 * k]) for k in range(20)] + [(200 + k, PASSAGE[k : 300 + 9 * k]) for k in range(15)]
+    held_against_plain(spark, [(i, t) for i, t, *_ in ROWS] + cut)
     assert suffix_dedup.suffix_dedup(none).count() == 0
-    if contexts > 1:
-        assert suffix_dedup.suffix_dedup(odd).count() == 12
+
+
+def test_repeated_passages_of_odd_rows(spark):
+    """Repeated rows, rows without an id, and rows that share one."""
+    x, y, z = sentence(40), sentence(40), sentence(40)
+    held_against_plain(spark, [(1, x + PASSAGE), (None, PASSAGE + y), (None, z), (2, x + y), (2, z + PASSAGE[9:] + y), (3, y), (3, y), (4, None), (4, ""), (None, None)])
+
+
+def test_large_groups_are_dealt_to_the_end(spark, monkeypatch):
+    """A common string of 300 bytes among hundreds of different neighbours, and one of 500."""
+    from tallyforge.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 3_000)
+    rows = [(i, sentence(random.randint(0, 40)) + PASSAGE[:300] + sentence(random.randint(0, 40))) for i in range(60)]
+    rows += [(100 + i, sentence(random.randint(0, 30)) + PASSAGE[:500] + sentence(random.randint(0, 30))) for i in range(40)]
+    held_against_plain(spark, rows)
+
+
+def test_without_repeats_keeps_other_columns(spark):
+    from tallyforge.llm.suffix_dedup import without_repeats
+
+    rows = [(1, "a" * 20 + PASSAGE, "k", 1.0), (None, PASSAGE, "l", 2.0), (2, PASSAGE + "é" * 9, "m", 3.0), (3, None, None, None), (4, "", "", 0.0), (4, "short", "n", None), (4, "short", "n", None)]
+    docs = spark.createDataFrame(rows, "id long, text string, mark string, kept double").selectExpr("id as doc_id", "text", "mark", "kept", "1 as id")
+    got = without_repeats(docs, 240)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text, r.mark, r.kept) for r in got.collect() if r.text is not None) == sorted([("1", "a" * 20, "k", 1.0), ("2", "é" * 9, "m", 3.0), ("4", "", "", 0.0), ("4", "short", "n", None), ("4", "short", "n", None)], key=str)
+    assert got.filter("text is null").count() == 1 and without_repeats(docs.limit(0), 240).count() == 0
 
 
 def test_sharding(docs, none, odd):
