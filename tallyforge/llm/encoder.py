@@ -43,30 +43,40 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Words(dict):
-    """word -> its ids as uint32 bytes. When full, its words become the old ones and those before are forgotten, so memory stays bounded
-    and words in use stay."""
+    """word -> its ids as uint32 bytes. A word is kept from its second look-up on; when full, the words become the old ones and those
+    before are forgotten, so memory stays bounded and words in use stay."""
 
     def __init__(self, model, most: int):
         super().__init__()
         self.model, self.most, self.letters = model, most, _byte_letters()
         self.old: dict[str, bytes] = {}
+        self.met = bytearray(1 << 20)
 
     def __missing__(self, word: str) -> bytes:
+        out = self.old.get(word)
+        if out is None:
+            out = self.made(word)
+            at = hash(word) & 0xFFFFF
+            if not self.met[at]:
+                self.met[at] = 1
+                return out
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        out = self.old.get(word)
-        if out is None:
-            out = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            self.met = bytearray(1 << 20)
         self[word] = out
         return out
 
+    def made(self, word: str) -> bytes:
+        plain = word.isalnum() and word.isascii()  # these letters stand for themselves
+        return array("I", [t.id for t in self.model.tokenize(word if plain else word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
 
 class Encoder:
     """ids(text) equals Tokenizer.encode(text, add_special_tokens=False).ids. Texts that hold the string of an added token, in any case,
     go to the library whole."""
 
-    def __init__(self, path: str, most_words: int = 70_000):
+    def __init__(self, path: str, most_words: int = 80_000):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -85,8 +95,7 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         if self.pattern is None or _PLAIN.search(text) or (any(c in text for c in self.added_heads) and self.added.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        found = self.pattern.findall(text.lower() if self.lower else text)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, found)), np.uint32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self.pattern.findall(text.lower() if self.lower else text))), np.uint32)
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -509,6 +509,19 @@ def test_language_model_averages_in_a_tree(spark):
     rows = [(k, k % 3 + 1, np.full(4, k, "<f4").tobytes()) for k in range(300)]
     mean = A.averaged(spark.createDataFrame(rows, "part int, n long, weights binary").repartition(7))
     assert np.allclose(mean, sum(k * n for k, n, _ in rows) / sum(n for _, n, _ in rows), rtol=1e-5)
+    texts = [np.random.default_rng(k).integers(0, 30, k * 7) for k in range(30)]
+    rows = spark.createDataFrame([(k, k % 5 == 1, t.astype("<u2").tobytes()) for k, t in enumerate(texts)], "doc_id long, held_out boolean, ids binary").repartition(3)
+    want = [Counter() for _ in range(3)]
+    for k, t in enumerate(texts):
+        s = [99, 99, *t.tolist(), 99]
+        for i in range(2, len(s) if k % 5 != 1 else 0):
+            for n in range(3):
+                want[n][int(np.polyval(s[i - n : i + 1], 100))] += 1
+    packed = A.ngram_counts(rows, 100, "<u2", 4, piece=500)
+    for n in range(3):
+        codes, times = A.most_frequent_packed(packed, n + 1, 10**6)
+        assert dict(zip(codes.tolist(), times.tolist())) == want[n]
+    assert len(A.most_frequent_packed(packed, 2, 50)[0]) <= 50 and len(A.most_frequent_packed(packed.limit(0), 2, 50)[0]) == 0
     counts = spark.createDataFrame([(k, n) for k, n in enumerate([1] * 50 + [2] * 20 + [1_000] * 5)], "h long, n long")
     assert {m: A.most_frequent(counts, "n", m).count() for m in (3, 5, 24, 25, 74, 75)} == {3: 0, 5: 5, 24: 5, 25: 25, 74: 25, 75: 75}
 
