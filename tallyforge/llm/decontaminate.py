@@ -1,15 +1,20 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-Each executor builds the suffix array of a shard (a slice of documents) over word numbers and binary-searches the benchmark's windows
-in it; the interval found gives all verbatim occurrences and their places. longest_matches searches every test suffix in it instead. Words outside the benchmark's vocabulary, and
-neighbours that are nowhere neighbours in it, end a match, so the array holds only suffixes that can match at least two words.
-
-The benchmark is read as blocks of at most BLOCK_BYTES of text, each broadcast on its own; every shard is searched for every
-block, so its size does not bound what is found. A block holds its items as one row of word numbers; windows and suffixes are places
-in it, so what is broadcast grows with the text alone, not with the length of an item. Documents are scanned once and never shuffled.
+Each executor builds the suffix array of a shard (a slice of documents) over word numbers and binary-searches every suffix of every
+benchmark item in it by its first `window` words (an item of fewer words: by all of them). The interval found has all places where the
+suffix begins. Places that follow each other in an item and in a document alike are one verbatim match, as long as it goes: longest
+matches, their places in the items and in the documents, and from them which words are hit and which documents go. Words outside the
+benchmark's vocabulary, and neighbours that are nowhere neighbours in it, end a match, so the array holds only suffixes that can match
+at least two words.
+
+The benchmark is read as blocks of at most BLOCK_BYTES of text (or one item), each broadcast on its own and read one after the other,
+so a worker holds one; every shard is searched for every block, so the benchmark's size does not bound what is found. A block holds its
+items as one row of word numbers; suffixes are places in it, so what is broadcast grows with the text alone. Documents are scanned once
+and never shuffled.
 
 Words: A-Z in lower case, then maximal runs of 0-9, a-z and characters beyond ASCII. Defined results: null and empty texts have no
-words and no hits; equal windows of several items count for each of them; repeated rows give a row each."""
+words and no hits; null and empty items match nothing; items of equal text each count; items of equal id count once; an item without an
+id counts as one and isn't listed; repeated rows give a row each; empty tables give no rows, or no hits."""
 
 from __future__ import annotations
 
@@ -76,27 +81,16 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = _IS_WORD)
 
 @dataclass
 class Block:
-    """Part of the benchmark: its words, neighbours, and distinct windows with the items that have them."""
+    """Part of the benchmark: its words, neighbours, and the suffixes to search for."""
 
     vocabulary: np.ndarray  # sorted hashes; a word's number is its place from 1
     pairs: np.ndarray  # sorted codes of neighbours
-    alone: np.ndarray  # numbers of words that are a window each
+    alone: np.ndarray  # numbers of words that are an item each
     flat: np.ndarray  # word numbers, item after item
     bounds: np.ndarray  # of the items in it
-    windows: np.ndarray  # places in flat
-    lengths: np.ndarray
-    item_from: np.ndarray  # of each window, into items
-    items: np.ndarray  # numbers of items
+    starts: np.ndarray  # of the suffixes, in flat
+    lengths: np.ndarray  # words that each is searched by
     names: list  # item ids by number
-    longest: int
-
-
-def _distinct(flat: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Numbers that are equal where the `n` words from these places are."""
-    out = np.zeros(len(at), np.int64)
-    for k in range(n):
-        _, out = np.unique(out * (int(flat.max(initial=0)) + 1) + flat[at + k], return_inverse=True)
-    return out
 
 
 def build_block(items: list[tuple], window: int = WINDOW) -> Block:
@@ -110,24 +104,9 @@ def build_block(items: list[tuple], window: int = WINDOW) -> Block:
     inner = np.ones(max(len(flat) - 1, 0), bool)
     inner[bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(flat))] - 1] = False
     pairs = np.unique((flat[:-1].astype(np.int64) * (len(vocabulary) + 1) + flat[1:])[inner])
-    n_win = np.where(n, np.maximum(n - window + 1, 1), 0)
-    item, at = _spread(bounds[:-1], bounds[:-1] + n_win)
-    size = np.minimum(n[item], window)
-    windows, lengths, item_from, of = [], [], [0], []
-    for m in np.unique(size):
-        on = np.flatnonzero(size == m)
-        same = _distinct(flat, at[on], int(m))
-        order = np.lexsort((item[on], same))
-        same, who, where = same[order], item[on][order], at[on][order]
-        new = np.concatenate([[True], same[1:] != same[:-1]])
-        keep = new | np.concatenate([[True], who[1:] != who[:-1]])
-        windows.append(where[new])
-        lengths.append(np.full(int(new.sum()), m))
-        item_from += (item_from[-1] + np.cumsum(np.bincount(same[keep]))).tolist()
-        of.append(who[keep])
-    joined = lambda x, kind: np.concatenate([*x, np.zeros(0, np.int64)]).astype(kind)
-    wins, lens = joined(windows, np.int64), joined(lengths, np.int64)
-    return Block(vocabulary, pairs, np.unique(flat[wins[lens == 1]]).astype(np.int64), flat, bounds, wins.astype(np.int32), lens.astype(np.int32), np.array(item_from, np.int32), joined(of, np.int32), [i for i, _ in items], int(n.max(initial=0)))
+    item, starts = _spread(bounds[:-1], bounds[:-1] + np.where(n, np.maximum(n - window + 1, 1), 0))
+    lengths = np.minimum(n[item], window)
+    return Block(vocabulary, pairs, np.unique(flat[starts[lengths == 1]]).astype(np.int64), flat, bounds, starts.astype(np.int32), lengths.astype(np.int32), [i for i, _ in items])
 
 
 def _in(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,18 +197,6 @@ class Shard:
             lo[on] = a
         return lo, hi
 
-    def longest(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Words of the longest prefix that occurs, of the `lengths` words from each place: by binary search on the prefix's length."""
-        low, high = np.zeros(len(starts), np.int64), lengths.astype(np.int64)
-        while True:
-            on = np.flatnonzero(low < high)
-            if not len(on):
-                return low
-            mid = (low[on] + high[on] + 1) >> 1
-            a, b = self.find(flat, starts[on], mid)
-            low[on] = np.where(a < b, mid, low[on])
-            high[on] = np.where(a < b, high[on], mid - 1)
-
 
 def candidates(hashes: np.ndarray, bounds: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
     """The shard's words that can take part in a match, as numbers with 0 after each run; and their places among all words (-1 for 0)."""
@@ -260,27 +227,38 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
-def shard_hits(hashes: np.ndarray, bounds: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Which words are hit; and distinct (document, item number) rows."""
-    hit, nothing = np.zeros(len(hashes), bool), np.zeros((0, 2), np.int64)
+@dataclass
+class Matches:
+    """Longest verbatim matches: of the block's items, and of the shard's words."""
+
+    item: np.ndarray
+    start: np.ndarray  # word within the item
+    word: np.ndarray  # among all words of the shard
+    length: np.ndarray
+
+
+def matches(hashes: np.ndarray, bounds: np.ndarray, block: Block) -> Matches:
+    """All maximal verbatim matches of the searched length or more between the block's items and the shard's documents."""
     s, place = candidates(hashes, bounds, block)
-    if not len(s) or not len(block.windows):
-        return hit, nothing
+    if not len(s) or not len(block.starts):
+        return Matches(*[np.zeros(0, np.int64)] * 4)
     shard = Shard(s, int(block.lengths.max()), len(block.vocabulary))
-    which, at = _spread(*shard.find(block.flat, block.windows, block.lengths))
-    if not len(which):
-        return hit, nothing
-    word = place[shard.array[at]]
-    edges = np.bincount(word, minlength=len(hashes) + 1)[: len(hashes) + 1] - np.bincount(word + block.lengths[which], minlength=len(hashes) + 1)[: len(hashes) + 1]
-    hit = np.cumsum(edges)[:-1] > 0
-    doc = np.searchsorted(bounds, word, side="right") - 1
-    seen = np.unique(np.stack([doc, which], 1), axis=0)
-    k, i = _spread(block.item_from[seen[:, 1]], block.item_from[seen[:, 1] + 1])
-    return hit, np.unique(np.stack([seen[k, 0], block.items[i]], 1), axis=0)
+    which, at = _spread(*shard.find(block.flat, block.starts, block.lengths))
+    start, word = block.starts[which].astype(np.int64), place[shard.array[at]]
+    item = np.searchsorted(block.bounds, start, side="right") - 1
+    # a match goes on where both the item's and the document's next word begin one
+    order = np.lexsort((start, word - start, item))
+    start, word, item, length = start[order], word[order], item[order], block.lengths[which][order].astype(np.int64)
+    doc = np.searchsorted(bounds, word, side="right")
+    new = np.ones(len(start), bool)
+    new[1:] = (item[1:] != item[:-1]) | (start[1:] != start[:-1] + 1) | (word[1:] != word[:-1] + 1) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    length = length[first] + np.diff(np.append(first, len(start))) - 1
+    return Matches(item[first], start[first] - block.bounds[item[first]], word[first], length)
 
 
 def _blocks(benchmark: DataFrame, window: int) -> list:
-    """Broadcasts of at most BLOCK_BYTES of text (or one item), read one after the other."""
+    """Broadcasts of at most BLOCK_BYTES of text (or one item), made one after the other."""
     out, items, size = [], [], 0
     sc = benchmark.sparkSession.sparkContext
     for item_id, text in benchmark.select("item_id", F.col("text").cast("string")).toLocalIterator():
@@ -293,73 +271,98 @@ def _blocks(benchmark: DataFrame, window: int) -> list:
     return [*out, sc.broadcast(build_block(items, window))] if items else out
 
 
+def _each(blocks: list) -> Iterator[Block]:
+    """The blocks; of several, a worker holds one at a time."""
+    for b in blocks:
+        yield b.value
+        if len(blocks) > 1:
+            del b._value  # read again from the executor's copy when it is next asked for
+
+
+@dataclass
+class Shards:
+    """The slices of a batch, their words, and what of them is hit."""
+
+    spans: list  # first row, row after the last
+    hashes: list
+    bounds: list
+    hits: list
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, column: str) -> "Shards":
+        out = cls([], [], [], [])
+        for lo, hi, data, offsets in text_views(batch, column):
+            hashes, bounds, _ = words(data, offsets)
+            out.spans.append((lo, hi))
+            out.hashes.append(hashes)
+            out.bounds.append(bounds)
+            out.hits.append(np.zeros(len(hashes) + 1, np.int64))
+        return out
+
+    def search(self, blocks: list) -> Iterator[tuple[int, Block, Matches]]:
+        """Number of the slice, block and matches of each; and the hits are noted."""
+        for block in _each(blocks):
+            for k, (hashes, bounds) in enumerate(zip(self.hashes, self.bounds)):
+                m = matches(hashes, bounds, block)
+                np.add.at(self.hits[k], m.word, 1)
+                np.add.at(self.hits[k], m.word + m.length, -1)
+                yield k, block, m
+
+    def counts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words, and hit words, of each document of a slice."""
+        total = np.concatenate([[0], np.cumsum(np.cumsum(self.hits[k])[:-1] > 0)])
+        bounds = self.bounds[k]
+        return np.diff(bounds), total[bounds[1:]] - total[bounds[:-1]]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with keep_text, also text."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest (words of the longest verbatim match); with keep_text, also text."""
     blocks = _blocks(benchmark, window)
     none = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_views(batch):
-                hashes, bounds, _ = words(data, offsets)
-                hit = np.zeros(len(hashes), bool)
-                names: dict[int, set[str]] = {}
-                for b in blocks:
-                    h, pairs = shard_hits(hashes, bounds, b.value)
-                    hit |= h
-                    for doc, item in pairs.tolist():
-                        names.setdefault(doc, set()).add(str(b.value.names[item]))
-                total = np.concatenate([[0], np.cumsum(hit)])
-                n_words, n_hit = np.diff(bounds), total[bounds[1:]] - total[bounds[:-1]]
+            shards = Shards.of(batch, "text")
+            names: list[dict[int, set]] = [{} for _ in shards.spans]
+            longest = [np.zeros(hi - lo, np.int64) for lo, hi in shards.spans]
+            for k, block, m in shards.search(blocks):
+                doc = np.searchsorted(shards.bounds[k], m.word, side="right") - 1
+                np.maximum.at(longest[k], doc, m.length)
+                for d, item in np.unique(np.stack([doc, m.item], 1), axis=0).tolist():
+                    names[k].setdefault(d, set()).add(block.names[item])
+            for k, (lo, hi) in enumerate(shards.spans):
+                n_words, n_hit = shards.counts(k)
                 n_items, digest = np.zeros(hi - lo, np.int64), [none] * (hi - lo)
-                for doc, found in names.items():
-                    n_items[doc], digest[doc] = len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-                cols = [batch.column(0).slice(lo, hi - lo), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items), pa.array(digest), pa.array((n_hit > 0) & (20 * n_hit >= n_words))]
+                for d, found in names[k].items():
+                    n_items[d], digest[d] = len(found), hashlib.sha256(",".join(sorted(str(i) for i in found if i is not None)).encode()).hexdigest()
+                cols = [batch.column(0).slice(lo, hi - lo), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items), pa.array(digest), pa.array((n_hit > 0) & (20 * n_hit >= n_words)), pa.array(longest[k])]
                 more = [batch.column(1).slice(lo, hi - lo)] if keep_text else []
-                yield pa.RecordBatch.from_arrays(cols + more, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "text"][: 6 + len(more)])
+                yield pa.RecordBatch.from_arrays(cols + more, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "text"][: 7 + len(more)])
 
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", text string" * keep_text
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long" + ", text string" * keep_text
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW) -> DataFrame:
-    """item_id (as string), start, n_words, doc_id, word: of each test suffix its longest verbatim match of `least` words or more over
-    all documents, and the first place that has it (the smallest doc_id, then word)."""
+    """item_id (as string), start, n_words, doc_id, word: of each test suffix its longest verbatim match of `least` words or more (or of
+    its whole item, if that is shorter) over all documents, and the first place that has it (the smallest doc_id, then word)."""
     blocks = _blocks(benchmark, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in text_views(batch):
-                hashes, bounds, _ = words(data, offsets)
-                for b in blocks:
-                    block = b.value
-                    s, place = candidates(hashes, bounds, block)
-                    if not len(s):
-                        continue
-                    shard = Shard(s, block.longest, len(block.vocabulary))
-                    start = np.arange(len(block.flat))
-                    item = np.searchsorted(block.bounds, start, side="right") - 1
-                    n = block.bounds[item + 1] - start
-                    long = np.flatnonzero(n >= least)
-                    a, e = shard.find(block.flat, long, np.full(len(long), least))
-                    long = long[a < e]
-                    got = shard.longest(block.flat, long, n[long])
-                    which, at = _spread(*shard.find(block.flat, long, got))
-                    word = place[shard.array[at]]
-                    doc = np.searchsorted(bounds, word, side="right") - 1
-                    rows = sorted(zip(which.tolist(), ids[lo + doc].tolist(), (word - bounds[doc]).tolist()))
-                    first = {}
-                    for k, d, w in rows:
-                        first.setdefault(k, (d, w))
-                    ks = list(first)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([str(block.names[item[long[k]]]) for k in ks], pa.string()), pa.array([int(long[k] - block.bounds[item[long[k]]]) for k in ks], pa.int64()),
-                        pa.array([int(got[k]) for k in ks], pa.int64()), pa.array([first[k][0] for k in ks], pa.int64()), pa.array([first[k][1] for k in ks], pa.int64())],
-                        names=["item_id", "start", "n_words", "doc_id", "word"])
+            shards = Shards.of(batch, "text")
+            for k, block, m in shards.search(blocks):
+                doc = np.searchsorted(shards.bounds[k], m.word, side="right") - 1
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([None if block.names[i] is None else str(block.names[i]) for i in m.item.tolist()], pa.string()), pa.array(m.start), pa.array(m.length), batch.column(0).take(pa.array(shards.spans[k][0] + doc)),
+                    pa.array(m.word - shards.bounds[k][doc])], names=["item_id", "start", "n_words", "doc_id", "word"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item_id string, start long, n_words long, doc_id long, word long")
-    best = found.groupBy("item_id", "start").agg(F.min_by(F.struct("n_words", "doc_id", "word"), F.struct(-F.col("n_words"), "doc_id", "word")).alias("m"))
+    # a match holds the shorter ones of the suffixes after its first
+    n = F.greatest(F.col("n_words") - least + 1, F.lit(1))
+    each = found.select("item_id", "doc_id", F.posexplode(F.sequence(F.lit(1), n)).alias("k", "_"), "start", "n_words", "word")
+    each = each.select("item_id", (F.col("start") + F.col("k")).alias("start"), (F.col("n_words") - F.col("k")).alias("n_words"), "doc_id", (F.col("word") + F.col("k")).alias("word"))
+    best = each.groupBy("item_id", "start").agg(F.min_by(F.struct("n_words", "doc_id", "word"), F.struct(-F.col("n_words"), "doc_id", "word")).alias("m"))
     return best.select("item_id", "start", "m.*")
 
 
@@ -370,13 +373,11 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_views(batch, batch.schema.names[at]):
-                hashes, bounds, _ = words(data, offsets)
-                hit = np.zeros(len(hashes), bool)
-                for b in blocks:
-                    hit |= shard_hits(hashes, bounds, b.value)[0]
-                total = np.concatenate([[0], np.cumsum(hit)])
-                n_words, n_hit = np.diff(bounds), total[bounds[1:]] - total[bounds[:-1]]
+            shards = Shards.of(batch, batch.schema.names[at])
+            for _ in shards.search(blocks):
+                pass
+            for k, (lo, hi) in enumerate(shards.spans):
+                n_words, n_hit = shards.counts(k)
                 yield batch.slice(lo, hi - lo).filter(pa.array((n_hit == 0) | (20 * n_hit < n_words)))
 
     return docs.mapInArrow(run, docs.schema)

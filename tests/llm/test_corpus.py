@@ -109,7 +109,8 @@ def test_plan_is_best_fit():
     assert total <= len(free)
 
 
-def test_decontamination(spark, docs, none, odd):
+def test_decontamination(spark, docs, none, odd, monkeypatch):
+    from tallyforge.llm import decontaminate
     from tallyforge.llm.decontaminate import contamination, keep_clean, longest_matches
 
     items = [(0, TEST), (1, "Only four plain words"), (2, None), (3, ""), (4, TEST), (5, "one")]
@@ -120,7 +121,8 @@ def test_decontamination(spark, docs, none, odd):
         w = find((t or "").translate(LOW))
         for a in range(max(1, len(w) - 12) if w else 0):
             windows[tuple(w[a : a + 13])].add(str(i))
-    got = {r.doc_id: r for r in contamination(docs, bench).collect()}
+    whole = contamination(docs, bench)
+    got = {r.doc_id: r for r in whole.collect()}
     for i, t, *_ in ROWS:
         w = find((t or "").translate(LOW))
         hit, found = [0] * len(w), set()
@@ -133,11 +135,28 @@ def test_decontamination(spark, docs, none, odd):
         assert (r.n_words, r.n_hit, r.n_items) == (len(w), sum(hit), len(found))
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         assert r.contaminated == (sum(hit) > 0 and 20 * sum(hit) >= len(w))
+        long = 0  # the longest run of words that stands in an item, too
+        for _, t in items:
+            v = find((t or "").translate(LOW))
+            for a in range(len(v)):
+                for b in range(len(w)):
+                    m = 0
+                    while a + m < len(v) and b + m < len(w) and v[a + m] == w[b + m]:
+                        m += 1
+                    long = max(long, m if m >= min(13, len(v)) else 0)
+            if len(w) > 2_000:
+                break
+        assert r.longest == long or len(w) > 2_000
     kept = keep_clean(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.contaminated}
     assert max(r.n_words for r in longest_matches(docs, bench).collect()) == 40
     assert contamination(none, bench).count() == 0 and contamination(odd, bench).count() == 12
     assert contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
+    same = spark.createDataFrame([(1, TEST), (1, "One"), (None, TEST), (None, "one")], "item_id long, text string")  # equal ids, and none
+    got = {r.doc_id: r for r in contamination(docs, same).filter("n_hit > 0").collect()}
+    assert {(r.n_items, r.items_sha256) for r in got.values()} == {(2, hashlib.sha256(b"1").hexdigest())}
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1)  # a block for each item
+    assert contamination(docs, bench).exceptAll(whole).count() == 0
 
 
 def test_benchmark_blocks_grow_with_the_text_alone(spark):
