@@ -33,8 +33,8 @@ from .decontaminate import _BYTE, _ODD, _mix
 from .induced import common_prefixes, suffix_array
 
 LENGTH = 400
-#: Passages of somewhat over 50 short words.
-PASSAGE = 240
+#: Passages that documents share are told from this length on, by strings of SHARED bytes within.
+PASSAGE, SHARED = 300, 200
 #: Bytes of an anchor, or a third of the length, where that is less.
 ANCHOR = 96
 #: Bytes of contexts of one group that one suffix array holds; a shard stops at as many, so two times as many at most: some 200 MB of arrays.
@@ -343,7 +343,7 @@ def cut(raw: bytes, x: list[int], y: list[int]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
-def losses(docs: DataFrame, lengths: tuple[int, ...] = (PASSAGE, LENGTH), with_text: bool = False, anchor: int | None = None) -> DataFrame:
+def losses(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), with_text: bool = False, anchor: int | None = None) -> DataFrame:
     """Of the documents with repeated strings of the first length: id, mark, n_repeated (bytes of these), n_removed and n_spans (of
     those of the last length), kept_sha256 (null where nothing is removed); with_text, also kept (without cut characters)."""
     lost = stash(_losses(repeated_spans(docs, lengths, anchor or min(ANCHOR, lengths[0] // 3)), len(lengths) - 1), "losses")
@@ -366,15 +366,35 @@ def losses(docs: DataFrame, lengths: tuple[int, ...] = (PASSAGE, LENGTH), with_t
     return lost.drop("x", "y").join(kept, list(KEYS), "left")
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, passage: int | None = PASSAGE) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of all documents; and n_repeated, the bytes of strings of `passage` bytes that also
-    start elsewhere, which are told and not removed."""
-    lengths = (passage, length) if passage and passage < length else (length,)
+def shared_passages(docs: DataFrame, passage: int = PASSAGE, shared: int = SHARED) -> DataFrame:
+    """id, mark, n_shared of the documents that share passages: how many of its content-defined strings of `shared` bytes stand in another
+    document, too. Each `passage` bytes of a text hold one such string at least, at the same place in any document, so none is shared
+    only where no passage of this length is. A document's own repetitions don't count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, _, data, offsets in text_views(batch):
+                doc, key, *_ = runs_of(data, offsets, passage, passage, shared)
+                order = np.lexsort((key, doc))
+                doc, key = doc[order], key[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+                at = pa.array(lo + doc[new])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(key[new])], names=["id", "mark", "string"])
+
+    rows = stash(keyed(docs).mapInArrow(run, "id long, mark int, string long"), "strings")
+    several = rows.groupBy("string").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("mark").alias("c"), F.max("mark").alias("d")).filter("a != b or c != d").select("string")
+    return rows.join(stash(several, "shared-strings"), "string").groupBy(*KEYS).agg(F.count("*").alias("n_shared"))
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared (see shared_passages: told beside, and not removed) of all documents."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"), row_id(docs).alias("id"), row_mark(docs).alias("mark"))
-    lost = stash(losses(docs, lengths), "results")
+    lost = losses(docs, (length,)).select(*KEYS, "n_removed", "n_spans", "kept_sha256")
+    found = stash(lost.join(shared_passages(docs), list(KEYS), "full"), "results")
     zero = lambda n: F.coalesce(n, F.lit(0)).cast("long").alias(n)
-    return base.join(lost, list(KEYS), "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), zero("n_repeated"))
+    return base.join(found, list(KEYS), "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), zero("n_shared"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

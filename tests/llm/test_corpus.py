@@ -297,13 +297,29 @@ def plain_losses(texts, n):
     return out
 
 
-def held_against_plain(spark, rows, length=400, passage=240):
-    from tallyforge.llm.suffix_dedup import suffix_dedup
+def held_against_plain(spark, rows, length=400):
+    from tallyforge.llm.suffix_dedup import PASSAGE as LONG, SHARED, losses, suffix_dedup
 
     texts = [t for _, t in rows]
-    want = sorted((str(i), len((t or "").encode()), *a[:2], hashlib.sha256(a[2]).hexdigest(), b[0]) for (i, t), a, b in zip(rows, plain_losses(texts, length), plain_losses(texts, passage)))
-    got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length, passage).collect()
-    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_repeated) for r in got) == want
+    plain = plain_losses(texts, length)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted((str(i), len((t or "").encode()), *a[:2], hashlib.sha256(a[2]).hexdigest()) for (i, t), a in zip(rows, plain))
+    got = suffix_dedup(docs, length).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    where = [defaultdict(set) for _ in range(2)]
+    for k, n in enumerate((LONG, SHARED)):
+        for i, t in rows:
+            b = (t or "").encode()
+            for at in range(len(b) - n + 1):
+                where[k][b[at : at + n]].add((i, t))
+    shared = [Counter((str(i), len((t or "").encode())) for v in w.values() if len(v) > 1 for i, t in v) for w in where]
+    for r in got:  # none where nothing is shared, some where a passage is
+        key = str(r.doc_id), r.n_bytes
+        assert (r.n_shared > 0) >= (shared[0][key] > 0) and (r.n_shared > 0) <= (shared[1][key] > 0)
+    two = losses(docs, (240, length))  # both lengths at once
+    assert two.agg({"n_removed": "sum"}).first()[0] == losses(docs, (length,)).agg({"n_removed": "sum"}).first()[0]
+    size = {(str(i), a[0]) for (i, _), a in zip(rows, plain_losses(texts, 240)) if a[0] and i is not None}
+    assert {(str(r.id), r.n_repeated) for r in two.collect()} >= size
 
 
 @pytest.mark.parametrize("shard_bytes", [1 << 20, 2_000])
