@@ -41,13 +41,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tallyforge"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut, and the copy outlives any executor."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write if compression is None else df.write.option("compression", compression)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stash(df: DataFrame) -> None:
+    """Delete the files of a table that stash gave and that nothing reads any more."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/"
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if path.getParent().toUri().getPath() == spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath():
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_views(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets from 0) of slices with at most `most` bytes, or one row; nulls are empty."""
     col = batch.column(batch.schema.get_field_index(column))
