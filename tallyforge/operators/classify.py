@@ -9,13 +9,14 @@ from ..functions import text as X
 
 
 def by_filename(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Files: doc_id, file_name. patterns: carrier, doc_type, pattern, confidence, position; rules, so their number is bounded.
+    """Files: doc_id, file_name, and any others. patterns: carrier, doc_type, pattern, confidence, position; rules, so their number is
+    bounded: they become one expression, and files are neither joined nor grouped.
 
     The surest pattern wins, of equals the first. Without one, the name alone may tell the kind (F17)."""
-    hit = files.join(F.broadcast(patterns), F.expr("file_name rlike pattern"), "left")
-    best = hit.groupBy(*files.columns).agg(F.max_by(F.struct("carrier", "doc_type", "confidence"), F.when(F.col("pattern").isNotNull(), F.struct("confidence", -F.col("position")))).alias("b"))
-    sure = F.when(F.col("b.confidence") > 0.85, "high").when(F.col("b.confidence").isNotNull(), "medium").otherwise("low")
-    return best.select(*files.columns, F.col("b.carrier").alias("carrier"), F.coalesce("b.doc_type", X.document_type(F.col("file_name"))).alias("doc_type"), sure.alias("level"))
+    rules = [F.when(F.col("file_name").rlike(r["pattern"]), F.struct(F.lit(r["confidence"]).cast("double").alias("confidence"), F.lit(-r["position"]).alias("at"), F.lit(r["carrier"]).cast("string").alias("carrier"), F.lit(r["doc_type"]).cast("string").alias("doc_type"))) for r in patterns.collect()]
+    best = F.array_max(F.filter(F.array(*rules), lambda h: h.isNotNull())) if rules else F.lit(None).cast("struct<confidence:double,at:int,carrier:string,doc_type:string>")
+    sure = F.when(best["confidence"] > 0.85, "high").when(best["confidence"].isNotNull(), "medium").otherwise("low")
+    return files.select(*files.columns, best["carrier"].alias("carrier"), F.coalesce(best["doc_type"], X.document_type(F.col("file_name"))).alias("doc_type"), sure.alias("level"))
 
 
 def by_content(files: DataFrame, signals: list[tuple[str, list[str], list[tuple[str, str]]]]) -> DataFrame:

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write and read back, in the folder that driver and executors share."""
+    """Write and read back, in the folder that driver and executors share. Only where all of Spark runs in one process, as in tests, an unset
+    spark.checkpoint.dir becomes a folder of this machine."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/tallyforge/graph-{uuid.uuid4().hex}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms
@@ -103,7 +103,8 @@ def error_reasons(errors: DataFrame) -> DataFrame:
     """Errors: file, at, message. A readable reason each, and the first three of a file in one line."""
     m = F.lower("message")
     reason = F.when(m.contains("token") & m.contains("limit"), "Section too large (token limit)").when(m.contains("timeout") | m.contains("timed out"), "Timed out").otherwise(F.left(F.split("message", "\n")[0], F.lit(200)))
-    return errors.withColumn("reason", reason).groupBy("file").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "reason"))), lambda x: x["reason"]), 1, 3), "; ").alias("summary"))
+    first = errors.withColumn("reason", reason).withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy("at", "reason"))).filter("_n <= 3")
+    return first.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "reason"))), lambda x: x["reason"]), "; ").alias("summary"))
 
 
 def client_counts(clients: DataFrame, uploads: DataFrame, entries: DataFrame) -> DataFrame:

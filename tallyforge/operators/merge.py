@@ -6,6 +6,8 @@ the shuffle; only the greedy clustering of service rows (J4) needs a whole group
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from . import normalize
 from ..schema import ACCOUNT_ENRICHMENT, ACCOUNT_FIELDS, ACCOUNTS, BASE_ORDER, FIELDS, PHONES, PRIORITY, UNLISTED
 from .graph import connected, cut
 
@@ -57,26 +60,34 @@ def completeness(fields: Sequence[str]) -> Column:
     return sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))
 
 
-def merge_fields(df: DataFrame, keys: Sequence[str], fields: Sequence[str], overrides: dict | None = None) -> DataFrame:
+def merge_fields(df: DataFrame, keys: Sequence[str], fields: Sequence[str], overrides: dict | None = None, bases: dict[str, int] | None = None) -> DataFrame:
     """One row a group. The base is the row of the document type that leads (of one type: the fullest row). A field takes the last
     row's value, in that order, whose priority is above the base document's; else the base's; else the first there is.
 
-    Only the base's priority counts, not that of the row whose value stands: as observed (Q-1). Within one aggregate pass per field;
-    nothing is gathered."""
-    one_kind = Window.partitionBy(*keys)
-    lead = F.when(F.min("doc_type").over(one_kind) == F.max("doc_type").over(one_kind), completeness(fields)).otherwise(base_order(F.col("doc_type")))
-    ranked = df.withColumn("_at", F.row_number().over(one_kind.orderBy(F.desc("_lead"), "doc_seq", "row_seq"))) if "_lead" in df.columns else (
-        df.withColumn("_lead", lead).withColumn("_at", F.row_number().over(one_kind.orderBy(F.desc("_lead"), "doc_seq", "row_seq"))))
-    ranked = ranked.withColumn("_base", F.first("doc_type").over(one_kind.orderBy("_at")))
+    Only the base's priority counts, not that of the row whose value stands: as observed (Q-1). Two aggregates that combine before the
+    shuffle, and a join in between: the first tells each group's base document, the second takes the values. Nothing is gathered or
+    sorted, so one group may hold any share of the rows."""
+    order = F.struct((-base_order(F.col("doc_type"), bases)).alias("o"), "doc_seq", "row_seq")
+    base = df.groupBy(*(F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys))).agg((F.min("doc_type") == F.max("doc_type")).alias("_one"), F.min_by("doc_type", order).alias("_base"))
+    rows = df.join(base, _all_of([F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)])).select(*df.columns, "_one", "_base")
+    lead = F.when(F.col("_one"), completeness(fields)).otherwise(base_order(F.col("doc_type"), bases))
+    ranked = rows.withColumn("_at", F.struct((-lead).alias("lead"), "doc_seq", "row_seq"))
     aggs = []
     for f in fields:
-        value, own, base = F.col(f), priority(f, F.col("doc_type"), overrides), priority(f, F.col("_base"), overrides)
-        wins = value.isNotNull() & (F.col("doc_type") != F.col("_base")) & (own > base)
-        aggs.append(F.coalesce(F.max_by(F.when(wins, value), F.when(wins, F.col("_at"))), F.max(F.when(F.col("_at") == 1, value)), F.min_by(value, F.when(value.isNotNull(), F.col("_at")))).alias(f))
+        value, own, led = F.col(f), priority(f, F.col("doc_type"), overrides), priority(f, F.col("_base"), overrides)
+        wins = value.isNotNull() & (F.col("doc_type") != F.col("_base")) & (own > led)
+        aggs.append(F.coalesce(F.max_by(value, F.when(wins, F.col("_at"))), F.min_by(value, F.col("_at")), F.min_by(value, F.when(value.isNotNull(), F.col("_at")))).alias(f))
     return ranked.groupBy(*keys).agg(
         F.min_by("doc_id", "_at").alias("doc_id"), F.min_by("doc_type", "_at").alias("doc_type"), F.min("doc_seq").alias("doc_seq"), F.min_by("row_seq", F.struct("doc_seq", "row_seq")).alias("row_seq"), F.count("*").alias("merged_rows"), *aggs)
 
 
+def _all_of(tests: Sequence[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & t
+    return out
+
+
 def equivalent(field: str, a: Column, b: Column) -> Column:
     """Values that differ in form only."""
     if field in ACCOUNTS or field in PHONES:
@@ -140,15 +151,15 @@ def component_key() -> Column:
 
 
 def fill_first(df: DataFrame, group: Sequence[str], fields: Sequence[str], source: Column | None = None) -> DataFrame:
-    """Blanks of a group take the first value that isn't blank, in order, of rows that may give one."""
-    keys, kinds = Window.partitionBy(*group), dict(df.dtypes)
-
-    def filled(f: str) -> Column:
-        value = X.blank_to_null(F.col(f)) if kinds[f] == "string" else F.col(f)
-        given = F.when(source, value) if source is not None else value
-        return F.coalesce(value, F.min_by(given, F.when(given.isNotNull(), F.struct(*SEQ))).over(keys), F.col(f))
-
-    return df.withColumns({f: filled(f) for f in fields})  # one window for all
+    """Blanks of a group take the first value that isn't blank, in order, of rows that may give one. First values are aggregated by
+    group, combined before the shuffle, and joined to the rows; a group may hold any share of them."""
+    kinds = dict(df.dtypes)
+    value = lambda f: X.blank_to_null(F.col(f)) if kinds[f] == "string" else F.col(f)
+    given = lambda f: F.when(source, value(f)) if source is not None else value(f)
+    first = df.groupBy(*group).agg(*(F.min_by(given(f), F.when(given(f).isNotNull(), F.struct(*SEQ))).alias(f"_first_{f}") for f in fields))
+    first = first.select(*(F.col(g).alias(f"_group_{i}") for i, g in enumerate(group)), *(f"_first_{f}" for f in fields))
+    out = df.join(first, _all_of([F.col(g).eqNullSafe(F.col(f"_group_{i}")) for i, g in enumerate(group)]), "left")
+    return out.select(*(F.coalesce(value(c), F.col(f"_first_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in df.columns))
 
 
 def propagate_location(df: DataFrame, key: str = "merge_key") -> DataFrame:
@@ -165,10 +176,11 @@ def propagate_account(df: DataFrame, group: str = "account_group", fields: Seque
 def prefix_bridge(keys: DataFrame, column: str = "account") -> DataFrame:
     """Key, target: a key of seven digits or more moves to the longest one that it begins. keys: column, first_seen.
 
-    Equal sevens are joined by hash; among a carrier's accounts few share them."""
-    digit = keys.filter(F.col(column).rlike("^[0-9]{7,}$")).select(F.col(column).alias("key"), "first_seen", F.left(column, F.lit(7)).alias("head"))
-    long = digit.select(F.col("key").alias("long"), F.col("first_seen").alias("seen"), "head")
-    found = digit.join(long, "head").filter((F.length("long") > F.length("key")) & F.col("long").startswith(F.col("key")))
+    Each key is spread to its beginnings of seven digits or more, so the join is one of equals."""
+    digit = keys.filter(F.col(column).rlike("^[0-9]{7,}$")).select(F.col(column).alias("key"), "first_seen")
+    sizes = F.sequence(F.lit(7), F.length("key") - 1)
+    longer = digit.filter(F.length("key") > 7).select(F.col("key").alias("long"), F.col("first_seen").alias("seen"), F.explode(F.transform(sizes, lambda n: F.left(F.col("key"), n))).alias("head"))
+    found = digit.select("key").join(longer, F.col("key") == F.col("head"))
     return found.groupBy("key").agg(F.max_by("long", F.struct(F.length("long"), -F.col("seen"))).alias("target"))
 
 
@@ -213,40 +225,97 @@ def enrich(target: DataFrame, source: DataFrame, fields: Sequence[str], account_
 
 
 def append_supplemental(merged: DataFrame, other: DataFrame) -> DataFrame:
-    """Rows of other documents whose line or service isn't in the inventory yet."""
-    return merged.unionByName(other.filter("tier in (1, 2)").join(merged.select("tier_key").distinct(), "tier_key", "left_anti"), allowMissingColumns=True)
+    """Rows of other documents whose key isn't the line or service (tiers 1 and 2) of a row of the inventory; rows without such a key
+    are new, too."""
+    known = merged.filter("tier in (1, 2)").select("tier_key").distinct()
+    return merged.unionByName(other.join(known, "tier_key", "left_anti"), allowMissingColumns=True)
+
+
+@dataclass
+class MergeRules:
+    """How a carrier's documents are merged."""
+
+    roles: dict[str, str] = field(default_factory=dict)  # document type -> base, enrichment or supplemental; base if not named
+    canonical: int | None = None  # digits of an account
+    check_digit: bool = False
+    with_sub_account: bool = True
+    pad_phones: bool = False
+    equivalence: list[str] = field(default_factory=lambda: ["carrier_account_number", "master_account"])  # accounts of one row in these are one account
+    base_order: dict[str, int] = field(default_factory=dict)
+    priorities: dict[str, dict[str, int]] = field(default_factory=dict)
+    non_propagating: list[str] = field(default_factory=list)
+    extra_propagation: list[str] = field(default_factory=list)
+
+
+def account_groups(df: DataFrame, rules: MergeRules) -> DataFrame:
+    """Add account_group: the account by its canonical form; one that begins a longer one of the inventory joins that one's."""
+    acct = X.account(F.coalesce("carrier_account_number", F.lit("")), rules.canonical, rules.check_digit)
+    rows = cut(df.withColumn("account_group", acct))
+    seen = rows.groupBy(F.col("account_group").alias("account")).agg(F.min(F.col("doc_seq").cast("long") * 4_294_967_296 + F.col("row_seq")).alias("first_seen"))
+    moves = prefix_bridge(seen).select(F.col("key").alias("account_group"), "target")
+    return rows.join(moves, "account_group", "left").withColumn("account_group", F.coalesce("target", "account_group")).select(*rows.columns)
+
+
+def propagate(df: DataFrame, rules: MergeRules) -> DataFrame:
+    """J7 with a carrier's fields, over bridged accounts."""
+    fields = [f for f in (*ACCOUNT_FIELDS, *rules.extra_propagation) if f not in rules.non_propagating and f in df.columns]
+    return propagate_account(account_groups(df, rules), fields=list(dict.fromkeys(fields))).drop("account_group")
+
+
+def _prepared(df: DataFrame, rules: MergeRules) -> DataFrame:
+    """Accounts split, merge keys, and item: what makes rows of a key one."""
+    keyed = split_accounts(df).withColumn("merge_key", merge_key(rules.with_sub_account, rules.canonical, rules.check_digit, rules.pad_phones))
+    is_service = (F.col("service_or_component") == "S") | (F.col("row_type") == "S")
+    services = cluster_services(keyed.filter(is_service), "merge_key").withColumn("item", F.concat(F.lit("S"), F.col("cluster"))).drop("cluster")
+    rest = keyed.filter(~F.coalesce(is_service, F.lit(False))).withColumn("item", F.when((F.col("service_or_component") == "C") | (F.col("row_type") == "C"), F.concat(F.lit("C"), component_key())).otherwise(F.concat_ws("_", F.lit("O"), "doc_id", "row_seq")))
+    return cut(services.unionByName(rest))  # written out, so plans stay small
 
 
-def merge_same_granularity(df: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
+def merge_same_granularity(df: DataFrame, fields: Sequence[str] = FIELDS, rules: MergeRules | None = None) -> DataFrame:
     """Split accounts, key, merge what is the same service or component, give places along the line and terms along the account."""
+    rules = rules or MergeRules()
     fields = [f for f in fields if f in df.columns]
-    keyed = split_accounts(df).withColumn("merge_key", merge_key())
-    is_service = (F.col("service_or_component") == "S") | (F.col("row_type") == "S")
-    services = cluster_services(keyed.filter(is_service), "merge_key").withColumn("item", F.concat(F.lit("S"), F.col("cluster"))).drop("cluster")
-    rest = keyed.filter(~F.coalesce(is_service, F.lit(False))).withColumn("item", F.when((F.col("service_or_component") == "C") | (F.col("row_type") == "C"), F.concat(F.lit("C"), component_key())).otherwise(F.concat_ws("_", F.lit("O"), "doc_id", "row_seq")))
-    merged = cut(merge_fields(cut(services.unionByName(rest)), ["merge_key", "item"], fields))  # written out, so plans stay small
-    placed = propagate_location(merged)
-    return propagate_account(placed.withColumn("account_group", X.digits(F.coalesce("carrier_account_number", F.lit("")))))
+    merged = cut(merge_fields(_prepared(df, rules), ["merge_key", "item"], fields, rules.priorities, rules.base_order))
+    return propagate(propagate_location(merged), rules)
 
 
-def merge_documents(df: DataFrame, roles: dict[str, str], fields: Sequence[str] = FIELDS) -> DataFrame:
-    """Documents with the role 'base' are merged row by row, 'enrichment' ones fill blanks, 'supplemental' ones add what is missing;
-    then account-level fields spread. Roles default to base."""
+def merge_documents(df: DataFrame, roles: dict[str, str] | None = None, fields: Sequence[str] = FIELDS, rules: MergeRules | None = None, normal: normalize.Rules | None = None, today: Column | None = None) -> DataFrame:
+    """Rules that make rows uniform before (N1-N3); documents of the role 'base' are merged row by row, 'enrichment' ones fill
+    blanks, 'supplemental' ones add what is missing; account-level fields spread; then the rules for values (N4-N14), which may blank
+    some, and the fields spread again. Roles default to base."""
+    return merge_with_conflicts(df, roles, fields, rules, normal, today)[0]
+
+
+def merge_with_conflicts(df: DataFrame, roles: dict[str, str] | None = None, fields: Sequence[str] = FIELDS, rules: MergeRules | None = None, normal: normalize.Rules | None = None, today: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The merged rows, and the conflicts among the base documents' (J34)."""
+    rules = rules or MergeRules()
+    roles = rules.roles if roles is None else roles
     role = F.lit("base")
     for kind, r in roles.items():
         role = F.when(F.col("doc_type") == kind, r).otherwise(role)
-    rows = df.withColumn("_role", role)
+    rows = cut((normalize.before_merge(df, normal) if normal else df).withColumn("_role", role))
     fields = [f for f in fields if f in df.columns]
+    digits = lambda c: F.nullif(X.digits(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    same = [f for f in rules.equivalence if f in df.columns]
+    links = [rows.select(digits(same[0]).alias("a"), digits(f).alias("b")) for f in same[1:]]
+    roots = account_components(reduce(DataFrame.unionAll, links)) if links else None
 
     def keyed(d: DataFrame) -> DataFrame:
-        key, tier = tiered_key()
-        return d.withColumn("tier_key", key).withColumn("tier", tier).withColumn("account", F.nullif(X.digits(F.coalesce("sub_account_number_1", "carrier_account_number", F.lit(""))), F.lit("")))
-
-    base = keyed(merge_same_granularity(rows.filter("_role = 'base'").drop("_role"), fields).drop("merge_key", "item", "account_group"))
+        acct = F.coalesce(digits("sub_account_number_1"), digits("carrier_account_number"))
+        out = d.withColumn("account", acct)
+        if roots is not None:
+            out = out.join(roots.select(F.col("id").alias("account"), "root"), "account", "left").withColumn("account", F.coalesce("root", "account")).drop("root")
+        key, tier = tiered_key(F.col("account"))
+        return out.withColumn("tier_key", key).withColumn("tier", tier)
+
+    base_rows = rows.filter("_role = 'base'").drop("_role")
+    base = keyed(merge_same_granularity(base_rows, fields, rules).drop("merge_key", "item"))
     extra = keyed(rows.filter("_role = 'enrichment'").drop("_role"))
     more = keyed(rows.filter("_role = 'supplemental'").drop("_role"))
-    out = cut(append_supplemental(enrich(cut(base), extra, fields), more))
-    return propagate_account(out.withColumn("account_group", X.digits(F.coalesce("carrier_account_number", F.lit("")))))
+    out = propagate(cut(append_supplemental(enrich(cut(base), extra, fields), more)), rules)
+    if normal:
+        out = propagate(cut(normalize.after_merge(out, normal, today if today is not None else F.current_date())), rules)
+    return out, conflicts(_prepared(base_rows, rules), ["merge_key", "item"], fields)
 
 
 def known_accounts(rows: DataFrame, known: DataFrame) -> DataFrame:

@@ -113,8 +113,11 @@ def contract_info(rows: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 # What no carrier is called.
-NOT_CARRIERS = """voice,internet,data,mobility,wireless,wireline,broadband,fiber,ethernet,service,services,telecom,telecommunications,carrier,vendor,
-supplier,monthly charges,equipment charges,taxes,surcharges,fees,unknown,n/a,na,none,null""".replace("\n", "").split(",")
+NOT_CARRIERS = [
+    "voice", "internet", "data", "mobility", "wireless", "wireline", "broadband", "fiber", "ethernet", "service", "services", "telecom",
+    "telecommunications", "carrier", "vendor", "supplier", "monthly charges", "equipment charges", "taxes", "surcharges", "fees", "unknown",
+    "n/a", "na", "none", "null",
+]
 
 
 def plausible_carrier(c: Column) -> Column:

@@ -253,7 +253,7 @@ def _(df):
     return merge.enrich(t.filter("doc_type = 'invoice'"), t.filter("doc_type = 'contract'"), ["usoc", "contract_number"]).select("row_id", "usoc", "contract_number")
 
 
-@inv("j12_supplemental", f", t AS (SELECT *, {TKEY} AS tk, {TIER} AS tier FROM inv) SELECT row_id, tk AS tier_key FROM t WHERE doc_type = 'invoice' UNION ALL SELECT row_id, tk FROM t WHERE doc_type = 'csr' AND tier IN (1, 2) AND tk NOT IN (SELECT tk FROM t WHERE doc_type = 'invoice')")
+@inv("j12_supplemental", f", t AS (SELECT *, {TKEY} AS tk, {TIER} AS tier FROM inv) SELECT row_id, tk AS tier_key FROM t WHERE doc_type = 'invoice' UNION ALL SELECT row_id, tk FROM t WHERE doc_type = 'csr' AND tk NOT IN (SELECT tk FROM t WHERE doc_type = 'invoice' AND tier IN (1, 2))")
 def _(df):
     """J12."""
     t = tiered(df)

@@ -17,15 +17,12 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(NAMES.replace("FROM pages", "FROM {pages}"), pages=table(spark, sf_dir, "pages"))
 
 
-@query("f17_document_types", f"SELECT page_id, CASE page_id % 8 WHEN 0 THEN CASE WHEN page_id < 10 THEN 'invoice' END WHEN 1 THEN 'csr' WHEN 2 THEN 'contract' WHEN 3 THEN 'report' WHEN 4 THEN 'did_list' WHEN 5 THEN 'subscription' WHEN 6 THEN 'email' END AS doc_type FROM ({NAMES}) WHERE page_id % 8 <> 0 OR page_id < 10")
-def document_types(spark, sf_dir):
-    """F17."""
-    return names(spark, sf_dir).filter("page_id % 8 <> 0 or page_id < 10").select("page_id", X.document_type(F.col("file_name")).alias("doc_type"))
+TYPES = f"SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'invoice' WHEN 1 THEN 'csr' WHEN 2 THEN 'contract' WHEN 3 THEN 'report' WHEN 4 THEN 'did_list' WHEN 5 THEN 'subscription' WHEN 6 THEN 'email' END AS doc_type FROM ({NAMES})"
 
 
-@query("f17_document_types_all", f"SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'invoice' WHEN 1 THEN 'csr' WHEN 2 THEN 'contract' WHEN 3 THEN 'report' WHEN 4 THEN 'did_list' WHEN 5 THEN 'subscription' WHEN 6 THEN 'email' END AS doc_type FROM ({NAMES})")
-def all_document_types(spark, sf_dir):
-    """F17 for every page, whatever the number in its name."""
+@query("f17_document_types", TYPES)
+def document_types(spark, sf_dir):
+    """F17, for every page, whatever the number in its name."""
     return names(spark, sf_dir).select("page_id", X.document_type(F.col("file_name")).alias("doc_type"))
 
 

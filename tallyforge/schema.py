@@ -6,23 +6,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 # Fields by category, in the order of the record's catalogue.
-STRUCTURED = """carrier_account_number sub_account_number_1 sub_account_number_2 master_account btn phone_number carrier_circuit_number
-monthly_recurring_cost quantity cost_per_unit mrc_per_currency num_calls ld_minutes ld_cost rate ld_flat_rate zip z_zip""".split()
-SEMI_STRUCTURED = """billing_name service_address_1 service_address_2 city state country carrier_name invoice_file_name z_location_name z_address_1
-z_address_2 z_city z_state z_country currency point_to_number port_speed access_speed upload_speed""".split()
-FUZZY = "service_type service_type_2 usoc service_or_component component_or_feature_name charge_type additional_circuit_ids status notes files_used row_type".split()
-CONTRACT = """contract_info_received contract_term_months contract_begin_date contract_expiration_date billing_per_contract currently_month_to_month
-mtm_or_less_than_year contract_file_name contract_number contract_number_2 auto_renew auto_renewal_notes conversion_rate""".split()
-SIDECARS = "billing_address_1 billing_city billing_state billing_zip billing_name_from_invoice".split()
+STRUCTURED = [
+    "carrier_account_number", "sub_account_number_1", "sub_account_number_2", "master_account", "btn", "phone_number", "carrier_circuit_number",
+    "monthly_recurring_cost", "quantity", "cost_per_unit", "mrc_per_currency", "num_calls", "ld_minutes", "ld_cost", "rate", "ld_flat_rate", "zip",
+    "z_zip",
+]
+SEMI_STRUCTURED = [
+    "billing_name", "service_address_1", "service_address_2", "city", "state", "country", "carrier_name", "invoice_file_name", "z_location_name",
+    "z_address_1", "z_address_2", "z_city", "z_state", "z_country", "currency", "point_to_number", "port_speed", "access_speed", "upload_speed",
+]
+FUZZY = [
+    "service_type", "service_type_2", "usoc", "service_or_component", "component_or_feature_name", "charge_type", "additional_circuit_ids", "status",
+    "notes", "files_used", "row_type",
+]
+CONTRACT = [
+    "contract_info_received", "contract_term_months", "contract_begin_date", "contract_expiration_date", "billing_per_contract",
+    "currently_month_to_month", "mtm_or_less_than_year", "contract_file_name", "contract_number", "contract_number_2", "auto_renew",
+    "auto_renewal_notes", "conversion_rate",
+]
+SIDECARS = [
+    "billing_address_1", "billing_city", "billing_state", "billing_zip", "billing_name_from_invoice",
+]
 CATEGORY = {f: c for c, fs in (("structured", STRUCTURED), ("semi_structured", SEMI_STRUCTURED), ("fuzzy", FUZZY), ("contract", CONTRACT)) for f in fs}
-ANALYST_JUDGMENT = "status notes contract_info_received files_used billing_per_contract contract_file_name mtm_or_less_than_year auto_renew auto_renewal_notes".split()
-DERIVED = "conversion_rate mrc_per_currency invoice_file_name".split()
+ANALYST_JUDGMENT = [
+    "status", "notes", "contract_info_received", "files_used", "billing_per_contract", "contract_file_name", "mtm_or_less_than_year", "auto_renew",
+    "auto_renewal_notes",
+]
+DERIVED = [
+    "conversion_rate", "mrc_per_currency", "invoice_file_name",
+]
 
-MONEY = "monthly_recurring_cost cost_per_unit mrc_per_currency ld_cost ld_flat_rate".split()
-INTEGERS = "quantity num_calls contract_term_months".split()
-DATES = "contract_begin_date contract_expiration_date".split()
-PHONES = "phone_number btn point_to_number".split()
-ACCOUNTS = "carrier_account_number sub_account_number_1 sub_account_number_2 master_account".split()
+MONEY = [
+    "monthly_recurring_cost", "cost_per_unit", "mrc_per_currency", "ld_cost", "ld_flat_rate",
+]
+INTEGERS = [
+    "quantity", "num_calls", "contract_term_months",
+]
+DATES = [
+    "contract_begin_date", "contract_expiration_date",
+]
+PHONES = [
+    "phone_number", "btn", "point_to_number",
+]
+ACCOUNTS = [
+    "carrier_account_number", "sub_account_number_1", "sub_account_number_2", "master_account",
+]
 FIELDS = [*CATEGORY, *SIDECARS]
 
 
@@ -57,19 +85,25 @@ def extractability(analyst: set[str] = frozenset(), derived: set[str] = frozense
 
 # Which document type wins a field; others count UNLISTED.
 UNLISTED = 5
-_ADDRESS = {"csr": 10, "contract": 8, "invoice": 6, "subscription": 5}
-_TERMS = {"contract": 10, "csr": 8, "subscription": 7, "email": 6}
 PRIORITY: dict[str, dict[str, int]] = {
-    "monthly_recurring_cost": {"invoice": 10, "contract": 7, "report": 6, "subscription": 6, "csr": 5},
-    "cost_per_unit": {"invoice": 10, "contract": 7, "subscription": 6, "csr": 5},
-    "quantity": {"invoice": 10, "contract": 8, "subscription": 8, "csr": 7},
-    "phone_number": {"csr": 10, "did_list": 9, "invoice": 7},
+    "monthly_recurring_cost": {"invoice": 10, "subscription": 6, "csr": 5, "contract": 7, "report": 6},
+    "cost_per_unit": {"invoice": 10, "subscription": 6, "csr": 5, "contract": 7},
+    "quantity": {"invoice": 10, "subscription": 8, "csr": 7, "contract": 8},
+    "phone_number": {"csr": 10, "invoice": 7, "did_list": 9},
     "btn": {"csr": 10, "invoice": 7},
-    "usoc": {"csr": 10, "subscription": 4, "invoice": 3},
-    "service_type": {"csr": 9, "subscription": 8, "invoice": 7, "contract": 6},
-    "component_or_feature_name": {"csr": 9, "subscription": 8, "invoice": 7},
-    **{f: _ADDRESS for f in "billing_name service_address_1 service_address_2 city state zip country".split()},
-    **{f: _TERMS for f in "contract_term_months contract_begin_date contract_expiration_date".split()},
+    "usoc": {"csr": 10, "invoice": 3, "subscription": 4},
+    "service_type": {"csr": 9, "invoice": 7, "subscription": 8, "contract": 6},
+    "component_or_feature_name": {"csr": 9, "invoice": 7, "subscription": 8},
+    "billing_name": {"csr": 10, "contract": 8, "invoice": 6, "subscription": 5},
+    "service_address_1": {"csr": 10, "contract": 8, "invoice": 6, "subscription": 5},
+    "service_address_2": {"csr": 10, "contract": 8, "invoice": 6, "subscription": 5},
+    "city": {"csr": 10, "contract": 8, "invoice": 6, "subscription": 5},
+    "state": {"csr": 10, "contract": 8, "invoice": 6, "subscription": 5},
+    "zip": {"csr": 10, "contract": 8, "invoice": 6, "subscription": 5},
+    "country": {"csr": 10, "contract": 8, "invoice": 6, "subscription": 5},
+    "contract_term_months": {"contract": 10, "csr": 8, "subscription": 7, "email": 6},
+    "contract_begin_date": {"contract": 10, "csr": 8, "subscription": 7, "email": 6},
+    "contract_expiration_date": {"contract": 10, "csr": 8, "subscription": 7, "email": 6},
     "auto_renew": {"contract": 10, "csr": 7, "email": 6},
     "contract_number": {"contract": 10, "csr": 5},
     "carrier_circuit_number": {"csr": 10, "invoice": 8, "report": 7},
@@ -79,9 +113,17 @@ PRIORITY: dict[str, dict[str, int]] = {
 # Base order of document types; others count 1.
 BASE_ORDER = {"invoice": 10, "csr": 8, "contract": 7, "report": 6, "did_list": 5, "subscription": 5, "email": 3, "service_guide": 2}
 # Fields that are the same in all rows of an account.
-_TERMS_OF_ACCOUNT = "contract_term_months contract_begin_date contract_expiration_date contract_number contract_number_2 currently_month_to_month mtm_or_less_than_year billing_per_contract auto_renew auto_renewal_notes".split()
-_PLACE = "billing_name service_address_1 service_address_2 city state zip country".split()
+_TERMS_OF_ACCOUNT = [
+    "contract_term_months", "contract_begin_date", "contract_expiration_date", "contract_number", "contract_number_2", "currently_month_to_month",
+    "mtm_or_less_than_year", "billing_per_contract", "auto_renew", "auto_renewal_notes",
+]
+_PLACE = [
+    "billing_name", "service_address_1", "service_address_2", "city", "state", "zip", "country",
+]
 ACCOUNT_FIELDS = [*_PLACE, "carrier_name", "master_account", "carrier_account_number", "invoice_file_name", "contract_file_name", "currency", *_TERMS_OF_ACCOUNT, "contract_info_received"]
 ACCOUNT_ENRICHMENT = [*_TERMS_OF_ACCOUNT, "contract_file_name", *_PLACE, "carrier_name", "master_account", "currency"]
 #: Rows that agree in all of these are the same row.
-FINGERPRINT = "carrier_name carrier_account_number sub_account_number_1 phone_number row_type component_or_feature_name usoc charge_type monthly_recurring_cost".split()
+FINGERPRINT = [
+    "carrier_name", "carrier_account_number", "sub_account_number_1", "phone_number", "row_type", "component_or_feature_name", "usoc", "charge_type",
+    "monthly_recurring_cost",
+]

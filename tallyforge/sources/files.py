@@ -225,6 +225,24 @@ def header_row(rows: list[list[str | None]], labels: set[str], least: int = 3, w
     return next((i for i, r in enumerate(rows[:within]) if sum((c or "").strip() in labels for c in r) >= least), None)
 
 
+def correction_rows(files: DataFrame, labels: dict[str, str], sheet: str = "Extracted Data") -> DataFrame:
+    """doc_id, row_seq (from 0 below the header), cells (field -> text, '' where a cell is blank) of correction workbooks. The header is
+    found by its labels; columns without a known one are ignored, and books without a header give no rows."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for path, raw in zip(pdf["path"], pdf["content"]):
+                rows = workbook_rows(bytes(raw), sheet)
+                at = header_row(rows, set(labels))
+                if at is None:
+                    continue
+                cols = {i: labels[(c or "").strip()] for i, c in enumerate(rows[at]) if (c or "").strip() in labels}
+                out += [(path, n, {f: (r[i] or "").strip() if i < len(r) else "" for i, f in cols.items()}) for n, r in enumerate(rows[at + 1 :]) if any(c and c.strip() for c in r)]
+            yield pd.DataFrame(out, columns=["doc_id", "row_seq", "cells"])
+
+    return files.select("path", "content").mapInPandas(run, "doc_id string, row_seq int, cells map<string,string>")
+
+
 def reflow(words: list[tuple[str, float, float]], width: float, share: float = 0.2, gap: float = 40.0) -> str:
     """Words (text, x, y) of a page as lines; where at least a fifth of the lines has two columns, the left column comes first."""
     lines: dict[int, list[tuple[float, str]]] = {}
