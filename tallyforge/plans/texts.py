@@ -20,6 +20,7 @@ def names(spark: SparkSession, sf_dir: str) -> DataFrame:
 TYPES = f"SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'invoice' WHEN 1 THEN 'csr' WHEN 2 THEN 'contract' WHEN 3 THEN 'report' WHEN 4 THEN 'did_list' WHEN 5 THEN 'subscription' WHEN 6 THEN 'email' END AS doc_type FROM ({NAMES})"
 
 
+@query("f17_document_types_all", TYPES)
 @query("f17_document_types", TYPES)
 def document_types(spark, sf_dir):
     """F17, for every page, whatever the number in its name."""
