@@ -3,11 +3,13 @@
 Suffixes are classified as smaller or larger than their successors; the leftmost smaller ones are sorted by their substrings, named,
 and the string of names is sorted recursively; all others are induced from them in one pass from the left and one from the right.
 The passes go bucket by bucket: what a bucket induces into later ones moves as one array, what it induces into itself (runs of a
-symbol) in rounds. Where names need so many buckets that arrays would be tiny, the same passes go place by place over plain lists.
+symbol) in rounds. Where names need so many buckets that arrays would be tiny, the same passes go place by place over plain arrays.
 All steps are linear, at every level of the recursion."""
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 #: With more symbols than this the passes go place by place.
@@ -82,12 +84,12 @@ def induce(s: np.ndarray, is_small: np.ndarray, sizes: np.ndarray, lms: np.ndarr
 
 
 def induce_by_place(s: np.ndarray, is_small: np.ndarray, sizes: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """As induce, one place after the other."""
+    """As induce, one place after the other, over plain arrays."""
     n = len(s)
     ends = np.cumsum(sizes)
-    symbol, small = s.tolist(), is_small.tolist()
+    symbol, small = array("i", s.astype(np.int32).tobytes()), is_small.tobytes()  # four bytes and one for each place, not an object
     begin, end = (ends - sizes).tolist(), (ends - 1).tolist()
-    sa = [-1] * n
+    sa = array("i", [-1]) * n
     for i in reversed(lms.tolist()):
         c = symbol[i]
         sa[end[c]] = i
@@ -108,7 +110,7 @@ def induce_by_place(s: np.ndarray, is_small: np.ndarray, sizes: np.ndarray, lms:
             c = symbol[i]
             sa[end[c]] = i
             end[c] -= 1
-    return np.array(sa, np.int64)
+    return np.frombuffer(sa, np.int32).astype(np.int64)
 
 
 def _names(s: np.ndarray, order: np.ndarray, lms: np.ndarray, is_lms: np.ndarray) -> np.ndarray:

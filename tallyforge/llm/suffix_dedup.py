@@ -37,8 +37,8 @@ LENGTH = 400
 PASSAGE, SHARED = 300, 200
 #: Bytes of an anchor, or a third of the length, where that is less.
 ANCHOR = 96
-#: Bytes of contexts of one group that one suffix array holds; a shard stops at as many, so two times as many at most: some 200 MB of arrays.
-SHARD_BYTES = 1 << 20
+#: Bytes of contexts of one group that one suffix array holds; a shard stops at as many, so two times as many at most: some 150 MB of arrays.
+SHARD_BYTES = 1 << 19
 KEYS = ("id", "mark")
 
 _INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
