@@ -367,7 +367,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, all columns, that aren't contaminated: less than a twentieth of their words hit, or none."""
+    """The rows of docs, all columns, that aren't contaminated: less than a twentieth of their words hit, or none. Each row is judged for
+    itself; rows without words stay."""
     blocks = _blocks(benchmark, window)
     at = docs.columns.index("text")
 

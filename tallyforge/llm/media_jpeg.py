@@ -8,7 +8,7 @@ A stored byte never is a zero coefficient: 0..127 is +128..+255 and 128..255 is
 
 The inverse transform works on integers held in doubles, exact in any order, so equal payloads give equal tensors anywhere.
 
-Defined results: null and empty texts are one block of zeros; a payload's true length stands in a comment segment."""
+Defined results: null and empty texts are one block of zeros; a payload's true length stands in a comment segment. Repeated rows, and rows without an id, give a row each; an empty table gives none."""
 
 from __future__ import annotations
 

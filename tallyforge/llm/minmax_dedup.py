@@ -148,39 +148,41 @@ def within_stars(found: DataFrame, percent: int) -> DataFrame:
     """Links between members of a star that its leader doesn't already hold together, exactly.
 
     What two members have in common follows from what sets each apart from their leader, so short difference sets are compared, not
-    texts. A large star is cut into blocks; each pair of blocks meets in one task, as two lists of members, never as pairs."""
+    texts. Members that are linked with the leader are held together by it, so only the others are looked up, each in blocks of all
+    members: a star of n members of which a few aren't linked takes about n rows. A block of the ones meets a block of the others in one
+    task, as two lists of members, never as pairs."""
     open_ = found.groupBy("leader").agg(F.count("*").alias("n"), F.count_if(~F.col("hit")).alias("apart")).filter("n > 1 and apart > 0")
-    blocks = F.ceil(F.col("n") / MEMBERS_PER_BLOCK).cast("int")
-    rows = (
-        found.join(open_.select("leader", blocks.alias("blocks")), "leader").withColumn("block", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "member", "hit", "size", "differs")
-        .repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
-    )
+    blocks = lambda n: F.ceil(F.col(n) / MEMBERS_PER_BLOCK).cast("int")
+    stars_ = found.join(open_.select("leader", blocks("n").alias("all"), blocks("apart").alias("few")), "leader")
+    place = lambda of: F.pmod(F.xxhash64("member"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    cols = ("member", "hit", "size", "differs")
+    asked = stars_.select("leader", every("few").alias("i"), place("all").alias("j"), F.lit(0).alias("asks"), *cols)
+    asking = stars_.filter(~F.col("hit")).select("leader", place("few").alias("i"), every("all").alias("j"), F.lit(1).alias("asks"), *cols)
+    rows = asked.unionByName(asking).repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
 
     def solve(group: list[tuple]) -> pa.RecordBatch:
-        i, j = group[0][1:3]
-        block, member, hit, size = (np.array([r[c] for r in group]) for c in (3, 4, 5, 6))
+        asks, member, hit, size = (np.array([r[c] for r in group]) for c in (3, 4, 5, 6))
         n = np.array([len(r[7]) for r in group])
+        p, q = np.flatnonzero(asks == 1), np.flatnonzero(asks == 0)
         kinds, code, times = np.unique(np.concatenate([np.asarray(r[7], np.int64) for r in group]), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(group)), n)
         shared = times[code] > 1
         number = np.cumsum(times > 1) - 1
         row, col = row[shared], number[code[shared]]
-        same = np.zeros((len(group), len(group)), np.float32)
+        same = np.zeros((len(p), len(q)), np.float32)
         order = np.argsort(col, kind="stable")
         row, col = row[order], col[order]
         for c in range(0, int((times > 1).sum()), 2_048):
             a, b = np.searchsorted(col, [c, c + 2_048])
             x = np.zeros((len(group), 2_048), np.float32)
             x[row[a:b], col[a:b] - c] = 1
-            same += x @ x.T
-        apart = n[:, None] + n[None, :] - 2 * same.astype(np.int64)
-        common = (size[:, None] + size[None, :] - apart) // 2
-        link = similar(common, size[:, None], size[None, :], percent) & ~(hit[:, None] & hit[None, :])
-        link &= (block[:, None] == i) & (block[None, :] == j)
-        a, b = np.nonzero(np.triu(link, 1) if i == j else link)
-        return pa.RecordBatch.from_arrays([pa.array(member[a], pa.int64()), pa.array(member[b], pa.int64())], names=["a", "b"])
+            same += x[p] @ x[q].T
+        apart = n[p][:, None] + n[q][None, :] - 2 * same.astype(np.int64)
+        common = (size[p][:, None] + size[q][None, :] - apart) // 2
+        link = similar(common, size[p][:, None], size[q][None, :], percent) & (hit[q][None, :] | (member[p][:, None] < member[q][None, :]))
+        a, b = np.nonzero(link)
+        return pa.RecordBatch.from_arrays([pa.array(member[p[a]], pa.int64()), pa.array(member[q[b]], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -229,6 +231,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, whose document stays: the smallest doc_id of each class."""
+    """The rows of docs, all columns, whose document stays: the smallest doc_id of each class. Rows without an id, and without words, are no
+    one's duplicates and stay; repeated rows of a document that stays all stay."""
     gone = near_duplicates(docs, k, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

@@ -102,4 +102,6 @@ def pack(items: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc_
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+    """Each row's ids and an end, cut where they are longer than the capacity, in sequences. Null and empty texts are an end; repeated rows
+    and rows without an id are packed each; an empty table gives no rows."""
     return pack(stash(pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity)

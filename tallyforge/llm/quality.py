@@ -5,7 +5,7 @@ from the difference of the two log densities, by Mahalanobis distances with Chol
 Counts, sums and products come from all labelled rows (no sample), added up on the executors; the driver gets one matrix a class.
 
 Only the text is an input of a score. Defined results: null and empty texts have the statistics of no words and a score like others;
-rows without a label are scored only; repeated labels of a document count each; a class without rows leaves the prior of the other."""
+rows without a label, or without an id, are scored only; repeated rows score alike and count each with their label; repeated labels count each; a class without rows leaves the prior of the other."""
 
 from __future__ import annotations
 
@@ -167,7 +167,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, whose text scores at least the threshold. Nothing but statistics is shuffled."""
+    """The rows of docs, all columns, whose text scores at least the threshold. Nothing but statistics is shuffled. Each row is judged for
+    itself, so repeated rows, rows without an id and null texts (empty) stay or go by their score; an empty table stays empty."""
     model = train(stash(features(docs), "features"), labels)
     at = docs.columns.index("text")
 

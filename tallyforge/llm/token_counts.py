@@ -8,7 +8,7 @@ documents may lie across blocks and files.
 The files that write_flat makes hold id + 1, so 0 is free to end a document; ids below 65,535 take two bytes, others four. They
 are written by Spark's own text writer with the end id as its line separator, to any file system, without a shuffle.
 
-Defined results: null and empty texts have the end id alone; a document without an end at the end of the last file is returned with
+Defined results: null and empty texts have the end id alone; repeated rows, and rows without an id, are documents each; a document without an end at the end of the last file is returned with
 ended false; no files give no rows."""
 
 from __future__ import annotations

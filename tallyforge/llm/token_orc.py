@@ -3,7 +3,7 @@
 Rows are dealt by ranges of doc_id and sorted within them, so files, stripes and row groups each hold a narrow range of ids;
 a reader of some documents skips the rest by metadata, and a reader of all takes stripes in parallel.
 
-Defined results: null and empty texts have the end id alone; a null doc_id sorts first; an empty table gives no rows."""
+Defined results: null and empty texts have the end id alone; repeated rows, and rows without an id, are documents each; a null doc_id sorts first; an empty table gives no rows."""
 
 from __future__ import annotations
 
