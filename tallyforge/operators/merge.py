@@ -207,13 +207,12 @@ def tiered_key(equivalent_accounts: Column | None = None) -> tuple[Column, Colum
 def enrich(target: DataFrame, source: DataFrame, fields: Sequence[str], account_fields: Sequence[str] = ACCOUNT_ENRICHMENT) -> DataFrame:
     """Blanks of a target take the source's value: any field where the line or circuit agrees, account-level fields where the account
     does; the most specific, then the document of highest priority, then the first wins. Both need tier_key, tier, account."""
-    def best(keys: Sequence[str], cols: Sequence[str], rows: DataFrame, tag: str) -> DataFrame:
-        order = lambda f: F.struct(priority(f, F.col("doc_type")).alias("p"), (-F.col("doc_seq")).alias("d"), (-F.col("row_seq")).alias("r"))
-        return rows.groupBy(*keys).agg(*(F.max_by(F.col(f), F.when(F.col(f).isNotNull(), order(f))).alias(f"{tag}{f}") for f in cols))
-
-    fine = best(["tier_key"], fields, source.filter("tier in (1, 2)"), "_f_")
+    # one pass over the source: the best value of each key, from which the accounts' best follow
+    order = lambda f: F.struct(priority(f, F.col("doc_type")).alias("p"), (-F.col("doc_seq")).alias("d"), (-F.col("row_seq")).alias("r"), F.col(f).alias("v"))
+    by_key = cut(source.groupBy("tier_key").agg(F.max("tier").alias("tier"), F.max("account").alias("account"), *(F.max(F.when(F.col(f).isNotNull(), order(f))).alias(f) for f in fields)))
+    fine = by_key.filter("tier in (1, 2)").select("tier_key", *(F.col(f)["v"].alias(f"_f_{f}") for f in fields))
     wide = [f for f in fields if f in account_fields]
-    coarse = best(["account"], wide, source.filter("account is not null"), "_a_")
+    coarse = by_key.filter("account is not null").groupBy("account").agg(*(F.max(f)["v"].alias(f"_a_{f}") for f in wide)) if wide else by_key.select("account").limit(0)
     out = target.join(fine, "tier_key", "left").join(coarse, "account", "left")
     kinds = dict(target.dtypes)
 
