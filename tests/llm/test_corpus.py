@@ -555,7 +555,9 @@ def test_language_model_averages_in_a_tree(spark):
     packed = A.ngram_counts(rows, 100, "<u2", 4, piece=500)
     for n in range(3):
         codes, times = A.most_frequent_packed(packed, n + 1, 10**6)
-        assert dict(zip(codes.tolist(), times.tolist())) == {c: m for c, m in want[n].items() if n < 2 or m >= A.TRIPLE_LEAST}
+        assert dict(zip(codes.tolist(), times.tolist())) == want[n]
+    n = np.array([1] * 50 + [2] * 20 + [1_000] * 5)
+    assert {m: int(A.most_of(n, m).sum()) for m in (3, 5, 24, 25, 74, 75)} == {3: 0, 5: 5, 24: 5, 25: 25, 74: 25, 75: 75}
     assert len(A.most_frequent_packed(packed, 2, 50)[0]) <= 50 and len(A.most_frequent_packed(packed.limit(0), 2, 50)[0]) == 0
     counts = spark.createDataFrame([(k, n) for k, n in enumerate([1] * 50 + [2] * 20 + [1_000] * 5)], "h long, n long")
     assert {m: A.most_frequent(counts, "n", m).count() for m in (3, 5, 24, 25, 74, 75)} == {3: 0, 5: 5, 24: 5, 25: 25, 74: 25, 75: 75}
