@@ -273,10 +273,13 @@ def found_in(contexts: DataFrame, lengths: tuple[int, ...], anchor: int) -> Data
         for level, n in enumerate(lengths):  # equal strings, as many as the group has rows
             out.append(over.filter(core == n).select("anchor", "context", F.lit(level).alias("level"), F.array("base").alias("x"), F.array((F.col("base") + n).cast("int")).alias("y")))
         contexts = stash(over.filter(core.isNull() | (core < reach)).mapInArrow(run, CONTEXTS), "parted-contexts")
+    if len(out) == 1:
+        return out[0]
     whole = out[0]
     for df in out[1:]:
         whole = whole.unionAll(df)
-    return whole
+    # a context that was dealt in parts becomes one row again, of as many intervals as it has strings at most
+    return whole.groupBy("anchor", "context", "level").agg(F.flatten(F.collect_list("x")).alias("x"), F.flatten(F.collect_list("y")).alias("y"))
 
 
 def repeated_spans(docs: DataFrame, lengths: tuple[int, ...], anchor: int) -> DataFrame:
