@@ -75,6 +75,25 @@ def op9_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .structure_repair import audited, damaged, repair_parts
+
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return audited(conversations, *repair_parts(damaged(conversations)))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(documents(spark, sf_dir))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import RULES, judge_urls, rule_table
+
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rule_table(spark, RULES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op")}
 
@@ -101,6 +120,24 @@ r(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r J
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.c) AS component_id, w.doc_id = min(r.c) AS kept FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.id = w.doc_id GROUP BY w.doc_id, n.n"""
 
 
+_OP12 = rf"""WITH p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_AZ}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+t AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY 1),
+f AS (SELECT lang, k, g, count(*) AS f FROM (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM f WHERE k >= 2),
+s AS (SELECT lang, f, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g FROM (SELECT lang, a AS f, k, w, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3, 4]) AS m) WHERE m < k)),
+kept AS (SELECT c.* FROM c LEFT JOIN (SELECT lang, g, max(f) AS longer FROM s GROUP BY 1, 2) USING (lang, g) WHERE longer IS NULL OR 100 * longer < 100 * a),
+cuts AS (SELECT lang, g, a, h, array_to_string(list_slice(w, 1, h), ' ') AS x, array_to_string(list_slice(w, h + 1, k), ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS h FROM kept)),
+scored AS (SELECT cuts.lang, cuts.g, a, h, x.f AS l, y.f AS r, t.n, (1000::hugeint * a * t.n::hugeint) // (x.f::hugeint * y.f) AS score FROM cuts JOIN f x ON x.lang = cuts.lang AND x.g = cuts.x JOIN f y ON y.lang = cuts.lang AND y.g = cuts.y JOIN t ON t.lang = cuts.lang),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, h) AS turn FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM best WHERE turn = 1)
+SELECT lang, rank, g AS phrase, a, l, r, n::bigint AS n, score::bigint AS score FROM ranked WHERE rank <= 2000"""
+
+_OP13 = r"""WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+r(h, q, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+j AS (SELECT p.*, (SELECT arg_max({'rule': h || q, 'verdict': v}, length(h || q)) FROM r WHERE (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(p.path, q)) AS m FROM p)
+SELECT page_id, host, path, m.rule AS rule, coalesce(m.verdict, 'allow') AS verdict FROM j"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of whole results; the other operators need a tokenizer, a trained model, a stored file or a sort of all suffixes."""
-    return {"op2_benchmark_decontamination": _OP2, "op3_minmax_near_dedup": _OP3}
+    return {"op2_benchmark_decontamination": _OP2, "op3_minmax_near_dedup": _OP3, "op12_phrase_collocations": _OP12, "op13_url_filter": _OP13}
