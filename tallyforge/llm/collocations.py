@@ -19,14 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, stash, text_views
 
-#: A cell of the sketch for so many bytes of text, and the bounds of its width in bits. 2^25 cells are two rows of 128 MB while a task counts
-#: and two bitmaps of 4 MB when they are broadcast. Beyond 2 GB of text cells fill up: more phrases are counted exactly, none is lost.
-CELL_BYTES, LEAST_BITS, MOST_BITS = 64, 16, 25
+#: The sketch has two rows of 2^24 cells: 128 MB while a task counts, two bitmaps of 2 MB when they are broadcast, at any size of the input. Some
+#: billions of occurrences fill the cells; from then on phrases that aren't frequent are counted exactly, too, and none is lost. `bits` sets another width.
+BITS = 24
 #: Cells of a block of a row, as it is sent to be merged.
 BLOCK_CELLS = 1 << 15
 #: Keys of a join's small side that may be broadcast: languages.
@@ -110,7 +111,8 @@ def _sketched(bits: int, most_words: int):
                 block = row[b * size : (b + 1) * size]
                 if block.any():
                     block = block.astype("<u4") if block.max() > 255 else block.astype(np.uint8)
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([b], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["row", "block", "cells"])
+                    packed = zstandard.compress(block.tobytes(), 1)  # mostly zeros, ones and twos
+                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([b], pa.int32()), pa.array([packed], pa.binary())], names=["row", "block", "cells"])
 
     return run
 
@@ -120,7 +122,8 @@ def _merged(size: int, least: int):
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for row, block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                got = np.frombuffer(raw.as_buffer(), np.uint8 if len(raw.as_buffer()) == size else "<u4")
+                plain = zstandard.decompress(raw.as_py())
+                got = np.frombuffer(plain, np.uint8 if len(plain) == size else "<u4")
                 if (row, block) not in sums:
                     sums[row, block] = np.zeros(size, np.int64)
                 sums[row, block] += got
@@ -184,13 +187,10 @@ def _survivors(shared, bits: int, most_words: int):
     return run
 
 
-def frequent(docs: DataFrame, most_words: int = 5, least: int = 100, bits: int | None = None) -> DataFrame:
+def frequent(docs: DataFrame, most_words: int = 5, least: int = 100, bits: int = BITS) -> DataFrame:
     """docs: lang, text. lang, k, phrase, n: words and phrases of up to most_words words with at least `least` occurrences; k = 0: all words of lang."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    if bits is None:
-        size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        bits = min(MOST_BITS, max(LEAST_BITS, (size // CELL_BYTES).bit_length()))
     shared = docs.sparkSession.sparkContext.broadcast(sketch(texts, bits, most_words, least))
     found = texts.mapInArrow(_survivors(shared, bits, most_words), "lang string, k int, phrase string, n long")
     return found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).filter((F.col("n") >= least) | (F.col("k") == 0))
@@ -200,7 +200,7 @@ def _part(words, first, n):
     return F.array_join(F.slice(words, first, n), " ")
 
 
-def collocations(docs: DataFrame, most_words: int = 5, least: int = 100, percent: int = 100, scale: int = 1000, top: int = 2000, bits: int | None = None) -> DataFrame:
+def collocations(docs: DataFrame, most_words: int = 5, least: int = 100, percent: int = 100, scale: int = 1000, top: int = 2000, bits: int = BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best `top` phrases of each lang."""
     counts = stash(frequent(docs, most_words, least, bits), "phrases")
     phrases = counts.filter("k >= 2").select("lang", "phrase", "k", F.col("n").alias("a")).withColumn("w", F.split("phrase", " "))
