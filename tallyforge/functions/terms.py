@@ -43,10 +43,30 @@ def json_field(c: Column, path: str) -> Column:
     return F.get_json_object(c, f"$.{path}")
 
 
+def _balanced(c: Column, opening: str, closing: str) -> Column:
+    """From the first opening bracket to the one that closes it, by counting; null without."""
+    rest = F.substr(c, F.instr(c, opening))
+    pieces = F.split(rest, rf"(?<=[\{opening}\{closing}])")
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
+
+    def step(s: Column, piece: Column) -> Column:
+        depth = s["depth"] + F.when(piece.endswith(opening), 1).when(piece.endswith(closing), -1).otherwise(0)
+        return F.struct((s["at"] + 1).alias("at"), depth.alias("depth"), F.when((s["end"] == 0) & (depth == 0), s["at"] + 1).otherwise(s["end"]).alias("end"))
+
+    end = F.aggregate(pieces, begin, step, lambda s: s["end"])
+    return F.when(c.contains(opening) & (end > 0), F.array_join(F.slice(pieces, F.lit(1), end), ""))
+
+
 def salvaged_json(c: Column, schema: str = "array<map<string,string>>") -> Column:
-    """the text itself, else what a code fence holds, else from the first bracket to the last."""
-    tries = [c, F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1), F.regexp_extract(c, r"(?s)(\[.*\])", 1), F.when(c.contains("{"), F.concat(F.lit("["), F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit("]")))]
-    good = lambda s: F.when(F.try_parse_json(F.nullif(F.trim(s), F.lit(""))).isNotNull() & F.trim(s).rlike(r"^\["), F.from_json(F.trim(s), schema))
+    """the text itself, else what the first code fence holds, else from the first [ to the ] that closes it, else likewise with braces. An
+    object alone is a list of one."""
+    tries = [c, F.regexp_extract(c, r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1), _balanced(c, "[", "]"), _balanced(c, "{", "}")]
+
+    def good(s: Column) -> Column:
+        bare = F.trim(s)
+        listed = F.when(bare.startswith("{"), F.concat(F.lit("["), bare, F.lit("]"))).when(bare.startswith("["), bare)
+        return F.when(F.try_parse_json(listed).isNotNull(), F.from_json(listed, schema))
+
     return F.coalesce(*(good(s) for s in tries))
 
 

@@ -76,28 +76,75 @@ def by_size(df: DataFrame, most: int = MOST_CHARS, column: str = "text") -> Data
     return whole.unionByName(long)
 
 
+def _last_of(entries: Column, key: str) -> Column:
+    """Of entries with the same key the last one, in the order of first ones."""
+    return F.transform(F.array_distinct(F.transform(entries, lambda e: e[key])), lambda k: F.element_at(F.filter(entries, lambda e: e[key] == k), -1))
+
+
 def location_totals(text: Column) -> Column:
-    """Account and total of lines after LOCATION SUMMARY that begin with five to ten digits; the last amount of a line is the total."""
-    block = F.regexp_extract(text, r"(?s)LOCATION SUMMARY(.*)$", 1)
-    lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^\s*\d{5,10}\b.*\$"))
-    last = lambda x: F.replace(F.regexp_extract(x, r"^.*\$\s*([\d,]+\.?\d*)", 1), F.lit(","), F.lit("")).try_cast("double")
-    return F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^\s*(\d{5,10})", 1).alias("account"), last(x).alias("total")))
+    """Accounts and totals of the location summary: its lines, from the one below the title to an empty line or ACTIVITY FOR, that begin
+    with five digits; the last amount of a line is its total. Without such an end there is no summary; of equal accounts the last line counts."""
+    block = F.regexp_extract(text, r"(?s)LOCATION SUMMARY.*?\n(.*?)(?=\n\n|\nACTIVITY FOR)", 1)
+    lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^\s*\d{5}") & x.rlike(r"\$[\d,]+\.\d{2}"))
+    total = lambda x: F.translate(F.element_at(F.regexp_extract_all(x, F.lit(r"\$[\d,]+\.\d{2}"), 0), -1), "$,", "").cast("double")
+    return _last_of(F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^\s*(\S+)", 1).alias("account"), total(x).alias("total"))), "account")
 
 
 def revenue_total(text: Column) -> Column:
-    """The amount after a TOTAL label."""
-    return F.replace(F.regexp_extract(text, r"(?i)\bTOTAL\b[^\d$\n]*\$?\s*([\d,]+\.\d{2})", 1), F.lit(","), F.lit("")).try_cast("double")
+    """The local service total of the revenue block, which ends at the next dashes; else null."""
+    block = F.regexp_extract(text, r"(?s)---REVENUE AMOUNTS---\s*(.*?)(?=---|\z)", 1)
+    return F.regexp_extract(block, r"LOCAL SERVICE TOTAL\s+([\d.]+)", 1).try_cast("double")
 
 
 def code_descriptions(text: Column) -> Column:
-    """Codes and what they stand for, from lines CODE  description."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s*[A-Z0-9]{3,6}\s{2,}\S"))
-    return F.map_from_entries(F.array_distinct(F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^\s*([A-Z0-9]{3,6})", 1), F.trim(F.regexp_extract(x, r"^\s*[A-Z0-9]{3,6}\s{2,}(.*)$", 1))))))
+    """Codes and what they stand for, from the boxes `! ! 1 !CODE What it is !` of the account summary, up to its closing rule."""
+    block = F.regexp_extract(text, r"(?s)SERV & EQUIP ACCOUNT SUMMARY(.*?)(?=!-{10,}|\z)", 1)
+    box = r"!\s*\d+\s*!(\w+)\s+(.+?)!"
+    lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(box))
+    return _last_of(F.transform(lines, lambda x: F.struct(F.regexp_extract(x, box, 1).alias("code"), F.trim(F.regexp_extract(x, box, 2)).alias("description"))), "code")
+
+
+def _place(address: Column) -> Column:
+    """address, city: parted at the last comma."""
+    bare = F.trim(F.rtrim(F.trim(address), F.lit(",")))
+    return F.struct(F.trim(F.regexp_replace(bare, r"(?s),[^,]*$", "")).alias("address"), F.when(bare.contains(","), F.trim(F.regexp_extract(bare, r"([^,]*)$", 1))).alias("city"))
+
+
+STATION = r"\bSLA\s+[!|](\d+)[-–]([^!\n]+)"
 
 
 def address_table(text: Column) -> Column:
-    """Numbered address entries, 1) or 001: address, up to the end of their lines."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*(\d{1,3}[):]\s*.+)$"), 1), lambda x: F.struct(F.regexp_extract(x, r"^(\d+)", 1).cast("int").alias("entry"), F.trim(F.regexp_replace(x, r"^\d+[):]\s*", "")).alias("address")))
+    """What a record in boxes says of places: main (address, city) of its SA, else its LA; zip of its DZIP; stations (station, address, city)
+    of its SLA entries, without what follows /LSO, /DPI or /SN; contracts of its /CNUM marks, each once, sorted. Null or empty where it doesn't say."""
+    found = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+    main = F.coalesce(found(r"\bSA\s+[!|]([^!\n]+)"), found(r"\bLA\s+[!|]([^!\n]+)"))
+    entry = lambda x: F.regexp_replace(F.rtrim(F.trim(F.regexp_extract(x, STATION, 2)), F.lit(",")), r"\s*/(?:LSO|DPI|SN)\b.*$", "")
+    stations = F.transform(F.regexp_extract_all(text, F.lit(STATION), 0), lambda x: F.struct(F.regexp_extract(x, STATION, 1).alias("station"), _place(entry(x))["address"].alias("address"), _place(entry(x))["city"].alias("city")))
+    contracts = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"/CNUM\s+(\S+)"), 1)))
+    return F.struct(F.when(main.isNotNull(), _place(main)).alias("main"), F.when(main.isNotNull(), found(r"\bDZIP\s+[!|](\d+)")).alias("zip"), stations.alias("stations"), contracts.alias("contracts"))
+
+
+def address_context(table: Column) -> Column:
+    """The table as text for an extraction provider; empty if it says nothing."""
+    line = lambda label, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(label), value))
+    stations = F.transform(table["stations"], lambda s: F.concat(F.lit("  SLA "), s["station"], F.lit(" = "), s["address"], F.coalesce(F.concat(F.lit(", "), s["city"]), F.lit(""))))
+    more = F.size(table["contracts"]) > 1
+    lines = F.array(
+        F.when(table["main"].isNotNull(), F.concat(F.lit("DEFAULT_ADDRESS: "), table["main"]["address"])), line("DEFAULT_CITY: ", table["main"]["city"]), line("DEFAULT_ZIP: ", table["zip"]),
+        F.when(F.size(stations) > 0, F.concat(F.lit("SLA_LOOKUP_TABLE:\n"), F.array_join(stations, "\n"))), line("CONTRACT_NUMBER: ", F.try_element_at(table["contracts"], F.lit(1))),
+        F.when(more, F.concat(F.lit("CONTRACT_NUMBERS_ALT: "), F.array_join(F.slice(table["contracts"], F.lit(2), F.greatest(F.size(table["contracts"]) - 1, F.lit(0))), ", "))))
+    said = F.filter(lines, lambda x: x.isNotNull())
+    return F.when(F.size(said) > 0, F.concat(F.lit("\n--- ADDRESS LOOKUP TABLE ---\n"), F.array_join(said, "\n"), F.lit("\n--- END ADDRESS TABLE ---\n"))).otherwise("")
+
+
+def placed_lines(docs: DataFrame, doc_id: str = "doc_id", column: str = "text") -> DataFrame:
+    """doc_id, line, line_text, station, address, city: each line of a record, with the place of the station that its /SLA names, else the
+    record's main one. Lines join the entries of their own record; of equal stations the last entry counts."""
+    told = docs.select(doc_id, column, address_table(F.col(column)).alias("t"))
+    lines = told.select(doc_id, "t.main", F.posexplode(F.split(column, "\n")).alias("line", "line_text")).withColumn("station", F.nullif(F.regexp_extract("line_text", r"/SLA\s+(\d+)", 1), F.lit("")))
+    entries = told.select(doc_id, F.posexplode("t.stations").alias("at", "s")).groupBy(doc_id, F.col("s.station").alias("station")).agg(F.max_by("s", "at").alias("own"))
+    place = lambda f: F.when(F.col("own").isNotNull(), F.col(f"own.{f}")).otherwise(F.col(f"main.{f}"))
+    return lines.join(entries, [doc_id, "station"], "left").select(doc_id, "line", "line_text", "station", place("address").alias("address"), place("city").alias("city"))
 
 
 def context(carrier: Column, text: Column, size: int = 500) -> Column:
@@ -106,8 +153,13 @@ def context(carrier: Column, text: Column, size: int = 500) -> Column:
 
 
 def summary_section(name: Column, text: Column) -> Column:
-    """The totals of the section that a format names."""
-    return F.when(name == "location_summary", F.to_json(location_totals(text))).when(name == "revenue_amounts", revenue_total(text).cast("string"))
+    """As JSON, what the section that a format names for validation says; null if it says nothing or the name is unknown."""
+    locations, codes = location_totals(text), code_descriptions(text)
+    told = lambda label, entries: F.when(F.size(entries) > 0, F.to_json(F.struct(F.map_from_entries(entries).alias(label))))
+    return (
+        F.when(name == "LOCATION SUMMARY", told("location_summary", locations))
+        .when(name == "---REVENUE AMOUNTS---", F.when(revenue_total(text).isNotNull(), F.to_json(F.struct(revenue_total(text).alias("revenue_total")))))
+        .when(name == "SERV & EQUIP ACCOUNT SUMMARY", told("usoc_summary", codes)))
 
 
 def prompt(carrier: Column, kind: Column, body: Column, codes: Column, examples: Column, hints: Column) -> Column:
@@ -116,11 +168,32 @@ def prompt(carrier: Column, kind: Column, body: Column, codes: Column, examples:
     return F.concat(F.lit("Carrier: "), carrier, F.lit("\nDocument: "), kind, part("Codes", codes, 50), part("Examples", examples, 3), part("Corrections", hints, 10), F.lit("\n\n"), body)
 
 
-def lines_above(text: Column, marker: str, most: int = 5) -> Column:
-    """At most five lines above the first line that has the marker."""
-    lines = F.split(text, "\n")
-    at = F.array_position(F.transform(lines, lambda x: x.rlike(marker)), True).cast("int")
-    begin = F.greatest(at - most, F.lit(1))
-    return F.when(at > 1, F.slice(lines, begin, at - begin)).otherwise(F.array().cast("array<string>"))
+# Fixed value: a line with one of these, in any case, ends an address block.
+ADDRESS_STOPS = r"(?i)AccountNumber:|TotalForAccount|MonthlyCharges|SecurityCode:|ChargeDetails|Date\s+Description|Subtotal|PastDue"
+
+
+def _above(before: Column, most: int) -> Column:
+    """The lines right above the last one, upwards to an empty or a stop line."""
+    lines = F.split(before, "\n")
+    near = F.slice(F.reverse(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))), 1, most)
+    end = F.array_position(F.transform(near, lambda x: (F.trim(x) == "") | x.rlike(ADDRESS_STOPS)), True).cast("int")
+    own = F.when(end > 0, F.slice(near, F.lit(1), F.greatest(end - 1, F.lit(0)))).otherwise(near)
+    return F.array_join(F.reverse(F.transform(own, lambda x: F.trim(x))), "\n")
+
+
+def address_blocks(text: Column, pattern: str, most: int = 5) -> Column:
+    """Of every place where the pattern matches the account (its first group) and the address above: at most five lines, which end at an
+    empty line or one of charges. Without an account or a line there is no entry; of equal accounts the last one counts.
+
+    One pass over the text: only its last lines are carried from match to match."""
+    kept = F.lit(None).cast("array<struct<account:string,address:string>>")
+    begin = F.struct(F.lit("").alias("tail"), F.coalesce(kept, F.array().cast("array<struct<account:string,address:string>>")).alias("found"))
 
+    def step(state: Column, piece: Column) -> Column:
+        at = F.struct(F.regexp_extract(piece, f"^(?:{pattern})", 1).alias("account"), _above(state["tail"], most).alias("address"))
+        hit = piece.rlike(f"^(?:{pattern})") & (at["account"] != "") & (at["address"] != "")
+        lines = F.split(F.concat(state["tail"], piece), "\n")
+        tail = F.array_join(F.slice(lines, F.greatest(F.size(lines) - most, F.lit(1)), F.lit(most + 1)), "\n")
+        return F.struct(tail.alias("tail"), F.when(hit, F.array_append(state["found"], at)).otherwise(state["found"]).alias("found"))
 
+    return _last_of(F.aggregate(F.split(text, f"(?={pattern})"), begin, step, lambda s: s["found"]), "account")

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions import text as X
 from ..schema import ACCOUNTS, CATEGORY, DATES, INTEGERS, MONEY, PHONES
-from .graph import connected, cut
+from .graph import cut, numbered
 
 ACCOUNT_LIKE = [*ACCOUNTS, "contract_number", "contract_number_2"]
 AMOUNTS = [*MONEY, "rate", "ld_minutes"]
@@ -44,11 +43,11 @@ def candidate_keys() -> Column:
 
 
 def pair_in_order(golden: DataFrame, extracted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """golden_id, extracted_id: the n-th row of a key with the n-th."""
-    def numbered(d: DataFrame, name: str) -> DataFrame:
-        return d.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("row_seq"))).select(*keys, "_n", F.col("row_id").alias(name))
-
-    return numbered(golden, "golden_id").join(numbered(extracted, "extracted_id"), [*keys, "_n"]).select("golden_id", "extracted_id")
+    """golden_id, extracted_id: the n-th row of a key with the n-th. A key may hold any share of the rows (numbered)."""
+    both = golden.select(*keys, "row_seq", "row_id", F.lit("g").alias("side")).unionByName(extracted.select(*keys, "row_seq", "row_id", F.lit("e").alias("side")))
+    at = numbered(both, [*keys, "side"], ("row_seq", "row_id"))
+    golden_rows = at.filter("side = 'g'").select(*keys, "n", F.col("row_id").alias("golden_id"))
+    return golden_rows.join(at.filter("side = 'e'").select(*keys, "n", F.col("row_id").alias("extracted_id")), [*keys, "n"]).select("golden_id", "extracted_id")
 
 
 def _rest(df: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
@@ -70,32 +69,29 @@ def pair_by_content(golden: DataFrame, extracted: DataFrame, key: str) -> DataFr
 
 
 def pair_by_any_account(golden: DataFrame, extracted: DataFrame) -> DataFrame:
-    """Rows left over meet under any account they name; each golden row takes the first free row, in order. Groups are accounts that
-    touch, and rows are taken greedily, so a group is solved in one place."""
-    def long(d: DataFrame, side: str) -> DataFrame:
-        return d.select("row_id", "row_seq", F.explode(candidate_keys()).alias("k"), F.lit(side).alias("side"))
-
-    both = long(golden, "g").unionByName(long(extracted, "e"))
-    key = F.split("k", r"\|")[0]
-    links = both.groupBy("side", "row_id").agg(F.min(key).alias("a"), F.collect_set(key).alias("all")).select(F.explode("all").alias("b"), "a").filter("a != '' and b != ''")
-    group = connected(links).select(F.col("id").alias("_acct"), F.col("root").alias("grp"))
-    ready = both.withColumn("_acct", key).join(group, "_acct", "left").withColumn("grp", F.coalesce("grp", "_acct"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        free: dict[str, list] = {}
-        for r in pdf[pdf.side == "e"].sort_values("row_seq").itertuples():
-            free.setdefault(r.k, []).append(r.row_id)
-        used, out = set(), []
-        golden_rows = pdf[pdf.side == "g"].sort_values("row_seq")
-        for rid, ks in golden_rows.groupby("row_id", sort=False)["k"]:
-            hit = next((x for k in ks for x in free.get(k, ()) if x not in used), None)
-            if hit is not None:
-                used.add(hit)
-                out.append((rid, hit))
-        return pd.DataFrame(out, columns=["golden_id", "extracted_id"])
-
-    kind = dict(golden.dtypes)["row_id"]
-    return ready.groupBy("grp").applyInPandas(solve, f"golden_id {kind}, extracted_id {kind}")
+    """golden_id, extracted_id: rows left over meet under any account they name. Keys are taken in the order in which golden rows first name
+    them; at its turn a key pairs its free rows, the n-th with the n-th.
+
+    In rounds: a key has its turn as soon as none of its free rows names an earlier key that is still waiting, so keys that share no rows
+    go at once, and pairs are those of the order. The first key that waits always has its turn. State is a written table a round;
+    rows of a key are numbered by ranges, so one key may hold any share of them."""
+    def named(d: DataFrame, side: str) -> DataFrame:
+        return d.select(F.lit(side).alias("side"), "row_id", "row_seq", F.posexplode(candidate_keys()).alias("place", "k"))
+
+    both = cut(named(golden, "g").unionByName(named(extracted, "e")))
+    first = both.groupBy("k").agg(F.min(F.when(F.col("side") == "g", F.struct("row_seq", "row_id", "place"))).alias("turn"), F.count_if(F.col("side") == "e").alias("n"))
+    waiting = cut(both.drop("place").join(first.filter("turn is not null and n > 0").drop("n"), "k"))
+    pairs: DataFrame | None = None
+    while not waiting.isEmpty():
+        least = waiting.groupBy("side", "row_id").agg(F.min("turn").alias("least"))
+        ready = waiting.join(least, ["side", "row_id"]).groupBy("k").agg(F.bool_and(F.col("turn") <= F.col("least")).alias("ready")).filter("ready").select("k")
+        ready = cut(ready)
+        turn = waiting.join(ready, "k", "left_semi")
+        own = cut(pair_in_order(turn.filter("side = 'g'"), turn.filter("side = 'e'"), ["k"]))
+        pairs = own if pairs is None else pairs.unionByName(own)
+        taken = own.select(F.lit("g").alias("side"), F.col("golden_id").alias("row_id")).unionByName(own.select(F.lit("e").alias("side"), F.col("extracted_id").alias("row_id")))
+        waiting = cut(waiting.join(ready, "k", "left_anti").join(taken, ["side", "row_id"], "left_anti"))
+    return both.select(F.col("row_id").alias("golden_id"), F.col("row_id").alias("extracted_id")).limit(0) if pairs is None else pairs
 
 
 def match_rows(golden: DataFrame, extracted: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions import text as X
+from .graph import running
 
 ACTIVE, FAILED = ("extracting", "classifying", "cancel_requested", "merging"), ("error", "interrupted", "cancelled")
 
@@ -81,11 +82,25 @@ def key_overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return both.agg(F.count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("shared"), F.count_if(F.col("b") == 0).alias("only_a"), F.count_if(F.col("a") == 0).alias("only_b"))
 
 
-def spend(calls: DataFrame, cap: float = 100.0, warn_share: float = 0.8) -> DataFrame:
-    """Calls: backend, tier, tokens_in, tokens_out."""
-    cost = calls.withColumn("cost", terms.token_cost(F.col("tier"), F.col("tokens_in"), F.col("tokens_out")))
-    by = cost.groupBy("backend").agg(F.round(F.sum("cost"), 4).alias("cost"))
-    return by.withColumn("state", F.when(F.col("cost") >= cap, "blocked").when(F.col("cost") >= cap * warn_share, "warning").otherwise("ok"))
+def ledger(calls: DataFrame, order: Sequence[str], cap: float = 100.0, warn_share: float = 0.8) -> DataFrame:
+    """Calls: backend, tier, tokens_in, tokens_out and the columns that order them. Adds cost, total (spent before the call) and state: a call is
+    blocked from the one on that finds the cap reached, and costs nothing then; a warning from the share on. No cap (0): never blocked.
+
+    The total runs over all calls in ranges of their order: sums of ranges first, then rows within a range; no window holds all calls."""
+    cost = F.greatest(terms.token_cost(F.col("tier"), F.col("tokens_in"), F.col("tokens_out")), F.lit(0.0)).cast("decimal(18,8)")
+    told = running(calls.withColumn("cost", cost), order, "cost", "total")
+    if cap <= 0:
+        return told.withColumn("state", F.lit("ok"))
+    state = F.when(F.col("total") >= cap, "blocked").when(F.col("total") >= cap * warn_share, "warning").otherwise("ok")
+    return told.withColumn("state", state).withColumn("cost", F.when(F.col("state") == "blocked", F.lit(0)).otherwise(F.col("cost")).cast("decimal(18,8)"))
+
+
+def spend(calls: DataFrame, order: Sequence[str], cap: float = 100.0, warn_share: float = 0.8) -> DataFrame:
+    """What was spent by backend, and in total (backend null), with calls made and blocked, to six places."""
+    rows = ledger(calls, order, cap, warn_share)
+    by = rows.groupBy("backend").agg(F.sum("cost").alias("cost"), F.count_if(F.col("state") != "blocked").alias("made"), F.count_if(F.col("state") == "blocked").alias("blocked"))
+    total = by.agg(F.lit(None).cast("string").alias("backend"), F.sum("cost").alias("cost"), F.sum("made").alias("made"), F.sum("blocked").alias("blocked"))
+    return by.unionByName(total).withColumn("cost", F.round(F.col("cost"), 6).cast("double"))
 
 
 def upload_cards(uploads: DataFrame) -> DataFrame:
@@ -99,12 +114,23 @@ def registry_counts(carriers: DataFrame, formats: DataFrame) -> DataFrame:
     return carriers.join(formats.groupBy("key").agg(F.count("*").alias("formats")), "key", "left").withColumn("formats", F.coalesce("formats", F.lit(0)))
 
 
-def error_reasons(errors: DataFrame) -> DataFrame:
-    """Errors: file, at, message. A readable reason each, and the first three of a file in one line."""
-    m = F.lower("message")
-    reason = F.when(m.contains("token") & m.contains("limit"), "Section too large (token limit)").when(m.contains("timeout") | m.contains("timed out"), "Timed out").otherwise(F.left(F.split("message", "\n")[0], F.lit(200)))
-    first = errors.withColumn("reason", reason).withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy("at", "reason"))).filter("_n <= 3")
-    return first.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "reason"))), lambda x: x["reason"]), "; ").alias("summary"))
+def error_reason(section: Column, account: Column, message: Column) -> Column:
+    """One line: too many tokens with both numbers, a timeout with its account, or the message's first line."""
+    name, numbers = F.concat(F.lit("section '"), F.coalesce(section, F.lit("None")), F.lit("'")), r"input token count \((\d+)\) exceeds the maximum.*?\((\d+)\)"
+    n = lambda i: F.format_number(F.regexp_extract(message, numbers, i).try_cast("decimal(38,0)"), 0)
+    large = F.concat(name, F.lit(" too large for the model ("), n(1), F.lit(" input tokens > "), n(2), F.lit(" max). Pre-parser cap should have prevented this — check carrier config."))
+    late = F.concat(name, F.lit(" (sub_account="), F.coalesce(account, F.lit("None")), F.lit(") timed out"))
+    short = F.left(F.split(F.coalesce(message, F.lit("")), r"\r\n|[\n\r]")[0], F.lit(200))
+    is_large = message.contains("INVALID_ARGUMENT") & message.contains("token count") & message.rlike(numbers)
+    return F.when(is_large, large).when(message.contains("TimeoutError") | message.contains("timed out"), late).otherwise(F.concat(name, F.lit(": "), short))
+
+
+def error_reasons(errors: DataFrame, most: int = 3) -> DataFrame:
+    """Errors: file, at, section, sub_account, message. The first three reasons of a file in one line, which says if there are more."""
+    told = errors.select("file", "at", error_reason(F.col("section"), F.col("sub_account"), F.col("message")).alias("reason"))
+    first = told.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy("at", "reason"))).filter(F.col("_n") <= most + 1)
+    lines = F.transform(F.filter(F.array_sort(F.collect_list(F.struct("_n", "reason"))), lambda x: x["_n"] <= most), lambda x: x["reason"])
+    return first.groupBy("file").agg(F.concat(F.array_join(lines, "; "), F.when(F.max("_n") > most, " …").otherwise("")).alias("summary"))
 
 
 def client_counts(clients: DataFrame, uploads: DataFrame, entries: DataFrame) -> DataFrame:

@@ -113,6 +113,19 @@ def resolve(conflicts_: DataFrame, picks: DataFrame) -> DataFrame:
     return conflicts_.join(picks, "conflict_id", "left").withColumn("resolved", F.when(F.lower("pick") == "b", F.col("value_b")).otherwise(F.col("value_a")))
 
 
+def apply_picks(merged: DataFrame, conflicts_: DataFrame, picks: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """J34 (write-back into rows): merged rows with the picked values of their conflicts; conflicts that nobody decided leave the row as the rules
+    made it. Of several decided conflicts of one key and field, the one with the last document of side b counts. Picks of unknown ids do nothing.
+
+    One patch a key, no larger than the record, and one join: rows aren't exploded."""
+    decided = resolve(conflicts_, picks.groupBy("conflict_id").agg(F.max("pick").alias("pick"))).filter(F.col("pick").isNotNull() & F.col("field").isin(*fields))
+    last = decided.groupBy(*keys, "field").agg(F.max_by("resolved", F.struct("doc_b", "conflict_id")).alias("value"))
+    patch = last.groupBy(*(F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys))).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_patch"))
+    kinds = dict(merged.dtypes)
+    patched = merged.join(patch, _all_of([F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]), "left")
+    return patched.withColumns({f: F.coalesce(F.col("_patch")[f].cast(kinds[f]), F.col(f)) for f in fields}).select(*merged.columns)
+
+
 def cluster_services(df: DataFrame, key: str, least_share: float = 0.6) -> DataFrame:
     """Number rows of a merge key by service: each joins the first cluster whose first row is the same service.
 

@@ -46,7 +46,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from . import inventory, more, texts  # noqa: F401
+    from . import inventory, more, records, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -109,14 +109,6 @@ def _(x):
     return x.select("id", X.whole(F.col("c")).alias("n"))
 
 
-@orders("f37_salvaged_json", f"""CASE o_orderkey % 4 WHEN 0 THEN '[{{"a": "' || {K} || '"}}]' WHEN 1 THEN 'Here:' || chr(10) || '```json' || chr(10) || '[{{"a": "' || {K} || '"}}, {{"a": "y"}}]' || chr(10) || '```' WHEN 2 THEN 'text [{{"a": "z"}}] more' ELSE 'nothing' END AS c""",
-        "SELECT id, CASE id % 4 WHEN 0 THEN cast(id AS string) WHEN 1 THEN cast(id AS string) WHEN 2 THEN 'z' END AS first, CASE id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 END AS n FROM x")
-def _(x):
-    """F37."""
-    s = terms.salvaged_json(F.col("c"))
-    return x.select("id", F.try_element_at(s, F.lit(1))["a"].alias("first"), F.when(s.isNotNull(), F.size(s)).alias("n"))
-
-
 @orders("f39_flags", f"CASE WHEN o_orderkey % 2 = 0 THEN 'error' ELSE 'info' END AS severity, {K} AS k", """SELECT id, '[' || severity || '] rate: off by ' || k || '; [info] term: none' AS shown, '[{"check":"rate","severity":"' || severity || '","message":"off by ' || k || '"},{"check":"term","severity":"info","message":"none"}]' AS stored FROM x""")
 def _(x):
     """F38, F39."""
@@ -317,13 +309,6 @@ def _(x):
     return classify.tallies(x)
 
 
-@orders("a28_error_reasons", f"'f' || cast(o_custkey % 100 AS string) AS file, o_orderkey AS seq, CASE o_orderkey % 3 WHEN 0 THEN 'Token count over the LIMIT' WHEN 1 THEN 'request timed out' ELSE 'bad page ' || {K} || chr(10) || 'trace' END AS message",
-        ", r AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY seq) AS n, CASE id % 3 WHEN 0 THEN 'Section too large (token limit)' WHEN 1 THEN 'Timed out' ELSE 'bad page ' || cast(id AS string) END AS reason FROM x) SELECT file, string_agg(reason, '; ' ORDER BY n) AS summary FROM r WHERE n <= 3 GROUP BY 1")
-def _(x):
-    """A28."""
-    return marts.error_reasons(x.withColumnRenamed("seq", "at"))
-
-
 @inv("l5_document_order", "SELECT row_id, row_number() OVER (PARTITION BY upload_id ORDER BY CASE doc_type WHEN 'invoice' THEN 10 WHEN 'csr' THEN 8 WHEN 'contract' THEN 7 ELSE 5 END DESC, (city IS NOT NULL)::int + (usoc IS NOT NULL)::int DESC, row_id) AS n FROM inv")
 def _(df):
     """By document type, then by fullness."""
@@ -441,24 +426,6 @@ def _(x):
     return chunk.by_markers(x, ["---LISTINGS---", "---BILL---"]).select("id", "section_name", F.length("section_text").alias("n"))
 
 
-@orders("t7_location_totals", f"'x' || chr(10) || 'LOCATION SUMMARY' || chr(10) || '12345 Main $1.00 $' || {K} || '.50' || chr(10) || 'TOTAL $9.00' AS text", "SELECT id, '12345' AS account, id + 0.5 AS total, 9.0::double AS revenue FROM x")
-def _(x):
-    """T7."""
-    return x.select("id", F.explode(chunk.location_totals(F.col("text"))).alias("t"), chunk.revenue_total(F.col("text")).alias("revenue")).select("id", "t.account", "t.total", "revenue")
-
-
-@orders("t8_address_entries", f"'001: ' || {K} || ' Main St' || chr(10) || 'x' || chr(10) || ' 12) 5 Oak Ave' AS text", "SELECT id, entry, address FROM (SELECT id, unnest([1, 12]) AS entry, unnest([cast(id AS string) || ' Main St', '5 Oak Ave']) AS address FROM x)")
-def _(x):
-    """T8."""
-    return x.select("id", F.explode(chunk.address_table(F.col("text"))).alias("t")).select("id", "t.*")
-
-
-@orders("t10_summary_section", f"CASE WHEN o_orderkey % 2 = 0 THEN 'revenue_amounts' ELSE 'other' END AS name, 'TOTAL: $' || {K} || '.25' AS text", "SELECT id, CASE WHEN id % 2 = 0 THEN cast(id + 0.25 AS double) END AS said FROM x")
-def _(x):
-    """T10."""
-    return x.select("id", chunk.summary_section(F.col("name"), F.col("text")).cast("double").alias("said"))
-
-
 @orders("t11_prompt", f"'B' || {K} AS body", "SELECT id, 'Carrier: att' || chr(10) || 'Document: invoice' || chr(10) || 'Codes:' || chr(10) || '1MB' || chr(10) || chr(10) || body AS prompt FROM x")
 def _(x):
     """T11."""
@@ -466,12 +433,6 @@ def _(x):
     return x.select("id", chunk.prompt(F.lit("att"), F.lit("invoice"), F.col("body"), F.array(F.lit("1MB")), none, none).alias("prompt"))
 
 
-@orders("s21_lines_above", f"'a' || chr(10) || {K} || chr(10) || 'c' || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN 'Total due' ELSE 'z' END AS text", "SELECT id, CASE WHEN id % 2 = 0 THEN 'a|' || cast(id AS string) || '|c' ELSE '' END AS above FROM x")
-def _(x):
-    """S21."""
-    return x.select("id", F.array_join(chunk.lines_above(F.col("text"), "Total"), "|").alias("above"))
-
-
 @orders("s18_scanned", "o_orderkey % 3 AS k", "SELECT cast(id AS string) AS doc_id, 2::bigint AS pages, k = 0 AS scanned FROM x")
 def _(x):
     """Documents none of whose pages has text."""

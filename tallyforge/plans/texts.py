@@ -165,13 +165,6 @@ def live(spark, sf_dir):
     return marts.live(o.select(status.alias("status"), F.when(F.col("o_orderkey") % 10 == 0, F.col("o_orderdate")).alias("deleted_at"), F.col("o_orderdate").alias("created_at"), (F.col("o_orderkey") % 5).alias("n_files"))).drop("oldest_active")
 
 
-@query("a22_spend", "SELECT event_type AS backend, round(sum((user_id % 1000) * 0.15 + event_id * 0.60) / 1e6, 4) AS cost FROM events GROUP BY 1")
-def spend(spark, sf_dir):
-    """A22, F35."""
-    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("backend"), F.lit("flash").alias("tier"), (F.col("user_id") % 1000).alias("tokens_in"), F.col("event_id").alias("tokens_out"))
-    return marts.spend(e).select("backend", "cost")
-
-
 @query("j26_client_counts", "SELECT c_custkey AS client_id, coalesce(o.n, 0) AS uploads, coalesce(e.n, 0) AS entries FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON c_custkey = o_custkey LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) e ON c_custkey = user_id")
 def client_counts(spark, sf_dir):
     """J26."""
