@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.automaton import occurrences
 
 
 def by_filename(files: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -34,18 +35,26 @@ def by_content(files: DataFrame, signals: list[tuple[str, list[str], list[tuple[
 
 
 def deep_scan(files: DataFrame, registry: list[tuple[str, str, list[str], list[str]]], least: int = 5, lead: float = 2.0) -> DataFrame:
-    """Points by carrier: 5 for an alias, 10 for the name, 2 for each account number; the best wins with enough points and
-    twice the next one's. registry: (key, name, aliases, account patterns)."""
-    text = F.col("text")
-    def points(name: str, aliases: list[str], accounts: list[str]) -> Column:
-        has = X.any_of([X.alias_hits(text, a) > 0 for a in aliases])
-        return F.when(has, 5).otherwise(0) + F.when(F.lower(text).contains(name.lower()), 10).otherwise(0) + sum((F.size(F.regexp_extract_all(text, F.lit(p), 0)) * 2 for p in accounts), F.lit(0))
-
-    scores = F.array(*(F.struct(points(n, a, p).alias("points"), F.lit(-i).alias("at"), F.lit(k).alias("carrier")) for i, (k, n, a, p) in enumerate(registry)))
-    ranked = F.reverse(F.array_sort(scores))
-    top, second = ranked[0], F.coalesce(F.try_element_at(ranked, F.lit(2))["points"], F.lit(0))
-    wins = (top["points"] >= least) & (top["points"] >= lead * second)
-    return files.withColumns({"carrier": F.when(wins, top["carrier"]), "points": top["points"], "runner_up": second})
+    """Points by carrier: 5 for an alias (of four letters at least, as words), 10 for the name, 2 for each account number; the best wins with
+    enough points and twice the next one's; of equals the first. registry: (key, name, aliases, account patterns).
+
+    All names and aliases are looked for in one pass (occurrences); a pattern of accounts that several carriers have is searched once. Only
+    carriers with a hit are compared."""
+    patterns = [(2 * i, name, False) for i, (_, name, _, _) in enumerate(registry)] + [(2 * i + 1, a, True) for i, (_, _, aliases, _) in enumerate(registry) for a in aliases if len(a) >= 4]
+    owners: dict[str, list[int]] = {}
+    for i, (_, _, _, accounts) in enumerate(registry):
+        for p in accounts:
+            owners.setdefault(p, []).append(i)
+    text, kind = F.coalesce("text", F.lit("")), "array<struct<at:int,points:int>>"
+    hits = F.transform("_found", lambda h: F.struct((h["i"] / 2).cast("int").alias("at"), F.when(h["i"] % 2 == 0, 10).otherwise(5).alias("points"))).cast(kind)
+    numbers = [F.when(F.size(F.regexp_extract_all(text, F.lit(p), 0)) > 0, F.array(*(F.struct(F.lit(i).alias("at"), (F.size(F.regexp_extract_all(text, F.lit(p), 0)) * 2).alias("points")) for i in own))).otherwise(F.array().cast(kind)).cast(kind) for p, own in owners.items()]
+    found = files.withColumn("_found", occurrences(files.sparkSession, text, patterns)).withColumn("_hits", F.concat(hits, *numbers))
+    total = lambda at: F.aggregate(F.filter("_hits", lambda h: h["at"] == at), F.lit(0), lambda s, h: s + h["points"])
+    ranked = F.reverse(F.array_sort(F.transform(F.array_distinct(F.transform("_hits", lambda h: h["at"])), lambda at: F.struct(total(at).alias("points"), (-at).alias("at")))))
+    top, second = F.try_element_at("_ranked", F.lit(1)), F.coalesce(F.try_element_at("_ranked", F.lit(2))["points"], F.lit(0))
+    points = F.coalesce(top["points"], F.lit(0))
+    key = F.try_element_at(F.array(*(F.lit(r[0]) for r in registry)), 1 - top["at"]) if registry else F.lit(None).cast("string")
+    return found.withColumn("_ranked", ranked).withColumns({"carrier": F.when((points >= least) & (points >= lead * second), key), "points": points, "runner_up": second}).drop("_found", "_hits", "_ranked")
 
 
 def signature(text: Column, required: list[str], any_of: list[str]) -> Column:
@@ -76,16 +85,28 @@ def reclassify(rows: DataFrame, files: DataFrame, share: float = 0.6) -> DataFra
     return out.withColumns({"reclassified": F.coalesce(moves, F.lit(False)), "carrier": F.when(moves, F.col("voted")).otherwise(F.col("carrier"))}).drop("voted")
 
 
+def _parts(c: Column, lengths: list[int]) -> Column:
+    """All parts of a text that have one of the lengths."""
+    of = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(*map(of, lengths)))) if lengths else F.array().cast("array<string>")
+
+
 def match_names(names: DataFrame, registry: DataFrame) -> DataFrame:
-    """Names: name. registry: key, display, aliases array, position; bounded. Exact by letters and digits; else the longest alias (three
-    letters at least) that the name holds; else the first alias that holds the name. Distinct names are matched, not rows."""
-    alias = F.broadcast(registry.select("key", "display", "position", F.explode(F.array_union(F.array("display"), F.coalesce("aliases", F.array()))).alias("alias")).withColumn("a", X.name_key(F.col("alias"))).filter("a != ''"))
+    """Names: name. registry: key, display, aliases array, position. Exact by letters and digits; else the longest alias (three letters at least)
+    that the name holds; else the first alias that holds the name. Of equals the first carrier.
+
+    Distinct names are matched, not rows, and by equality: parts of a name as long as some alias meet aliases, parts of aliases meet names.
+    No side is broadcast, and no name is compared with every alias."""
+    alias = registry.select(F.struct("position", "key", "display").alias("c"), F.explode(F.array_union(F.array("display"), F.coalesce("aliases", F.array()))).alias("alias")).select("c", X.name_key(F.col("alias")).alias("a")).filter("a != ''")
+    alias = alias.groupBy("a").agg(F.min("c").alias("c"))
     asked = names.select("name").distinct().withColumn("n", X.name_key(F.col("name"))).filter("n != ''")
-    a, n = F.col("a"), F.col("n")
-    turn = F.when(a == n, 1).when((F.length(a) >= 3) & n.contains(a), 2).when((F.length(n) >= 3) & a.contains(n), 3)
-    hits = asked.join(alias, (a == n) | n.contains(a) | a.contains(n)).withColumn("turn", turn).filter("turn is not null")
-    size = F.when(F.col("turn") == 2, -F.length("a")).otherwise(0)
-    best = hits.groupBy("name").agg(F.min_by(F.struct("key", "display"), F.struct("turn", size, "position")).alias("m"))
+    lengths = sorted(r["n"] for r in alias.select(F.length("a").alias("n")).filter("n >= 3").distinct().collect())
+    exact = asked.join(alias, F.col("a") == F.col("n")).select("name", F.lit(1).alias("turn"), F.lit(0).alias("size"), "c")
+    within = asked.select("name", F.explode(_parts(F.col("n"), lengths)).alias("a")).join(alias, "a").select("name", F.lit(2).alias("turn"), (-F.length("a")).alias("size"), "c")
+    every = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("a") - 2), lambda i: F.transform(F.sequence(F.lit(3), F.length("a") - i + 1), lambda n: F.substr("a", i, n)))))
+    parts = alias.filter(F.length("a") >= 3).select("c", F.explode(every).alias("n")).groupBy("n").agg(F.min("c").alias("c"))
+    around = asked.join(parts, "n").select("name", F.lit(3).alias("turn"), F.lit(0).alias("size"), "c")
+    best = exact.unionByName(within).unionByName(around).groupBy("name").agg(F.min_by("c", F.struct("turn", "size", "c")).alias("m"))
     return names.join(best, "name", "left").select(*names.columns, F.coalesce("m.display", F.trim("name")).alias("canonical"), F.col("m").isNotNull().alias("registered"), F.col("m.key").alias("carrier_key"))
 
 

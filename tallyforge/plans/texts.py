@@ -48,9 +48,11 @@ def content_signals(spark, sf_dir):
     return classify.by_content(table(spark, sf_dir, "documents"), [("b", [" the "], []), ("a", ["license"], [("invoice", "MIT"), ("csr", "GNU")])]).select("doc_id", "carrier", "doc_type")
 
 
-@query("j18_deep_scan")
+@query("j18_deep_scan", r"""WITH p AS (SELECT doc_id, 5 * regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])license($|[^\p{L}\p{N}_])')::int + 10 * contains(lower(text), 'mit license')::int + 2 * len(regexp_extract_all(text, '[0-9]{3}-[0-9]{4}')) AS mit,
+ 5 * regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])version($|[^\p{L}\p{N}_])')::int + 10 * contains(lower(text), 'gnu')::int + 2 * len(regexp_extract_all(text, '\b[0-9]{5}\b')) AS gnu FROM documents)
+SELECT doc_id, CASE WHEN greatest(mit, gnu) >= 5 AND greatest(mit, gnu) >= 2 * least(mit, gnu) THEN CASE WHEN mit >= gnu THEN 'mit' ELSE 'gnu' END END AS carrier, greatest(mit, gnu)::int AS points FROM p""")
 def deep_scan(spark, sf_dir):
-    """Word boundaries and counts; tests hold it against small cases."""
+    """Word boundaries and counts."""
     return classify.deep_scan(table(spark, sf_dir, "documents"), [("mit", "MIT License", ["license"], [r"\d{3}-\d{4}"]), ("gnu", "GNU", ["version"], [r"\b\d{5}\b"])]).select("doc_id", "carrier", "points")
 
 
