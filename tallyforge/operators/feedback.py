@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .graph import numbered
 
 
 def hints(corrections: DataFrame, least: int = 2, most: int = 20, only_extraction: bool = True) -> DataFrame:
@@ -56,6 +61,57 @@ def nearest(vectors: DataFrame, query: list[float], most: int = 10, ident: str =
     return vectors.withColumn("similarity", F.round(cosine(F.col("embedding"), F.array(*(F.lit(float(x)) for x in query))), 6)).orderBy(F.desc("similarity"), ident).limit(most)
 
 
+#: Rows of a block of corrections and of one of questions; a task multiplies one by the other.
+BLOCK_ROWS, QUESTION_ROWS = 4_096, 512
+
+
+def _packed(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """carrier and blocks of at most `size` rows: arrays of the keys and of the vectors. Rows are dealt by ranges, so a carrier may hold any share."""
+    at = numbered(rows, ["carrier"], keys, "_n").withColumn("_block", F.floor((F.col("_n") - 1) / size))
+    return at.groupBy("carrier", "_block").agg(F.collect_list(F.struct(*keys, "embedding")).alias("rows"))
+
+
+def similar_corrections(corrections: DataFrame, questions: DataFrame, most: int = 10) -> DataFrame:
+    """Corrections: corr_id, carrier, field_name, extracted_value, corrected_value, root_cause, embedding. questions: q_id, carrier, embedding.
+    q_id, corr_id, similarity: of each question the `most` nearest corrections of its carrier with an extraction cause, by cosine (six
+    places, of equals the lower id). Vectors of zeros or null are near nothing.
+
+    Blocks of corrections meet blocks of questions of their carrier; a task multiplies the two matrices and keeps the best of each question,
+    which are then merged: work is questions times corrections, the rows between tasks are `most` a question and block."""
+    known = corrections.filter((F.col("root_cause") == "EXTRACTION") & F.col("embedding").isNotNull()).select("carrier", F.col("corr_id").cast("long").alias("corr_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = questions.filter("embedding is not null").select("carrier", F.col("q_id").cast("long").alias("q_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    pairs = _packed(known, ["corr_id"], BLOCK_ROWS).select("carrier", F.col("rows").alias("k")).join(_packed(asked, ["q_id"], QUESTION_ROWS).select("carrier", F.col("rows").alias("q")), "carrier")
+
+    def unit(block: list[dict]) -> np.ndarray:
+        m = np.array([r["embedding"] for r in block], float)
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(size > 0, size, np.nan)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, q in zip(batch.column(0), batch.column(1), strict=True):
+                k, q = k.as_py(), q.as_py()
+                ids, likeness = np.array([r["corr_id"] for r in k]), np.round(unit(q) @ unit(k).T, 6)
+                for i, row in enumerate(likeness):
+                    order = np.lexsort((ids, -row))[:most]
+                    order = order[~np.isnan(row[order])]
+                    if len(order):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), q[i]["q_id"])), pa.array(ids[order]), pa.array(row[order])], names=["q_id", "corr_id", "similarity"])
+
+    near = pairs.select("k", "q").mapInArrow(best, "q_id long, corr_id long, similarity double")
+    at = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("similarity"), "corr_id"))
+    return near.withColumn("_at", at).filter(F.col("_at") <= most).drop("_at")
+
+
+def similar_hints(corrections: DataFrame, questions: DataFrame, most: int = 10, least: int = 2) -> DataFrame:
+    """q_id, field_name, correct_value, wrong_value, n: what at least two of a question's nearest corrections agree on; the wrong value is that of
+    the nearest."""
+    near = similar_corrections(corrections, questions, most)
+    told = near.join(corrections.select(F.col("corr_id").cast("long").alias("corr_id"), "field_name", "extracted_value", "corrected_value"), "corr_id")
+    groups = told.groupBy("q_id", "field_name", F.col("corrected_value").alias("correct_value")).agg(F.min_by(F.coalesce("extracted_value", F.lit("")), F.struct(-F.col("similarity"), "corr_id")).alias("wrong_value"), F.count("*").alias("n"))
+    return groups.filter(F.col("n") >= least)
+
+
 def top_fields(corrections: DataFrame, most: int = 15) -> DataFrame:
     """A9."""
     return corrections.groupBy("field_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "field_name").limit(most)

@@ -66,9 +66,9 @@ def after_merge(df: DataFrame, r: Rules, today: Column) -> DataFrame:
     out = df.withColumn("service_type", mapped(c("service_type"), r.service_type))
     if r.usoc_service_type:
         out = out.withColumn("service_type", F.coalesce(X.blank_to_null(c("service_type")), F.try_element_at(X.literal_map(r.usoc_service_type), F.upper(F.trim("usoc")))))
-        line = Window.partitionBy(F.nullif(X.digits(c("phone_number")), F.lit("")))
-        given = F.min_by("service_type", F.when(X.blank_to_null(c("service_type")).isNotNull(), F.struct("doc_seq", "row_seq"))).over(line)
-        out = out.withColumn("service_type", F.coalesce(X.blank_to_null(c("service_type")), F.when(X.digits(c("phone_number")) != "", given)))
+        phone = X.digits(c("phone_number"))  # rows without a phone give and take nothing
+        given = out.filter((phone != "") & X.blank_to_null(c("service_type")).isNotNull()).groupBy(phone.alias("_phone")).agg(F.min_by("service_type", F.struct("doc_seq", "row_seq")).alias("_given"))
+        out = out.join(given, phone == F.col("_phone"), "left").withColumn("service_type", F.coalesce(X.blank_to_null(c("service_type")), c("_given"))).drop("_phone", "_given")
     if r.usoc_component:
         code = c("component_or_feature_name")
         out = out.withColumn("component_or_feature_name", F.when((F.length(code) <= 10) & (code == F.upper(code)), mapped(code, r.usoc_component)).otherwise(code))
@@ -176,16 +176,44 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
+def _letters(c: Column) -> Column:
+    """Each character with how often it stood before: equal bags of letters are equal sets of these. Sorted, so that two texts have one order."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    return F.array_sort(F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda y: y == x)).cast("string"))))
+
+
+def near_values(values: DataFrame, words: DataFrame, least: float = FUZZY_RATIO) -> DataFrame:
+    """values: value, distinct. words: word and others. Each pair with a ratio of at least `least`: value, the words' columns, ratio.
+
+    The ratio of texts with m and n characters is at most twice their common letters over m + n. So n lies between m * t / (2 - t) and its
+    inverse, and at least m * t / (2 - t) letters are common: texts that are near share one of the first m - that + 1 of their sorted letters
+    (prefix filter). Pairs meet by equality of such a letter and of length, common letters are counted, and only what may pass is
+    compared: no pair is lost, and no value is compared with every word."""
+    share = least / (2 - least)
+
+    def prepared(d: DataFrame, c: str) -> DataFrame:
+        d = d.filter(F.length(c) > 0).withColumns({f"_s_{c}": _letters(F.col(c)), f"_n_{c}": F.length(c)})
+        need = F.ceil(F.col(f"_n_{c}") * F.lit(share) - F.lit(1e-9)).cast("int")
+        return d.withColumn("_letter", F.explode(F.slice(f"_s_{c}", F.lit(1), F.col(f"_n_{c}") - need + 1)))
+
+    ends = [F.ceil(F.col("_n_value") * F.lit(share) - F.lit(1e-9)).cast("int"), F.floor(F.col("_n_value") / F.lit(share) + F.lit(1e-9)).cast("int")]
+    left = prepared(values, "value").withColumn("_n", F.explode(F.sequence(F.greatest(ends[0], F.lit(1)), F.greatest(ends[1], F.lit(1)))))
+    met = left.join(prepared(words, "word").withColumnRenamed("_n_word", "_n"), ["_letter", "_n"])
+    common = F.size(F.array_intersect("_s_value", "_s_word"))
+    may = met.filter(2 * common >= F.lit(least) * (F.col("_n_value") + F.col("_n")) - F.lit(1e-9)).select("value", *words.columns).distinct()
+    return may.withColumn("ratio", ratio("value", "word")).filter(F.col("ratio") >= least)
+
+
 def vocabulary(df: DataFrame, column: str, allowed: list[str], synonyms: dict[str, str]) -> DataFrame:
     """column_how (exact, synonym, fuzzy, unknown, blank) and the value as the vocabulary spells it.
 
-    Only distinct values that are neither exact nor synonyms are compared by ratio, with a vocabulary whose size is its rules'."""
+    Only distinct values that are neither exact nor synonyms are held against the vocabulary (near_values)."""
     low = F.lower(F.trim(F.col(column)))
     exact = F.try_element_at(X.literal_map({a.lower(): a for a in allowed}), low)
     other = F.try_element_at(X.literal_map({k.lower(): v for k, v in synonyms.items()}), low)
-    words = F.broadcast(df.sparkSession.createDataFrame([(a, i) for i, a in enumerate(allowed)], "_word string, _i int"))
-    rest = df.filter(exact.isNull() & other.isNull() & (low != "")).select(low.alias("_low")).distinct().crossJoin(words).withColumn("_r", ratio("_low", F.lower("_word")))
-    near = rest.filter(F.col("_r") >= FUZZY_RATIO).groupBy("_low").agg(F.max_by("_word", F.struct("_r", -F.col("_i"))).alias("_near"))
+    words = df.sparkSession.createDataFrame([(a.lower(), a, i) for i, a in enumerate(allowed)], "word string, _word string, _i int")
+    rest = df.filter(exact.isNull() & other.isNull() & (low != "")).select(low.alias("value")).distinct()
+    near = near_values(rest, words).groupBy(F.col("value").alias("_low")).agg(F.max_by("_word", F.struct("ratio", -F.col("_i"))).alias("_near"))
     out = df.withColumn("_low", low).join(near, "_low", "left")
     how = F.when(F.coalesce(F.col("_low"), F.lit("")) == "", "blank").when(exact.isNotNull(), "exact").when(other.isNotNull(), "synonym").when(F.col("_near").isNotNull(), "fuzzy").otherwise("unknown")
     return out.withColumns({f"{column}_how": how, column: F.coalesce(exact, other, F.col("_near"), F.col(column))}).drop("_low", "_near")

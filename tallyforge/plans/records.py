@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms
 from ..functions import text as X
-from ..operators import chunk, evaluate, marts, merge
+from ..operators import chunk, evaluate, feedback, marts, merge, normalize
 from .catalogue import query, table
 from .inventory import d, inv
 
@@ -194,3 +194,25 @@ def _(df):
     order = Window.partitionBy("k").orderBy(F.desc(merge.base_order(F.col("doc_type"))), "doc_seq", "row_seq")
     base = keyed.withColumn("_at", F.row_number().over(order)).filter("_at = 1").select("k", "row_type", "city")
     return merge.apply_picks(base, found, picks, ["k"], ["row_type"])
+
+
+# --- likeness ------------------------------------------------------------------------------------------------------------
+
+CORRECTIONS = "c AS (SELECT vec_id, 'c' || (vec_id % 3) AS carrier, 'f' || (label % 4) AS field_name, 'was ' || vec_id AS extracted_value, 'v' || (label % 3) AS corrected_value, embedding::double[] AS e FROM embeddings WHERE vec_id % 7 > 0)"
+
+
+@query("j32_similar_hints", f"""WITH {CORRECTIONS}, q AS (SELECT vec_id AS q_id, 'c' || (vec_id % 3) AS carrier, embedding::double[] AS e FROM embeddings WHERE vec_id % 50 = 0),
+ n AS (SELECT q_id, c.*, round(list_cosine_similarity(q.e, c.e), 6) AS s FROM q JOIN c USING (carrier)), k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, vec_id) AS place FROM n)
+ SELECT q_id, field_name, corrected_value AS correct_value, arg_min(extracted_value, place) AS wrong_value, count(*) AS n FROM k WHERE place <= 10 GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
+def similar_hints(spark, sf_dir):
+    """The questions are the rows whose id is divisible by 50, against all corrections."""
+    v = table(spark, sf_dir, "embeddings").withColumn("carrier", F.concat(F.lit("c"), (F.col("vec_id") % 3).cast("string")))
+    named = v.select(F.col("vec_id").alias("corr_id"), "carrier", F.concat(F.lit("f"), (F.col("label") % 4).cast("string")).alias("field_name"), F.concat(F.lit("was "), F.col("vec_id").cast("string")).alias("extracted_value"), F.concat(F.lit("v"), (F.col("label") % 3).cast("string")).alias("corrected_value"), F.when(F.col("vec_id") % 7 > 0, "EXTRACTION").otherwise("MERGE").alias("root_cause"), "embedding")
+    return feedback.similar_hints(named, v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), "carrier", "embedding"))
+
+
+@query("f24_near_parts")
+def near_parts(spark, sf_dir):
+    """names and brands of parts against all others; tests hold near_values against every pair."""
+    names = table(spark, sf_dir, "part").select(F.lower(F.concat("p_name", F.lit(" "), "p_brand")).alias("value")).distinct()
+    return normalize.near_values(names, names.withColumnRenamed("value", "word")).filter("value < word")

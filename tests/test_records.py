@@ -1,11 +1,14 @@
 """Records in their own shapes, the ledger, matching under any account, picks, ranks and sums by ranges."""
 
+import difflib
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import terms
-from tallyforge.operators import chunk, evaluate, graph, marts, merge
+from tallyforge.operators import chunk, evaluate, feedback, graph, marts, merge, normalize
 
 
 def one(spark, value, f):
@@ -124,3 +127,51 @@ def test_picks_reach_rows(spark):
     picks = spark.createDataFrame([("c1", "b"), ("c2", "B"), ("c3", "b"), ("c4", "a"), ("c5", None), ("zz", "b"), ("c1", "b")], "conflict_id string, pick string")
     got = merge.apply_picks(merged, found, picks, ["k"], ["city", "n"])
     assert got.columns == merged.columns and sorted(map(tuple, got.collect()), key=str) == sorted([("1", "z", 9), (None, "y", 6), ("3", None, 7)], key=str)
+
+
+@pytest.mark.parametrize("least", [0.92, 0.8])
+def test_near_values_lose_no_pair(spark, least):
+    r = random.Random(int(least * 100))
+    base = ["ethernet private line", "voice", "internet", "a", "ab", "managed wifi", "ääö x", "aaaaaaaaab", "x" * 40, "sip trunking 100"]
+
+    def harmed(t):
+        out = list(t)
+        for _ in range(r.randint(0, 2)):
+            i = r.randrange(len(out) + 1)
+            out[i : i + r.randint(0, 1)] = r.choice(["", "e", "x", " ", "ä"])
+        return "".join(out)
+
+    values, words = sorted({harmed(r.choice(base)) for _ in range(120)}), sorted({harmed(b) for b in base * 4})
+    got = normalize.near_values(spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, _i int"), least)
+    want = {(v, w, i) for v in values for i, w in enumerate(words) if v and w and difflib.SequenceMatcher(None, v, w).ratio() >= least}
+    rows = [(x.value, x.word, x._i) for x in got.collect()]
+    assert set(rows) == want and len(rows) == len(want) and len(want) > 50
+
+
+def test_similar_hints_are_those_of_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(feedback, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(feedback, "QUESTION_ROWS", 3)
+    r = random.Random(8)
+    vector = lambda: [r.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]
+    rows = [(i, "a" if i % 3 else "b", f"f{i % 3}", None if i % 9 == 0 else f"w{i}", f"v{i % 2}", "EXTRACTION" if i % 5 else "MERGE", None if i % 11 == 0 else vector()) for i in range(90)]
+    asked = [(i, "a" if i % 2 else "b", vector()) for i in range(11)] + [(50, "none", vector()), (51, "a", None), (52, "a", [0.0] * 4)]
+    got = {(x.q_id, x.field_name, x.correct_value): (x.wrong_value, x.n) for x in feedback.similar_hints(
+        spark.createDataFrame(rows, "corr_id int, carrier string, field_name string, extracted_value string, corrected_value string, root_cause string, embedding array<double>").repartition(3),
+        spark.createDataFrame(asked, "q_id int, carrier string, embedding array<double>")).collect()}
+    want = {}
+    size = lambda v: math.sqrt(sum(x * x for x in v))
+    for q, carrier, v in asked:
+        near = sorted((-round(sum(x * y for x, y in zip(v, e)) / size(v) / size(e), 6), i, f, w, c) for i, k, f, w, c, cause, e in rows if k == carrier and cause == "EXTRACTION" and e and v and size(e) and size(v))[:10]
+        for f, c in {(n[2], n[4]) for n in near}:
+            group = [n for n in near if (n[2], n[4]) == (f, c)]
+            if len(group) >= 2:
+                want[q, f, c] = (group[0][3] or "", len(group))
+    assert got == want and len(want) > 20
+
+
+def test_phone_service_types_of_rows_without_a_phone(spark):
+    rules = normalize.Rules(usoc_service_type={"1MB": "Voice"}, derive_month_to_month=False, derive_billing_per_contract=False)
+    rows = [(1, "614-555", None, "1MB"), (2, "(614)555", "", None), (3, "", None, None), (4, None, "Data", None), (5, "", None, "1MB")]
+    df = spark.createDataFrame([(i, p, t, u, 1, i) for i, p, t, u in rows], "row_id int, phone_number string, service_type string, usoc string, doc_seq int, row_seq int").withColumn("charge_type", F.lit("MRC"))
+    out = normalize.after_merge(df, rules, F.current_date())
+    assert {r.row_id: r.service_type for r in out.select("row_id", "service_type").collect()} == {1: "Voice", 2: "Voice", 3: None, 4: "Data", 5: "Voice"}
