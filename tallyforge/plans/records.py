@@ -6,11 +6,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import terms
+from ..functions import tables, terms
 from ..functions import text as X
 from ..operators import chunk, evaluate, feedback, marts, merge, normalize
+from ..sources.versions import Versions
 from .catalogue import query, table
 from .inventory import d, inv
+from .more import folder
 
 ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity"
 LINES = f"(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) AS n FROM lineitem)"
@@ -216,3 +218,26 @@ def near_parts(spark, sf_dir):
     """names and brands of parts against all others; tests hold near_values against every pair."""
     names = table(spark, sf_dir, "part").select(F.lower(F.concat("p_name", F.lit(" "), "p_brand")).alias("value")).distinct()
     return normalize.near_values(names, names.withColumnRenamed("value", "word")).filter("value < word")
+
+
+# --- versions and plug-ins -----------------------------------------------------------------------------------------------
+
+@query("s19_rows_of_versions", """WITH v1 AS (SELECT o_orderkey AS id, o_custkey AS cust, o_orderstatus AS status FROM orders), v2 AS (SELECT id, cust, CASE WHEN id % 7 = 0 THEN 'X' ELSE status END AS status FROM v1 WHERE id % 11 > 0)
+SELECT 1 AS version, * FROM v1 UNION ALL SELECT 2, * FROM v2 UNION ALL SELECT 3, * FROM v1 WHERE id % 2 = 0""")
+def rows_of_versions(spark, sf_dir):
+    """Three versions of all orders, each read back after the last one replaced the live rows."""
+    kept = Versions(spark, folder(spark), ["id"])
+    first = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status"))
+    kept.commit(first)
+    kept.commit(kept.read().filter("id % 11 > 0").withColumn("status", F.when(F.col("id") % 7 == 0, "X").otherwise(F.col("status"))), seen=1)
+    kept.commit(kept.read(1).filter("id % 2 = 0"), seen=2)
+    a, b, c = (kept.read(n).select(F.lit(n).alias("version"), "*") for n in (1, 2, 3))
+    return a.unionByName(b).unionByName(c)
+
+
+@query("t1_sections_in_sql", f"""SELECT l_orderkey AS id, cast(n AS int) AS section, cast(1000000000000 + l_orderkey * 1000 + n AS varchar) AS sub_account FROM {LINES}""")
+def sections_in_sql(spark, sf_dir):
+    """T1 and 2.11: the table function, called from SQL."""
+    tables.register(spark)
+    docs = records(spark, sf_dir, block_line(), F.lit(""), F.lit("end"))
+    return spark.sql("SELECT d.id, s.section, s.sub_account FROM {docs} d, LATERAL cut_by_boundary(d.text, 'AccountNumber: ([0-9]{{13}})') s", docs=docs)
