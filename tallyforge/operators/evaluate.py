@@ -181,13 +181,48 @@ def match_rate(golden: DataFrame, pairs: DataFrame) -> DataFrame:
     return golden.agg(F.count("*").alias("golden")).crossJoin(pairs.agg(F.count("*").alias("matched"))).withColumn("match_rate", terms.percent(F.col("matched"), F.col("golden")))
 
 
-def diagnostic_pairs(golden: DataFrame, extracted: DataFrame) -> DataFrame:
-    """The weaker matcher: one pass, codes only for component rows, the first of each side."""
-    def keyed(d: DataFrame) -> DataFrame:
-        code = F.when(F.upper(F.trim(F.coalesce("service_or_component", F.lit("")))) == "C", F.lower(F.trim(F.coalesce("usoc", F.lit(""))))).otherwise("")
-        return d.withColumn("k", F.concat_ws("|", match_key(False), code)).groupBy("k").agg(F.min_by("row_id", "row_seq").alias("row_id"))
+def diagnostic_key() -> Column:
+    """account|phone|kind of row|code: no sub-account, and a code for component rows only."""
+    account = X.match_account(F.col("carrier_account_number"))
+    phone = X.match_phone(F.coalesce(F.nullif("phone_number", F.lit("")), "btn"))
+    kind = F.lower(F.trim(F.coalesce(F.nullif("service_or_component", F.lit("")), "row_type", F.lit(""))))
+    kind = F.when(kind.isin("s", "c"), F.upper(kind)).when(kind.contains("t") | kind.contains("occ"), "T").otherwise("U")
+    code = F.when(kind == "C", X.without_point_zero(F.lower(F.trim(F.coalesce("usoc", F.lit("")))))).otherwise("")
+    padded = F.when((F.length(phone) == 7) & (F.length(account) >= 3), F.concat(F.left(account, F.lit(3)), phone)).otherwise(phone)
+    return F.concat_ws("|", account, padded, kind, code)
+
 
-    return keyed(golden).withColumnRenamed("row_id", "golden_id").join(keyed(extracted).withColumnRenamed("row_id", "extracted_id"), "k").select("golden_id", "extracted_id")
+def diagnostic_pairs(golden: DataFrame, extracted: DataFrame) -> DataFrame:
+    """The weaker matcher: one pass, the first row of each side."""
+    first = lambda d, name: d.groupBy(diagnostic_key().alias("k")).agg(F.min_by("row_id", "row_seq").alias(name))
+    return first(golden, "golden_id").join(first(extracted, "extracted_id"), "k").select("golden_id", "extracted_id")
+
+
+def diagnostic_compare(field: str, e: Column, g: Column) -> Column:
+    """A field of such a pair. An account or contract that is part of the other one is right, whatever its length; other texts that are part of
+    each other are partly right, likewise."""
+    a, b = (X.without_point_zero(F.lower(F.trim(F.coalesce(v.cast("string"), F.lit(""))))) for v in (e, g))
+    within = lambda x, y: x.contains(y) | y.contains(x)
+    part = F.lit(False)
+    if field in ("phone_number", "btn", "point_to_number"):
+        x, y = X.match_phone(e.cast("string")), X.match_phone(g.cast("string"))
+        right = (x == y) | ((F.length(x) == 7) & (F.length(y) == 10) & y.endswith(x)) | ((F.length(y) == 7) & (F.length(x) == 10) & x.endswith(y))
+    elif field in (*ACCOUNT_LIKE, "master_account"):
+        x, y = X.digits(e.cast("string")), X.digits(g.cast("string"))
+        right = within(x, y)
+    elif field in ("monthly_recurring_cost", "cost_per_unit", "mrc_per_currency", "ld_cost", "rate", "ld_flat_rate"):
+        x, y = (F.bround(F.regexp_replace(v.cast("string"), r"[$,\s]", "").try_cast("decimal(30,8)"), 2) for v in (e, g))
+        right = (a == b) | F.coalesce(F.abs(x - y) <= F.lit(0.01).cast("decimal(3,2)"), F.lit(False))
+    elif field in DATES:
+        x, y = (F.coalesce(X.parsed_date(v.cast("string")).cast("string"), F.trim(v.cast("string"))) for v in (e, g))
+        right = x == y
+    elif field in ("quantity", "contract_term_months", "num_calls"):
+        right = X.whole(e.cast("string")) == X.whole(g.cast("string"))
+    else:
+        right, part = a == b, within(a, b)
+    return (
+        F.when((a == "") & (b == ""), "BOTH_EMPTY").when(a == "", "MISSING").when(b == "", "EXTRA")
+        .when(F.coalesce(right, F.lit(False)), "CORRECT").when(F.coalesce(part, F.lit(False)), "PARTIAL").otherwise("WRONG"))
 
 
 Judge = Callable[[DataFrame], DataFrame]

@@ -286,8 +286,11 @@ def _prepared(df: DataFrame, rules: MergeRules) -> DataFrame:
 def merge_same_granularity(df: DataFrame, fields: Sequence[str] = FIELDS, rules: MergeRules | None = None) -> DataFrame:
     """Split accounts, key, merge what is the same service or component, give places along the line and terms along the account."""
     rules = rules or MergeRules()
-    fields = [f for f in fields if f in df.columns]
-    merged = cut(merge_fields(_prepared(df, rules), ["merge_key", "item"], fields, rules.priorities, rules.base_order))
+    return _merge_prepared(_prepared(df, rules), [f for f in fields if f in df.columns], rules)
+
+
+def _merge_prepared(prepared: DataFrame, fields: Sequence[str], rules: MergeRules) -> DataFrame:
+    merged = cut(merge_fields(prepared, ["merge_key", "item"], fields, rules.priorities, rules.base_order))
     return propagate(propagate_location(merged), rules)
 
 
@@ -299,7 +302,8 @@ def merge_documents(df: DataFrame, roles: dict[str, str] | None = None, fields:
 
 
 def merge_with_conflicts(df: DataFrame, roles: dict[str, str] | None = None, fields: Sequence[str] = FIELDS, rules: MergeRules | None = None, normal: normalize.Rules | None = None, today: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """The merged rows, and the conflicts among the base documents' (J34)."""
+    """The merged rows, and the conflicts among the base documents' (J34). Base rows are split, keyed and written once; conflicts cost nothing
+    until they are read."""
     rules = rules or MergeRules()
     roles = rules.roles if roles is None else roles
     role = F.lit("base")
@@ -320,14 +324,14 @@ def merge_with_conflicts(df: DataFrame, roles: dict[str, str] | None = None, fie
         key, tier = tiered_key(F.col("account"))
         return out.withColumn("tier_key", key).withColumn("tier", tier)
 
-    base_rows = rows.filter("_role = 'base'").drop("_role")
-    base = keyed(merge_same_granularity(base_rows, fields, rules).drop("merge_key", "item"))
+    prepared = _prepared(rows.filter("_role = 'base'").drop("_role"), rules)
+    base = keyed(_merge_prepared(prepared, fields, rules).drop("merge_key", "item"))
     extra = keyed(rows.filter("_role = 'enrichment'").drop("_role"))
     more = keyed(rows.filter("_role = 'supplemental'").drop("_role"))
     out = propagate(cut(append_supplemental(enrich(cut(base), extra, fields), more)), rules)
     if normal:
         out = propagate(cut(normalize.after_merge(out, normal, today if today is not None else F.current_date())), rules)
-    return out, conflicts(_prepared(base_rows, rules), ["merge_key", "item"], fields)
+    return out, conflicts(prepared, ["merge_key", "item"], fields)
 
 
 def known_accounts(rows: DataFrame, known: DataFrame) -> DataFrame:

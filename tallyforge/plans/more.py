@@ -7,6 +7,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -264,12 +265,30 @@ MATCHED = "regexp_replace(replace(coalesce(nullif(phone_number, ''), btn, ''), '
 MATCH = f"left({d('carrier_account_number')}, 13) || '|' || left({d('sub_account_number_1')}, 13) || '|' || CASE WHEN length({MATCHED}) = 7 AND length({d('carrier_account_number')}) >= 3 THEN left({d('carrier_account_number')}, 3) || {MATCHED} ELSE {MATCHED} END || '|' || CASE WHEN upper(trim(coalesce(service_or_component, ''))) = 'C' THEN lower(trim(coalesce(usoc, ''))) ELSE '' END"
 
 
-@inv("e4_diagnostic_pairs", f", k AS (SELECT {MATCH} AS k, doc_type, arg_min(row_id, row_seq) AS r FROM inv WHERE doc_type IN ('invoice', 'csr') GROUP BY 1, 2) SELECT g.r AS golden_id, e.r AS extracted_id FROM k g JOIN k e USING (k) WHERE g.doc_type = 'invoice' AND e.doc_type = 'csr'")
+KIND = "lower(trim(coalesce(nullif(service_or_component, ''), row_type, '')))"
+DIAGNOSED = f"left({d('carrier_account_number')}, 13) || '|' || CASE WHEN length({MATCHED}) = 7 AND length({d('carrier_account_number')}) >= 3 THEN left({d('carrier_account_number')}, 3) || {MATCHED} ELSE {MATCHED} END || '|' || CASE WHEN {KIND} IN ('s', 'c') THEN upper({KIND}) WHEN contains({KIND}, 't') OR contains({KIND}, 'occ') THEN 'T' ELSE 'U' END || '|' || CASE WHEN {KIND} = 'c' THEN lower(trim(coalesce(usoc, ''))) ELSE '' END"
+
+
+@inv("e4_diagnostic_pairs", f", k AS (SELECT {DIAGNOSED} AS k, doc_type, arg_min(row_id, row_seq) AS r FROM inv WHERE doc_type IN ('invoice', 'csr') GROUP BY 1, 2) SELECT g.r AS golden_id, e.r AS extracted_id FROM k g JOIN k e USING (k) WHERE g.doc_type = 'invoice' AND e.doc_type = 'csr'")
 def _(df):
     """E4."""
     return evaluate.diagnostic_pairs(df.filter("doc_type = 'invoice'"), df.filter("doc_type = 'csr'"))
 
 
+@inv("e4_diagnostic_scores", f""", p AS (SELECT a.row_id, a.carrier_account_number AS ea, b.carrier_account_number AS ga, a.city AS ec, b.city AS gc, a.monthly_recurring_cost AS em, b.monthly_recurring_cost AS gm FROM inv a JOIN (SELECT *, lag(row_id) OVER (ORDER BY row_id) AS before FROM inv) b ON a.row_id = b.before)
+ SELECT row_id, CASE WHEN trim(coalesce(ea, '')) = '' AND trim(coalesce(ga, '')) = '' THEN 'BOTH_EMPTY' WHEN trim(coalesce(ea, '')) = '' THEN 'MISSING' WHEN trim(coalesce(ga, '')) = '' THEN 'EXTRA' WHEN contains({d('ea')}, left({d('ga')}, 4)) OR contains(left({d('ga')}, 4), {d('ea')}) THEN 'CORRECT' ELSE 'WRONG' END AS account,
+ CASE WHEN coalesce(ec, '') = '' AND coalesce(gc, '') = '' THEN 'BOTH_EMPTY' WHEN coalesce(ec, '') = '' THEN 'MISSING' WHEN coalesce(gc, '') = '' THEN 'EXTRA' WHEN lower(ec) = lower(gc) THEN 'CORRECT' WHEN contains(lower(ec), lower(gc)) OR contains(lower(gc), lower(ec)) THEN 'PARTIAL' ELSE 'WRONG' END AS city,
+ CASE WHEN em IS NULL AND gm IS NULL THEN 'BOTH_EMPTY' WHEN em IS NULL THEN 'MISSING' WHEN gm IS NULL THEN 'EXTRA' WHEN abs(em::decimal(20,2) - gm::decimal(20,2)) <= 0.01 THEN 'CORRECT' ELSE 'WRONG' END AS cost FROM p""")
+def _(df):
+    """Each row against the next one, whose account is cut to four digits."""
+    from ..operators.graph import numbered
+
+    at = numbered(df.withColumn("_all", F.lit(0)), ["_all"], ["row_id"]).select("n", "row_id", "carrier_account_number", "city", "monthly_recurring_cost")
+    nxt = at.select((F.col("n") - 1).alias("n"), F.when(F.trim("carrier_account_number") == "", "").otherwise(F.left(X.digits(F.col("carrier_account_number")), F.lit(4))).alias("ga"), F.col("city").alias("gc"), F.col("monthly_recurring_cost").alias("gm"))
+    score = lambda f, g: evaluate.diagnostic_compare(f, F.col(f), F.col(g))
+    return at.join(nxt, "n").select("row_id", score("carrier_account_number", "ga").alias("account"), score("city", "gc").alias("city"), score("monthly_recurring_cost", "gm").alias("cost"))
+
+
 @inv("a21_merge_rates", "SELECT 'city' AS field, round(count(nullif(city, '')) FILTER (doc_type = 'csr') * 100.0 / count(*) FILTER (doc_type = 'csr'), 1)::double AS before, round(count(nullif(city, '')) * 100.0 / count(*), 1)::double AS after FROM inv")
 def _(df):
     """Rates before and after."""
@@ -478,6 +497,43 @@ def _(spark, sf_dir):
     return files.read_delimited(spark, path, "\t")
 
 
+def made_books(df: DataFrame, sheet: str, head: list[list[str]], columns: list[str], books: int) -> DataFrame:
+    """path, file_name, content: workbooks that tasks make of a table's rows, dealt by its first column; head stands above the rows."""
+    def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [[None if pd.isna(v) else str(v) for v in r] for r in pdf.sort_values(columns[0])[columns].itertuples(index=False)]
+        name = f"{pdf['_book'].iloc[0]}.xlsx"
+        return pd.DataFrame([(f"/in/{name}", name, sinks.workbook({sheet: [*head, *rows]}))], columns=["path", "file_name", "content"])
+
+    return df.withColumn("_book", F.pmod(F.col(columns[0]), F.lit(books))).groupBy("_book").applyInPandas(make, "path string, file_name string, content binary")
+
+
+@query("s4_many_workbooks", "SELECT '/in/' || (c_custkey % 40) || '.xlsx' AS doc_id, c_custkey::int AS quantity, c_name AS billing_name, round(c_acctbal, 2)::double AS mrc FROM customer")
+def _(spark, sf_dir):
+    """Forty workbooks of customers, made and read by tasks."""
+    book = made_books(table(spark, sf_dir, "customer").withColumn("c_acctbal", F.format_string("$%,.2f", F.round("c_acctbal", 2))), "Sheet", [["A title"], ["Qty", "Bill  Name!", "M.R.C."]], ["c_custkey", "c_name", "c_acctbal"], 40)
+    got = files.typed_cells(files.structured_rows(book, {"bill name": "billing_name", "qty": "quantity", "mrc": "monthly_recurring_cost"}), ["billing_name", "quantity", "monthly_recurring_cost"])
+    return got.select("doc_id", "quantity", "billing_name", F.col("monthly_recurring_cost").cast("double").alias("mrc"))
+
+
+@query("s12_many_golden", "SELECT '/in/' || (s_suppkey % 8) || '.xlsx' AS doc_id, cast(s_suppkey AS varchar) AS quantity, s_name AS carrier_name FROM supplier")
+def _(spark, sf_dir):
+    """Golden workbooks of suppliers."""
+    book = made_books(table(spark, sf_dir, "supplier"), "Baseline", [["Area"], ["Required"], ["Quantity", "Carrier Name"]], ["s_suppkey", "s_name"], 8)
+    got = files.golden_rows(book, {"carrier name": "carrier_name", "quantity": "quantity"})
+    return got.select("doc_id", F.col("cells")["quantity"].alias("quantity"), F.col("cells")["carrier_name"].alias("carrier_name"))
+
+
+@query("s13_many_correction_workbooks", "SELECT cast(c_custkey AS int) AS row_seq, 'city' AS field, c_name AS old, c_name || '!' AS new FROM customer WHERE c_nationkey % 3 = 0")
+def _(spark, sf_dir):
+    """Workbooks that came back, a third of their cities corrected, against the rows they were made from."""
+    c = table(spark, sf_dir, "customer")
+    sent = c.select("c_custkey", F.when(F.col("c_nationkey") % 3 == 0, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name")).alias("city"), F.lit("43215").alias("zip"))
+    got = files.correction_rows(made_books(sent, "Extracted Data", [["Inventory"], ["Row", "City", "Zip Code"]], ["c_custkey", "city", "zip"], 40), {"Row": "row_seq", "City": "city", "Zip Code": "zip"})
+    cell = lambda f: F.try_element_at("cells", F.lit(f))
+    imported = got.select(cell("row_seq").cast("int").alias("row_seq"), cell("city").alias("city"), cell("zip").alias("zip"))
+    return lifecycle.diff(c.select(F.col("c_custkey").cast("int").alias("row_seq"), F.col("c_name").alias("city"), F.lit("43215").alias("zip")), imported, ["city", "zip"])
+
+
 def _as_files(spark: SparkSession, named: list[tuple[str, bytes]]) -> DataFrame:
     return spark.createDataFrame([(f"/in/{n}", n, bytearray(raw)) for n, raw in named], "path string, file_name string, content binary")
 

@@ -175,3 +175,12 @@ def test_phone_service_types_of_rows_without_a_phone(spark):
     df = spark.createDataFrame([(i, p, t, u, 1, i) for i, p, t, u in rows], "row_id int, phone_number string, service_type string, usoc string, doc_seq int, row_seq int").withColumn("charge_type", F.lit("MRC"))
     out = normalize.after_merge(df, rules, F.current_date())
     assert {r.row_id: r.service_type for r in out.select("row_id", "service_type").collect()} == {1: "Voice", 2: "Voice", 3: None, 4: "Data", 5: "Voice"}
+
+
+def test_diagnostic_scores(spark):
+    cases = [
+        ("carrier_account_number", "614-1", "61412345", "CORRECT"), ("contract_number", "abc", "9", "CORRECT"), ("master_account", "12", "34", "WRONG"), ("city", "Ak", "akron", "PARTIAL"), ("city", "Akron ", "AKRON", "CORRECT"), ("city", "", None, "BOTH_EMPTY"), ("city", "n/a", None, "EXTRA"),
+        ("phone_number", "555-0100", "6145550100", "CORRECT"), ("phone_number", "550100", "6145550100", "WRONG"), ("rate", "$1,000.004", "1000.01", "CORRECT"), ("rate", "1", "1.02", "WRONG"), ("quantity", "2.0", "2", "CORRECT"), ("quantity", "x", "2", "WRONG"), ("contract_begin_date", "3/5/1997", "1997-03-05", "CORRECT"), ("zip", None, "43215", "MISSING")]
+    df = spark.createDataFrame([(i, e, g) for i, (_, e, g, _) in enumerate(cases)], "i int, e string, g string")
+    for i, (field, _, _, want) in enumerate(cases):
+        assert df.filter(F.col("i") == i).select(evaluate.diagnostic_compare(field, F.col("e"), F.col("g")).alias("s")).first().s == want, cases[i]
