@@ -162,10 +162,17 @@ def summary_section(name: Column, text: Column) -> Column:
         .when(name == "SERV & EQUIP ACCOUNT SUMMARY", told("usoc_summary", codes)))
 
 
-def prompt(carrier: Column, kind: Column, body: Column, codes: Column, examples: Column, hints: Column) -> Column:
-    """What an extraction provider is given, with its caps: 50 codes, 3 examples, 10 hints."""
+def address_lines(addresses: Column) -> Column:
+    """A map of accounts and their blocks of text as lines, without blank ones and branch codes of at most six letters."""
+    code = lambda x: (F.length(x) <= 6) & x.rlike(r"^\p{L}+$")
+    block = lambda e: F.concat(F.array(F.concat(F.lit("  Account "), e["key"], F.lit(":"))), F.transform(F.filter(F.transform(F.split(F.coalesce(e["value"], F.lit("")), "\n"), F.trim), lambda x: (x != "") & ~code(x)), lambda x: F.concat(F.lit("    "), x)))
+    return F.flatten(F.transform(F.map_entries(addresses), block))
+
+
+def prompt(carrier: Column, kind: Column, body: Column, codes: Column, examples: Column, hints: Column, field_codes: Column | None = None, addresses: Column | None = None) -> Column:
+    """What an extraction provider is given, with its caps: 50 codes, 30 field codes, 3 examples, 10 hints; addresses as a map by account."""
     part = lambda title, items, most: F.when(F.size(items) > 0, F.concat(F.lit(f"\n{title}:\n"), F.array_join(F.slice(items, 1, most), "\n"))).otherwise("")
-    return F.concat(F.lit("Carrier: "), carrier, F.lit("\nDocument: "), kind, part("Codes", codes, 50), part("Examples", examples, 3), part("Corrections", hints, 10), F.lit("\n\n"), body)
+    return F.concat(F.lit("Carrier: "), carrier, F.lit("\nDocument: "), kind, part("Codes", codes, 50), *([part("Field codes", field_codes, 30)] if field_codes is not None else []), part("Examples", examples, 3), part("Corrections", hints, 10), *([part("Service locations", address_lines(addresses), 1 << 30)] if addresses is not None else []), F.lit("\n\n"), body)
 
 
 # Fixed value: a line with one of these, in any case, ends an address block.

@@ -31,21 +31,45 @@ def patterns(corrections: DataFrame, least: int = 3) -> DataFrame:
     return one.unionByName(by_field.select(F.when(F.col("cause") == "MERGE", "merge_rule").otherwise("data_gap").alias("suggestion"), "field_name", "top_value", "count")).orderBy(F.desc("count"), "field_name", "top_value")
 
 
+def _parts(c: Column) -> Column:
+    """All substrings."""
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.substring(c, i, n)))))
+
+
+def containing_accounts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a, b: pairs of accounts (strings of digits, columns a and b) of which one is part of the other. Each side's distinct accounts are spread
+    to their parts, so both joins are of equals; equal accounts come once."""
+    a, b = a.select("a").filter("a != ''").distinct(), b.select("b").filter("b != ''").distinct()
+    inside = a.select("a", F.explode(_parts(F.col("a"))).alias("b")).join(b, "b").select("a", "b")
+    around = b.select("b", F.explode(_parts(F.col("b"))).alias("a")).filter("a != b").join(a, "a").select("a", "b")
+    return inside.unionByName(around)
+
+
 def diagnose(corrections: DataFrame, raw: DataFrame) -> DataFrame:
     """Where a wrong value came from. corrections: id, field_name, extracted_value, corrected_value, account, phone; raw: extracted values
-    before the merge in long form: doc_id, account, phone, field_name, value.
+    before the merge in long form: doc_id, account, phone, field_name, value. Where both have a carrier, only its documents count.
 
     The right value in a row of the same line: MERGE; another one: EXTRACTION if it is the wrong value, else MERGE; the right value
-    elsewhere only: ENRICHMENT; nowhere: DATA_GAP. Lines are met by the last seven digits of phones and by account heads, as equi-joins."""
+    elsewhere only: ENRICHMENT; nowhere: DATA_GAP. Rows are of the same line if their phones end in the same seven digits or one account is
+    part of the other. Values are counted by line before they are met, so a line may hold any share of the rows."""
     up = lambda c: F.upper(F.trim(F.coalesce(F.col(c), F.lit(""))))
-    c = corrections.select("id", "field_name", up("extracted_value").alias("was"), up("corrected_value").alias("right"), X.digits(F.coalesce("account", F.lit(""))).alias("a"), X.digits(F.coalesce("phone", F.lit(""))).alias("p"))
-    r = raw.select("doc_id", "field_name", up("value").alias("v"), X.digits(F.coalesce("account", F.lit(""))).alias("ra"), X.digits(F.coalesce("phone", F.lit(""))).alias("rp")).filter("v != ''")
-    by_phone = c.filter("p != ''").withColumn("k", F.right("p", F.lit(7))).join(r.filter("rp != ''").withColumn("k", F.right("rp", F.lit(7))), ["k", "field_name"])
-    by_account = c.filter("length(a) >= 4").withColumn("k", F.left("a", F.lit(4))).join(r.filter("length(ra) >= 4").withColumn("k", F.left("ra", F.lit(4))), ["k", "field_name"]).filter(F.col("a").contains(F.col("ra")) | F.col("ra").contains(F.col("a")))
-    line = by_phone.select("id", "doc_id", "v", "was", "right").unionByName(by_account.select("id", "doc_id", "v", "was", "right"))
-    seen = line.groupBy("id").agg(F.bool_or(F.col("v") == F.col("right")).alias("had_right"), F.min_by("v", F.struct("doc_id", "v")).alias("first_value"))
-    known = r.select("field_name", F.col("v").alias("right")).distinct().withColumn("elsewhere", F.lit(True))
-    out = c.join(seen, "id", "left").join(known, ["field_name", "right"], "left")
+    keys = ["field_name", *(["carrier"] if "carrier" in corrections.columns and "carrier" in raw.columns else [])]
+    c = corrections.select("id", *keys, up("extracted_value").alias("was"), up("corrected_value").alias("right"), X.digits(F.coalesce("account", F.lit(""))).alias("a"), F.right(X.digits(F.coalesce("phone", F.lit(""))), F.lit(7)).alias("p"))
+    values = raw.select("doc_id", *keys, up("value").alias("v"), X.digits(F.coalesce("account", F.lit(""))).alias("b"), F.right(X.digits(F.coalesce("phone", F.lit(""))), F.lit(7)).alias("p"))
+    first = F.min(F.when(F.col("v") != "", F.struct("doc_id", "v")))
+
+    def seen(by: str, asked: DataFrame) -> DataFrame:
+        """id, had_right, first of the corrections asked (id, by, keys, right) in the lines named by `by`."""
+        r = values.filter(F.col(by) != "")
+        had = asked.join(r.select(by, *keys, F.col("v").alias("right")).distinct(), [by, *keys, "right"]).select("id", F.lit(True).alias("had_right"), F.lit(None).cast(kind).alias("first"))
+        return had.unionByName(asked.join(r.groupBy(by, *keys).agg(first.alias("first")), [by, *keys]).select("id", F.lit(False).alias("had_right"), "first"))
+
+    kind = values.select(F.struct("doc_id", "v").alias("s")).schema["s"].dataType
+    pairs = containing_accounts(c, values)
+    line = seen("p", c.filter("p != ''")).unionByName(seen("b", c.join(pairs, "a")))
+    found = line.groupBy("id").agg(F.bool_or("had_right").alias("had_right"), F.min("first")["v"].alias("first_value"))
+    known = values.select(*keys, F.col("v").alias("right")).distinct().withColumn("elsewhere", F.lit(True))
+    out = c.join(found, "id", "left").join(known, [*keys, "right"], "left")
     cause = F.when(F.col("had_right"), "MERGE").when(F.col("first_value") == F.col("was"), "EXTRACTION").when(F.col("first_value").isNotNull(), "MERGE").when(F.col("elsewhere"), "ENRICHMENT").otherwise("DATA_GAP")
     return out.select("id", "field_name", cause.alias("root_cause"))
 

@@ -5,7 +5,7 @@ the shuffle; only the greedy clustering of service rows (J4) needs a whole group
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -334,15 +334,31 @@ def merge_with_conflicts(df: DataFrame, roles: dict[str, str] | None = None, fie
     return out, conflicts(prepared, ["merge_key", "item"], fields)
 
 
-def known_accounts(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Known: identifier, identifier_type, carrier. A hit is certain."""
-    hit = known.filter("identifier_type = 'account'").select(F.col("identifier").alias("_id"), F.col("carrier").alias("known_carrier")).dropDuplicates(["_id"])
-    out = rows.join(hit, X.digits(F.col("carrier_account_number")) == F.col("_id"), "left").drop("_id")
+# The columns that name an identifier, by its type.
+IDENTIFIERS = {"account": "carrier_account_number", "btn": "btn", "phone": "phone_number"}
+
+
+def _identifiers(rows: DataFrame, kinds: Mapping[str, str]) -> Column:
+    """Structs of rank, identifier_type, identifier that a row has, digits only."""
+    each = [F.struct(F.lit(i).alias("rank"), F.lit(k).alias("identifier_type"), F.nullif(X.digits(F.coalesce(F.col(c), F.lit(""))), F.lit("")).alias("identifier")) for i, (k, c) in enumerate(kinds.items()) if c in rows.columns]
+    return F.filter(F.array(*each), lambda s: s["identifier"].isNotNull())
+
+
+def known_accounts(rows: DataFrame, known: DataFrame, kinds: Mapping[str, str] = IDENTIFIERS) -> DataFrame:
+    """Known: identifier, identifier_type, carrier (of several, the least). A hit is certain; of a row's identifiers the first type that is known
+    counts. One join of equals for each type."""
+    hit = known.filter("carrier is not null").groupBy("identifier_type", "identifier").agg(F.min("carrier").alias("_carrier"))
+    out, found = rows, []
+    for i, (kind, column) in enumerate((k, c) for k, c in kinds.items() if c in rows.columns):
+        own = hit.filter(F.col("identifier_type") == kind).select(F.col("identifier").alias(f"_id_{i}"), F.col("_carrier").alias(f"_carrier_{i}"))
+        out = out.join(own, X.digits(F.col(column)) == F.col(f"_id_{i}"), "left").drop(f"_id_{i}")
+        found.append(f"_carrier_{i}")
+    out = out.withColumn("known_carrier", F.coalesce(*found, F.lit(None).cast("string"))).drop(*found)
     return out.withColumn("confidence", F.when(F.col("known_carrier").isNotNull(), "high").otherwise(F.col("confidence"))) if "confidence" in rows.columns else out
 
 
-def learn_accounts(known: DataFrame, rows: DataFrame) -> DataFrame:
-    """J33 (learn-back): identifiers of rows with high or medium confidence that aren't known yet."""
-    new = rows.filter("confidence in ('high', 'medium')").select(F.nullif(X.digits(F.col("carrier_account_number")), F.lit("")).alias("identifier"), F.lit("account").alias("identifier_type"), F.col("carrier_name").alias("carrier"))
-    new = new.filter("identifier is not null").groupBy("identifier", "identifier_type").agg(F.min("carrier").alias("carrier"))
-    return known.unionByName(new.join(known, ["identifier", "identifier_type"], "left_anti"))
+def learn_accounts(known: DataFrame, rows: DataFrame, kinds: Mapping[str, str] = IDENTIFIERS) -> DataFrame:
+    """J33 (learn-back): identifiers of every type, of rows with high or medium confidence, that aren't known yet; the least carrier counts."""
+    new = rows.filter("confidence in ('high', 'medium')").select(F.inline(_identifiers(rows, kinds)), F.col("carrier_name").alias("carrier")).filter("carrier is not null")
+    new = new.groupBy("identifier", "identifier_type").agg(F.min("carrier").alias("carrier"))
+    return known.select("identifier", "identifier_type", "carrier").unionByName(new.join(known, ["identifier", "identifier_type"], "left_anti"))

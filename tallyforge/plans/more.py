@@ -15,6 +15,7 @@ from ..functions import terms
 from ..functions import text as X
 from ..operators import chunk, classify, evaluate, extract, feedback, lifecycle, marts, merge, normalize, quality
 from ..operators.graph import cut
+from ..schema import ANALYST_JUDGMENT, CATEGORY, DERIVED, extractability_by_carrier
 from ..sources import files, sinks
 from .catalogue import query, table
 from .inventory import INVENTORY, d, inv
@@ -428,13 +429,19 @@ def _(x):
     return lifecycle.row_sources(x, kinds, 7).select("file_name", "doc_type")
 
 
-@query("g1_extractability", "SELECT field, kind FROM (VALUES ('status', 'analyst_judgment'), ('city', 'derived'), ('zip', 'extractable'), ('notes', 'extractable')) t(field, kind)")
-def _(spark, sf_dir):
-    """G1: defaults with a carrier's own."""
-    from ..schema import extractability
+G1_FIELDS = ", ".join(f"('{f}', '{'analyst_judgment' if f in ANALYST_JUDGMENT else 'derived' if f in DERIVED else 'extractable'}', {i})" for i, f in enumerate(CATEGORY))
+
 
-    kinds = extractability(derived={"city"}, extractable={"notes"})
-    return spark.createDataFrame([(f, kinds[f]) for f in ("status", "city", "zip", "notes")], "field string, kind string")
+@query("g1_extractability", f"""WITH f(field, usual, n) AS (VALUES {G1_FIELDS}), o AS (SELECT DISTINCT s_name AS carrier, field, ['analyst_judgment', 'derived', 'extractable'][c_custkey % 3 + 1] AS kind FROM customer JOIN supplier ON s_nationkey = c_nationkey JOIN f ON n = c_custkey % {len(CATEGORY)})
+SELECT s_name AS carrier, f.field, CASE WHEN bool_or(kind = 'extractable') THEN 'extractable' WHEN usual = 'analyst_judgment' OR bool_or(kind = 'analyst_judgment') THEN 'analyst_judgment' WHEN usual = 'derived' OR bool_or(kind = 'derived') THEN 'derived' ELSE 'extractable' END AS kind
+FROM supplier CROSS JOIN f LEFT JOIN o ON o.carrier = s_name AND o.field = f.field GROUP BY s_name, f.field, usual""")
+def _(spark, sf_dir):
+    """G1: suppliers as carriers; the customers of a supplier's nation each say the kind of a field."""
+    s = table(spark, sf_dir, "supplier")
+    at = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
+    said = table(spark, sf_dir, "customer").select("c_nationkey", at(list(CATEGORY), F.col("c_custkey")).alias("field"), at(["analyst_judgment", "derived", "extractable"], F.col("c_custkey")).alias("kind")).distinct()
+    said = said.join(s, F.col("c_nationkey") == F.col("s_nationkey")).select(F.col("s_name").alias("carrier"), "field", "kind")
+    return extractability_by_carrier(s.select(F.col("s_name").alias("carrier")), said)
 
 
 # --- sections ------------------------------------------------------------------------------------------------------------
@@ -452,6 +459,16 @@ def _(x):
     return x.select("id", chunk.prompt(F.lit("att"), F.lit("invoice"), F.col("body"), F.array(F.lit("1MB")), none, none).alias("prompt"))
 
 
+@orders("t11_prompt_layers", "o_custkey AS c, o_orderpriority AS p", """SELECT id, 'Carrier: att' || chr(10) || 'Document: ' || p || chr(10) || 'Field codes:' || chr(10) || array_to_string(list_transform(generate_series(1, least(30, 1 + id % 40)), lambda i: c || '/' || i), chr(10)) || chr(10) || 'Service locations:' || chr(10) || '  Account ' || c || ':'
+ || CASE WHEN regexp_full_match(trim(substr(p, 3)), '[A-Z]{1,6}') THEN '' ELSE chr(10) || '    ' || trim(substr(p, 3)) END || chr(10) || '    ' || id || ' MAIN ST' || chr(10) || chr(10) || 'body' AS prompt FROM x""")
+def _(x):
+    """Field codes beyond 30 are left out, and address lines of up to six letters (URGENT, HIGH, MEDIUM, LOW) are codes."""
+    none = F.array().cast("array<string>")
+    codes = F.transform(F.sequence(F.lit(1), F.col("id") % 40 + 1), lambda i: F.concat(F.col("c"), F.lit("/"), i))
+    block = F.concat(F.substring("p", 3, 99), F.lit("\n \n"), F.col("id"), F.lit(" MAIN ST"))
+    return x.select("id", chunk.prompt(F.lit("att"), F.col("p"), F.lit("body"), none, none, none, codes, F.create_map(F.col("c").cast("string"), block)).alias("prompt"))
+
+
 @orders("s18_scanned", "o_orderkey % 3 AS k", "SELECT cast(id AS string) AS doc_id, 2::bigint AS pages, k = 0 AS scanned FROM x")
 def _(x):
     """Documents none of whose pages has text."""
@@ -634,7 +651,37 @@ def _(spark, sf_dir):
     return spark.read.json(path)
 
 
-@query("w7_header_spans", "SELECT * FROM (VALUES ('Account', 0, 1), ('Service', 2, 2), ('Account', 3, 3)) t(area, first, last)")
+@query("w7_header_spans", "SELECT nation, area, min(position) AS first, max(position) AS last FROM (SELECT c_nationkey::int AS nation, c_mktsegment AS area, c_custkey::bigint AS position, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS run FROM customer) GROUP BY nation, area, run")
+def _(spark, sf_dir):
+    """A template for each nation, its columns the customers, their areas the segments."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("int").alias("nation"), F.col("c_custkey").cast("long").alias("position"), F.col("c_mktsegment").alias("area"))
+    return sinks.area_spans(c, "nation")
+
+
+WORDS = """SELECT o_custkey AS doc_id, o_orderkey % 2 AS page, 600.0D AS width, cast(o_orderkey AS string) AS text, cast(floor(o_totalprice) AS int) % CASE WHEN o_custkey % 3 = 0 THEN 320 ELSE 600 END AS x, o_orderkey * 7 % 61 AS y FROM orders"""
+
+
+@query("s6_reflow", f"""WITH RECURSIVE w AS ({WORDS.replace("600.0D", "600.0::double")}),
+ b AS (SELECT doc_id, page, min(y) AS top FROM w GROUP BY 1, 2 UNION ALL SELECT w.doc_id, w.page, min(w.y) FROM b JOIN w ON w.doc_id = b.doc_id AND w.page = b.page AND w.y - b.top >= 5 GROUP BY w.doc_id, w.page),
+ l AS (SELECT w.*, (SELECT max(top) FROM b WHERE b.doc_id = w.doc_id AND b.page = w.page AND b.top <= w.y) AS line FROM w),
+ n AS (SELECT doc_id, page, line, string_agg(text, ' ' ORDER BY x, y, text) FILTER (x < 300) AS a, string_agg(text, ' ' ORDER BY x, y, text) FILTER (x >= 300) AS z, string_agg(text, ' ' ORDER BY x, y, text) AS whole, min(x) < 280 AND max(x) > 320 AS wide FROM l GROUP BY 1, 2, 3),
+ s AS (SELECT *, a IS NOT NULL AND z IS NOT NULL AND sum(wide::int) OVER p >= 0.2 * count(*) OVER p AS split FROM n WINDOW p AS (PARTITION BY doc_id, page)),
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY line) - row_number() OVER (PARTITION BY doc_id, page, split ORDER BY line) AS run FROM s),
+ g AS (SELECT doc_id, page, min(line) AS top, CASE WHEN split THEN string_agg(a, chr(10) ORDER BY line) || chr(10) || string_agg(z, chr(10) ORDER BY line) ELSE string_agg(whole, chr(10) ORDER BY line) END AS part FROM r GROUP BY doc_id, page, split, run)
+SELECT doc_id, page, string_agg(part, chr(10) ORDER BY top) AS text FROM g GROUP BY doc_id, page""")
+def _(spark, sf_dir):
+    """The orders of a customer as the words of two pages, a third of the customers with words nearly in one column only."""
+    return files.reflow(spark.sql(WORDS.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders")))
+
+
+@query("d1_accounts", """WITH r AS (SELECT l_orderkey % 1000 AS doc_id, cast(l_partkey * 37 % 5000 + 100 AS varchar) AS b, 'F' || (l_linenumber % 3) AS field_name, 'V' || (l_suppkey % 40) AS v FROM lineitem),
+ c AS (SELECT o_orderkey AS id, cast(o_custkey * 7919 % 1000000 AS varchar) AS a, 'F' || (o_orderkey % 3) AS field_name, 'V' || (o_orderkey % 37) AS was, 'V' || (o_orderkey % 43) AS fix FROM orders),
+ p AS (SELECT a, b FROM (SELECT DISTINCT a FROM c) JOIN (SELECT DISTINCT b FROM r) ON contains(a, b) OR contains(b, a)),
+ f AS (SELECT b, field_name, min({'d': doc_id, 'v': v}) AS m, list(DISTINCT v) AS vs FROM r GROUP BY 1, 2),
+ s AS (SELECT id, bool_or(list_contains(vs, fix)) AS had, min(m) AS m FROM c JOIN p USING (a) JOIN f USING (b, field_name) GROUP BY id)
+SELECT id, c.field_name, CASE WHEN had THEN 'MERGE' WHEN m.v = was THEN 'EXTRACTION' WHEN m IS NOT NULL THEN 'MERGE' WHEN (c.field_name, fix) IN (SELECT (field_name, v) FROM r) THEN 'ENRICHMENT' ELSE 'DATA_GAP' END AS root_cause FROM c LEFT JOIN s USING (id)""")
 def _(spark, sf_dir):
-    """W7."""
-    return spark.createDataFrame(sinks.spans(["Account", "Account", "Service", "Account"]), "area string, first int, last int")
+    """Corrections of orders against values of order lines, met by accounts that are part of each other."""
+    r = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 1000 AS doc_id", "concat('A-', l_partkey * 37 % 5000 + 100) AS account", "cast(null AS string) AS phone", "concat('F', l_linenumber % 3) AS field_name", "concat(' v', l_suppkey % 40) AS value")
+    c = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "concat(o_custkey * 7919 % 1000000, ' ') AS account", "'' AS phone", "concat('F', o_orderkey % 3) AS field_name", "concat('V', o_orderkey % 37) AS extracted_value", "concat('v', o_orderkey % 43) AS corrected_value")
+    return feedback.diagnose(c, r)

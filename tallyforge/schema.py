@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fields by category, in the order of the record's catalogue.
@@ -83,6 +84,17 @@ def extractability(analyst: set[str] = frozenset(), derived: set[str] = frozense
     return {f: out.get(f, "extractable") if f not in extractable else "extractable" for f in CATEGORY}
 
 
+def extractability_by_carrier(carriers: DataFrame, overrides: DataFrame) -> DataFrame:
+    """G1 for many carriers: carrier, field, kind. overrides: carrier, field, kind; a field that a carrier calls extractable is, whatever else is said."""
+    spark = carriers.sparkSession
+    fields = F.array(*(F.struct(F.lit(r["field"]).alias("field"), F.lit(r["extractability"]).alias("usual")) for r in field_catalogue(spark).collect()))
+    said = overrides.groupBy("carrier", "field").agg(F.collect_set("kind").alias("said"))
+    every = carriers.select("carrier").distinct().select("carrier", F.inline(fields)).join(said, ["carrier", "field"], "left")
+    says = lambda k: F.coalesce(F.array_contains("said", k), F.lit(False))
+    kind = F.when(says("extractable"), "extractable").when((F.col("usual") == "analyst_judgment") | says("analyst_judgment"), "analyst_judgment").when(says("derived"), "derived").otherwise(F.col("usual"))
+    return every.select("carrier", "field", kind.alias("kind"))
+
+
 # Which document type wins a field; others count UNLISTED.
 UNLISTED = 5
 PRIORITY: dict[str, dict[str, int]] = {

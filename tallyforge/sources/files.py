@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -243,20 +243,29 @@ def correction_rows(files: DataFrame, labels: dict[str, str], sheet: str = "Extr
     return files.select("path", "content").mapInPandas(run, "doc_id string, row_seq int, cells map<string,string>")
 
 
-def reflow(words: list[tuple[str, float, float]], width: float, share: float = 0.2, gap: float = 40.0) -> str:
-    """Words (text, x, y) of a page as lines; where at least a fifth of the lines has two columns, the left column comes first."""
-    lines: dict[int, list[tuple[float, str]]] = {}
-    for t, x, y in words:
-        lines.setdefault(round(y / 3), []).append((x, t))
-    mid = width / 2
-    ordered = [sorted(lines[k]) for k in sorted(lines)]
-    two = [any(x < mid for x, _ in line) and any(x >= mid for x, _ in line) and min((x for x, _ in line if x >= mid)) - max((x for x, _ in line if x < mid)) >= gap for line in ordered]
-    join = lambda ws: " ".join(t for _, t in ws)
-    if not ordered or sum(two) < share * len(ordered):
-        return "\n".join(map(join, ordered))
-    left = [join([w for w in line if w[0] < mid]) for line in ordered]
-    right = [join([w for w in line if w[0] >= mid]) for line in ordered]
-    return "\n".join([t for t in left if t] + [t for t in right if t])
+def reflow(words: DataFrame, share: float = 0.2, apart: float = 5.0, margin: float = 20.0) -> DataFrame:
+    """doc_id, page, text of pages given as words: doc_id, page, width, text, x, y (down). A line takes the words that start less than `apart`
+    below its first. Where at least a fifth of a page's lines has words well left and well right of the middle, each run of lines with words
+    in both halves is read left half first; other lines, and pages, are read across.
+
+    Words without a text or a place are left out; pages without a width are read across. A page is one group: all steps share one shuffle."""
+    page = ["doc_id", "page"]
+    w = words.filter("text is not null and x is not null and y is not null").repartition(*page)
+    begins = F.aggregate(F.array_sort(F.collect_set(F.col("y").cast("double"))), F.array().cast("array<double>"), lambda a, y: F.when((F.size(a) == 0) | (y - F.try_element_at(a, F.lit(-1)) >= apart), F.concat(a, F.array(y))).otherwise(a))
+    w = w.join(w.groupBy(*page).agg(begins.alias("_begins")), page).withColumn("line", F.size(F.filter("_begins", lambda b: b <= F.col("y"))))
+    mid = F.col("width") / 2
+    across = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(side, F.struct("x", "y", "text")))), lambda t: t["text"]), " ")
+    lines = w.groupBy(*page, "line").agg(
+        across(F.col("x") < mid).alias("left"), across(F.col("x") >= mid).alias("right"), across(F.lit(True)).alias("whole"),
+        F.coalesce(F.bool_or(F.col("x") < mid) & F.bool_or(F.col("x") >= mid), F.lit(False)).alias("both"),
+        F.coalesce(F.bool_or(F.col("x") < mid - margin) & F.bool_or(F.col("x") > mid + margin), F.lit(False)).alias("wide"))
+    all_lines, so_far = Window.partitionBy(*page), Window.partitionBy(*page).orderBy("line")
+    lines = lines.withColumn("split", F.col("both") & (F.count_if("wide").over(all_lines) >= share * F.count("*").over(all_lines)))
+    lines = lines.withColumn("_new", (F.col("split") != F.lag("split", 1, False).over(so_far)).cast("int")).withColumn("run", F.sum("_new").over(so_far))
+    down = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.col(c).alias("t")))), lambda t: t["t"]), "\n")
+    runs = lines.groupBy(*page, "run", "split").agg(down("left").alias("left"), down("right").alias("right"), down("whole").alias("whole"))
+    part = F.when(F.col("split"), F.concat_ws("\n", "left", "right")).otherwise(F.col("whole"))
+    return runs.groupBy(*page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", part.alias("t")))), lambda t: t["t"]), "\n").alias("text"))
 
 
 def blocks_above(words: DataFrame, marks: DataFrame, across: float = 50.0, up: float = 60.0) -> DataFrame:

@@ -7,7 +7,8 @@ import zipfile
 from collections.abc import Sequence
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..functions import terms
 
@@ -72,3 +73,11 @@ def spans(areas: Sequence[str]) -> list[tuple[str, int, int]]:
         else:
             out.append((a, i, i))
     return out
+
+
+def area_spans(columns: DataFrame, template: str = "template") -> DataFrame:
+    """W7 of many templates: template, area, first, last of the runs of equal areas; columns: template, position, area (null: none, '')."""
+    by = Window.partitionBy(template).orderBy("position")
+    c = columns.withColumn("area", F.coalesce("area", F.lit("")))
+    runs = c.withColumn("_new", F.coalesce((F.col("area") != F.lag("area").over(by)).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(by))
+    return runs.groupBy(template, "_run", "area").agg(F.min("position").alias("first"), F.max("position").alias("last")).drop("_run")

@@ -150,3 +150,14 @@ def test_configuration(spark, tmp_path):
     (home / "prompts" / "csr.md").write_text("New.")
     store.reload()
     assert store.prompt("bell", "csr") == "New."
+
+
+def test_known_identifiers(spark):
+    from tallyforge.operators import merge
+
+    known = spark.createDataFrame([("614555", "phone", "bell"), ("9", "account", "att"), ("9", "account", "zip"), ("9", "btn", "other")], "identifier string, identifier_type string, carrier string")
+    rows = spark.createDataFrame([(1, "9-", "614-555", "x", "low"), (2, "8", "614555", "x", "medium"), (3, None, None, "y", "high"), (4, "", "777", None, "high"), (5, "8", "1", "w", "low")], "id int, carrier_account_number string, phone_number string, carrier_name string, confidence string")
+    got = merge.known_accounts(rows, known)
+    assert {r.id: (r.known_carrier, r.confidence) for r in got.collect()} == {1: ("att", "high"), 2: ("bell", "high"), 3: (None, "high"), 4: (None, "high"), 5: (None, "low")}
+    assert got.count() == 5 and got.columns == [*rows.columns, "known_carrier"]
+    assert sorted(map(tuple, merge.learn_accounts(known, rows).subtract(known).collect())) == [("8", "account", "x")]

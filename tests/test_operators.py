@@ -183,3 +183,30 @@ def test_document_types_of_all_names(spark):
     pages = {r.page_id for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id").collect()}
     got = {r.page_id: r.doc_type for r in catalogue.queries()["f17_document_types_all"](spark, "/root/testdata/sf0.01").collect()}
     assert max(pages) > 16 and got == {p: kinds[p % 8] for p in pages}
+
+
+def test_diagnosis_by_accounts_against_a_plain_model(spark):
+    import random
+
+    from tallyforge.operators import feedback
+
+    rng = random.Random(5)
+    account = lambda: "".join(rng.choice("12") for _ in range(rng.choice([0, 2, 3, 4, 6])))
+    phone = lambda: rng.choice(["", "", "6145550001", "5550001", "5550002", "2"])
+    value = lambda: rng.choice(["", "a", "b ", "C", None, "d", "e"])
+    corrections = [(i, rng.choice("fg"), value(), value(), account() or None, phone(), rng.choice("xy")) for i in range(150)]
+    raw = [(f"d{i:03}", account(), phone() or None, rng.choice("fg"), value(), rng.choice("xy")) for i in range(25)] + [("d999", "1" * 40, None, "f", "a", "x")] * 50
+    up = lambda v: (v or "").strip().upper()
+
+    def cause(i, f, was, right, a, p, carrier):
+        own = [r for r in raw if r[3] == f and r[5] == carrier]
+        met = sorted((r[0], up(r[4])) for r in own if (p and r[2] and p[-7:] == r[2][-7:]) or (a and r[1] and (a in r[1] or r[1] in a)))
+        if up(right) in [v for _, v in met]:
+            return "MERGE"
+        first = [v for _, v in met if v]
+        return ("EXTRACTION" if first[0] == up(was) else "MERGE") if first else "ENRICHMENT" if up(right) in [up(r[4]) for r in own] else "DATA_GAP"
+
+    c = spark.createDataFrame(corrections, "id int, field_name string, extracted_value string, corrected_value string, account string, phone string, carrier string")
+    r = spark.createDataFrame(raw, "doc_id string, account string, phone string, field_name string, value string, carrier string")
+    got = {x.id: x.root_cause for x in feedback.diagnose(c, r).collect()}
+    assert got == {x[0]: cause(*x) for x in corrections} and set(got.values()) == {"MERGE", "EXTRACTION", "ENRICHMENT", "DATA_GAP"}

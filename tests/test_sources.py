@@ -38,8 +38,17 @@ def test_mail_and_words(spark, tmp_path):
 
 
 def test_columns_and_blocks(spark):
-    words = [("L1", 10, 10), ("R1", 300, 10), ("L2", 10, 20), ("R2", 300, 20)]
-    assert files.reflow(words, 400) == "L1\nL2\nR1\nR2" and files.reflow([("a", 10, 10), ("b", 40, 10)], 400) == "a b"
+    pages = {
+        0: [("HEAD", 10, 0), ("L1", 10, 10), ("R1", 300, 10), ("more", 340, 13), ("L2", 10, 20), ("R2", 300, 24), ("foot", 10, 40), ("L3", 10, 50), ("R3", 300, 50)],
+        1: [("b", 40, 10), ("a", 10, 14), ("c", 10, 15)],  # 14 is of the line that begins at 10, 15 isn't
+        2: [("near", 190, 10), ("middle", 210, 10), ("x", 10, 20)],  # both halves, but nothing well apart
+        3: [(None, 10, 10), ("only", None, 10)],
+        4: [(f"{i}", 10, 10 * i) for i in range(9)] + [("far", 300, 0)],  # one line of nine
+    }
+    made = spark.createDataFrame([("d", p, None if p == 1 else 400.0, t, x, y, "clash") for p, ws in pages.items() for t, x, y in ws], "doc_id string, page int, width double, text string, x int, y int, line string")
+    got = {r.page: r.text for r in files.reflow(made).collect()}
+    assert got == {0: "HEAD\nL1\nL2\nR1 more\nR2\nfoot\nL3\nR3", 1: "a b\nc", 2: "near middle\nx", 4: "0 far\n" + "\n".join("12345678")}
+    assert files.reflow(made.limit(0)).count() == 0
     w = spark.createDataFrame([("d", 0, "ACME", 100.0, 70.0), ("d", 0, "MAIN", 110.0, 80.0), ("d", 0, "far", 300.0, 80.0), ("d", 0, "high", 100.0, 10.0)], "doc_id string, page int, text string, x double, y double")
     m = spark.createDataFrame([("d", 0, "Account", 100.0, 100.0)], "doc_id string, page int, text string, x double, y double")
     assert files.blocks_above(w, m).first().block == "ACME\nMAIN"
@@ -52,6 +61,8 @@ def test_sinks(spark, tmp_path):
     sinks.write_inventory(df.filter("upload_id = 'u1'").withColumn("v", F.lit(9)), path)
     assert {(r.upload_id, r.v) for r in spark.read.parquet(path).collect()} == {("u1", 9), ("u2", 2)}
     assert sinks.spans(["a", "a", "b"]) == [("a", 0, 1), ("b", 2, 2)]
+    heads = spark.createDataFrame([("t", 1, "a"), ("t", 2, "a"), ("t", 3, None), ("t", 4, ""), ("t", 5, "a"), ("u", 1, None)], "template string, position int, area string")
+    assert sorted(map(tuple, sinks.area_spans(heads).collect())) == [("t", "", 3, 4), ("t", "a", 1, 2), ("t", "a", 5, 5), ("u", "", 1, 1)]
 
 
 def test_stream(spark, tmp_path):
