@@ -606,9 +606,9 @@ def _(df):
     return merge.known_accounts(df, df.sparkSession.createDataFrame([("61400300003", "account", "att")], "identifier string, identifier_type string, carrier string")).select("row_id", "known_carrier")
 
 
-@inv("j33_learned_accounts", f"""WITH i AS (SELECT unnest(['account', 'btn', 'phone']) AS identifier_type, unnest([{d('carrier_account_number')}, {d('btn')}, {d('phone_number')}]) AS identifier, carrier_name AS carrier FROM inv WHERE row_seq % 3 < 2),
- n AS (SELECT identifier, identifier_type, min(carrier) AS carrier FROM i WHERE identifier <> '' AND carrier IS NOT NULL GROUP BY 1, 2)
-SELECT * FROM n WHERE NOT (identifier = '61400300003' AND identifier_type = 'account') UNION ALL SELECT '61400300003', 'account', 'att'""")
+@inv("j33_learned_accounts", f"""SELECT identifier, identifier_type, min(carrier) AS carrier FROM
+ (SELECT unnest(['account', 'btn', 'phone']) AS identifier_type, unnest([{d('carrier_account_number')}, {d('btn')}, {d('phone_number')}]) AS identifier, carrier_name AS carrier FROM inv WHERE row_seq % 3 < 2)
+WHERE identifier <> '' AND carrier IS NOT NULL AND NOT (identifier = '61400300003' AND identifier_type = 'account') GROUP BY 1, 2 UNION ALL SELECT '61400300003', 'account', 'att'""")
 def _(df):
     """Accounts, billing numbers and phones that rows of high or medium confidence teach, beside one that was known."""
     known = df.sparkSession.createDataFrame([("61400300003", "account", "att")], "identifier string, identifier_type string, carrier string")
