@@ -165,7 +165,7 @@ def summary_section(name: Column, text: Column) -> Column:
 def address_lines(addresses: Column) -> Column:
     """A map of accounts and their blocks of text as lines, without blank ones and branch codes of at most six letters."""
     code = lambda x: (F.length(x) <= 6) & x.rlike(r"^\p{L}+$")
-    block = lambda e: F.concat(F.array(F.concat(F.lit("  Account "), e["key"], F.lit(":"))), F.transform(F.filter(F.transform(F.split(F.coalesce(e["value"], F.lit("")), "\n"), F.trim), lambda x: (x != "") & ~code(x)), lambda x: F.concat(F.lit("    "), x)))
+    block = lambda e: F.concat(F.array(F.concat(F.lit("  Account "), e["key"], F.lit(":"))), F.transform(F.filter(F.transform(F.split(F.coalesce(e["value"], F.lit("")), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: (x != "") & ~code(x)), lambda x: F.concat(F.lit("    "), x)))
     return F.flatten(F.transform(F.map_entries(addresses), block))
 
 
