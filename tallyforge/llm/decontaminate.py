@@ -2,8 +2,9 @@
 
 Each executor builds the suffix array of a shard (a slice of documents) over word numbers and binary-searches every suffix of every
 benchmark item in it by its first `window` words (an item of fewer words: by all of them). The interval found has all places where the
-suffix begins. Places that follow each other in an item and in a document alike are one verbatim match, as long as it goes: longest
-matches, their places in the items and in the documents, and from them which words are hit and which documents go. Words outside the
+suffix begins. Suffixes that begin alike share an interval, and intervals of one length are disjoint, so hits and items are read off a list
+no longer than `window` times the shard, however often a word is repeated on both sides. Longest matches come from one more suffix array
+over the matched runs of both: a suffix' longest match is with its nearest neighbour of the other side. Words outside the
 benchmark's vocabulary, and neighbours that are nowhere neighbours in it, end a match, so the array holds only suffixes that can match
 at least two words.
 
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -228,33 +230,137 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Matches:
-    """Longest verbatim matches: of the block's items, and of the shard's words."""
+class Found:
+    """What a shard and a block have in common, by suffix intervals: one entry a place of the shard and length searched by, never one a place
+    of the shard and place of the block."""
 
-    item: np.ndarray
-    start: np.ndarray  # word within the item
-    word: np.ndarray  # among all words of the shard
+    s: np.ndarray  # the shard's candidates, and their places among all its words
+    place: np.ndarray
+    at: np.ndarray  # places in s where a searched suffix begins, and the words it was searched by
     length: np.ndarray
+    interval: np.ndarray  # number of the distinct interval, of each of these places
+    suffix: np.ndarray  # the block's suffixes that were found, and their intervals
+    of: np.ndarray
+    sets: list  # distinct sets of items
+    set_of: np.ndarray  # of each interval
 
+    @property
+    def word(self) -> np.ndarray:
+        return self.place[self.at]
 
-def matches(hashes: np.ndarray, bounds: np.ndarray, block: Block) -> Matches:
-    """All maximal verbatim matches of the searched length or more between the block's items and the shard's documents."""
+
+def find(hashes: np.ndarray, bounds: np.ndarray, block: Block) -> Found | None:
+    """The suffixes of the block's items that begin anywhere in the shard, and where."""
     s, place = candidates(hashes, bounds, block)
     if not len(s) or not len(block.starts):
-        return Matches(*[np.zeros(0, np.int64)] * 4)
+        return None
     shard = Shard(s, int(block.lengths.max()), len(block.vocabulary))
-    which, at = _spread(*shard.find(block.flat, block.starts, block.lengths))
-    start, word = block.starts[which].astype(np.int64), place[shard.array[at]]
-    item = np.searchsorted(block.bounds, start, side="right") - 1
-    # a match goes on where both the item's and the document's next word begin one
-    order = np.lexsort((start, word - start, item))
-    start, word, item, length = start[order], word[order], item[order], block.lengths[which][order].astype(np.int64)
-    doc = np.searchsorted(bounds, word, side="right")
-    new = np.ones(len(start), bool)
-    new[1:] = (item[1:] != item[:-1]) | (start[1:] != start[:-1] + 1) | (word[1:] != word[:-1] + 1) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    length = length[first] + np.diff(np.append(first, len(start))) - 1
-    return Matches(item[first], start[first] - block.bounds[item[first]], word[first], length)
+    lo, hi = shard.find(block.flat, block.starts, block.lengths)
+    suffix = np.flatnonzero(lo < hi)
+    if not len(suffix):
+        return None
+    # suffixes of equal words share an interval; intervals of one length are disjoint, so all of them are at most `window` times the shard
+    distinct, of = np.unique(np.stack([lo[suffix], hi[suffix], block.lengths[suffix].astype(np.int64)], 1), axis=0, return_inverse=True)
+    of = of.reshape(-1)
+    item = np.searchsorted(block.bounds, block.starts[suffix], side="right") - 1
+    pairs = np.unique(np.stack([of, item], 1), axis=0)
+    cuts = np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))
+    known: dict[bytes, int] = {}
+    items = np.ascontiguousarray(pairs[:, 1])
+    set_of = np.array([known.setdefault(items[i:j].tobytes(), len(known)) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())])
+    interval, where = _spread(distinct[:, 0], distinct[:, 1])
+    return Found(s, place, shard.array[where], distinct[interval, 2], interval, suffix, of, [np.frombuffer(k, np.int64) for k in known], set_of)
+
+
+def _covered(values: np.ndarray, starts: np.ndarray, window: int, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values within a window of the starts, run by run with 0 after each (runs end at breaks); their places, and how many of the run are left."""
+    edge = np.zeros(len(values) + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + window, -1)
+    kept = np.flatnonzero(np.cumsum(edge[:-1]))
+    new = np.ones(len(kept), bool)
+    new[1:] = (kept[1:] != kept[:-1] + 1) | np.isin(kept[1:], breaks)
+    to = np.arange(len(kept)) + np.cumsum(new) - 1
+    size = len(kept) + int(new.sum())
+    seq, origin, left = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.zeros(size, np.int64)
+    heads = np.flatnonzero(new)
+    lens = np.diff(np.append(heads, len(kept)))
+    seq[to], origin[to] = values[kept], kept
+    left[to] = np.repeat(heads + lens, lens) - np.arange(len(kept))
+    return seq, origin, left
+
+
+class Joint:
+    """One suffix array over the matched runs of shard and block. The longest match of a suffix with the other side is the longer of its common
+    prefixes with the nearest suffixes of that side, above and below it."""
+
+    def __init__(self, found: Found, block: Block, window: int):
+        text = np.sort(found.at[found.length == window])
+        self.suffix = found.suffix[block.lengths[found.suffix] == window]
+        starts = block.starts[self.suffix].astype(np.int64)
+        seq_t, origin_t, left_t = _covered(found.s, text, window, np.zeros(0, np.int64))
+        seq_i, origin_i, left_i = _covered(block.flat, starts, window, block.bounds)
+        self.origin, self.left, self.split = np.concatenate([origin_t, origin_i]), np.concatenate([left_t, left_i]), len(seq_t)
+        seq = np.concatenate([seq_t, seq_i])
+        self.text = np.searchsorted(np.where(origin_t < 0, np.maximum.accumulate(origin_t), origin_t), text)
+        self.test = len(seq_t) + np.searchsorted(np.where(origin_i < 0, np.maximum.accumulate(origin_i), origin_i), starts)
+        depth = int(min(left_t.max(initial=0), left_i.max(initial=0))) + 1
+        self.ranks = [np.append(seq, 0).astype(np.int32)]
+        while 1 << (len(self.ranks) - 1) < depth:
+            last, step = self.ranks[-1], 1 << (len(self.ranks) - 1)
+            key = last[:-1].astype(np.int64) * (int(last.max()) + 1) + last[np.minimum(np.arange(len(seq)) + step, len(seq))]
+            self.ranks.append(np.append(np.unique(key, return_inverse=True)[1].reshape(-1) + 1, 0).astype(np.int32))
+        places = np.flatnonzero(seq)
+        self.order = places[np.argsort(self.ranks[-1][places], kind="stable")]
+        self.rank = np.zeros(len(seq), np.int64)
+        self.rank[self.order] = np.arange(len(self.order))
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common prefixes of the suffixes at a and b, as far as their runs go."""
+        n, end = np.zeros(len(a), np.int64), len(self.ranks[0]) - 1
+        for level in range(len(self.ranks) - 1, -1, -1):
+            r = self.ranks[level]
+            n += (r[np.minimum(a + n, end)] == r[np.minimum(b + n, end)]).astype(np.int64) << level
+        return np.minimum(n, np.minimum(self.left[a], self.left[b]))
+
+    def longest(self, at: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Longest match of each suffix in `at` with the other side's (a mask over the order)."""
+        n, k = len(self.order), np.arange(len(self.order))
+        above = np.maximum.accumulate(np.where(other, k, -1))[self.rank[at]]
+        below = np.minimum.accumulate(np.where(other, k, n)[::-1])[::-1][self.rank[at]]
+        out = np.zeros(len(at), np.int64)
+        for near in (above, below):
+            on = np.flatnonzero((near >= 0) & (near < n))
+            out[on] = np.maximum(out[on], self.common(at[on], self.order[near[on]]))
+        return out
+
+    def of_text(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the shard's candidates, and their longest matches."""
+        return self.origin[self.text], self.longest(self.text, self.order >= self.split)
+
+    def of_tests(self, priority: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes of the block, their longest matches, and the least priority (of the shard's candidates) among the places that have them."""
+        n = self.longest(self.test, self.order < self.split)
+        own = self.rank[self.test]
+        first, last = own.copy(), own.copy()
+        low, high = np.zeros(len(own), np.int64), np.full(len(own), len(self.order) - 1)
+        for _ in range(len(self.order).bit_length() + 1):  # the order's stretch that shares these words
+            mid = (low + first) >> 1
+            go = self.common(self.order[mid], self.test) >= n
+            first, low = np.where(go, mid, first), np.where(go, low, np.minimum(mid + 1, first))
+            mid = (high + last + 1) >> 1
+            go = self.common(self.order[mid], self.test) >= n
+            last, high = np.where(go, mid, last), np.where(go, high, np.maximum(mid - 1, last))
+        size = last - first + 1
+        least, best, step = np.full(len(self.order), np.iinfo(np.int64).max), np.zeros(len(own), np.int64), 1
+        mine = self.order < self.split
+        least[mine] = priority[self.origin[self.order[mine]]]
+        while step <= int(size.max(initial=0)):  # minima of stretches of 1, 2, 4.. places; two of them cover each stretch
+            on = (size >= step) & (size < 2 * step)
+            best[on] = np.minimum(least[first[on]], least[last[on] - step + 1])
+            least = np.minimum(least[:-step], least[step:]) if len(least) > step else least
+            step *= 2
+        return self.suffix, n, best
 
 
 def _blocks(benchmark: DataFrame, window: int) -> list:
@@ -299,14 +405,15 @@ class Shards:
             out.hits.append(np.zeros(len(hashes) + 1, np.int64))
         return out
 
-    def search(self, blocks: list) -> Iterator[tuple[int, Block, Matches]]:
-        """Number of the slice, block and matches of each; and the hits are noted."""
+    def search(self, blocks: list) -> Iterator[tuple[int, Block, Found]]:
+        """Number of the slice, block and what was found of each; and the hits are noted."""
         for block in _each(blocks):
             for k, (hashes, bounds) in enumerate(zip(self.hashes, self.bounds)):
-                m = matches(hashes, bounds, block)
-                np.add.at(self.hits[k], m.word, 1)
-                np.add.at(self.hits[k], m.word + m.length, -1)
-                yield k, block, m
+                f = find(hashes, bounds, block)
+                if f is not None:
+                    np.add.at(self.hits[k], f.word, 1)
+                    np.add.at(self.hits[k], f.word + f.length, -1)
+                    yield k, block, f
 
     def counts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Words, and hit words, of each document of a slice."""
@@ -325,11 +432,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
             shards = Shards.of(batch, "text")
             names: list[dict[int, set]] = [{} for _ in shards.spans]
             longest = [np.zeros(hi - lo, np.int64) for lo, hi in shards.spans]
-            for k, block, m in shards.search(blocks):
-                doc = np.searchsorted(shards.bounds[k], m.word, side="right") - 1
-                np.maximum.at(longest[k], doc, m.length)
-                for d, item in np.unique(np.stack([doc, m.item], 1), axis=0).tolist():
-                    names[k].setdefault(d, set()).add(block.names[item])
+            for k, block, f in shards.search(blocks):
+                doc_of = lambda word: np.searchsorted(shards.bounds[k], word, side="right") - 1  # noqa: E731, B023
+                doc = doc_of(f.word)
+                np.maximum.at(longest[k], doc, np.where(f.length < window, f.length, 0))
+                if (f.length == window).any():
+                    at, length = Joint(f, block, window).of_text()
+                    np.maximum.at(longest[k], doc_of(f.place[at]), length)
+                for d, items in np.unique(np.stack([doc, f.set_of[f.interval]], 1), axis=0).tolist():
+                    names[k].setdefault(d, set()).update(block.names[i] for i in f.sets[items].tolist())
             for k, (lo, hi) in enumerate(shards.spans):
                 n_words, n_hit = shards.counts(k)
                 n_items, digest = np.zeros(hi - lo, np.int64), [none] * (hi - lo)
@@ -346,23 +457,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW) -> DataFrame:
     """item_id (as string), start, n_words, doc_id, word: of each test suffix its longest verbatim match of `least` words or more (or of
     its whole item, if that is shorter) over all documents, and the first place that has it (the smallest doc_id, then word)."""
-    blocks = _blocks(benchmark, least)
+    blocks, least_words = _blocks(benchmark, least), least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shards = Shards.of(batch, "text")
-            for k, block, m in shards.search(blocks):
-                doc = np.searchsorted(shards.bounds[k], m.word, side="right") - 1
+            for k, block, f in shards.search(blocks):
+                first, doc = shards.spans[k][0], np.searchsorted(shards.bounds[k], f.place, side="right") - 1
+                ids = batch.column(0).slice(first, len(shards.bounds[k]) - 1)
+                by_id = np.lexsort((f.place, np.asarray(pc.rank(ids, null_placement="at_start", tiebreaker="first"))[doc]))
+                priority = np.empty(len(f.s), np.int64)
+                priority[by_id] = np.arange(len(f.s))
+                # items shorter than the window are matched as a whole: the least place of their interval
+                heads = np.searchsorted(f.interval, f.of)
+                least = np.minimum.reduceat(priority[f.at], np.searchsorted(f.interval, np.arange(len(f.set_of))))
+                suffix, length, best = f.suffix, f.length[heads], least[f.of]
+                if (f.length == least_words).any():
+                    short = length < least_words
+                    parts = Joint(f, block, least_words).of_tests(priority)
+                    suffix, length, best = (np.concatenate([a[short], b]) for a, b in zip((suffix, length, best), parts))
+                at, start = by_id[best], block.starts[suffix].astype(np.int64)
+                item = np.searchsorted(block.bounds, start, side="right") - 1
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([None if block.names[i] is None else str(block.names[i]) for i in m.item.tolist()], pa.string()), pa.array(m.start), pa.array(m.length), batch.column(0).take(pa.array(shards.spans[k][0] + doc)),
-                    pa.array(m.word - shards.bounds[k][doc])], names=["item_id", "start", "n_words", "doc_id", "word"])
+                    pa.array([None if block.names[i] is None else str(block.names[i]) for i in item.tolist()], pa.string()), pa.array(start - block.bounds[item]), pa.array(length), ids.take(pa.array(doc[at])),
+                    pa.array(f.place[at] - shards.bounds[k][doc[at]])], names=["item_id", "start", "n_words", "doc_id", "word"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item_id string, start long, n_words long, doc_id long, word long")
-    # a match holds the shorter ones of the suffixes after its first
-    n = F.greatest(F.col("n_words") - least + 1, F.lit(1))
-    each = found.select("item_id", "doc_id", F.posexplode(F.sequence(F.lit(1), n)).alias("k", "_"), "start", "n_words", "word")
-    each = each.select("item_id", (F.col("start") + F.col("k")).alias("start"), (F.col("n_words") - F.col("k")).alias("n_words"), "doc_id", (F.col("word") + F.col("k")).alias("word"))
-    best = each.groupBy("item_id", "start").agg(F.min_by(F.struct("n_words", "doc_id", "word"), F.struct(-F.col("n_words"), "doc_id", "word")).alias("m"))
+    best = found.groupBy("item_id", "start").agg(F.min_by(F.struct("n_words", "doc_id", "word"), F.struct(-F.col("n_words"), "doc_id", "word")).alias("m"))
     return best.select("item_id", "start", "m.*")
 
 

@@ -176,6 +176,59 @@ def test_benchmark_blocks_grow_with_the_text_alone(spark):
     assert build_block([(0, None), (1, ""), (2, "a")]).alone.tolist() == [1]
 
 
+def test_longest_matches_of_repeated_words(spark):
+    """Few words, repeated: every suffix of every item against every place of every document."""
+    import random
+
+    from tallyforge.llm.decontaminate import contamination, longest_matches
+
+    rng = random.Random(11)
+    text = lambda most, kinds: " ".join(rng.choice("abcd"[:kinds]) for _ in range(rng.randrange(most)))
+    docs = [(rng.randrange(40), text(60, rng.choice([1, 2, 2, 4]))) for _ in range(60)] + [(None, "a " * 30), (99, None)]
+    docs = list(dict(docs).items())  # an id each
+    items = [(i, text(rng.choice([4, 12, 40]), rng.choice([1, 2, 4]))) for i in range(40)] + [(40, "a " * 25), (41, ""), (42, None), (43, "a " * 25)]
+    least = 5
+    common = lambda x, y: next((n for n, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    want, longest, found = {}, dict.fromkeys((d for d, _ in docs), 0), {d: set() for d, _ in docs}
+    for i, t in items:
+        w = (t or "").split()
+        for start in range(max(len(w) - least + 1, 1) if w else 0):
+            for d, u in docs:
+                v = (u or "").split()
+                for at in range(len(v)):
+                    n = common(w[start:], v[at:])
+                    if n >= min(least, len(w)):
+                        longest[d], found[d] = max(longest[d], n), found[d] | {i}
+                        best = (-n, -1 if d is None else d, at)
+                        want[str(i), start] = min(want.get((str(i), start), best), best)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.item_id, r.start): (-r.n_words, -1 if r.doc_id is None else r.doc_id, r.word) for r in longest_matches(d.coalesce(1), b, least).collect()}
+    assert got == want and len(want) > 200
+    assert {(r.item_id, r.start): (-r.n_words, -1 if r.doc_id is None else r.doc_id, r.word) for r in longest_matches(d.repartition(5), b, least).collect()} == want
+    rows = contamination(d, b, least).collect()
+    assert {r.doc_id: (r.longest, r.n_items) for r in rows} == {i: (longest[i], len(found[i])) for i, _ in docs}
+
+
+def test_one_word_repeated_is_linear():
+    """10,000 equal words against a text of a million of them: 10^10 pairs of places, none of them listed."""
+    import time
+    import tracemalloc
+
+    import numpy as np
+
+    from tallyforge.llm.decontaminate import Joint, build_block, find, words
+
+    block, n = build_block([(1, "word " * 10_000)]), 1_000_000
+    hashes, bounds = np.repeat(words(np.frombuffer(b"word", np.uint8), np.array([0, 4]))[0], n), np.array([0, n])
+    tracemalloc.start()
+    begun = time.time()
+    f = find(hashes, bounds, block)
+    at, length = Joint(f, block, 13).of_text()
+    assert len(f.at) == len(at) == n - 12 and len(f.sets) == 1 and length.max() == 10_000 and length.min() == 13
+    assert tracemalloc.get_traced_memory()[1] < 600e6 and time.time() - begun < 60
+    tracemalloc.stop()
+
+
 def plain_sets(k):
     find = re.compile(r"[^\x20\x09-\x0D]+").findall
     out = {}
