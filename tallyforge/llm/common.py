@@ -49,14 +49,17 @@ def stash(df: DataFrame, name: str, compression: str | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_stash(df: DataFrame) -> None:
-    """Delete the files of a table that stash gave and that nothing reads any more."""
-    spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/"
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if path.getParent().toUri().getPath() == spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath():
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_stash(*tables: DataFrame) -> None:
+    """Delete the files of all tables that stash gave and that these read. Only for what was written again since and is of the caller's own
+    making: never for a plan that reads documents, which may be a stashed table themselves."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        home = path(f"{shared_folder(spark)}/").toUri().getPath()
+        for folder in sorted({file.rsplit("/", 1)[0] for file in df.inputFiles()}):
+            at = path(folder)
+            if at.getParent().toUri().getPath() == home:
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_views(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, text_views
+from .common import drop_stash, stash, text_views
 from .components import pick
 from .decontaminate import _BYTE, _ODD, _mix
 from .induced import common_prefixes, suffix_array
@@ -291,12 +291,15 @@ def repeated_spans(docs: DataFrame, lengths: tuple[int, ...], anchor: int) -> Da
     shared = all_runs.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
     shared = stash(shared, "shared-anchors")  # plain tables, so Spark can split a hot anchor's side of the joins
     some = stash(all_runs.join(shared, "anchor"), "shared-runs")
+    drop_stash(all_runs, shared)
     place = F.struct("id", "mark", "first", "last", "room")
     contexts = stash(some.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(place).alias("at")), "contexts")
     several = stash(contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor"), "several")
     wanted = stash(contexts.join(several, "anchor").select("anchor", "context", "at.*"), "wanted")
     texts = pick(rows, wanted.select(*KEYS).distinct(), KEYS).dropDuplicates(list(KEYS))
-    found = found_in(stash(_contexts(texts, wanted), "context-bytes"), lengths, anchor)
+    strings = stash(_contexts(texts, wanted), "context-bytes")
+    drop_stash(several, wanted)
+    found = found_in(strings, lengths, anchor)
     once = contexts.filter("n = 1").select("anchor", "context")
     end = F.col("at.last") - F.col("at.first") + F.col("at.room")
     whole = contexts.filter("n > 1")
@@ -304,7 +307,9 @@ def repeated_spans(docs: DataFrame, lengths: tuple[int, ...], anchor: int) -> Da
     for level, n in enumerate(lengths):
         stop = F.least(end, F.col("at.last") - F.col("at.first") + n).cast("int")
         spans = spans.unionAll(whole.filter(end >= n).select("anchor", "context", F.lit(level).alias("level"), F.array(F.lit(0)).alias("x"), F.array(stop).alias("y")))
-    return some.join(stash(spans, "context-spans"), ["anchor", "context"]).groupBy(*KEYS).agg(F.collect_list(F.struct("first", "level", "x", "y")).alias("spans"))
+    known = stash(spans, "context-spans")
+    drop_stash(spans)  # contexts, their bytes and what large groups were dealt to
+    return some.join(known, ["anchor", "context"]).groupBy(*KEYS).agg(F.collect_list(F.struct("first", "level", "x", "y")).alias("spans"))
 
 
 def merged(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -349,7 +354,9 @@ def cut(raw: bytes, x: list[int], y: list[int]) -> bytes:
 def losses(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), with_text: bool = False, anchor: int | None = None) -> DataFrame:
     """Of the documents with repeated strings of the first length: id, mark, n_repeated (bytes of these), n_removed and n_spans (of
     those of the last length), kept_sha256 (null where nothing is removed); with_text, also kept (without cut characters)."""
-    lost = stash(_losses(repeated_spans(docs, lengths, anchor or min(ANCHOR, lengths[0] // 3)), len(lengths) - 1), "losses")
+    spans = repeated_spans(docs, lengths, anchor or min(ANCHOR, lengths[0] // 3))
+    lost = stash(_losses(spans, len(lengths) - 1), "losses")
+    drop_stash(spans)
     less = lost.filter("n_removed > 0")
     texts = pick(keyed(docs), less.select(*KEYS), KEYS).dropDuplicates(list(KEYS))
     schema = "id long, mark int, kept_sha256 string" + ", kept string" * with_text
@@ -395,7 +402,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"), row_id(docs).alias("id"), row_mark(docs).alias("mark"))
     lost = losses(docs, (length,)).select(*KEYS, "n_removed", "n_spans", "kept_sha256")
-    found = stash(lost.join(shared_passages(docs), list(KEYS), "full"), "results")
+    shared = shared_passages(docs)
+    found = stash(lost.join(shared, list(KEYS), "full"), "results")
+    drop_stash(shared)
     zero = lambda n: F.coalesce(n, F.lit(0)).cast("long").alias(n)
     return base.join(found, list(KEYS), "left").select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), zero("n_shared"))
 
