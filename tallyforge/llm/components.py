@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import drop_stash, stash
 
 #: Bits of the filter that spares the shuffle of documents that aren't asked for; 4 MB at any size of the corpus.
 FILTER_BITS = 25
@@ -29,8 +29,10 @@ def components(links: DataFrame) -> DataFrame:
         jump = up.join(up.select(F.col("a").alias("p"), F.col("p").alias("pp")), "p", "left").select("a", F.least("p", F.coalesce("pp", "p")).alias("to"))
         jump = stash(jump, "jumps")
         left, right = jump.select("a", F.col("to").alias("x")), jump.select(F.col("a").alias("b"), F.col("to").alias("y"))
+        last = [edges, state, jump]
         edges = stash(edges.join(left, "a").join(right, "b").filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
         state = stash(state.join(jump.withColumnRenamed("a", "component"), "component", "left").select("id", F.coalesce("to", "component").alias("component")), "labels")
+        drop_stash(*last)
     return state
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash, text_views
+from .common import drop_stash, stash, text_views
 from .components import components, pick
 from .decontaminate import _mix, words
 
@@ -207,13 +207,18 @@ def classes(reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     shared = cells.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     cells = stash(cells.join(shared, "key"), "cells")
     degree = cells.groupBy("doc_id").agg(F.sum("n").alias("degree"))
-    cells = stash(cells.join(degree, "doc_id").select("key", "doc_id", "degree"), "cells")
+    sized, cells = cells, stash(cells.join(degree, "doc_id").select("key", "doc_id", "degree"), "cells")
+    drop_stash(sized)
     top = cells.groupBy("key").agg(F.max_by("doc_id", F.struct("degree", -F.col("doc_id"))).alias("leader"))
     pairs = stash(cells.join(top, "key").filter("doc_id != leader").select("leader", F.col("doc_id").alias("member")).distinct(), "pairs")
+    drop_stash(cells)
     wanted = pairs.select(F.col("leader").alias("doc_id")).union(pairs.select("member")).distinct()
     found = stash(stars(pairs, pick(docs, wanted).dropDuplicates(["doc_id"]), k, percent), "stars")
+    drop_stash(pairs)
     links = found.filter("hit").select(F.col("leader").alias("a"), F.col("member").alias("b")).unionAll(within_stars(found, percent))
-    return components(links)
+    known = components(links)
+    drop_stash(found)
+    return known
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
