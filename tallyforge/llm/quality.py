@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod5, stash, text_views
+from .common import crc32_mod5, drop_stash, stash, text_views
 from .decontaminate import words
 
 THRESHOLD = 0.3
@@ -169,7 +169,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, whose text scores at least the threshold. Nothing but statistics is shuffled. Each row is judged for
     itself, so repeated rows, rows without an id and null texts (empty) stay or go by their score; an empty table stays empty."""
-    model = train(stash(features(docs), "features"), labels)
+    feats = stash(features(docs), "features")
+    model = train(feats, labels)
+    drop_stash(feats)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ the ORC files hold."""
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -148,3 +149,29 @@ def test_stages_of_odd_rows(spark, tmp_path):
     assert 6 not in clean and len(clean) == len(rows) - 1 and clean.count(1) == 2 and clean.count(None) == 1
     packed = stage["packing"](spark, docs, home).collect()
     assert len(packed) == len(rows) and sum(r.length for r in packed if r.doc_id is None) > 1
+
+
+def test_written_tables_go_after_their_last_reader(spark):
+    """What is left in the shared folder is what the returned plans read, and tables of a few rows; the input isn't touched."""
+    from tallyforge.llm.common import shared_folder, stash
+    from tallyforge.llm.minmax_dedup import near_duplicates
+    from tallyforge.llm.suffix_dedup import suffix_dedup
+
+    text = " ".join(f"word{i}" for i in range(120))
+    docs = stash(spark.createDataFrame([(i, text + f" end{i % 3} of this") for i in range(9)] + [(9, "no copy"), (10, None)], "doc_id long, text string"), "input")
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+
+    def left(query) -> set[str]:
+        had = set(folder.iterdir())
+        query()
+        return {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - had}
+
+    def strings():
+        assert suffix_dedup(docs).orderBy("doc_id").first()["n_removed"] > 0
+
+    def sets():
+        assert [r["component_id"] for r in near_duplicates(docs, 3, 85).orderBy("doc_id").collect()] == [0] * 9 + [9, 10]
+
+    assert left(strings) == {"large-groups", "losses", "results"}
+    assert left(sets) == {"signatures", "sets", "labels", "links"}
+    assert docs.count() == 11
