@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import documents, small_batches, stash
+from tallyforge.llm.common import documents, drop_stash, small_batches, stash
 from tallyforge.llm.decontaminate import keep_clean
 from tallyforge.llm.minmax_dedup import keep_one
 from tallyforge.llm.packing import pack_documents
@@ -55,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            drop_stash(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
