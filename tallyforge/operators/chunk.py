@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -76,9 +77,23 @@ def by_size(df: DataFrame, most: int = MOST_CHARS, column: str = "text") -> Data
     return whole.unionByName(long)
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once a row however often f names it: within functions of arrays an expression is computed wherever it stands."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _last_of(entries: Column, key: str) -> Column:
-    """Of entries with the same key the last one, in the order of first ones."""
-    return F.transform(F.array_distinct(F.transform(entries, lambda e: e[key])), lambda k: F.element_at(F.filter(entries, lambda e: e[key] == k), -1))
+    """Of entries with the same key the last one, in the order of first ones. Where keys repeat, places are sorted by key: the first and the last
+    place of each run."""
+    def of_runs(es: Column) -> Column:
+        def picked(s: Column) -> Column:
+            heads = F.filter(s, lambda x, i: ~x["k"].eqNullSafe(F.get(s, i - 1)["k"]))
+            ends = F.filter(s, lambda x, i: ~x["k"].eqNullSafe(F.get(s, i + 1)["k"]))
+            return F.transform(F.sort_array(F.zip_with(heads, ends, lambda a, b: F.struct(a["i"].alias("first"), b["i"].alias("last")))), lambda x: F.get(es, x["last"]))
+
+        return _once(F.sort_array(F.transform(es, lambda e, i: F.struct(e[key].alias("k"), i.alias("i")))), picked)
+
+    return _once(entries, lambda es: F.when(F.size(F.array_distinct(F.transform(es, lambda e: e[key]))) == F.size(es), es).otherwise(of_runs(es)))
 
 
 def location_totals(text: Column) -> Column:
@@ -179,28 +194,35 @@ def prompt(carrier: Column, kind: Column, body: Column, codes: Column, examples:
 ADDRESS_STOPS = r"(?i)AccountNumber:|TotalForAccount|MonthlyCharges|SecurityCode:|ChargeDetails|Date\s+Description|Subtotal|PastDue"
 
 
-def _above(before: Column, most: int) -> Column:
-    """The lines right above the last one, upwards to an empty or a stop line."""
-    lines = F.split(before, "\n")
-    near = F.slice(F.reverse(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))), 1, most)
-    end = F.array_position(F.transform(near, lambda x: (F.trim(x) == "") | x.rlike(ADDRESS_STOPS)), True).cast("int")
-    own = F.when(end > 0, F.slice(near, F.lit(1), F.greatest(end - 1, F.lit(0)))).otherwise(near)
-    return F.array_join(F.reverse(F.transform(own, lambda x: F.trim(x))), "\n")
+def _above(lines: Column, line: Column, most: int) -> Column:
+    """The lines right above a line (from 0), upwards to an empty or a stop line."""
+    def own(near: Column) -> Column:
+        end = F.array_position(F.transform(near, lambda x: x["stop"]), True).cast("int")
+        return _once(end, lambda e: F.when(e > 0, F.slice(near, F.lit(1), F.greatest(e - 1, F.lit(0)))).otherwise(near))
+
+    near = F.reverse(F.slice(lines, F.greatest(line - most + 1, F.lit(1)), F.least(line, F.lit(most))))
+    return F.array_join(F.reverse(F.transform(_once(near, own), lambda x: x["said"])), "\n")
 
 
 def address_blocks(text: Column, pattern: str, most: int = 5) -> Column:
     """Of every place where the pattern matches the account (its first group) and the address above: at most five lines, which end at an
     empty line or one of charges. Without an account or a line there is no entry; of equal accounts the last one counts.
 
-    One pass over the text: only its last lines are carried from match to match."""
-    kept = F.lit(None).cast("array<struct<account:string,address:string>>")
-    begin = F.struct(F.lit("").alias("tail"), F.coalesce(kept, F.array().cast("array<struct<account:string,address:string>>")).alias("found"))
+    Text and lines are cut once, and each line is judged once: a piece from match to match begins in a known line, whose lines above are a slice.
+    Piece j begins in line g - j, where g counts the lines of the pieces before, since each piece but the first begins within a line."""
+    def found(t: Column) -> Column:
+        pieces = F.split(t["text"], f"(?={pattern})")
+        return _once(pieces, lambda ps: F.filter(F.transform(begins(ps), lambda b: entry(F.get(ps, b["piece"]), b["line"], t["lines"])), lambda e: (e["account"] != "") & (e["address"] != "")))
+
+    def begins(ps: Column) -> Column:
+        heads = F.flatten(F.transform(ps, lambda p, j: F.transform(F.split(p, "\n"), lambda _, i: F.when(i == 0, j))))
+        return F.filter(F.transform(heads, lambda j, g: F.struct(j.alias("piece"), (g - j).alias("line"))), lambda b: b["piece"].isNotNull())
+
+    def entry(piece: Column, line: Column, lines: Column) -> Column:
+        account = F.regexp_extract(piece, f"^(?:{pattern})", 1)
+        return _once(account, lambda a: F.struct(a.alias("account"), F.when(a != "", _above(lines, line, most)).otherwise("").alias("address")))
 
-    def step(state: Column, piece: Column) -> Column:
-        at = F.struct(F.regexp_extract(piece, f"^(?:{pattern})", 1).alias("account"), _above(state["tail"], most).alias("address"))
-        hit = piece.rlike(f"^(?:{pattern})") & (at["account"] != "") & (at["address"] != "")
-        lines = F.split(F.concat(state["tail"], piece), "\n")
-        tail = F.array_join(F.slice(lines, F.greatest(F.size(lines) - most, F.lit(1)), F.lit(most + 1)), "\n")
-        return F.struct(tail.alias("tail"), F.when(hit, F.array_append(state["found"], at)).otherwise(state["found"]).alias("found"))
+    def judged(t: Column) -> Column:
+        return F.struct(t.alias("text"), F.transform(F.split(t, "\n"), lambda x: F.struct(F.trim(x).alias("said"), ((F.trim(x) == "") | x.rlike(ADDRESS_STOPS)).alias("stop"))).alias("lines"))
 
-    return _last_of(F.aggregate(F.split(text, f"(?={pattern})"), begin, step, lambda s: s["found"]), "account")
+    return _last_of(_once(_once(text, judged), found), "account")
