@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_CHARS = 600_000
@@ -99,7 +99,7 @@ def _last_of(entries: Column, key: str) -> Column:
 def location_totals(text: Column) -> Column:
     """Accounts and totals of the location summary: its lines, from the one below the title to an empty line or ACTIVITY FOR, that begin
     with five digits; the last amount of a line is its total. Without such an end there is no summary; of equal accounts the last line counts."""
-    block = F.regexp_extract(text, r"(?s)LOCATION SUMMARY.*?\n(.*?)(?=\n\n|\nACTIVITY FOR)", 1)
+    block = F.regexp_extract(text, r"(?s)LOCATION SUMMARY[^\n]*\n(.*?)(?=\n\n|\nACTIVITY FOR)", 1)
     lines = F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^\s*\d{5}") & x.rlike(r"\$[\d,]+\.\d{2}"))
     total = lambda x: F.translate(F.element_at(F.regexp_extract_all(x, F.lit(r"\$[\d,]+\.\d{2}"), 0), -1), "$,", "").cast("double")
     return _last_of(F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^\s*(\S+)", 1).alias("account"), total(x).alias("total"))), "account")
@@ -122,44 +122,65 @@ def code_descriptions(text: Column) -> Column:
 def _place(address: Column) -> Column:
     """address, city: parted at the last comma."""
     bare = F.trim(F.rtrim(F.trim(address), F.lit(",")))
-    return F.struct(F.trim(F.regexp_replace(bare, r"(?s),[^,]*$", "")).alias("address"), F.when(bare.contains(","), F.trim(F.regexp_extract(bare, r"([^,]*)$", 1))).alias("city"))
+    return _once(bare, lambda b: F.struct(F.trim(F.regexp_replace(b, r"(?s),[^,]*$", "")).alias("address"), F.when(b.contains(","), F.trim(F.regexp_extract(b, r"([^,]*)$", 1))).alias("city")))
 
 
 STATION = r"\bSLA\s+[!|](\d+)[-–]([^!\n]+)"
 
 
+def _found(text: Column, pattern: str) -> Column:
+    """The pattern's first group where it first matches; else null."""
+    return F.get(F.regexp_extract_all(text, F.lit(f"(?s){pattern}.*+"), 1), F.lit(0))
+
+
+def _stations(text: Column) -> Column:
+    """The SLA entries: station, address, city."""
+    entry = lambda x: F.regexp_replace(F.rtrim(F.trim(F.regexp_extract(x, STATION, 2)), F.lit(",")), r"\s*/(?:LSO|DPI|SN)\b.*$", "")
+    told = lambda x: _once(_place(entry(x)), lambda p: F.struct(F.regexp_extract(x, STATION, 1).alias("station"), p["address"].alias("address"), p["city"].alias("city")))
+    return F.transform(F.regexp_extract_all(text, F.lit(STATION), 0), told)
+
+
+def _main(text: Column) -> Column:
+    """The address and city of the record's SA, else its LA; null without one."""
+    main = F.coalesce(_found(text, r"\bSA\s+[!|]([^!\n]+)"), _found(text, r"\bLA\s+[!|]([^!\n]+)"))
+    return _once(main, lambda m: F.when(m.isNotNull(), _place(m)))
+
+
 def address_table(text: Column) -> Column:
     """What a record in boxes says of places: main (address, city) of its SA, else its LA; zip of its DZIP; stations (station, address, city)
     of its SLA entries, without what follows /LSO, /DPI or /SN; contracts of its /CNUM marks, each once, sorted. Null or empty where it doesn't say."""
-    found = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
-    main = F.coalesce(found(r"\bSA\s+[!|]([^!\n]+)"), found(r"\bLA\s+[!|]([^!\n]+)"))
-    entry = lambda x: F.regexp_replace(F.rtrim(F.trim(F.regexp_extract(x, STATION, 2)), F.lit(",")), r"\s*/(?:LSO|DPI|SN)\b.*$", "")
-    stations = F.transform(F.regexp_extract_all(text, F.lit(STATION), 0), lambda x: F.struct(F.regexp_extract(x, STATION, 1).alias("station"), _place(entry(x))["address"].alias("address"), _place(entry(x))["city"].alias("city")))
-    contracts = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"/CNUM\s+(\S+)"), 1)))
-    return F.struct(F.when(main.isNotNull(), _place(main)).alias("main"), F.when(main.isNotNull(), found(r"\bDZIP\s+[!|](\d+)")).alias("zip"), stations.alias("stations"), contracts.alias("contracts"))
+    contracts = lambda t: F.sort_array(F.array_distinct(F.regexp_extract_all(t, F.lit(r"/CNUM\s+(\S+)"), 1)))
+    zip_code = lambda m, t: F.when(m.isNotNull(), _found(t, r"\bDZIP\s+[!|](\d+)"))
+    return _once(text, lambda t: _once(_main(t), lambda m: F.struct(m.alias("main"), zip_code(m, t).alias("zip"), _stations(t).alias("stations"), contracts(t).alias("contracts"))))
 
 
 def address_context(table: Column) -> Column:
     """The table as text for an extraction provider; empty if it says nothing."""
-    line = lambda label, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(label), value))
-    stations = F.transform(table["stations"], lambda s: F.concat(F.lit("  SLA "), s["station"], F.lit(" = "), s["address"], F.coalesce(F.concat(F.lit(", "), s["city"]), F.lit(""))))
-    more = F.size(table["contracts"]) > 1
-    lines = F.array(
-        F.when(table["main"].isNotNull(), F.concat(F.lit("DEFAULT_ADDRESS: "), table["main"]["address"])), line("DEFAULT_CITY: ", table["main"]["city"]), line("DEFAULT_ZIP: ", table["zip"]),
-        F.when(F.size(stations) > 0, F.concat(F.lit("SLA_LOOKUP_TABLE:\n"), F.array_join(stations, "\n"))), line("CONTRACT_NUMBER: ", F.try_element_at(table["contracts"], F.lit(1))),
-        F.when(more, F.concat(F.lit("CONTRACT_NUMBERS_ALT: "), F.array_join(F.slice(table["contracts"], F.lit(2), F.greatest(F.size(table["contracts"]) - 1, F.lit(0))), ", "))))
-    said = F.filter(lines, lambda x: x.isNotNull())
-    return F.when(F.size(said) > 0, F.concat(F.lit("\n--- ADDRESS LOOKUP TABLE ---\n"), F.array_join(said, "\n"), F.lit("\n--- END ADDRESS TABLE ---\n"))).otherwise("")
+    line = lambda label, value: F.when(value != "", F.concat(F.lit(label), value))
+    station = lambda s: F.concat(F.lit("  SLA "), s["station"], F.lit(" = "), s["address"], F.coalesce(F.concat(F.lit(", "), s["city"]), F.lit("")))
+
+    def lines(t: Column) -> Column:
+        more = F.size(t["contracts"]) > 1
+        return F.array(
+            F.when(t["main"].isNotNull(), F.concat(F.lit("DEFAULT_ADDRESS: "), t["main"]["address"])), line("DEFAULT_CITY: ", t["main"]["city"]), line("DEFAULT_ZIP: ", t["zip"]),
+            F.when(F.size(t["stations"]) > 0, F.concat(F.lit("SLA_LOOKUP_TABLE:\n"), F.array_join(F.transform(t["stations"], station), "\n"))), line("CONTRACT_NUMBER: ", F.get(t["contracts"], F.lit(0))),
+            F.when(more, F.concat(F.lit("CONTRACT_NUMBERS_ALT: "), F.array_join(F.slice(t["contracts"], F.lit(2), F.greatest(F.size(t["contracts"]) - 1, F.lit(0))), ", "))))
+
+    said = F.filter(_once(table, lines), lambda x: x.isNotNull())
+    return _once(said, lambda s: F.when(F.size(s) > 0, F.concat(F.lit("\n--- ADDRESS LOOKUP TABLE ---\n"), F.array_join(s, "\n"), F.lit("\n--- END ADDRESS TABLE ---\n"))).otherwise(""))
 
 
 def placed_lines(docs: DataFrame, doc_id: str = "doc_id", column: str = "text") -> DataFrame:
     """doc_id, line, line_text, station, address, city: each line of a record, with the place of the station that its /SLA names, else the
-    record's main one. Lines join the entries of their own record; of equal stations the last entry counts."""
-    told = docs.select(doc_id, column, address_table(F.col(column)).alias("t"))
-    lines = told.select(doc_id, "t.main", F.posexplode(F.split(column, "\n")).alias("line", "line_text")).withColumn("station", F.nullif(F.regexp_extract("line_text", r"/SLA\s+(\d+)", 1), F.lit("")))
-    entries = told.select(doc_id, F.posexplode("t.stations").alias("at", "s")).groupBy(doc_id, F.col("s.station").alias("station")).agg(F.max_by("s", "at").alias("own"))
-    place = lambda f: F.when(F.col("own").isNotNull(), F.col(f"own.{f}")).otherwise(F.col(f"main.{f}"))
-    return lines.join(entries, [doc_id, "station"], "left").select(doc_id, "line", "line_text", "station", place("address").alias("address"), place("city").alias("city"))
+    record's main one. Entries and lines of a record are made in one pass and sorted by station, entries first: a line takes the last entry
+    before it, so of equal stations the last one counts. Records without an id have their main place only."""
+    line = lambda t, m: F.transform(F.split(t, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("line_text"), _found(x, r"/SLA\s+(\d+)").alias("station"), F.lit(None).cast("int").alias("entry"), m.alias("place")))
+    entry = lambda t: F.transform(_stations(t), lambda s, i: F.struct(F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("line_text"), s["station"].alias("station"), i.alias("entry"), F.struct(s["address"].alias("address"), s["city"].alias("city")).alias("place")))
+    rows = docs.select(doc_id, F.inline(_once(F.col(column), lambda t: _once(_main(t), lambda m: F.concat(entry(t), line(t, m))))))
+    above = Window.partitionBy(doc_id, "station").orderBy(F.col("entry").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.last(F.when(F.col("entry").isNotNull() & F.col(doc_id).isNotNull(), F.col("place")), ignorenulls=True).over(above)
+    placed = rows.withColumn("place", F.coalesce(own, F.col("place"))).filter("entry is null")
+    return placed.select(doc_id, "line", "line_text", "station", "place.address", "place.city")
 
 
 def context(carrier: Column, text: Column, size: int = 500) -> Column:
@@ -169,12 +190,11 @@ def context(carrier: Column, text: Column, size: int = 500) -> Column:
 
 def summary_section(name: Column, text: Column) -> Column:
     """As JSON, what the section that a format names for validation says; null if it says nothing or the name is unknown."""
-    locations, codes = location_totals(text), code_descriptions(text)
-    told = lambda label, entries: F.when(F.size(entries) > 0, F.to_json(F.struct(F.map_from_entries(entries).alias(label))))
+    told = lambda label, entries: _once(entries, lambda e: F.when(F.size(e) > 0, F.to_json(F.struct(F.map_from_entries(e).alias(label)))))
     return (
-        F.when(name == "LOCATION SUMMARY", told("location_summary", locations))
-        .when(name == "---REVENUE AMOUNTS---", F.when(revenue_total(text).isNotNull(), F.to_json(F.struct(revenue_total(text).alias("revenue_total")))))
-        .when(name == "SERV & EQUIP ACCOUNT SUMMARY", told("usoc_summary", codes)))
+        F.when(name == "LOCATION SUMMARY", told("location_summary", location_totals(text)))
+        .when(name == "---REVENUE AMOUNTS---", _once(revenue_total(text), lambda r: F.when(r.isNotNull(), F.to_json(F.struct(r.alias("revenue_total"))))))
+        .when(name == "SERV & EQUIP ACCOUNT SUMMARY", told("usoc_summary", code_descriptions(text))))
 
 
 def address_lines(addresses: Column) -> Column:
