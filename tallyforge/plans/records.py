@@ -3,6 +3,8 @@ lines, the operators from the texts. Also the spend ledger, error reasons, match
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +20,12 @@ ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity"
 LINES = f"(SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) AS n FROM lineitem)"
 
 
-def records(spark, sf_dir: str, of_line: Column, before: Column, after: Column) -> DataFrame:
-    """id, status, text: of each order a text of its lines in order, between two others (of the order)."""
-    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER.split(", ")))
-    lines = table(spark, sf_dir, "lineitem").withColumn("n", at).selectExpr("l_orderkey AS id", "n", "cast(l_partkey AS string) AS part", "cast(l_suppkey AS string) AS supp", "l_suppkey % 5 AS pick", "cast(l_quantity AS int) AS quantity").withColumn("said", of_line)
-    body = lines.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "said"))), lambda x: x["said"]), "").alias("body"))
+def records(spark, sf_dir: str, of_line: Callable[[Column], Column], before: Column, after: Column) -> DataFrame:
+    """id, status, text: of each order a text of its lines in order, between two others (of the order). Lines of an order are gathered and sorted
+    once; of_line is given a line's n (from 1), part, supp, pick, quantity."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct(*ORDER.split(", ")))).alias("lines"))
+    told = lambda x, i: F.struct((i + 1).alias("n"), x["l_partkey"].cast("string").alias("part"), x["l_suppkey"].cast("string").alias("supp"), (x["l_suppkey"] % 5).alias("pick"), x["l_quantity"].cast("int").alias("quantity"))
+    body = lines.select("id", F.array_join(F.transform(F.transform("lines", told), of_line), "").alias("body"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("cust"), F.left("o_orderpriority", F.lit(1)).alias("urgent"))
     return o.join(body, "id").select("id", "status", F.concat(before, F.col("body"), after).alias("text"))
 
@@ -31,8 +34,8 @@ def _said(*parts) -> Column:
     return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
 
-def summary_line() -> Column:
-    return _said("  1000", F.col("pick").cast("string"), "  Plant ", F.col("part"), "  $1,", F.lpad(F.col("quantity").cast("string"), 3, "0"), ".25  $", F.col("supp"), ".50\n", "note without account $3.00\n")
+def summary_line(x: Column) -> Column:
+    return _said("  1000", x["pick"].cast("string"), "  Plant ", x["part"], "  $1,", F.lpad(x["quantity"].cast("string"), 3, "0"), ".25  $", x["supp"], ".50\n", "note without account $3.00\n")
 
 
 SUMMARIES = f"l AS (SELECT l_orderkey AS id, '1000' || (l_suppkey % 5) AS account, n, l_suppkey + 0.5 AS total FROM {LINES}), t AS (SELECT id, account, arg_max(total, n)::double AS total, min(n) AS first FROM l GROUP BY 1, 2)"
@@ -41,7 +44,7 @@ SUMMARIES = f"l AS (SELECT l_orderkey AS id, '1000' || (l_suppkey % 5) AS accoun
 def location_records(spark, sf_dir):
     """Two of three have an end of the summary; a line below the end isn't of it."""
     end = F.when(F.col("id") % 3 == 0, "\nACTIVITY FOR MAY\n99999 usage $3.00\n").when(F.col("id") % 3 == 1, "\n99999 usage $3.00\n").otherwise("")
-    return records(spark, sf_dir, summary_line(), _said("bill\nLOCATION SUMMARY page ", F.col("cust").cast("string"), "\n"), end)
+    return records(spark, sf_dir, summary_line, _said("bill\nLOCATION SUMMARY page ", F.col("cust").cast("string"), "\n"), end)
 
 
 @query("t7_location_totals", f"WITH {SUMMARIES} SELECT id, account, total FROM t WHERE id % 3 < 2")
@@ -50,13 +53,13 @@ def location_totals(spark, sf_dir):
     return location_records(spark, sf_dir).select("id", F.explode(chunk.location_totals(F.col("text"))).alias("t")).select("id", "t.*")
 
 
-def box_line() -> Column:
-    return _said("! ! ", F.col("n").cast("string"), " !C", F.col("pick").cast("string"), " Line ", F.col("part"), " of ", F.col("supp"), " !\n")
+def box_line(x: Column) -> Column:
+    return _said("! ! ", x["n"].cast("string"), " !C", x["pick"].cast("string"), " Line ", x["part"], " of ", x["supp"], " !\n")
 
 
 def box_records(spark, sf_dir):
     total = _said("---REVENUE AMOUNTS---\n OTHER 9.00\n LOCAL SERVICE TOTAL   ", F.col("cust").cast("string"), ".75\n", F.when(F.col("urgent") == "1", "---LOCAL SERVICE TOTAL 1.00\n").otherwise("LISTINGS\n"))
-    return records(spark, sf_dir, box_line(), _said(F.when(F.col("urgent") > "2", total).otherwise("no amounts\nLOCAL SERVICE TOTAL 7.00\n"), "SERV & EQUIP ACCOUNT SUMMARY\n"), F.lit("!------------!\n! ! 9 !ZZ not of it !\n"))
+    return records(spark, sf_dir, box_line, _said(F.when(F.col("urgent") > "2", total).otherwise("no amounts\nLOCAL SERVICE TOTAL 7.00\n"), "SERV & EQUIP ACCOUNT SUMMARY\n"), F.lit("!------------!\n! ! 9 !ZZ not of it !\n"))
 
 
 BOXES = f"l AS (SELECT l_orderkey AS id, 'C' || (l_suppkey % 5) AS code, n, 'Line ' || l_partkey || ' of ' || l_suppkey AS what FROM {LINES}), t AS (SELECT id, code, arg_max(what, n) AS description, min(n) AS first FROM l GROUP BY 1, 2)"
@@ -76,22 +79,23 @@ FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_orderkey
 def summary_section(spark, sf_dir):
     """Each section by the name that a format gives it."""
     said = lambda name: chunk.summary_section(F.lit(name), F.col("text"))
-    a = location_records(spark, sf_dir).select("id", said("LOCATION SUMMARY").alias("locations")).filter("locations is not null")
+    # exploded, since a filter would make the section a second time
+    a = location_records(spark, sf_dir).select("id", F.explode(F.filter(F.array(said("LOCATION SUMMARY")), lambda x: x.isNotNull())).alias("locations"))
     b = box_records(spark, sf_dir).select("id", said("---REVENUE AMOUNTS---").alias("revenue"), said("SERV & EQUIP ACCOUNT SUMMARY").alias("codes"), said("LISTINGS").alias("other"))
     return a.join(b, "id")
 
 
-def station_line() -> Column:
-    return _said("SLA  !", F.lpad(F.col("n").cast("string"), 3, "0"), "-", F.col("part"), " OAK ST", F.when(F.col("pick") < 4, F.concat(F.lit(", TOWN "), F.col("supp"))).otherwise(""), F.when(F.col("quantity") % 2 == 0, " /LSO 614 222,").otherwise(","), " !\n")
+def station_line(x: Column) -> Column:
+    return _said("SLA  !", F.lpad(x["n"].cast("string"), 3, "0"), "-", x["part"], " OAK ST", F.when(x["pick"] < 4, F.concat(F.lit(", TOWN "), x["supp"])).otherwise(""), F.when(x["quantity"] % 2 == 0, " /LSO 614 222,").otherwise(","), " !\n")
 
 
-def used_line() -> Column:
-    return _said("1MB /TA 36 /SLA ", F.lpad((F.col("n") + F.when(F.col("quantity") % 3 == 0, 500).otherwise(0)).cast("string"), 3, "0"), " /CNUM K", F.col("pick").cast("string"), "\n")
+def used_line(x: Column) -> Column:
+    return _said("1MB /TA 36 /SLA ", F.lpad((x["n"] + F.when(x["quantity"] % 3 == 0, 500).otherwise(0)).cast("string"), 3, "0"), " /CNUM K", x["pick"].cast("string"), "\n")
 
 
 def station_records(spark, sf_dir):
     main = _said("X LA  !", F.col("cust").cast("string"), " ELM AVE, DAYTON ,\n", F.when(F.col("urgent") == "1", F.concat(F.lit("SA |"), F.col("cust").cast("string"), F.lit(" MAIN ST!\n"))).otherwise(""), F.when(F.col("urgent") > "3", F.concat(F.lit("DZIP !"), F.lpad(F.col("cust").cast("string"), 5, "0"), F.lit("\n"))).otherwise(""))
-    return records(spark, sf_dir, _said(station_line(), used_line()), main, F.lit(""))
+    return records(spark, sf_dir, lambda x: _said(station_line(x), used_line(x)), main, F.lit(""))
 
 
 STATIONS = f"""l AS (SELECT l_orderkey AS id, n, n + CASE WHEN cast(l_quantity AS int) % 3 = 0 THEN 500 ELSE 0 END AS used, l_partkey || ' OAK ST' AS address, CASE WHEN l_suppkey % 5 < 4 THEN 'TOWN ' || l_suppkey END AS city, 'K' || (l_suppkey % 5) AS contract FROM {LINES}),
@@ -113,17 +117,17 @@ def address_context(spark, sf_dir):
     return station_records(spark, sf_dir).select("id", chunk.address_context(chunk.address_table(F.col("text"))).alias("context"))
 
 
-def block_line() -> Column:
+def block_line(x: Column) -> Column:
     return _said(
-        F.when(F.col("n") % 2 == 0, "Suite 1\nFloor 2\nDock 3\n").otherwise(""), "Acme ", F.col("part"), "\n", F.col("supp"), " Elm \n", F.when(F.col("pick") == 1, "\n").when(F.col("pick") == 2, "SUBTOTAL 5.00\n").when(F.col("pick") == 3, "Date   Description\n").otherwise(""),
-        F.when(F.col("pick") < 4, F.concat(F.lit("Town "), F.col("quantity").cast("string"), F.lit("\n"))).otherwise("pastdue\n"), "AccountNumber: ", (F.lit(10**12) + F.col("id") * 1000 + F.col("n")).cast("long").cast("string"), "\n")
+        F.when(x["n"] % 2 == 0, "Suite 1\nFloor 2\nDock 3\n").otherwise(""), "Acme ", x["part"], "\n", x["supp"], " Elm \n", F.when(x["pick"] == 1, "\n").when(x["pick"] == 2, "SUBTOTAL 5.00\n").when(x["pick"] == 3, "Date   Description\n").otherwise(""),
+        F.when(x["pick"] < 4, F.concat(F.lit("Town "), x["quantity"].cast("string"), F.lit("\n"))).otherwise("pastdue\n"), "AccountNumber: ", (F.lit(10**12) + F.col("id") * 1000 + x["n"]).cast("long").cast("string"), "\n")
 
 
 @query("s21_address_blocks", f"""SELECT l_orderkey AS id, cast(1000000000000 + l_orderkey * 1000 + n AS varchar) AS account, CASE WHEN l_suppkey % 5 = 0 AND n % 2 = 0 THEN 'Floor 2' || chr(10) || 'Dock 3' || chr(10) ELSE '' END || CASE WHEN l_suppkey % 5 = 0 THEN 'Acme ' || l_partkey || chr(10) || l_suppkey || ' Elm' || chr(10) ELSE '' END || 'Town ' || cast(l_quantity AS int) AS address
 FROM {LINES} WHERE l_suppkey % 5 < 4""")
 def address_blocks(spark, sf_dir):
     """Every account with at most five lines above it, up to an empty or a stop line."""
-    docs = records(spark, sf_dir, block_line(), F.lit(""), F.lit("end"))
+    docs = records(spark, sf_dir, block_line, F.lit(""), F.lit("end"))
     return docs.select("id", F.explode(chunk.address_blocks(F.col("text"), r"AccountNumber:\s*(\d{13})")).alias("b")).select("id", "b.*")
 
 
@@ -239,5 +243,5 @@ def rows_of_versions(spark, sf_dir):
 def sections_in_sql(spark, sf_dir):
     """T1 and 2.11: the table function, called from SQL."""
     tables.register(spark)
-    docs = records(spark, sf_dir, block_line(), F.lit(""), F.lit("end"))
+    docs = records(spark, sf_dir, block_line, F.lit(""), F.lit("end"))
     return spark.sql("SELECT d.id, s.section, s.sub_account FROM {docs} d, LATERAL cut_by_boundary(d.text, 'AccountNumber: ([0-9]{{13}})') s", docs=docs)

@@ -3,6 +3,7 @@
 import difflib
 import math
 import random
+import tempfile
 import time
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import terms
 from tallyforge.operators import chunk, evaluate, feedback, graph, marts, merge, normalize
+from tallyforge.plans import records
 
 
 def one(spark, value, f):
@@ -57,6 +59,26 @@ def test_many_accounts_of_one_text(spark):
     assert got == [(str(10**12 + i), f"Acme {k}\n{k} Elm") for i in range(1_900) for k in [i + 1_900 if i < 100 else i]]
 
 
+def test_steps_stand_once_in_plans(spark):
+    """Nothing is computed again for each place that names it, and gathering lines takes no window."""
+    docs = spark.createDataFrame([(1, "SLA !001-9 FIR\nT /SLA 001\nT /SLA 9"), (1, "LA !1 ELM\nT /SLA 001"), (None, "SLA !001-9 FIR\nLA !2 ELM\nT /SLA 001")], "doc_id int, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    told = plan(docs.select(chunk.address_context(chunk.address_table(F.col("text"))).alias("x")))
+    assert [told.count(mark) for mark in (r"\bSA\s", r"\bDZIP", r"/CNUM")] == [1, 1, 1]
+    for name, mark in (("LOCATION SUMMARY", "LOCATION SUMMARY["), ("SERV & EQUIP ACCOUNT SUMMARY", "ACCOUNT SUMMARY("), ("---REVENUE AMOUNTS---", "AMOUNTS---\\s")):
+        assert plan(docs.select(chunk.summary_section(F.lit(name), F.col("text")).alias("x"))).count(mark) == 1
+    placed = chunk.placed_lines(docs)
+    assert "Join" not in plan(placed) and plan(placed).count(r"\bSA\s") == 1
+    assert sorted((r.doc_id or 0, r.line, r.address or "") for r in placed.filter("station is not null").collect()) == [(0, 2, "2 ELM"), (1, 1, "9 FIR"), (1, 1, "9 FIR"), (1, 2, "")]
+    lines = spark.createDataFrame([(7, 2, 5, 1, 1.0), (7, 1, 6, 2, 3.0)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double")
+    orders = spark.createDataFrame([(7, 3, "O", "1-URGENT")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+    folder = tempfile.mkdtemp()
+    lines.write.parquet(f"{folder}/lineitem.parquet")
+    orders.write.parquet(f"{folder}/orders.parquet")
+    made = records.box_records(spark, folder)
+    assert "Window" not in plan(made) and "! ! 1 !C2 Line 6 of 2 !\n! ! 2 !C1 Line 5 of 1 !\n" in made.first().text
+
+
 def test_salvage(spark):
     for text, want in (
         ('{"a": "1"} then {"b": "2"}', [{"a": "1"}]), ('x [{"a": "[y]"}] [', [{"a": "[y]"}]), ('```\n{"a": "1"}\n```', [{"a": "1"}]), ("[1, 2", None), ("{ {", None), ('no [x] {"a": "1"}', [{"a": "1"}]), ("", None), (None, None)):
