@@ -284,7 +284,7 @@ def _(df):
     """Each row against the next one, whose account is cut to four digits."""
     from ..operators.graph import numbered
 
-    at = numbered(df.withColumn("_all", F.lit(0)), ["_all"], ["row_id"]).select("n", "row_id", "carrier_account_number", "city", "monthly_recurring_cost")
+    at = numbered(df.select(F.lit(0).alias("_all"), "row_id", "carrier_account_number", "city", "monthly_recurring_cost"), ["_all"], ["row_id"]).drop("_all")
     nxt = at.select((F.col("n") - 1).alias("n"), F.when(F.trim("carrier_account_number") == "", "").otherwise(F.left(X.digits(F.col("carrier_account_number")), F.lit(4))).alias("ga"), F.col("city").alias("gc"), F.col("monthly_recurring_cost").alias("gm"))
     score = lambda f, g: evaluate.diagnostic_compare(f, F.col(f), F.col(g))
     return at.join(nxt, "n").select("row_id", score("carrier_account_number", "ga").alias("account"), score("city", "gc").alias("city"), score("monthly_recurring_cost", "gm").alias("cost"))
