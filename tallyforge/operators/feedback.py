@@ -51,25 +51,28 @@ def diagnose(corrections: DataFrame, raw: DataFrame) -> DataFrame:
 
     The right value in a row of the same line: MERGE; another one: EXTRACTION if it is the wrong value, else MERGE; the right value
     elsewhere only: ENRICHMENT; nowhere: DATA_GAP. Rows are of the same line if their phones end in the same seven digits or one account is
-    part of the other. Values are counted by line before they are met, so a line may hold any share of the rows."""
+    part of the other. Values are counted by line before they are met, so a line may hold any share of the rows; what lines say is put together for
+    each account that is asked for, and corrections meet it by account, field and value: no row for each correction and line."""
     up = lambda c: F.upper(F.trim(F.coalesce(F.col(c), F.lit(""))))
     keys = ["field_name", *(["carrier"] if "carrier" in corrections.columns and "carrier" in raw.columns else [])]
     c = corrections.select("id", *keys, up("extracted_value").alias("was"), up("corrected_value").alias("right"), X.digits(F.coalesce("account", F.lit(""))).alias("a"), F.right(X.digits(F.coalesce("phone", F.lit(""))), F.lit(7)).alias("p"))
     values = raw.select("doc_id", *keys, up("value").alias("v"), X.digits(F.coalesce("account", F.lit(""))).alias("b"), F.right(X.digits(F.coalesce("phone", F.lit(""))), F.lit(7)).alias("p"))
-    first = F.min(F.when(F.col("v") != "", F.struct("doc_id", "v")))
+    pairs = containing_accounts(c, values)
 
-    def seen(by: str, asked: DataFrame) -> DataFrame:
-        """id, had_right, first of the corrections asked (id, by, keys, right) in the lines named by `by`."""
+    def of(by: str) -> tuple[DataFrame, DataFrame]:
+        """Of the lines named by `by`: the first value of each field, and the distinct values."""
         r = values.filter(F.col(by) != "")
-        had = asked.join(r.select(by, *keys, F.col("v").alias("right")).distinct(), [by, *keys, "right"]).select("id", F.lit(True).alias("had_right"), F.lit(None).cast(kind).alias("first"))
-        return had.unionByName(asked.join(r.groupBy(by, *keys).agg(first.alias("first")), [by, *keys]).select("id", F.lit(False).alias("had_right"), "first"))
+        return r.groupBy(by, *keys).agg(F.min(F.when(F.col("v") != "", F.struct("doc_id", "v"))).alias("first")), r.select(by, *keys, F.col("v").alias("right")).distinct()
 
-    kind = values.select(F.struct("doc_id", "v").alias("s")).schema["s"].dataType
-    pairs = containing_accounts(c, values)
-    line = seen("p", c.filter("p != ''")).unionByName(seen("b", c.join(pairs, "a")))
-    found = line.groupBy("id").agg(F.bool_or("had_right").alias("had_right"), F.min("first")["v"].alias("first_value"))
+    first_b, said_b = of("b")
+    first_p, said_p = of("p")
+    first_a = pairs.join(first_b, "b").groupBy("a", *keys).agg(F.min("first").alias("first_a"))
+    asked = c.filter("a != ''").select("a", *keys, "right").distinct()
+    said_a = asked.join(pairs, "a").join(said_b, ["b", *keys, "right"], "left_semi").select("a", *keys, "right").distinct()
     known = values.select(*keys, F.col("v").alias("right")).distinct().withColumn("elsewhere", F.lit(True))
-    out = c.join(found, "id", "left").join(known, [*keys, "right"], "left")
+    out = c.join(first_a, ["a", *keys], "left").join(said_a.withColumn("in_a", F.lit(True)), ["a", *keys, "right"], "left")
+    out = out.join(first_p.withColumnRenamed("first", "first_p"), ["p", *keys], "left").join(said_p.withColumn("in_p", F.lit(True)), ["p", *keys, "right"], "left")
+    out = out.join(known, [*keys, "right"], "left").withColumn("had_right", F.col("in_a").isNotNull() | F.col("in_p").isNotNull()).withColumn("first_value", F.least("first_a", "first_p")["v"])
     cause = F.when(F.col("had_right"), "MERGE").when(F.col("first_value") == F.col("was"), "EXTRACTION").when(F.col("first_value").isNotNull(), "MERGE").when(F.col("elsewhere"), "ENRICHMENT").otherwise("DATA_GAP")
     return out.select("id", "field_name", cause.alias("root_cause"))
 

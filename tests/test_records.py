@@ -1,5 +1,6 @@
 """Records in their own shapes, the ledger, matching under any account, picks, ranks and sums by ranges."""
 
+import datetime
 import difflib
 import math
 import random
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import terms
 from tallyforge.operators import chunk, evaluate, feedback, graph, marts, merge, normalize
-from tallyforge.plans import records
+from tallyforge.plans import catalogue, records
 
 
 def one(spark, value, f):
@@ -79,6 +80,25 @@ def test_steps_stand_once_in_plans(spark):
     assert "Window" not in plan(made) and "! ! 1 !C2 Line 6 of 2 !\n! ! 2 !C1 Line 5 of 1 !\n" in made.first().text
 
 
+def test_diagnosis_is_of_each_correction(spark):
+    """Causes were put together by id, with a row for each correction and line."""
+    c = spark.createDataFrame([(1, "f", "x", "y", "12", ""), (1, "f", "x", "z", "12", ""), (None, "f", "q", "w", "123", ""), (2, "f", "u", "t", "", "5551234")], "id int, field_name string, extracted_value string, corrected_value string, account string, phone string")
+    raw = spark.createDataFrame([(1, "123", "", "f", "y"), (2, "123", "", "f", "x"), (3, "", "6145551234", "f", "U")], "doc_id int, account string, phone string, field_name string, value string")
+    got = feedback.diagnose(c, raw)
+    assert sorted((r.id or 0, r.root_cause) for r in got.collect()) == [(0, "MERGE"), (1, "MERGE"), (1, "MERGE"), (2, "EXTRACTION")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Aggregate [id#" in line]
+
+
+def test_scores_number_what_they_need(spark):
+    """All columns of the inventory were dealt and written to number its rows."""
+    at = datetime.datetime(1998, 1, 1)
+    folder = tempfile.mkdtemp()
+    spark.createDataFrame([(i, i % 3, "O", 1.0, at, "1-URGENT") for i in range(1, 6)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
+    df = catalogue.queries()["e4_diagnostic_scores"](spark, folder)
+    assert df.count() == 4 and "billing_name" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_salvage(spark):
     for text, want in (
         ('{"a": "1"} then {"b": "2"}', [{"a": "1"}]), ('x [{"a": "[y]"}] [', [{"a": "[y]"}]), ('```\n{"a": "1"}\n```', [{"a": "1"}]), ("[1, 2", None), ("{ {", None), ('no [x] {"a": "1"}', [{"a": "1"}]), ("", None), (None, None)):
