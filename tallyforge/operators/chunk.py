@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOST_CHARS = 600_000
 TABLE_ROWS = 100
+SLICE_CHARS = 1 << 20
 
 
 def by_boundary(df: DataFrame, pattern: str, column: str = "text") -> DataFrame:
@@ -66,15 +68,24 @@ def packed(text: str, most: int) -> list[str]:
 
 
 def by_size(df: DataFrame, most: int = MOST_CHARS, column: str = "text") -> DataFrame:
-    """T4: part, part_text. Texts within the limit never leave the JVM's rows."""
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: packed(t or "", most))
+    """T4: part, part_text. Texts within the limit never leave the JVM's rows; of the others Python holds the parts of some 1 MB at a time."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            begin, parts, held = 0, [], 0
+            for i, t in enumerate(batch.column(at)):
+                parts.append(packed(t.as_py() or "", most))
+                held += sum(map(len, parts[-1]))
+                if held >= SLICE_CHARS or i == batch.num_rows - 1:
+                    own = batch.slice(begin, len(parts))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(parts, pa.list_(pa.string()))], names=[*own.schema.names, "_parts"])
+                    begin, parts, held = i + 1, [], 0
 
     small = F.coalesce(F.length(column), F.lit(0)) <= most
     whole = df.filter(small).withColumns({"part": F.lit(0), "part_text": F.coalesce(column, F.lit(""))})
-    long = df.filter(~small).select("*", F.posexplode(cut(column)).alias("part", "part_text"))
-    return whole.unionByName(long)
+    cut = df.filter(~small).mapInArrow(run, T.StructType([*df.schema, T.StructField("_parts", T.ArrayType(T.StringType()))]))
+    return whole.unionByName(cut.select(*df.columns, F.posexplode("_parts").alias("part", "part_text")))
 
 
 def _once(value: Column, f: Callable[[Column], Column]) -> Column:

@@ -99,6 +99,14 @@ def test_scores_number_what_they_need(spark):
     assert df.count() == 4 and "billing_name" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_parts_are_made_by_slices(spark):
+    """Python held the parts of a whole batch of texts."""
+    docs = spark.createDataFrame([(1, "aa\n\nbb\n\ncc"), (2, None), (3, "x" * 11), (4, "ok")], "doc_id int, text string").coalesce(1)
+    got = chunk.by_size(docs, 6)
+    assert sorted((r.doc_id, r.part, r.part_text) for r in got.collect()) == [(1, 0, "aa\n\nbb"), (1, 1, "cc"), (2, 0, ""), (3, 0, "xxxxxx"), (3, 1, "xxxxx"), (4, 0, "ok")]
+    assert "ArrowEvalPython" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_salvage(spark):
     for text, want in (
         ('{"a": "1"} then {"b": "2"}', [{"a": "1"}]), ('x [{"a": "[y]"}] [', [{"a": "[y]"}]), ('```\n{"a": "1"}\n```', [{"a": "1"}]), ("[1, 2", None), ("{ {", None), ('no [x] {"a": "1"}', [{"a": "1"}]), ("", None), (None, None)):
@@ -200,7 +208,7 @@ def test_near_values_lose_no_pair(spark, least):
     assert set(rows) == want and len(rows) == len(want) and len(want) > 50
 
 
-def test_similar_hints_are_those_of_brute_force(spark, monkeypatch):
+def test_similar_hints_are_those_of_brute_force(spark):
     monkeypatch.setattr(feedback, "BLOCK_ROWS", 7)
     monkeypatch.setattr(feedback, "QUESTION_ROWS", 3)
     r = random.Random(8)
