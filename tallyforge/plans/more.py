@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -517,11 +518,11 @@ def _(spark, sf_dir):
 def made_books(df: DataFrame, sheet: str, head: list[list[str]], columns: list[str], books: int) -> DataFrame:
     """path, file_name, content: workbooks that tasks make of a table's rows, dealt by its first column; head stands above the rows."""
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [[None if pd.isna(v) else str(v) for v in r] for r in pdf.sort_values(columns[0])[columns].itertuples(index=False)]
+        rows = ([None if pd.isna(v) else str(v) for v in r[: len(columns)]] for r in pdf.sort_values(columns[0]).itertuples(index=False))
         name = f"{pdf['_book'].iloc[0]}.xlsx"
-        return pd.DataFrame([(f"/in/{name}", name, sinks.workbook({sheet: [*head, *rows]}))], columns=["path", "file_name", "content"])
+        return pd.DataFrame([(f"/in/{name}", name, sinks.workbook({sheet: chain(head, rows)}))], columns=["path", "file_name", "content"])
 
-    return df.withColumn("_book", F.pmod(F.col(columns[0]), F.lit(books))).groupBy("_book").applyInPandas(make, "path string, file_name string, content binary")
+    return df.select(*columns, F.pmod(F.col(columns[0]), F.lit(books)).alias("_book")).groupBy("_book").applyInPandas(make, "path string, file_name string, content binary")
 
 
 @query("s4_many_workbooks", "SELECT '/in/' || (c_custkey % 40) || '.xlsx' AS doc_id, c_custkey::int AS quantity, c_name AS billing_name, round(c_acctbal, 2)::double AS mrc FROM customer")

@@ -12,6 +12,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -26,6 +27,8 @@ TEXT_PROVIDERS: dict[str, Callable[[bytes], list[str]]] = {}
 # Names of files that are results, not input.
 RESULT_NAMES = ["inventory file", "inventory_file", "_wip_"]
 STRUCTURED = [".xlsx", ".xls", ".csv"]
+#: Rows that a header is looked for in, and rows of a table that Python holds at a time.
+HEADER_WITHIN, SLICE_ROWS = 5, 1_000
 
 
 def extension(name: Column) -> Column:
@@ -63,6 +66,11 @@ def route(name: Column, processing_path: Column | None = None) -> Column:
 
 def workbook_rows(raw: bytes, sheet: str | None = None) -> list[list[str | None]]:
     """Cells of a sheet (the first, or by name) as text, from the open workbook format's XML parts."""
+    return list(each_workbook_row(raw, sheet))
+
+
+def each_workbook_row(raw: bytes, sheet: str | None = None) -> Iterator[list[str | None]]:
+    """The same row by row: of the sheet one row at a time is in memory, beside the shared strings."""
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
     rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
@@ -72,9 +80,15 @@ def workbook_rows(raw: bytes, sheet: str | None = None) -> list[list[str | None]
         sheets = [(s.get("name"), links[s.get(rel)]) for s in ElementTree.fromstring(z.read("xl/workbook.xml")).findall("m:sheets/m:sheet", ns)]
         target = next((t for n, t in sheets if sheet is None or n == sheet), None)
         if target is None:
-            return []
-        out: list[list[str | None]] = []
-        for row in ElementTree.fromstring(z.read("xl/" + target.removeprefix("/xl/"))).iter(f"{{{ns['m']}}}row"):
+            return
+        n, above = 0, []
+        for event, row in ElementTree.iterparse(z.open("xl/" + target.removeprefix("/xl/")), ("start", "end")):
+            if event == "start":
+                above.append(row)
+                continue
+            above.pop()
+            if row.tag != f"{{{ns['m']}}}row":
+                continue
             cells: dict[int, str | None] = {}
             for c in row.findall("m:c", ns):
                 at = 0
@@ -84,17 +98,25 @@ def workbook_rows(raw: bytes, sheet: str | None = None) -> list[list[str | None]
                 kind = c.get("t")
                 text = "".join(t.text or "" for t in c.iter(f"{{{ns['m']}}}t")) if kind == "inlineStr" else None if v is None else shared[int(v.text)] if kind == "s" else v.text
                 cells[at - 1] = text
-            while len(out) < int(row.get("r", len(out) + 1)) - 1:
-                out.append([])
-            out.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
-    return out
+            for _ in range(n, int(row.get("r", n + 1)) - 1):
+                n += 1
+                yield []
+            n += 1
+            yield [cells.get(i) for i in range(max(cells, default=-1) + 1)]
+            if above:
+                above[-1].clear()  # rows that were read leave the tree
 
 
-def table_rows(name: str, raw: bytes, sheet: str | None = None) -> list[list[str | None]]:
+def each_table_row(name: str, raw: bytes, sheet: str | None = None) -> Iterator[list[str | None]]:
     if name.lower().endswith(".xlsx"):
-        return workbook_rows(raw, sheet)
+        yield from each_workbook_row(raw, sheet)
+        return
     text = raw.decode("utf-8-sig", "replace")
-    return [[c if c != "" else None for c in r] for r in csv.reader(io.StringIO(text), delimiter="\t" if name.lower().endswith(".tsv") else ",")]
+    yield from ([c if c != "" else None for c in r] for r in csv.reader(io.StringIO(text), delimiter="\t" if name.lower().endswith(".tsv") else ","))
+
+
+def table_rows(name: str, raw: bytes, sheet: str | None = None) -> list[list[str | None]]:
+    return list(each_table_row(name, raw, sheet))
 
 
 def mail_text(raw: bytes) -> str:
@@ -184,18 +206,17 @@ def structured_rows(files: DataFrame, mapping: dict[str, str], sheet: str | None
     is a title. Rows with fewer than two fields go."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
             for path, name, raw in zip(pdf["path"], pdf["file_name"], pdf["content"]):
-                rows = table_rows(name, bytes(raw), sheet)
-                at = next((i for i in (0, 1) if i < len(rows) and resolve_columns(rows[i], mapping, overlay)), None)
+                rows = each_table_row(name, bytes(raw), sheet)
+                head = list(islice(rows, 2))
+                at = next((i for i, r in enumerate(head) if resolve_columns(r, mapping, overlay)), None)
                 if at is None:
                     continue
-                cols = resolve_columns(rows[at], mapping, overlay)
-                for n, r in enumerate(rows[at + 1 :]):
-                    got = {f: r[i].strip() for i, f in cols.items() if i < len(r) and r[i] is not None and r[i].strip()}
-                    if len(got) >= 2:
-                        out.append((path, n, got))
-            yield pd.DataFrame(out, columns=["doc_id", "row_seq", "cells"])
+                cols = resolve_columns(head[at], mapping, overlay)
+                cells = ({f: r[i].strip() for i, f in cols.items() if i < len(r) and r[i] is not None and r[i].strip()} for r in chain(head[at + 1 :], rows))
+                told = ((path, n, got) for n, got in enumerate(cells) if len(got) >= 2)
+                while out := list(islice(told, SLICE_ROWS)):
+                    yield pd.DataFrame(out, columns=["doc_id", "row_seq", "cells"])
 
     return files.select("path", "file_name", "content").mapInPandas(run, "doc_id string, row_seq int, cells map<string,string>")
 
@@ -209,18 +230,19 @@ def golden_rows(files: DataFrame, mapping: dict[str, str], carriers: list[str] |
     """Names stand in the third row of a golden workbook, data from the fourth."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
             for path, raw in zip(pdf["path"], pdf["content"]):
-                rows = workbook_rows(bytes(raw), sheet)
-                cols = resolve_columns(rows[2], mapping) if len(rows) > 2 else {}
-                out += [(path, n, got) for n, r in enumerate(rows[3:]) if (got := {f: r[i].strip() for i, f in cols.items() if i < len(r) and r[i] and r[i].strip()})]
-            yield pd.DataFrame(out, columns=["doc_id", "row_seq", "cells"])
+                rows = each_workbook_row(bytes(raw), sheet)
+                head = list(islice(rows, 3))
+                cols = resolve_columns(head[2], mapping) if len(head) > 2 else {}
+                told = ((path, n, got) for n, r in enumerate(rows) if (got := {f: r[i].strip() for i, f in cols.items() if i < len(r) and r[i] and r[i].strip()}))
+                while out := list(islice(told, SLICE_ROWS)):
+                    yield pd.DataFrame(out, columns=["doc_id", "row_seq", "cells"])
 
     out = files.select("path", "content").mapInPandas(run, "doc_id string, row_seq int, cells map<string,string>")
     return out if carriers is None else out.filter(X.carrier(F.try_element_at("cells", F.lit("carrier_name"))).isin(carriers))
 
 
-def header_row(rows: list[list[str | None]], labels: set[str], least: int = 3, within: int = 5) -> int | None:
+def header_row(rows: list[list[str | None]], labels: set[str], least: int = 3, within: int = HEADER_WITHIN) -> int | None:
     """The first of the first rows that has at least three known labels."""
     return next((i for i, r in enumerate(rows[:within]) if sum((c or "").strip() in labels for c in r) >= least), None)
 
@@ -230,15 +252,16 @@ def correction_rows(files: DataFrame, labels: dict[str, str], sheet: str = "Extr
     found by its labels; columns without a known one are ignored, and books without a header give no rows."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
             for path, raw in zip(pdf["path"], pdf["content"]):
-                rows = workbook_rows(bytes(raw), sheet)
-                at = header_row(rows, set(labels))
+                rows = each_workbook_row(bytes(raw), sheet)
+                head = list(islice(rows, HEADER_WITHIN))
+                at = header_row(head, set(labels))
                 if at is None:
                     continue
-                cols = {i: labels[(c or "").strip()] for i, c in enumerate(rows[at]) if (c or "").strip() in labels}
-                out += [(path, n, {f: (r[i] or "").strip() if i < len(r) else "" for i, f in cols.items()}) for n, r in enumerate(rows[at + 1 :]) if any(c and c.strip() for c in r)]
-            yield pd.DataFrame(out, columns=["doc_id", "row_seq", "cells"])
+                cols = {i: labels[(c or "").strip()] for i, c in enumerate(head[at]) if (c or "").strip() in labels}
+                told = ((path, n, {f: (r[i] or "").strip() if i < len(r) else "" for i, f in cols.items()}) for n, r in enumerate(chain(head[at + 1 :], rows)) if any(c and c.strip() for c in r))
+                while out := list(islice(told, SLICE_ROWS)):
+                    yield pd.DataFrame(out, columns=["doc_id", "row_seq", "cells"])
 
     return files.select("path", "content").mapInPandas(run, "doc_id string, row_seq int, cells map<string,string>")
 

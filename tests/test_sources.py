@@ -1,6 +1,7 @@
 """Reading and writing files, and files as a stream."""
 
 import io
+import tracemalloc
 import zipfile
 
 from pyspark.sql import functions as F
@@ -73,3 +74,15 @@ def test_stream(spark, tmp_path):
     q = streaming.audited(streaming.arriving_rows(spark, f"file://{src}"), lambda df, n: out.extend(df.select("row_seq", F.size("issues").alias("n")).collect()), f"file://{tmp_path}/cp", "2024-01-01")
     q.awaitTermination(60)
     assert [(r.row_seq, r.n) for r in out] == [(1, 3)]
+
+
+def test_workbooks_row_by_row():
+    """A sheet was held as one string and one tree, and its rows as one list."""
+    made = sinks.workbook({"S": ([f"name {i}", i] for i in range(60_000))})
+    tracemalloc.start()
+    rows = files.each_workbook_row(made, "S")
+    assert next(rows) == ["name 0", "0"] and sum(1 for _ in rows) == 59_999
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
+    assert files.workbook_rows(sinks.workbook({"S": [["a", None, "b"], [], [None, 5]]})) == [["a", None, "b"], [], [None, "5"]]
