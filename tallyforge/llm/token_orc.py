@@ -21,13 +21,15 @@ from .encoder import encoder
 
 #: Stripes of so many bytes can be read by a task each; a row index entry stands for so many rows.
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "compression": "zstd"}
+#: Words that a worker keeps the ids of: rare words come again in later documents, and fewer than these would be encoded anew each time.
+MOST_WORDS = 240_000
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """doc_id, ids array<int>: the whole text's ids and the end id. Row order is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer_path), np.array([end_id], np.uint32)
+        enc, end = encoder(tokenizer_path, MOST_WORDS), np.array([end_id], np.uint32)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):  # a few MB of ids at a time
                 part = batch.slice(at, 500)
