@@ -161,3 +161,22 @@ def test_known_identifiers(spark):
     assert {r.id: (r.known_carrier, r.confidence) for r in got.collect()} == {1: ("att", "high"), 2: ("bell", "high"), 3: (None, "high"), 4: (None, "high"), 5: (None, "low")}
     assert got.count() == 5 and got.columns == [*rows.columns, "known_carrier"]
     assert sorted(map(tuple, merge.learn_accounts(known, rows).subtract(known).collect())) == [("8", "account", "x")]
+
+
+def test_merged_rows_move_once(spark):
+    """Rows go to their group as they are, and the join and the second aggregate find them there: of two exchanges one moves rows, the other what
+    leads a group."""
+    rows = [row("i", "invoice", 0, n, carrier_account_number=None if n % 3 else "1", usoc="A") for n in range(9)]
+    made = merge.merge_fields(spark.createDataFrame(rows, SCHEMA), ["carrier_account_number", "usoc"], ["city"])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2, plan
+    assert sorted((r.carrier_account_number or "", r.merged_rows) for r in made.collect()) == [("", 6), ("1", 3)]  # nulls are one group
+
+
+def test_a_blank_value_of_the_line_is_found(spark):
+    """A line's value stands, even a blank one; the account's is for fields of which the line says nothing."""
+    kinds = "doc_id string, doc_type string, doc_seq int, row_seq int, tier_key string, tier int, account string, city string, zip string"
+    target = spark.createDataFrame([("i", "invoice", 0, 0, "k", 1, "a", None, "")], kinds)
+    source = spark.createDataFrame([("c", "contract", 1, 0, "k", 1, "a", "", None), ("c", "contract", 1, 1, "a", 3, "a", "Dayton", "43215")], kinds)
+    got = merge.enrich(target, source, ["city", "zip"]).first()
+    assert (got.city, got.zip) == ("", "43215")
