@@ -594,6 +594,19 @@ def test_language_model_trains_on_all_text(monkeypatch):
     assert len(x)
 
 
+def test_language_model_is_sent_without_empty_slots():
+    import pickle
+
+    model, texts, _ = small_model()
+    sent = pickle.dumps((model.grams, model.reads))
+    assert len(sent) < 100_000  # a broadcast is written by the driver and by each executor
+    got = pickle.loads(sent)[0]
+    assert np.array_equal(got.two.rows, model.grams.two.rows) and np.array_equal(got.three.rows, model.grams.three.rows)
+    want = model.scores(texts)
+    model.grams = got
+    assert np.array_equal(model.scores(texts), want)
+
+
 def test_language_model_averages_in_a_tree(spark):
     from tallyforge.llm import attention_lm as A
 
