@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms
@@ -14,6 +15,8 @@ from .graph import cut, numbered
 
 ACCOUNT_LIKE = [*ACCOUNTS, "contract_number", "contract_number_2"]
 AMOUNTS = [*MONEY, "rate", "ld_minutes"]
+#: Rows that go to one task together, of all keys in one of so many buckets.
+TOGETHER, BUCKETS = 100_000, 1 << 16
 
 
 def comparable_rows(df: DataFrame, excluded_charges: Sequence[str] = ()) -> DataFrame:
@@ -50,22 +53,57 @@ def pair_in_order(golden: DataFrame, extracted: DataFrame, keys: Sequence[str])
     return golden_rows.join(at.filter("side = 'e'").select(*keys, "n", F.col("row_id").alias("extracted_id")), [*keys, "n"]).select("golden_id", "extracted_id")
 
 
-def _rest(df: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
-    return df.join(pairs.select(F.col(side).alias("row_id")), "row_id", "left_anti")
-
-
-def pair_by_content(golden: DataFrame, extracted: DataFrame, key: str) -> DataFrame:
-    """Within a key by name as written, name with words apart, amount, charge, then in order; each row once."""
-    name = F.lower(F.trim(F.coalesce("component_or_feature_name", F.lit(""))))
-    steps: list[Column | None] = [F.nullif(name, F.lit("")), F.nullif(X.camel_split(F.coalesce("component_or_feature_name", F.lit(""))), F.lit("")), F.col("monthly_recurring_cost").cast("string"), X.charge_bucket(F.col("charge_type")), F.lit("any")]
+def content_steps() -> list[Column]:
+    """By name as written, name with words apart, amount, charge, then in order."""
+    name = F.coalesce("component_or_feature_name", F.lit(""))
+    return [F.nullif(F.lower(F.trim(name)), F.lit("")), F.nullif(X.camel_split(name), F.lit("")), F.col("monthly_recurring_cost").cast("string"), X.charge_bucket(F.col("charge_type")), F.lit("any")]
+
+
+def pair_by_content(rows: DataFrame, key: str, together: int = TOGETHER) -> tuple[DataFrame, DataFrame]:
+    """Rows have side (g, e), row_id, row_seq, the key and content_steps as _by0 and on. Within a key, step by step, the n-th row of a side
+    that is left pairs with the n-th of the other; each row once. Pairs (golden_id, extracted_id), and the rows that are left.
+
+    Keys are counted in BUCKETS: where those of a bucket have at most `together` rows, all rows of a key move to one task, once. Others
+    are numbered by ranges, so a key may hold any share of the rows."""
+    rows = rows.filter(F.col(key).isNotNull()).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+    many = [r["_bucket"] for r in rows.groupBy("_bucket").count().filter(F.col("count") > together).collect()]
+    made = cut(_paired_together(rows.filter(~F.col("_bucket").isin(many)), key).drop("_bucket"))
+    pairs = made.filter("side = 'g' and extracted_id is not null").select(F.col("row_id").alias("golden_id"), "extracted_id")
+    rest = made.filter("extracted_id is null").drop("extracted_id")
+    if many:
+        more, left = _paired_by_ranges(rows.filter(F.col("_bucket").isin(many)).drop("_bucket"), key)
+        pairs, rest = pairs.unionByName(more), rest.unionByName(left)
+    return pairs, rest
+
+
+def _paired_together(rows: DataFrame, key: str) -> DataFrame:
+    """rows with extracted_id: of the pair that a row is in."""
+    kept = rows.columns
+    steps = [c for c in kept if c.startswith("_by")]
+    rows = rows.repartition(key).select("*", F.lit(None).cast("int").alias("_step"), F.lit(None).cast("int").alias("_n"), F.lit(None).cast("string").alias("_by"))
+    for i, by in enumerate(steps):
+        group = Window.partitionBy(key, by, "_free")  # all windows begin with the key, so rows stay where they are
+        sides = [F.count_if(F.col("side") == x).over(group) for x in "ge"]
+        now = F.col("_free") & (F.col("_at") <= F.col("_least"))
+        rows = rows.withColumn("_free", F.col("_step").isNull() & F.col(by).isNotNull())
+        rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy(key, by, "_free", "side").orderBy("row_seq", "row_id"))).withColumn("_least", F.least(*sides))
+        rows = rows.withColumns({"_n": F.when(now, F.col("_at")).otherwise(F.col("_n")), "_by": F.when(now, F.col(by)).otherwise(F.col("_by")), "_step": F.when(now, i).otherwise(F.col("_step"))})
+    other = F.max(F.when(F.col("side") == "e", F.col("row_id"))).over(Window.partitionBy(key, "_step", "_by", "_n"))
+    return rows.select(*kept, F.when(F.col("_step").isNotNull(), other).alias("extracted_id"))
+
+
+def _paired_by_ranges(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     pairs = None
-    g, e = golden, extracted
-    for i, step in enumerate(steps):
-        own = cut(pair_in_order(g.withColumn("_by", step).filter("_by is not null"), e.withColumn("_by", step).filter("_by is not null"), [key, "_by"]).withColumn("step", F.lit(i)))
+    for by in [c for c in rows.columns if c.startswith("_by")]:
+        asked = rows.filter(F.col(by).isNotNull())
+        own = cut(pair_in_order(asked.filter("side = 'g'"), asked.filter("side = 'e'"), [key, by]))
         pairs = own if pairs is None else pairs.unionByName(own)
-        if i < len(steps) - 1:
-            g, e = _rest(g, own, "golden_id"), _rest(e, own, "extracted_id")
-    return pairs
+        rows = cut(rows.join(_taken(own), ["side", "row_id"], "left_anti"))
+    return pairs, rows
+
+
+def _taken(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.lit("g").alias("side"), F.col("golden_id").alias("row_id")).unionByName(pairs.select(F.lit("e").alias("side"), F.col("extracted_id").alias("row_id")))
 
 
 def pair_by_any_account(golden: DataFrame, extracted: DataFrame) -> DataFrame:
@@ -75,10 +113,13 @@ def pair_by_any_account(golden: DataFrame, extracted: DataFrame) -> DataFrame:
     In rounds: a key has its turn as soon as none of its free rows names an earlier key that is still waiting, so keys that share no rows
     go at once, and pairs are those of the order. The first key that waits always has its turn. State is a written table a round;
     rows of a key are numbered by ranges, so one key may hold any share of them."""
-    def named(d: DataFrame, side: str) -> DataFrame:
-        return d.select(F.lit(side).alias("side"), "row_id", "row_seq", F.posexplode(candidate_keys()).alias("place", "k"))
+    named = lambda d, side: d.select(F.lit(side).alias("side"), "row_id", "row_seq", candidate_keys().alias("_names"))
+    return _pair_named(named(golden, "g").unionByName(named(extracted, "e")))
+
 
-    both = cut(named(golden, "g").unionByName(named(extracted, "e")))
+def _pair_named(rows: DataFrame) -> DataFrame:
+    """rows: side, row_id, row_seq, _names."""
+    both = cut(rows.select("side", "row_id", "row_seq", F.posexplode("_names").alias("place", "k")))
     first = both.groupBy("k").agg(F.min(F.when(F.col("side") == "g", F.struct("row_seq", "row_id", "place"))).alias("turn"), F.count_if(F.col("side") == "e").alias("n"))
     waiting = cut(both.drop("place").join(first.filter("turn is not null and n > 0").drop("n"), "k"))
     pairs: DataFrame | None = None
@@ -89,18 +130,20 @@ def pair_by_any_account(golden: DataFrame, extracted: DataFrame) -> DataFrame:
         turn = waiting.join(ready, "k", "left_semi")
         own = cut(pair_in_order(turn.filter("side = 'g'"), turn.filter("side = 'e'"), ["k"]))
         pairs = own if pairs is None else pairs.unionByName(own)
-        taken = own.select(F.lit("g").alias("side"), F.col("golden_id").alias("row_id")).unionByName(own.select(F.lit("e").alias("side"), F.col("extracted_id").alias("row_id")))
-        waiting = cut(waiting.join(ready, "k", "left_anti").join(taken, ["side", "row_id"], "left_anti"))
+        waiting = cut(waiting.join(ready, "k", "left_anti").join(_taken(own), ["side", "row_id"], "left_anti"))
     return both.select(F.col("row_id").alias("golden_id"), F.col("row_id").alias("extracted_id")).limit(0) if pairs is None else pairs
 
 
-def match_rows(golden: DataFrame, extracted: DataFrame) -> DataFrame:
-    """golden_id, extracted_id, pass_: strict keys, relaxed keys on what is left, any account on the rest."""
-    one = pair_by_content(golden.withColumn("k", match_key()), extracted.withColumn("k", match_key()), "k").select("golden_id", "extracted_id", F.lit(1).alias("pass_"))
-    g, e = _rest(golden, one, "golden_id"), _rest(extracted, one, "extracted_id")
-    two = pair_by_content(g.withColumn("k", match_key(False)), e.withColumn("k", match_key(False)), "k").select("golden_id", "extracted_id", F.lit(2).alias("pass_"))
-    g, e = _rest(g, two, "golden_id"), _rest(e, two, "extracted_id")
-    return one.unionByName(two).unionByName(pair_by_any_account(g, e).withColumn("pass_", F.lit(3)))
+def match_rows(golden: DataFrame, extracted: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """golden_id, extracted_id, pass_: strict keys, relaxed keys on what is left, any account on the rest. What the passes compare is made
+    once, and each pass hands on what it left."""
+    compared = lambda d, side: d.select(
+        F.lit(side).alias("side"), "row_id", "row_seq", match_key().alias("_strict"), match_key(False).alias("_relaxed"), candidate_keys().alias("_names"), *(c.alias(f"_by{i}") for i, c in enumerate(content_steps())))
+    rows = cut(compared(golden, "g").unionByName(compared(extracted, "e")))
+    one, rows = pair_by_content(rows, "_strict", together)
+    two, rows = pair_by_content(rows.drop("_strict"), "_relaxed", together)
+    passes = [one, two, _pair_named(rows.select("side", "row_id", "row_seq", "_names"))]
+    return reduce(DataFrame.unionByName, (p.withColumn("pass_", F.lit(i)) for i, p in enumerate(passes, 1)))
 
 
 def compare(field: str, e: Column, g: Column, usoc_names: dict[str, str] | None = None) -> Column:

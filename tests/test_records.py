@@ -181,6 +181,34 @@ def test_matching_under_any_account(spark):
     assert evaluate.pair_by_any_account(frames[0].limit(0), frames[1]).count() == 0
 
 
+def test_rows_of_a_key_move_once(spark, monkeypatch):
+    r = random.Random(8)
+    cols = "row_id long, row_seq int, carrier_account_number string, sub_account_number_1 string, sub_account_number_2 string, phone_number string, btn string, charge_type string, service_or_component string, row_type string, usoc string, component_or_feature_name string, monthly_recurring_cost string"
+    row = lambda i: (i, r.randrange(50), r.choice(["", "1", "1", "2"]), r.choice(["", "", "7"]), None, r.choice(["", "6145550100"]), "", r.choice(["MRC", "Recurring", "Tax", None]), r.choice("SC"), None, r.choice(["", "a"]), r.choice(["BusLine", "busline", "Bus Line", " fee", "", None]), r.choice([None, "1", "2"]))
+    sides = [[row(100 * side + i) for i in range(90)] for side in (0, 1)]
+    frames = [spark.createDataFrame(x, cols).repartition(3) for x in sides]
+    left = [{x["row_id"]: x for x in f.select("row_id", "row_seq", evaluate.match_key().alias("k1"), evaluate.match_key(False).alias("k2"), *(c.alias(f"by{i}") for i, c in enumerate(evaluate.content_steps()))).orderBy("row_seq", "row_id").collect()} for f in frames]
+    want = set()
+    for p, key in enumerate(("k1", "k2"), 1):
+        for by in (f"by{i}" for i in range(5)):
+            groups = {}
+            for side, rows in enumerate(left):
+                for i, x in rows.items():
+                    if x[by] is not None:
+                        groups.setdefault((x[key], x[by]), ([], []))[side].append(i)
+            for g, e in (pair for both in groups.values() for pair in zip(*both)):
+                want.add((g, e, p))
+                del left[0][g], left[1][e]
+    rest = [[(x[0], *x[2:6]) for x in sorted(rows, key=lambda x: (x[1], x[0])) if x[0] in left[k]] for k, rows in enumerate(sides)]
+    want |= {(*x, 3) for x in any_account(*rest)}
+    assert {x[2] for x in want} >= {1, 2}
+    plans, write = [], evaluate.cut
+    monkeypatch.setattr(evaluate, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    assert {tuple(x) for x in evaluate.match_rows(*frames).collect()} == want
+    assert [p.split("Initial Plan")[-1].count("Exchange ") for p in plans[:3]] == [2, 1, 1]  # the frames of this test; each pass once
+    assert {tuple(x) for x in evaluate.match_rows(*frames, together=20).collect()} == want  # by ranges
+
+
 def test_picks_reach_rows(spark):
     merged = spark.createDataFrame([("1", "a", 5), (None, "b", 6), ("3", None, 7)], "k string, city string, n int")
     found = spark.createDataFrame([("c1", "1", "city", "a", "z", "d2"), ("c2", "1", "n", "5", "9", "d2"), ("c3", None, "city", "b", "y", "d1"), ("c4", "1", "city", "a", "q", "d1"), ("c5", "3", "city", "p", "q", "d1")], "conflict_id string, k string, field string, value_a string, value_b string, doc_b string")
