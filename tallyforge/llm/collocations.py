@@ -1,10 +1,11 @@
-"""Phrase collocation mining: count-min sketches first, exact counts of what they leave second, then scores and subsumption.
+"""Phrase collocation mining: a count sketch first, exact counts of what it leaves second, then scores and subsumption.
 
-Texts are cut into pieces at punctuation and line ends, pieces into words. Pass one: every task adds the hashes of all its words and phrases
-(one to `most_words` words, with their language) to a sketch of two rows of cells; the rows' blocks are merged by sums. A cell never counts too few,
-so a phrase with a cell below `least` in either row isn't frequent. Pass two: words and phrases whose cells, and those of the two phrases within
-them, reach `least` are counted as words, not as hashes, first within a slice of text, then by Spark; those that really reach `least` are left. Nothing frequent is
-lost, whatever the sketch's width: a full sketch only lets more through.
+Texts are cut into pieces at punctuation and line ends, pieces into words. Pass one: every task counts the hashes of all its words and phrases
+(one to `most_words` words, with their language) in a row of 2^34 cells, which is never laid out: cells in use move as gaps and counts,
+and are summed block by block. A cell never counts too few, so a phrase whose cell is below `least` isn't frequent. Cells that reach it are
+marked in two bitmaps. Pass two: words and phrases that are marked, with the two phrases within
+them, are counted as words, not as hashes, first within a slice of text, then by Spark; those that really reach `least` are left. Nothing frequent is
+lost, whatever the widths: full cells or bitmaps only let more through.
 
 Of each phrase, cuts meet the counts of both parts by joins; products are decimals of 38 digits. A phrase within a longer one that has `percent` of its
 count goes. Ranks are taken within salts of a language first.
@@ -25,11 +26,17 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stash, text_views
 
-#: The sketch has two rows of 2^24 cells: 128 MB while a task counts, two bitmaps of 2 MB when they are broadcast, at any size of the input. Some
-#: billions of occurrences fill the cells; from then on phrases that aren't frequent are counted exactly, too, and none is lost. `bits` sets another width.
-BITS = 24
-#: Cells of a block of a row, as it is sent to be merged.
-BLOCK_CELLS = 1 << 15
+#: Cells of the sketch, and of a block of it: 2 to the power of these. A trillion occurrences are 58 to a cell; a wider row takes a bit more of each.
+WIDE, INNER = 34, 23
+#: Occurrences that a task sorts at a time, and cells that it sums up at a time (of a block at most as many as it has).
+RUN, SUMMED = 1 << 22, 1 << 22
+#: A cell and its count share 64 bits; counts stop there, and `least` with them.
+MOST = (1 << (64 - WIDE)) - 1
+#: Frequent cells are marked in two bitmaps of 2^26 bits, 8 MB each when they are broadcast. Some 60 million of them fill the bitmaps; from then
+#: on phrases that aren't frequent are counted exactly, too, and none is lost. `bits` sets another width.
+BITS = 26
+#: Bits of a block of a bitmap, as it is sent to be put together.
+BLOCK_BITS = 1 << 18
 #: Keys of a join's small side that may be broadcast: languages.
 MOST_LANGS = 10_000
 SALTS = 64
@@ -92,51 +99,117 @@ def hashes(codes: np.ndarray, words: list[str], langs: np.ndarray, names: list[s
         yield at, h
 
 
-def cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    """A cell for each hash in either row."""
-    return [(h & np.uint64((1 << bits) - 1)).astype(np.int64), (h >> np.uint64(64 - bits)).astype(np.int64)]
+def cells(h: np.ndarray) -> np.ndarray:
+    """The sketch's cell for each hash."""
+    return h >> np.uint64(64 - WIDE)
 
 
-def _sketched(bits: int, most_words: int):
+def places(cell: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The bit for each cell in either bitmap."""
+    g = _mix(cell + _ODD[0])
+    return [(g & np.uint64((1 << bits) - 1)).astype(np.int64), (g >> np.uint64(64 - bits)).astype(np.int64)]
+
+
+def packed(cell: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Cells in order and their counts, a row for each block: the bytes of gaps and counts plane by plane, so that they compress well."""
+    block = (cell >> np.uint64(INNER)).astype(np.int32)
+    edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
+    gap = np.diff(cell, prepend=cell[:1])
+    gap[edges[:-1]] = cell[edges[:-1]] & np.uint64((1 << INNER) - 1)
+    planes = np.concatenate([v.astype("<u4").view(np.uint8).reshape(-1, 4).T for v in (gap, times)])
+    shrink = zstandard.ZstdCompressor(1).compress
+    for lo in range(0, len(edges) - 1, 256):
+        own = edges[lo : lo + 257]
+        rows = [shrink(planes[:, a:b].tobytes()) for a, b in zip(own, own[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(block[own[:-1]]), pa.array(rows, pa.binary())], names=["block", "cells"])
+
+
+def unpacked(block: int, raw: bytes) -> np.ndarray:
+    """Cells and counts in 64 bits each."""
+    gap, times = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(2, 4, -1).transpose(0, 2, 1).copy().view("<u4")[..., 0].astype(np.uint64)
+    return np.cumsum(gap) + np.uint64(block << INNER) << np.uint64(64 - WIDE) | np.minimum(times, np.uint64(MOST))
+
+
+def _sketched(most_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.zeros(1 << bits, np.uint32) for _ in range(2)]
+        held, n = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            cell = np.concatenate(held)
+            held.clear()
+            cell.sort()
+            new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            yield from packed(cell[new], np.diff(new, append=len(cell)))
+
         for batch in batches:
             for part in slices(batch):
                 for _, h in hashes(*part, most_words):
-                    for row, at in zip(rows, cells(h, bits), strict=True):
-                        np.add.at(row, at, np.uint32(1))
-        size = min(BLOCK_CELLS, 1 << bits)
-        for r, row in enumerate(rows):
-            for b in range(len(row) // size):
-                block = row[b * size : (b + 1) * size]
-                if block.any():
-                    block = block.astype("<u4") if block.max() > 255 else block.astype(np.uint8)
-                    packed = zstandard.compress(block.tobytes(), 1)  # mostly zeros, ones and twos
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([b], pa.int32()), pa.array([packed], pa.binary())], names=["row", "block", "cells"])
+                    held.append(cells(h))
+                    n += len(h)
+                if n > RUN:
+                    yield from out()
+                    n = 0
+        if n:
+            yield from out()
+
+    return run
+
+
+def _merged(bits: int, least: int):
+    size, low = min(BLOCK_BITS, 1 << bits), np.uint64(MOST)
+
+    def summed(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        both = np.concatenate(held)
+        both.sort()
+        cell = both >> np.uint64(64 - WIDE)
+        new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        return cell[new], np.minimum(np.add.reduceat(both & low, new), low)
+
+    def marked(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cell, total = summed(held)
+        for r, at in enumerate(places(cell[total >= np.uint64(max(0, min(least, MOST)))], bits)):
+            at = np.unique(at)
+            edges = np.searchsorted(at, np.arange(0, (1 << bits) + 1, size))
+            on = np.flatnonzero(np.diff(edges))
+            rows = [(at[edges[b] : edges[b + 1]] - b * size).astype("<u4").tobytes() for b in on.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), r, np.int32)), pa.array(on.astype(np.int32)), pa.array(rows, pa.binary())], names=["row", "block", "at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, most, last = [], 0, SUMMED, None
+        for batch in batches:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if n > SUMMED and block != last:
+                    yield from marked(held)
+                    held, n, most = [], 0, SUMMED
+                elif n > most:
+                    cell, total = summed(held)
+                    held, n = [cell << np.uint64(64 - WIDE) | total], len(cell)
+                    most = max(SUMMED, 2 * n)
+                held.append(unpacked(block, raw.as_py()))
+                n, last = n + len(held[-1]), block
+        if n:
+            yield from marked(held)
 
     return run
 
 
-def _merged(size: int, least: int):
+def _put_together(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        on: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for row, block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                plain = zstandard.decompress(raw.as_py())
-                got = np.frombuffer(plain, np.uint8 if len(plain) == size else "<u4")
-                if (row, block) not in sums:
-                    sums[row, block] = np.zeros(size, np.int64)
-                sums[row, block] += got
-        for (row, block), total in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["row", "block", "bits"])
+            for row, block, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                on.setdefault((row, block), np.zeros(size, bool))[np.frombuffer(raw, "<u4")] = True
+        for (row, block), x in on.items():
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([block], pa.int32()), pa.array([np.packbits(x).tobytes()], pa.binary())], names=["row", "block", "bits"])
 
     return run
 
 
 def sketch(texts: DataFrame, bits: int, most_words: int, least: int) -> list[np.ndarray]:
-    """texts: lang, text. For either row of the sketch the cells that reach `least`, packed: 2^bits bits each."""
-    size = min(BLOCK_CELLS, 1 << bits)
-    blocks = texts.mapInArrow(_sketched(bits, most_words), "row int, block int, cells binary").repartition("row", "block").mapInArrow(_merged(size, least), "row int, block int, bits binary")
+    """texts: lang, text. The cells that reach `least`, marked in two packed bitmaps of 2^bits bits each."""
+    size = min(BLOCK_BITS, 1 << bits)
+    counts = texts.mapInArrow(_sketched(most_words), "block int, cells binary").repartition("block").sortWithinPartitions("block")
+    blocks = counts.mapInArrow(_merged(bits, least), "row int, block int, at binary").repartition("row", "block").mapInArrow(_put_together(size), "row int, block int, bits binary")
     out = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(2)]
     for r in blocks.collect():
         out[r["row"]][r["block"] * size // 8 : (r["block"] + 1) * size // 8] = np.frombuffer(r["bits"], np.uint8)
@@ -146,7 +219,7 @@ def sketch(texts: DataFrame, bits: int, most_words: int, least: int) -> list[np.
 def _survivors(shared, bits: int, most_words: int):
     def reached(h: np.ndarray) -> np.ndarray:
         ok = np.ones(len(h), bool)
-        for row, at in zip(shared.value, cells(h, bits), strict=True):
+        for row, at in zip(shared.value, places(cells(h), bits), strict=True):
             ok &= (row[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
         return ok
 
@@ -154,13 +227,14 @@ def _survivors(shared, bits: int, most_words: int):
         codes, words, langs, names, _ = part
         ids, alive = langs.astype(np.int64) * len(words) + codes, None
         for k, (at, h) in enumerate(hashes(*part, most_words)):
-            ok = reached(h)
             if alive is not None:  # both phrases of one word less are left
-                ok &= alive[at] & alive[at + 1]
-                at = at[ok]
+                within = alive[at] & alive[at + 1]
+                at = at[within]
+                at = at[reached(h[within])]
                 ids = numbers[at] * len(words) + codes[at + k]  # a phrase is known by the number of its first words and its last one
             else:
-                at, ids = at[ok], ids[ok]
+                at = at[reached(h)]
+                ids = ids[at]
             if not len(at):
                 return
             _, place, inverse, n = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)

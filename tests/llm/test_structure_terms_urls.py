@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -206,6 +207,36 @@ def test_sketch_leaves_the_rare_out(spark):
     assert {(r.k, r.phrase, r.n) for r in frequent(df, bits=16).collect()} == {(0, "", 800), (1, "often", 200), (1, "said", 200), (2, "often said", 200)}
 
 
+def test_full_bitmaps_are_not_filled_by_rare_phrases(spark):
+    """Occurrences are 140 to a bit of either bitmap, yet only what is frequent is marked."""
+    from tallyforge.llm.collocations import sketch
+
+    df = spark.createDataFrame([("en", "often said " + " ".join(f"w{i}x{j}" for j in range(100))) for i in range(300)], "lang string, text string")
+    assert [sum(int(b).bit_count() for b in m) for m in sketch(df, 10, 5, 100)] == [3, 3]  # often, said, often said
+
+
+def test_cells_are_summed_over_runs(monkeypatch):
+    from tallyforge.llm import collocations as C
+
+    monkeypatch.setattr(C, "SUMMED", 50)  # blocks are summed up on the way, and several blocks at a time
+    rng, want, rows = np.random.default_rng(5), Counter(), []
+    for _ in range(30):
+        cell = np.sort(rng.choice(np.concatenate([rng.integers(0, 1 << C.WIDE, 40), np.arange(300), [(1 << C.WIDE) - 1]]).astype(np.uint64), 200, replace=False))
+        times = rng.integers(1, 1 << 23, 200)
+        want.update(dict(zip(cell.tolist(), times.tolist())))
+        for batch in C.packed(cell, times):
+            rows += zip(*(c.to_pylist() for c in batch.columns))
+    rows.sort(key=lambda r: r[0])
+    batches = [C.pa.RecordBatch.from_arrays([C.pa.array([b for b, _ in rows[i : i + 7]], C.pa.int32()), C.pa.array([r for _, r in rows[i : i + 7]], C.pa.binary())], names=["block", "cells"]) for i in range(0, len(rows), 7)]
+    for least in (1, 1 << 22, 100_000_000, 1 << 40):  # counts stop at MOST, and so does least
+        on = np.array([k for k, n in want.items() if min(n, C.MOST) >= min(least, C.MOST)], np.uint64)
+        got = [set(), set()]
+        for batch in C._merged(20, least)(iter(batches)):
+            for r, b, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                got[r] |= {b * C.BLOCK_BITS + x for x in np.frombuffer(raw, "<u4").tolist()}
+        assert got == [set(x.tolist()) for x in C.places(on, 20)]
+
+
 def test_products_beyond_64_bits(spark):
     text = " ".join(["new york"] * 3_000) + " . " + "x " * 5_000
     rows = [("en", text)] * 4
