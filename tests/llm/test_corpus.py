@@ -632,6 +632,57 @@ def test_language_model_averages_in_a_tree(spark):
     assert {m: A.most_frequent(counts, "n", m).count() for m in (3, 5, 24, 25, 74, 75)} == {3: 0, 5: 5, 24: 5, 25: 25, 74: 25, 75: 75}
 
 
+def test_language_model_uses_all_ngrams(spark, docs, monkeypatch):
+    """Scores don't depend on how many n-grams a table would hold."""
+    from tallyforge.llm import attention_lm as A
+
+    path, scores = public_tokenizers.path("word_bpe_49k.json"), []
+    for most in (8, 1 << 20):
+        monkeypatch.setattr(A, "PAIRS", most)
+        monkeypatch.setattr(A, "TRIPLES", most)
+        scores.append(sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 3)) for r in A.score_documents(docs, path).collect()))
+    assert scores[0] == scores[1]
+
+
+def test_language_model_places_whole_counts(spark):
+    from tallyforge.llm import attention_lm as A
+
+    rng, size, made, want = np.random.default_rng(11), 40, [], [Counter() for _ in range(3)]
+    for piece in range(12):
+        texts = [rng.integers(0, 8 if piece % 2 else size - 1, n) for n in rng.integers(0, 60, 1 + piece)]
+        held = [bool(rng.random() < 0.3) for _ in texts]
+        made.append((piece, list(range(len(texts))), held, [0] * len(texts), [0] * len(texts), [0.0] * len(texts), [len(t) for t in texts], np.concatenate(texts).astype("<u2").tobytes()))
+        for t in (t for t, h in zip(texts, held) if not h):
+            s = [size - 1, size - 1, *t.tolist(), size - 1]
+            for i in range(2, len(s)):
+                for n in range(3):
+                    want[n][tuple(s[i - n : i + 1])] += 1
+    seen, followers = Counter(), Counter(k[:2] for k in want[2])
+    for k, n in want[2].items():
+        seen[k[:2]] += n
+    table = A.placed(spark.createDataFrame(made, A.DOCS).repartition(3), size, "<u2", 5).cache()
+    shares = A.statistics(table, size, "<u2")
+    assert shares.counts.tolist() == [want[0][(k,)] for k in range(size)] and shares.last.tolist() == [want[1][k, size - 1] for k in range(size)]
+    assert shares.kinds.tolist() == [max(1, sum(k[0] == b for k in want[1])) for b in range(size)]
+    coded = [(np.array([np.polyval(k, size) for k in g], np.int64), np.array(list(g.values()), np.float64)) for g in want[1:]]
+    tables = A.Ngrams(shares.counts.astype(np.float64), *coded)  # where no two keys meet they say the same
+    rows = table.collect()
+    assert sorted(r.piece for r in rows) == list(range(12)) and all(tuple(r)[:8] in made for r in rows)
+    for r in rows:
+        ids, lens = np.frombuffer(r.ids, "<u2"), np.array(r.lens)
+        values = A.values_of(ids, lens, size, bytes(r.triples), bytes(r.seen))
+        texts, said = A._split(ids, lens, shares(ids, lens, values, 0))
+        whole = iter(values.T.tolist())
+        for t, (p, _) in zip(texts, said):
+            s = [size - 1, size - 1, *t.tolist(), size - 1]
+            for i in range(2, len(s)):
+                assert next(whole) == [want[2][tuple(s[i - 2 : i + 1])], seen[tuple(s[i - 2 : i])], followers[tuple(s[i - 2 : i])]]
+            assert np.allclose(p[1:], tables(np.array([s]))[0][0][1:], rtol=1e-5)  # tables hold no pair of ends, which begins a text, and say of its first subword what a single one says
+        texts, said = A._split(ids, lens, shares(ids, lens, values, 1))
+        for t, h, (p, _) in zip(texts, r.held_out, said):
+            assert h or np.allclose(p[1:], tables(np.array([[size - 1, size - 1, *t.tolist(), size - 1]]), 1)[0][0][1:], rtol=1e-5)
+
+
 def test_orc_tokens(spark, docs, none, odd, tmp_path):
     from tallyforge.llm.token_orc import read_tokens, tokens_round_trip
 
