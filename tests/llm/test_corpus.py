@@ -644,14 +644,19 @@ def test_language_model_uses_all_ngrams(spark, docs, monkeypatch):
     assert scores[0] == scores[1]
 
 
-def test_language_model_places_whole_counts(spark):
+def test_language_model_places_whole_counts(spark, monkeypatch):
     from tallyforge.llm import attention_lm as A
 
+    x, size = np.random.default_rng(2).integers(0, 30, 500), 40
+    table = A._numbered_contexts(x[:-1] * size + x[1:], x[1:], size)
+    monkeypatch.setattr(A, "PAIR_CELLS", 0)
+    assert all(np.array_equal(g, v) for g, v in zip(table, A._numbered_contexts(x[:-1] * size + x[1:], x[1:], size)))
+    monkeypatch.undo()
     rng, size, made, want = np.random.default_rng(11), 40, [], [Counter() for _ in range(3)]
     for piece in range(12):
         texts = [rng.integers(0, 8 if piece % 2 else size - 1, n) for n in rng.integers(0, 60, 1 + piece)]
         held = [bool(rng.random() < 0.3) for _ in texts]
-        made.append((piece, list(range(len(texts))), held, [0] * len(texts), [0] * len(texts), [0.0] * len(texts), [len(t) for t in texts], np.concatenate(texts).astype("<u2").tobytes()))
+        made.append((piece, list(range(len(texts))), held, [0] * len(texts), [0] * len(texts), [0.0] * len(texts), [len(t) for t in texts], A.packed_ids(np.concatenate(texts), "<u2")))
         for t in (t for t, h in zip(texts, held) if not h):
             s = [size - 1, size - 1, *t.tolist(), size - 1]
             for i in range(2, len(s)):
@@ -669,7 +674,7 @@ def test_language_model_places_whole_counts(spark):
     rows = table.collect()
     assert sorted(r.piece for r in rows) == list(range(12)) and all(tuple(r)[:8] in made for r in rows)
     for r in rows:
-        ids, lens = np.frombuffer(r.ids, "<u2"), np.array(r.lens)
+        ids, lens = next(A._texts(A.pa.array([bytes(r.ids)]), "<u2")), np.array(r.lens)
         values = A.values_of(ids, lens, size, bytes(r.triples), bytes(r.seen))
         texts, said = A._split(ids, lens, shares(ids, lens, values, 0))
         whole = iter(values.T.tolist())
